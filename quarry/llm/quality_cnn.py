@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.common import fold, only, rows_of
+from quarry.llm.common import SLICE_ROWS, fold, only, rows_of
 
 CHUNK, OVERLAP = 256, 32
 WIDTH, FILTERS = 8, 24
@@ -184,22 +184,48 @@ def training_sample(docs: DataFrame, labels: DataFrame, label: str, folds: int,
     return [(data, y) for _, data, y in out]
 
 
-def score(docs: DataFrame, labels: DataFrame, label: str = "quality", folds: int = 4, held: int = 2, threshold: float = 0.7) -> DataFrame:
-    """doc_id, held_out, score, predicted of every row of ``docs``; learns from the folds other than ``held``."""
+def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", folds: int = 4, held: int = 2) -> tuple[ByteCNN | None, float]:
+    """The network (none without both classes) and the share of label 1 in its sample (0.5 without labels)."""
     sample = []
     for data, y in training_sample(docs, labels, label, folds, held, TRAIN_ROWS):
         sample.append((chunks_of(data, TRAIN_CHUNKS).tobytes() if len(data) > CHUNK * TRAIN_CHUNKS else data, y))
     y = np.array([s[1] for s in sample])
-    net = train([s[0] for s in sample], y) if len(set(y)) == 2 else None
-    constant = float(y.mean()) if len(y) else 0.5
-    shared = docs.sparkSession.sparkContext.broadcast((net, constant))
+    return train([s[0] for s in sample], y) if len(set(y)) == 2 else None, float(y.mean()) if len(y) else 0.5
+
+
+def _probabilities(net: ByteCNN | None, constant: float, pairs: np.ndarray | None, texts: list[str | None]) -> np.ndarray:
+    return net.dense(_pool(net, pairs, [(t or "").encode("utf-8", "replace") for t in texts])).astype(float) if net else np.full(len(texts), constant)
+
+
+def score(docs: DataFrame, labels: DataFrame, label: str = "quality", folds: int = 4, held: int = 2, threshold: float = 0.7) -> DataFrame:
+    """doc_id, held_out, score, predicted of every row of ``docs``; learns from the folds other than ``held``."""
+    shared = docs.sparkSession.sparkContext.broadcast(fit(docs, labels, label, folds, held))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         net, constant = shared.value
         pairs = net.pairs() if net else None
         for doc_id, text in rows_of(batches):
-            p = net.dense(_pool(net, pairs, [(t or "").encode("utf-8", "replace") for t in text])) if net else np.full(len(text), constant)
-            yield pa.RecordBatch.from_arrays([pa.array(doc_id, pa.int64()), pa.array(p.astype(float), pa.float64())], ["doc_id", "score"])
+            yield pa.RecordBatch.from_arrays([pa.array(doc_id, pa.int64()), pa.array(_probabilities(net, constant, pairs, text), pa.float64())], ["doc_id", "score"])
 
     out = only(docs, "doc_id", "text").withColumn("doc_id", F.col("doc_id").cast("long")).mapInArrow(run, "doc_id long, score double")
     return out.select("doc_id", (fold(F.col("doc_id"), folds) == held).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
+
+
+def accepted(docs: DataFrame, labels: DataFrame, threshold: float = 0.7) -> DataFrame:
+    """The rows of ``docs``, with all their columns, that score ``threshold`` or more. No row leaves its partition.
+
+    Without both classes of labels nothing can be told apart, and all rows stay.
+    """
+    shared = docs.sparkSession.sparkContext.broadcast(fit(docs, labels))
+    at = docs.columns.index("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        net, constant = shared.value
+        pairs = net.pairs() if net else None
+        for b in batches:
+            for lo in range(0, b.num_rows, SLICE_ROWS):
+                part = b.slice(lo, SLICE_ROWS)
+                keep = _probabilities(net, constant, pairs, part.column(at).to_pylist()) >= threshold if net else np.ones(part.num_rows, bool)
+                yield part.filter(pa.array(keep))
+
+    return docs.mapInArrow(run, docs.schema)
