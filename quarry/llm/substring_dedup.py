@@ -1,18 +1,19 @@
 """Substring dedup: an FM-index of each shard gives the matching statistics of streamed documents.
 
 A window is ``WINDOW`` consecutive words of one document; words covered by a window that also stands in a document
-of a smaller id are removed. Three steps narrow down what the indexes see, each over all rows:
+of a smaller id are removed. What the indexes see is narrowed down first, over all rows:
 
-1. Every document gives the minima of its hashed ``GRAM``-word runs over each window (equal windows, equal minima).
-   Minima in one document only end here.
-2. Windows whose minimum is shared are hashed; the least id of each shared hash is the window's owner.
-3. Owners' windows form the indexed text, dealt to shards by owner. The other documents' windows are cut into
-   pieces at places that depend on the words alone, equal pieces are merged before they are dealt, and each piece is
+1. Every document gives its anchors, the minima of its hashed ``GRAM``-word runs over each window: equal windows have
+   equal anchors. The least id that has an anchor owns it; windows of anchors that one document has alone end here.
+2. Windows whose anchor the document owns form the indexed text, dealt to shards by owner. Those of anchors that others
+   own are cut into pieces at places that depend on the words alone; equal pieces of an owner are merged, and each is
    sent to its owner's shard.
+3. A shard's words form an FM-index over a wavelet matrix. Backward search of each piece gives its matches; windows inside
+   matches of ``WINDOW`` words or more that stand at an id not over the owner's are removed.
+4. Windows that their anchor's owner doesn't have may still stand in another document of a smaller id. They are
+   hashed, the least id of each hash owns it, and they go through step 3 once more with these owners.
 
-A shard's words form an FM-index over a wavelet matrix; backward search of each piece gives its matches, and windows
-inside matches of ``WINDOW`` words or more that stand at an id not over the owner's are removed. The index compares
-words, so equal hashes of different words remove nothing.
+The index compares words, so equal hashes of different words remove nothing.
 
 Null texts have no words. Rows of a null id neither lose words nor make others lose any. Rows that repeat an id are one
 document: they don't take words from each other. Documents shorter than a window stay as they are.
@@ -31,7 +32,7 @@ from pyspark.sql import functions as F
 from quarry.llm.common import free_shuffles, mix64, stored
 from quarry.llm.fm_index import FMIndex, long_matches
 
-WINDOW, GRAM = 13, 7
+WINDOW, GRAM = 13, 6
 #: A piece ends behind a window whose hash is divisible by CUT, or after MOST windows.
 CUT, MOST = 32, 128
 #: Words of a shard's index, on average at most, and shards for each shuffle partition at least.
@@ -119,63 +120,73 @@ Batches = Iterator[pa.RecordBatch]
 
 def _anchors(batches: Batches) -> Batches:
     for b in batches:
-        row, doc, h = [], [], []
-        for r, d, data in zip(b.column(0).to_numpy(), b.column(1).to_numpy(), _texts(b.column(2)), strict=True):
+        doc, h = [], []
+        for d, data in zip(b.column(0).to_numpy(), _texts(b.column(1)), strict=True):
             x = np.unique(minima(words_of(data)[2]))
-            row.append(np.full(len(x), r))
             doc.append(np.full(len(x), d))
             h.append(x)
         if h:
-            yield pa.RecordBatch.from_arrays([_longs(np.concatenate(c)) for c in (row, doc, h)], ["row", "doc", "h"])
+            yield pa.RecordBatch.from_arrays([_longs(np.concatenate(c)) for c in (doc, h)], ["doc", "h"])
 
 
-def _windows(batches: Batches) -> Batches:
-    """row, doc, h (of a window) for the windows whose minimum is in the row's list."""
-    for b in batches:
-        row, doc, h = [], [], []
-        for r, d, data, known in zip(b.column(0).to_numpy(), b.column(1).to_numpy(), _texts(b.column(2)), _lists(b.column(3)), strict=True):
-            words = words_of(data)[2]
-            x = np.unique(grams(words, WINDOW)[np.isin(minima(words).view(np.int64), known)])
-            row.append(np.full(len(x), r))
-            doc.append(np.full(len(x), d))
-            h.append(x)
-        if h:
-            yield pa.RecordBatch.from_arrays([_longs(np.concatenate(c)) for c in (row, doc, h)], ["row", "doc", "h"])
+PIECE = "indexed boolean, owner long, words string, doc long, row long, start long"
+
+
+def _piece_batch(rows: list[tuple]) -> pa.RecordBatch:
+    cols = [list(c) for c in zip(*rows, strict=True)] or [[]] * 6
+    types = [pa.bool_(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.int64()]
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], [x.split()[0] for x in PIECE.split(", ")])
 
 
 def _pieces(batches: Batches) -> Batches:
-    """indexed, owner, words, row, start: runs of a document's own shared windows, and pieces of those that others own."""
+    """Runs of windows whose anchors the document owns (indexed), and pieces of those that another one owns."""
     for b in batches:
         out: list[tuple] = []
         for r, d, data, known, owners in zip(b.column(0).to_numpy(), b.column(1).to_numpy(), _texts(b.column(2)), _lists(b.column(3)), _lists(b.column(4)), strict=True):
             starts, ends, words = words_of(data)
-            h = grams(words, WINDOW).view(np.int64)
+            anchor = minima(words).view(np.int64)
+            if not len(anchor):
+                continue
             order = np.argsort(known)
             known, owners = known[order], owners[order]
-            at = np.minimum(np.searchsorted(known, h), len(known) - 1)
-            shared = known[at] == h
-            # windows in runs: of one owner each, none where not shared; others' windows are cut as the words say
-            cut = np.zeros(len(h), np.int64)
-            cut[1:] = (h[:-1] % CUT == 0) & (owners[at][:-1] != d)
-            group = np.cumsum(cut)
-            change = np.ones(len(h), bool)
-            change[1:] = (shared[1:] != shared[:-1]) | (owners[at][1:] != owners[at][:-1]) | (group[1:] != group[:-1])
+            at = np.minimum(np.searchsorted(known, anchor), len(known) - 1)
+            owner = owners[at]
+            shared = known[at] == anchor
+            # windows in runs of one owner each, none where not shared; others' windows are cut as the words say
+            cut = np.zeros(len(anchor), bool)
+            cut[1:] = (grams(words, WINDOW)[:-1] % np.uint64(CUT) == 0) & (owner[:-1] != d)
+            change = np.ones(len(anchor), bool)
+            change[1:] = (shared[1:] != shared[:-1]) | (owner[1:] != owner[:-1]) | cut[1:]
             first = np.flatnonzero(change)
-            for lo, hi in zip(first, np.append(first[1:], len(h)), strict=True):
+            for lo, hi in zip(first, np.append(first[1:], len(anchor)), strict=True):
                 if not shared[lo]:
                     continue
-                owner = int(owners[at[lo]])
-                step = hi - lo if owner == d else MOST
-                for s in range(lo, hi, step):
-                    e = min(hi, s + step) - 1 + WINDOW
-                    out.append((owner == d, owner, b" ".join(data[x:y] for x, y in zip(starts[s:e], ends[s:e], strict=True)).decode(), int(r), int(s)))
-        cols = [list(c) for c in zip(*out, strict=True)] or [[]] * 5
-        types = [pa.bool_(), pa.int64(), pa.string(), pa.int64(), pa.int64()]
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], ["indexed", "owner", "words", "row", "start"])
+                own = owner[lo] == d
+                for s in range(lo, hi, hi - lo if own else MOST):
+                    e = (hi if own else min(hi, s + MOST)) - 1 + WINDOW
+                    out.append((bool(own), int(owner[lo]), b" ".join(data[x:y] for x, y in zip(starts[s:e], ends[s:e], strict=True)).decode(), int(d), int(r), int(s)))
+        yield _piece_batch(out)
+
+
+def _split_pieces(batches: Batches) -> Batches:
+    """Of a piece's windows (first, owner) those of one owner each: runs of a document's own ones, and pieces of others'."""
+    for b in batches:
+        out: list[tuple] = []
+        for doc, row, start, words, windows in zip(*(c.to_pylist() for c in b.columns), strict=True):
+            w = words.split(" ")
+            windows = sorted((x["first"], x["owner"]) for x in windows)
+            lo = 0
+            for i in range(1, len(windows) + 1):
+                if i == len(windows) or windows[i] != (windows[i - 1][0] + 1, windows[lo][1]):
+                    first, owner = windows[lo]
+                    out.append((owner == doc, owner, " ".join(w[first : windows[i - 1][0] + WINDOW]), doc, row, start + first))
+                    lo = i
+        yield _piece_batch(out)
 
 
 def _searched(batches: Batches) -> Batches:
-    """owner, piece, first, windows: the runs of a piece's windows that stand in its owner's shard at an id not over the owner's.
+    """owner, piece, first, windows, h: the runs of a piece's windows that stand in its owner's shard at an id not over the
+    owner's; and each other window with 0 windows and its hash.
 
     Rows (shard, indexed, owner, words, piece) come shard by shard, a shard's indexed rows first.
     """
@@ -202,17 +213,20 @@ def _searched(batches: Batches) -> Batches:
     def search() -> Batches:
         if texts:
             build()
-        if index is not None and pieces:
+        if pieces:
             get = number.get
             coded = [np.array([get(w, -1) for w in words]) for _, _, words in pieces]
             most = np.searchsorted(rank, [o for o, _, _ in pieces], side="right") - 1
-            found = long_matches(index, coded, most, WINDOW)
-            out = []
-            for (o, piece, _), x in zip(pieces, found, strict=True):
+            found = long_matches(index, coded, most, WINDOW) if index is not None else [np.zeros(len(x) - WINDOW + 1, bool) for x in coded]
+            out: list[tuple] = []
+            for (o, piece, words), x in zip(pieces, found, strict=True):
                 edge = np.flatnonzero(np.diff(x, prepend=False, append=False))
-                out += [(o, piece, int(a), int(z - a)) for a, z in zip(edge[::2], edge[1::2], strict=True)]
+                out += [(o, piece, int(a), int(z - a), None) for a, z in zip(edge[::2], edge[1::2], strict=True)]
+                if not x.all():
+                    h = grams(words_of(" ".join(words).encode())[2], WINDOW).view(np.int64)
+                    out += [(o, piece, int(k), 0, int(h[k])) for k in np.flatnonzero(~x)]
             if out:
-                yield pa.RecordBatch.from_arrays([pa.array(list(c), pa.int64()) for c in zip(*out, strict=True)], ["owner", "piece", "first", "windows"])
+                yield pa.RecordBatch.from_arrays([pa.array(list(c), pa.int64()) for c in zip(*out, strict=True)], ["owner", "piece", "first", "windows", "h"])
         pieces.clear()
 
     for b in batches:
@@ -231,35 +245,48 @@ def _searched(batches: Batches) -> Batches:
     yield from search()
 
 
-def _shared(rows: DataFrame) -> DataFrame:
-    """h, owner: hashes that rows of two ids or more have, with the least id."""
-    return rows.groupBy("h").agg(F.min("doc").alias("owner"), F.max("doc").alias("last")).filter("owner < last").select("h", "owner")
+def _search(pieces: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """What the indexes say of each piece (``_searched``), stored; and the searched pieces (owner, piece, words)."""
+    spark = pieces.sparkSession
+    # An owner's text may stand there more than once; equal pieces of an owner are searched once.
+    asked = stored(pieces.groupBy("indexed", "owner", "piece").agg(F.min("words").alias("words")), "asked")
+    size = asked.filter("indexed").agg(F.sum(F.length("words"))).first()[0] or 0
+    shards = max(SHARDS_PER_PARTITION * int(spark.conf.get("spark.sql.shuffle.partitions")), size // (6 * SHARD_WORDS))
+    dealt = asked.withColumn("shard", F.pmod(F.xxhash64("owner"), F.lit(shards))).repartition("shard").sortWithinPartitions("shard", F.desc("indexed"))
+    found = dealt.select("shard", "indexed", "owner", "words", "piece").mapInArrow(_searched, "owner long, piece long, first long, windows long, h long")
+    return stored(found, "found"), asked.filter("NOT indexed").select("owner", "piece", "words")
+
+
+def _spans_of(places: DataFrame, found: DataFrame) -> DataFrame:
+    """row, span: the confirmed windows of each place of each piece."""
+    hits = found.filter("windows > 0").select("owner", "piece", "first", "windows")
+    return places.join(hits, ["owner", "piece"]).select("row", F.struct((F.col("start") + F.col("first")).alias("first"), "windows").alias("span"))
 
 
 def repeats(docs: DataFrame) -> DataFrame:
     """row, spans: for each row of ``docs`` (row, doc, text) that has any, the windows to remove (first, windows), stored."""
     spark = docs.sparkSession
     rows = docs.filter("doc IS NOT NULL AND text IS NOT NULL").select("row", "doc", "text")
-    three = "row long, doc long, h long"
-    anchors = rows.mapInArrow(_anchors, three)
-    anchors = stored(anchors.join(_shared(anchors).select("h"), "h").groupBy("row").agg(F.collect_set("h").alias("hs")), "anchors")
-    free_shuffles(spark)
-    windows = rows.join(anchors, "row").select("row", "doc", "text", "hs").mapInArrow(_windows, three)
-    windows = stored(windows, "windows")
-    windows = windows.join(_shared(windows), "h").groupBy("row").agg(F.collect_set(F.struct("h", "owner")).alias("x")).select("row", F.col("x.h").alias("hs"), F.col("x.owner").alias("owners"))
-    windows = stored(windows, "windows")
+    anchors = rows.select("doc", "text").mapInArrow(_anchors, "doc long, h long")
+    shared = anchors.groupBy("h").agg(F.min("doc").alias("owner"), F.count("*").alias("n")).filter("n > 1").select("h", "owner")
+    anchors = stored(anchors.join(shared, "h").groupBy("doc").agg(F.collect_list("h").alias("hs"), F.collect_list("owner").alias("owners")), "anchors")
+    del shared
     free_shuffles(spark)
-    pieces = rows.join(windows, "row").select("row", "doc", "text", "hs", "owners").mapInArrow(_pieces, "indexed boolean, owner long, words string, row long, start long")
+    pieces = rows.join(anchors, "doc").select("row", "doc", "text", "hs", "owners").mapInArrow(_pieces, PIECE)
     pieces = stored(pieces.withColumn("piece", F.xxhash64("words")), "pieces")
     free_shuffles(spark)
-    # An owner's row may stand there more than once; equal pieces of an owner are searched once.
-    asked = pieces.groupBy("indexed", "owner", "piece").agg(F.min("words").alias("words"))
-    words = pieces.filter("indexed").agg(F.sum(F.length("words"))).first()[0] or 0
-    shards = max(SHARDS_PER_PARTITION * int(spark.conf.get("spark.sql.shuffle.partitions")), words // (6 * SHARD_WORDS))
-    dealt = asked.withColumn("shard", F.pmod(F.xxhash64("owner"), F.lit(shards))).repartition("shard").sortWithinPartitions("shard", F.desc("indexed"))
-    found = dealt.select("shard", "indexed", "owner", "words", "piece").mapInArrow(_searched, "owner long, piece long, first long, windows long")
-    places = pieces.filter("NOT indexed").select("owner", "piece", "row", "start")
-    spans = places.join(found, ["owner", "piece"]).select("row", F.struct((F.col("start") + F.col("first")).alias("first"), "windows").alias("span"))
+    places = pieces.filter("NOT indexed").select("owner", "piece", "doc", "row", "start")
+    found, asked = _search(pieces)
+    spans = _spans_of(places, found)
+    # What the anchors' owners don't have, by the windows' own hashes.
+    rest = places.join(found.filter("windows = 0").select("owner", "piece", "first", "h"), ["owner", "piece"])
+    owned = rest.groupBy("h").agg(F.min("doc").alias("_owner"), F.max("doc").alias("_last")).filter("_owner < _last").select("h", "_owner")
+    again = rest.join(owned, "h").groupBy("owner", "piece", "doc", "row", "start").agg(F.collect_list(F.struct("first", F.col("_owner").alias("owner"))).alias("windows"))
+    again = again.join(asked, ["owner", "piece"]).select("doc", "row", "start", "words", "windows").mapInArrow(_split_pieces, PIECE)
+    again = stored(again.withColumn("piece", F.xxhash64("words")), "pieces")
+    free_shuffles(spark)
+    found, _ = _search(again)
+    spans = spans.unionByName(_spans_of(again.filter("NOT indexed"), found))
     out = stored(spans.groupBy("row").agg(F.collect_set("span").alias("spans")), "spans")
     free_shuffles(spark)
     return out
