@@ -39,11 +39,15 @@ def _element(item: Column, value: Any) -> Column:
         items = F.try_variant_get(item, "$", "array<variant>")
         out = items.isNotNull()
         for v in value:
-            out = out & F.exists(items, lambda x, v=v: F.coalesce(_element(x, v), F.lit(False)))
+            out = out & _any(items, v)
         return out
     return _scalar(item, value)
 
 
+def _any(items: Column, value: Any) -> Column:
+    return F.exists(items, lambda x: F.coalesce(_element(x, value), F.lit(False)))
+
+
 def _holds(metadata: Column, path: str, value: Any) -> Column:
     return F.coalesce(_element(F.try_variant_get(metadata, path, "variant"), value), F.lit(False))
 
