@@ -29,14 +29,14 @@ class Crawls:
         crawl = Crawl(uuid.uuid4().hex, url, kind)
         with self._lock:
             self._running[crawl.crawl_id] = crawl
-        spark.addTag(crawl.crawl_id)
+        spark.sparkContext.addJobTag(crawl.crawl_id)
         return crawl
 
     def finish(self, spark: SparkSession, crawl_id: str) -> None:
         """Safe to call again after a cancellation."""
         with self._lock:
             self._running.pop(crawl_id, None)
-        spark.removeTag(crawl_id)
+        spark.sparkContext.removeJobTag(crawl_id)
 
     def is_cancelled(self, crawl_id: str) -> bool:
         with self._lock:
@@ -50,7 +50,7 @@ class Crawls:
         if crawl is None:
             return False
         crawl.cancelled = True
-        spark.interruptTag(crawl_id)
+        spark.sparkContext.cancelJobsWithTag(crawl_id)
         return True
 
     def cancel_all(self, spark: SparkSession) -> int:

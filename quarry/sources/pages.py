@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable, Iterator
 from html.parser import HTMLParser
 from urllib.parse import urldefrag, urljoin, urlsplit
@@ -127,13 +128,11 @@ class _Markdown(HTMLParser):
 
     def handle_data(self, data):
         if not self.skipped:
-            self.out.append(data if self.pre else " ".join(data.split()) + (" " if data[-1:].isspace() else "") if data.strip() else " ")
+            self.out.append(data if self.pre else re.sub(r"\s+", " ", data))
 
 
 def to_markdown(html: str | None) -> str:
     """Headers, list items, paragraphs and fenced code of a page; scripts, styles and navigation left out."""
-    import re
-
     parser = _Markdown()
     parser.feed(html or "")
     parser.close()
