@@ -1,19 +1,24 @@
 """SimHash near-duplicates by generalised pigeonhole search.
 
-Fingerprints of 64 bits are linked where at most ``tau`` bits differ. The bits are grouped into partitions so
-that correlated ones stand together; with thresholds ``t_i`` that sum to ``tau - m + 1`` over ``m`` partitions
-(-1: the partition is not used) any linked pair agrees in some partition up to its threshold. Counts over all
-fingerprints (each pair of bits, each block of 8 bits) estimate how many candidates each threshold gives, and a
-dynamic programme allocates the thresholds. A fingerprint is probed under its key (threshold 0) or all keys
-one bit away as well (threshold 2: both sides meet in the middle); candidates in a bucket are verified.
+Fingerprints are one or more words of 64 bits. The bits of a word are grouped into partitions so that correlated
+ones stand together; with thresholds ``t_i`` that sum to ``tau - m + 1`` over ``m`` partitions (-1: the partition is
+not used) any two fingerprints with at most ``tau`` bits apart agree in some partition up to its threshold. Counts over
+all fingerprints (each pair of bits, each block of 8 bits) estimate how many candidates each threshold gives, and a
+dynamic programme allocates the thresholds. A fingerprint is probed under its key (threshold 0) or all keys one bit
+away as well (threshold 2: both sides meet in the middle); candidates in a bucket are verified.
 
 Only distinct fingerprints are searched, buckets of one fingerprint are dropped before anything is sorted, and
 a bucket gives at most one edge for each member (its links' local forest), not its pairs. Buckets of more than
 ``BUCKET`` members are split. For ``tau = 2`` each member is probed instead under itself and all 64
-fingerprints one bit away: two are linked exactly if they share one, and no more than 65 can. For larger ``tau``
+fingerprints one bit away: two are linked exactly if they share one, and no more than 65 can. Otherwise
 salted parts find their own links and send one leader of each local group on; what doesn't shrink is compared
 in all pairs of parts. Components come from ``components``.
 
+``near_duplicates`` links at 2 bits, exactly. ``without_near_duplicates`` is about similarity: words of one 64-bit
+fingerprint of five-word shingles differ in some 10 bits at a similarity of 0.8, too many for any exact search, so it
+probes ``WORDS`` fingerprints of the sets of words, where such texts differ in a few bits each, and verifies with 128
+bits over the sets of shingles.
+
 Null and empty texts have fingerprint zero and are linked like any other.
 """
 
@@ -33,6 +38,8 @@ from quarry.llm.components import components
 
 SEED = 42
 BUCKET = 256
+#: 64-bit words of the fingerprints that ``without_near_duplicates`` probes, and candidates for each that it accepts.
+WORDS, CANDIDATES = 8, 16
 _BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little").astype(np.int64)
 NAMES = ["sig", "node", "fp", "v1", "v2"]
 SCHEMA = "sig long, node long, fp long, v1 long, v2 long"
@@ -84,60 +91,82 @@ def fingerprints(docs: DataFrame, k: int = 3) -> DataFrame:
     return only(docs, "doc_id", "text").withColumn("doc_id", F.col("doc_id").cast("long")).mapInArrow(run, "doc_id long, fp long")
 
 
+def majorities(hashes: np.ndarray, words: int) -> list[int]:
+    """``words`` fingerprints of the hashes and of hashes derived from them."""
+    out = []
+    for _ in range(words):
+        out.append(_signed(majority(hashes)))
+        hashes = mix64(hashes)
+    return out
+
+
 def wide_fingerprints(docs: DataFrame, k: int = 5) -> DataFrame:
-    """doc_id, fp, v1, v2: fp over the set of words finds candidates, the 128 bits v over the set of ``k``-word shingles verify."""
+    """doc_id, fps, v1, v2: WORDS fingerprints of the set of words find candidates, the 128 bits v of the set of ``k``-word shingles verify."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for doc_id, text in rows_of(batches):
-            out = []
+            fps, v1, v2 = [], [], []
             for t in text:
                 words = (t or "").encode("utf-8", "replace").lower().split()
-                h = np.unique(shingle_hashes(words, k))
-                out.append((_signed(majority(shingle_hashes(sorted(set(words)), 1) if len(set(words)) > 1 else h)), _signed(majority(h)), _signed(majority(mix64(h)))))
-            cols = [pa.array(doc_id, pa.int64())] + [pa.array(list(c), pa.int64()) for c in zip(*out, strict=True)]
-            yield pa.RecordBatch.from_arrays(cols, ["doc_id", "fp", "v1", "v2"])
+                fps.append(majorities(shingle_hashes(list(set(words)), 1) if len(set(words)) > 1 else shingle_hashes(words[:1], 1), WORDS))
+                a, b = majorities(np.unique(shingle_hashes(words, k)), 2)
+                v1.append(a)
+                v2.append(b)
+            cols = [pa.array(doc_id, pa.int64()), pa.array(fps, pa.list_(pa.int64())), pa.array(v1, pa.int64()), pa.array(v2, pa.int64())]
+            yield pa.RecordBatch.from_arrays(cols, ["doc_id", "fps", "v1", "v2"])
 
-    return only(docs, "doc_id", "text").withColumn("doc_id", F.col("doc_id").cast("long")).mapInArrow(run, "doc_id long, fp long, v1 long, v2 long")
+    return only(docs, "doc_id", "text").withColumn("doc_id", F.col("doc_id").cast("long")).mapInArrow(run, "doc_id long, fps array<long>, v1 long, v2 long")
 
 
 # --- the search plan --------------------------------------------------------------------------------------------
 
 
-def bit_counts(fps: DataFrame) -> np.ndarray:
-    """(64, 64): how many fingerprints have both bits, over all rows. Each task sends one row of 4096 counts."""
+def _fps(column: pa.ListArray) -> np.ndarray:
+    """(rows, words) of a column of arrays of one length."""
+    return column.flatten().to_numpy(zero_copy_only=False).astype(np.int64).reshape(len(column), -1)
+
+
+def _summed(nodes: DataFrame, size: int, count: Callable[[np.ndarray], np.ndarray]) -> np.ndarray:
+    """The sum over all fingerprints of what ``count`` gives for some of them; each task sends one row for each number."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros((64, 64), np.int64)
+        total = np.zeros(size, np.int64)
         for b in batches:
-            x = b.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
-            for lo in range(0, len(x), 65536):
-                bits = np.unpackbits(x[lo : lo + 65536].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").astype(np.float32)
-                total += (bits.T @ bits).astype(np.int64)
-        yield pa.RecordBatch.from_arrays([pa.array(np.arange(4096), pa.int32()), pa.array(total.ravel(), pa.int64())], ["i", "n"])
-
-    out = np.zeros(4096, np.int64)
-    for r in fps.select("fp").mapInArrow(run, "i int, n long").groupBy("i").agg(F.sum("n").alias("n")).collect():
+            for lo in range(0, b.num_rows, 4096):
+                total += count(_fps(b.column(0).slice(lo, 4096)))
+        at = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(total[at], pa.int64())], ["i", "n"])
+
+    out = np.zeros(size, np.int64)
+    for r in nodes.select("fps").mapInArrow(run, "i int, n long").groupBy("i").agg(F.sum("n").alias("n")).collect():
         out[r.i] = r.n
-    return out.reshape(64, 64)
+    return out
 
 
-def block_counts(fps: DataFrame, order: list[int]) -> np.ndarray:
-    """(8, 256): the values of each block of 8 bits of ``order``, over all rows."""
+def _bits(x: np.ndarray) -> np.ndarray:
+    return np.unpackbits(np.ascontiguousarray(x).view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros((8, 256), np.int64)
-        for b in batches:
-            x = b.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
-            for lo in range(0, len(x), 65536):
-                bits = np.unpackbits(x[lo : lo + 65536].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")[:, order]
-                for i, col in enumerate(np.packbits(bits, axis=1, bitorder="little").T):
-                    total[i] += np.bincount(col, minlength=256)
-        yield pa.RecordBatch.from_arrays([pa.array(np.arange(2048), pa.int32()), pa.array(total.ravel(), pa.int64())], ["i", "n"])
-
-    out = np.zeros(2048, np.int64)
-    for r in fps.select("fp").mapInArrow(run, "i int, n long").groupBy("i").agg(F.sum("n").alias("n")).collect():
-        out[r.i] = r.n
-    return out.reshape(8, 256)
+
+def bit_counts(nodes: DataFrame, words: int) -> np.ndarray:
+    """(words, 64, 64): how many fingerprints have both bits of a word."""
+
+    def count(x: np.ndarray) -> np.ndarray:
+        bits = [_bits(x[:, w]).astype(np.float32) for w in range(words)]
+        return np.concatenate([(b.T @ b).astype(np.int64).ravel() for b in bits])
+
+    return _summed(nodes, words * 4096, count).reshape(words, 64, 64)
+
+
+def block_counts(nodes: DataFrame, orders: list[list[int]]) -> np.ndarray:
+    """(words, 8, 256): how often each block of 8 bits of a word's order has each value."""
+
+    def count(x: np.ndarray) -> np.ndarray:
+        out = []
+        for w, order in enumerate(orders):
+            out += [np.bincount(col, minlength=256) for col in np.packbits(_bits(x[:, w])[:, order], axis=1, bitorder="little").T]
+        return np.concatenate(out)
+
+    return _summed(nodes, len(orders) * 2048, count).reshape(len(orders), 8, 256)
 
 
 def correlated_order(both: np.ndarray) -> list[int]:
@@ -174,48 +203,57 @@ def distance_shares(counts: np.ndarray, bits: range) -> np.ndarray:
     return out
 
 
-def allocate(shares: list[np.ndarray], widths: list[int], n: int, budget: int) -> tuple[float, list[int]]:
-    """Thresholds from -1, 0, 2 of the least estimated cost whose sum is at least ``budget``: a dynamic programme."""
-    best: dict[int, tuple[float, list[int]]] = {0: (0.0, [])}  # by the sum of the thresholds plus 1
+def allocate(shares: list[np.ndarray], widths: list[int], n: int, budget: int) -> tuple[float, float, list[int]]:
+    """Thresholds from -1, 0, 2 of the least estimated cost whose sum is at least ``budget``, by dynamic programming: (cost, pairs, thresholds)."""
+    best: dict[int, tuple[float, float, list[int]]] = {0: (0.0, 0.0, [])}  # by the sum of the thresholds plus 1
     for s, w in zip(shares, widths, strict=True):
-        after: dict[int, tuple[float, list[int]]] = {}
-        for total, (cost, chosen) in best.items():
+        after: dict[int, tuple[float, float, list[int]]] = {}
+        for total, (cost, pairs, chosen) in best.items():
             for t, probes in ((-1, 0), (0, 1), (2, w + 1)):
-                pairs = n * float(n) / 2 * s[: t + 1].sum() if t >= 0 else 0.0
-                new = (cost + probes * n + pairs / 20, [*chosen, t])  # comparing two is far cheaper than shuffling a row
+                more = n * float(n) / 2 * s[: t + 1].sum() if t >= 0 else 0.0
+                new = (cost + probes * n + more / 20, pairs + more, [*chosen, t])  # comparing two is far cheaper than shuffling a row
                 at = total + t + 1
                 if at not in after or new < after[at]:
                     after[at] = new
         best = after
-    m = len(widths)
-    return min(v for k, v in best.items() if k - m >= budget)
+    return min(v for k, v in best.items() if k - len(widths) >= budget)
+
 
+Part = tuple[int, list[int], int]  # word, bits, threshold
 
-def plan(fps: DataFrame, tau: int) -> list[tuple[list[int], int]]:
-    """The partitions (bits, threshold) to probe for ``tau``, from counts over all fingerprints."""
-    n = fps.count()
-    order = correlated_order(bit_counts(fps))
-    counts = block_counts(fps, order)
+
+def plan(nodes: DataFrame, words: int = 1, tau: int | None = None) -> list[Part]:
+    """The partitions to probe, from counts over all fingerprints.
+
+    With ``tau`` those of the least cost that find every pair with at most ``tau`` bits apart (of one word). Without it the
+    finest ones, one bit apart fewer than partitions, that give at most CANDIDATES candidates for each fingerprint.
+    """
+    n = nodes.count()
+    orders = [correlated_order(c) for c in bit_counts(nodes, words)]
+    counts = block_counts(nodes, orders)
     found = []
-    for m in (2, 3, 4, 5):
+    for m in (2, 3, 4, 5) if tau is not None else (3, 2, 1):
         cut = [round(64 * i / m) for i in range(m + 1)]
-        parts = [range(a, b) for a, b in zip(cut, cut[1:], strict=False)]
+        parts = [(w, range(a, b)) for w in range(words) for a, b in zip(cut, cut[1:], strict=False)]
         try:
-            cost, t = allocate([distance_shares(counts, p) for p in parts], [len(p) for p in parts], n, tau - m + 1)
+            cost, pairs, t = allocate([distance_shares(counts[w], p) for w, p in parts], [len(p) for _, p in parts], n, tau - m + 1 if tau is not None else 0)
         except ValueError:
             continue
-        found.append((cost, [([order[b] for b in p], x) for p, x in zip(parts, t, strict=True) if x >= 0]))
-    return min(found, key=lambda x: x[0])[1]
+        found.append((cost, [(w, [orders[w][b] for b in p], x) for (w, p), x in zip(parts, t, strict=True) if x >= 0]))
+        if tau is None and pairs <= CANDIDATES * n:
+            break
+    return min(found, key=lambda x: x[0])[1] if tau is not None else found[-1][1]
 
 
 # --- probing and verifying --------------------------------------------------------------------------------------
 
 
-def probes(fp: np.ndarray, parts: list[tuple[list[int], int]]) -> np.ndarray:
-    """(rows, probes) signatures of each fingerprint in every used partition."""
-    fp = fp.view(np.uint64)
+def probes(fps: np.ndarray, parts: list[Part]) -> np.ndarray:
+    """(rows, probes) signatures of each fingerprint (rows, words) in every used partition."""
+    fps = fps.view(np.uint64)
     out = []
-    for i, (bits, t) in enumerate(parts):
+    for i, (word, bits, t) in enumerate(parts):
+        fp = fps[:, word]
         mask = np.uint64(sum(1 << b for b in bits))
         keys = [fp & mask]
         if t == 2:
@@ -225,18 +263,20 @@ def probes(fp: np.ndarray, parts: list[tuple[list[int], int]]) -> np.ndarray:
 
 
 def _signatures(nodes: DataFrame, make: Callable[[np.ndarray], np.ndarray]) -> DataFrame:
-    """A row for each signature that ``make`` gives of each node's fingerprint."""
+    """A row for each signature that ``make`` gives of each node's fingerprint; fp is its first word."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for lo in range(0, b.num_rows, 2048):
-                node, fp, v1, v2 = (c.to_numpy(zero_copy_only=False).astype(np.int64) for c in b.slice(lo, 2048).columns)
-                sig = make(fp)
+                part = b.slice(lo, 2048)
+                fps = _fps(part.column(1))
+                node, v1, v2 = (part.column(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in (0, 2, 3))
+                sig = make(fps)
                 m = sig.shape[1]
-                cols = [sig.ravel().view(np.int64)] + [np.repeat(x, m) for x in (node, fp, v1, v2)]
+                cols = [sig.ravel().view(np.int64)] + [np.repeat(x, m) for x in (node, fps[:, 0], v1, v2)]
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], NAMES)
 
-    return nodes.select("node", "fp", "v1", "v2").mapInArrow(run, SCHEMA)
+    return nodes.select("node", "fps", "v1", "v2").mapInArrow(run, SCHEMA)
 
 
 def _close(fp: np.ndarray, v1: np.ndarray, v2: np.ndarray, tau: int, tau_v: int) -> np.ndarray:
@@ -322,10 +362,15 @@ def _counted(rows: DataFrame) -> DataFrame:
     return rows.join(n, "sig")
 
 
-def links(nodes: DataFrame, tau: int, tau_v: int = 128) -> DataFrame:
-    """Edges (a, b) whose components are those of all pairs of ``nodes`` (node, fp, v1, v2) with at most ``tau`` bits apart."""
-    parts = plan(nodes, tau)
-    rows = stored(_counted(_signatures(nodes, lambda fp: probes(fp, parts))), "probes")
+def links(nodes: DataFrame, parts: list[Part], tau: int, tau_v: int = 128) -> DataFrame:
+    """Edges (a, b) whose components are those of all pairs of ``nodes`` (node, fps, v1, v2) that share a probe and verify.
+
+    They verify with at most ``tau`` bits apart in the first word (64: whatever that is) and ``tau_v`` in v1 and v2.
+    """
+    rows = _signatures(nodes, lambda fps: probes(fps, parts))
+    if tau >= 64:
+        rows = rows.withColumn("fp", F.lit(0).cast("long"))
+    rows = stored(_counted(rows), "probes")
     free_shuffles(rows.sparkSession)
     edges = _grouped(rows.filter(F.col("n") <= BUCKET), ["sig"], tau, tau_v)
     hot = rows.filter(F.col("n") > BUCKET)
@@ -333,14 +378,14 @@ def links(nodes: DataFrame, tau: int, tau_v: int = 128) -> DataFrame:
         return edges.unionByName(_all_around(hot, tau_v))
     found = [edges]
     while not hot.isEmpty():
-        size = hot.agg(F.count("*")).first()[0]
+        size = hot.count()
         salted = hot.withColumn("salt", F.pmod(F.xxhash64("node", F.lit(len(found))), F.ceil(F.col("n") / BUCKET)))
         out = stored(_grouped(salted, ["sig", "salt"], tau, tau_v, leaders=True), "leaders")
         found.append(out.filter("a IS NOT NULL").select("a", "b"))
         left = stored(_counted(out.filter("a IS NULL").select(*NAMES)), "leaders")
         found.append(_grouped(left.filter(F.col("n") <= BUCKET), ["sig"], tau, tau_v))
         hot = left.filter(F.col("n") > BUCKET)
-        if hot.agg(F.count("*")).first()[0] > size / 2:
+        if hot.count() > size / 2:
             found.append(_in_pairs_of_parts(hot, tau, tau_v))
             break
     out = found[0]
@@ -352,8 +397,8 @@ def links(nodes: DataFrame, tau: int, tau_v: int = 128) -> DataFrame:
 def _all_around(hot: DataFrame, tau_v: int) -> DataFrame:
     """Links at up to 2 bits: those that share one of the 65 fingerprints that are at most one bit away from each."""
     flips = np.array([0, *[1 << b for b in range(64)]], np.uint64)
-    nodes = hot.select("node", "fp", "v1", "v2").distinct()
-    around = _signatures(nodes, lambda fp: fp.view(np.uint64)[:, None] ^ flips[None])
+    nodes = hot.select("node", F.array("fp").alias("fps"), "v1", "v2").distinct()
+    around = _signatures(nodes, lambda fps: fps.view(np.uint64)[:, :1] ^ flips[None])
     return _grouped(_counted(around), ["sig"], 2, tau_v)
 
 
@@ -374,8 +419,9 @@ def near_duplicates(docs: DataFrame, k: int = 3, tau: int = 2) -> DataFrame:
     """doc_id, fingerprint (hexadecimal), component_id (the least doc_id reachable by links) of every row."""
     fps = stored(fingerprints(docs, k), "fingerprints")
     nodes = stored(fps.groupBy("fp").agg(F.min("doc_id").alias("least_id")), "nodes")
-    searched = nodes.select(F.col("fp").alias("node"), "fp", F.lit(0).cast("long").alias("v1"), F.lit(0).cast("long").alias("v2"))
-    roots = stored(components(links(searched, tau)), "roots")
+    zero = F.lit(0).cast("long")
+    searched = nodes.select(F.col("fp").alias("node"), F.array("fp").alias("fps"), zero.alias("v1"), zero.alias("v2"))
+    roots = stored(components(links(searched, plan(searched, 1, tau), tau)), "roots")
     free_shuffles(docs.sparkSession)
     tied = nodes.join(roots, nodes.fp == roots.node)
     least = tied.groupBy("root").agg(F.min("least_id").alias("component_id"))
@@ -383,23 +429,23 @@ def near_duplicates(docs: DataFrame, k: int = 3, tau: int = 2) -> DataFrame:
     return fps.join(known, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def without_near_duplicates(docs: DataFrame, k: int = 5, similarity: float = 0.8, tau: int = 8, slack: int = 3) -> DataFrame:
+def without_near_duplicates(docs: DataFrame, k: int = 5, similarity: float = 0.8, slack: int = 3) -> DataFrame:
     """The rows of ``docs`` without those whose group of near-duplicates holds a smaller ``doc_id``.
 
-    Two documents are linked if fingerprints of their word sets differ in at most ``tau`` bits and 128 bits over
-    their sets of ``k``-word shingles in at most as many as a Jaccard similarity of ``similarity`` leads to, plus ``slack``.
+    Two documents are linked if they share a probe of their wide fingerprints and the 128 bits over their sets of
+    ``k``-word shingles differ in at most as many as a Jaccard similarity of ``similarity`` leads to, plus ``slack``.
     Rows that repeat a kept id stay; rows of a null id stay only where their group has no id.
     """
     spark = docs.sparkSession
     cosine = 2 * similarity / (1 + similarity)
     tau_v = round(128 * math.acos(cosine) / math.pi) + slack
-    wide = stored(wide_fingerprints(docs, k).withColumn("node", F.xxhash64("fp", "v1", "v2")), "fingerprints")
-    nodes = stored(wide.groupBy("node", "fp", "v1", "v2").agg(F.min("doc_id").alias("least_id")), "nodes")
-    roots = stored(components(links(nodes, tau, tau_v)), "roots")
+    wide = stored(wide_fingerprints(docs, k).withColumn("node", F.xxhash64("fps", "v1", "v2")), "fingerprints")
+    nodes = stored(wide.groupBy("node").agg(F.min("fps").alias("fps"), F.min("v1").alias("v1"), F.min("v2").alias("v2"), F.min("doc_id").alias("least_id")), "nodes")
+    roots = stored(components(links(nodes, plan(nodes, WORDS), 64, tau_v)), "roots")
     free_shuffles(spark)
-    tied = nodes.join(roots, "node")
+    tied = nodes.select("node", "least_id").join(roots, "node")
     least = tied.groupBy("root").agg(F.min("least_id").alias("keeps"))
-    known = nodes.join(tied.join(least, "root").select("node", "keeps"), "node", "left").select("node", F.coalesce("keeps", "least_id").alias("keeps"))
-    gone = wide.join(known, "node").filter("keeps IS NOT NULL AND NOT (doc_id <=> keeps)").select(F.col("doc_id").alias("_gone")).distinct()
+    known = nodes.select("node", "least_id").join(tied.join(least, "root").select("node", "keeps"), "node", "left").select("node", F.coalesce("keeps", "least_id").alias("keeps"))
+    gone = wide.select("node", "doc_id").join(known, "node").filter("keeps IS NOT NULL AND NOT (doc_id <=> keeps)").select(F.col("doc_id").alias("_gone")).distinct()
     gone = stored(gone, "gone")
     return docs.join(gone, docs["doc_id"].eqNullSafe(gone["_gone"]), "left_anti")
