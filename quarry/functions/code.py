@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import Column
@@ -40,6 +40,11 @@ def _trim(text: Column) -> Column:
     return F.regexp_replace(text, r"(?U)^\s+|\s+$", "")
 
 
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once, however often it is used."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def code_blocks(text: Column, min_length: int = 1000) -> Column:
     """Array of the fenced blocks of at least ``min_length`` characters, with up to 1000 characters on each side.
 
@@ -47,23 +52,35 @@ def code_blocks(text: Column, min_length: int = 1000) -> Column:
     is no block.
     """
     skip = F.when(F.substring(_trim(text), 1, 3) == FENCE, 3).otherwise(0)
-    parts = F.split(F.substring(text, skip + 1, F.length(text)), FENCE)
-    ends = F.transform(parts, lambda _, i: skip + F.aggregate(F.slice(parts, 1, i + 1), F.lit(0), lambda n, x: n + F.length(x)) + 3 * i)  # of part i
-
-    def block(part: Column, i: Column) -> Column:
-        lines = F.instr(part, "\n")
-        first = _trim(F.substring(part, F.lit(1), lines - 1))
-        named = (lines > 0) & (first != "") & (~first.contains(" ")) & (F.length(first) < 20)
-        code = _trim(F.when(named, F.substring(part, lines + 1, F.length(part))).otherwise(part))
-        start = F.element_at(ends, i)  # place of the opening fence: the end of the part before (i counts from 0)
-        end = F.element_at(ends, i + 1)
+    cut = F.struct(skip.alias("skip"), F.split(F.substring(text, skip + 1, F.length(text)), FENCE).alias("parts"))
+
+    def ends(c: Column) -> Column:
+        """Where each part ends in the text."""
+        sizes = F.transform(c["parts"], F.length)
+        return F.transform(sizes, lambda _, i: c["skip"] + F.aggregate(F.slice(sizes, 1, i + 1), F.lit(0), lambda n, x: n + x) + 3 * i)
+
+    def block(part: Column, start: Column, end: Column) -> Column:
+        head = F.substring(part, F.lit(1), F.instr(part, "\n") - 1)
+        first = F.when(F.instr(part, "\n") > 0, _trim(head)).otherwise("")
+
+        def found(language: Column) -> Column:
+            named = (language != "") & (~language.contains(" ")) & (F.length(language) < 20)
+            code = _trim(F.when(named, F.substring(part, F.instr(part, "\n") + 1, F.length(part))).otherwise(part))
+            return F.struct(code.alias("code"), F.when(named, language).otherwise("").alias("language"))
+
         before = _trim(F.substring(text, F.greatest(start - CONTEXT, F.lit(0)) + 1, F.least(start, F.lit(CONTEXT))))
         after = _trim(F.substring(text, end + 4, F.lit(CONTEXT)))
-        return F.struct(code.alias("code"), F.when(named, first).otherwise("").alias("language"), before.alias("context_before"), after.alias("context_after"), F.concat(before, F.lit("\n\n"), code, F.lit("\n\n"), after).alias("full_context"))
+        around = lambda b: F.struct(b["code"].alias("code"), b["language"].alias("language"), before.alias("context_before"), after.alias("context_after"))
+        return F.when(F.length(part) >= min_length, _let(_let(first, found), lambda b: F.when(F.length(b["code"]) >= min_length, around(b))))
+
+    def blocks(c: Column) -> Column:
+        return _let(ends(c), lambda e: F.transform(c["parts"], lambda p, i: F.when((i % 2 == 1) & (i < F.size(c["parts"]) - 1), block(p, F.element_at(e, i), F.element_at(e, i + 1)))))
+
+    def whole(b: Column) -> Column:
+        return F.struct(*[b[k].alias(k) for k in ("code", "language", "context_before", "context_after")], F.concat(b["context_before"], F.lit("\n\n"), b["code"], F.lit("\n\n"), b["context_after"]).alias("full_context"))
 
-    # Part i is code if i is odd and a fence follows it.
-    each = F.transform(parts, lambda p, i: F.when((i % 2 == 1) & (i < F.size(parts) - 1), block(p, i)))
-    return F.filter(each, lambda b: b.isNotNull() & (F.length(b["code"]) >= min_length))
+    # Part i is code if i is odd and a fence follows it; its opening fence stands where the part before ends.
+    return F.transform(F.filter(_let(cut, blocks), lambda b: b.isNotNull()), whole)
 
 
 def is_js_like(language: Column, code: Column) -> Column:
