@@ -15,10 +15,12 @@ from pyspark.sql import functions as F
 
 #: Rows of a batch that are turned into Python objects at a time; bounds a worker's memory.
 SLICE_ROWS = 256
+BATCH_ROWS = 1024
 
 
 def scratch_dir(spark: SparkSession) -> str:
     """The shared folder of the session (``spark.checkpoint.dir``); a temporary one only where none is set."""
+    small_batches(spark)
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not base:
         base = tempfile.mkdtemp(prefix="quarry-")
@@ -34,6 +36,13 @@ def stored(df: DataFrame, what: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Arrow batches of BATCH_ROWS rows, unless the session says otherwise: documents are long, and workers share memory."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(key) == "10000":
+        spark.conf.set(key, str(BATCH_ROWS))
+
+
 def free_shuffles(spark: SparkSession) -> None:
     """Let the JVM drop the shuffle files of finished jobs now rather than at its next collection."""
     for _ in range(2):  # what the first pass finds unreachable is cleaned behind it
@@ -44,6 +53,7 @@ def free_shuffles(spark: SparkSession) -> None:
 
 def only(df: DataFrame, *columns: str) -> DataFrame:
     """The named columns and nothing else, so that extra columns can't clash with an operator's own."""
+    small_batches(df.sparkSession)
     return df.select(*[F.col(f"`{c}`") for c in columns])
 
 

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.common import only, rows_of
+from quarry.llm.common import only, rows_of, small_batches
 
 RATE, SHORTEST = 0.08, 40
 BLOCK_BYTES = 1 << 20
@@ -157,6 +157,7 @@ def contaminated(docs: DataFrame, items: DataFrame) -> DataFrame:
 
 def without_contaminated(docs: DataFrame, items: DataFrame) -> DataFrame:
     """The rows of ``docs``, with all their columns, whose text holds no item. No row leaves its partition."""
+    small_batches(docs.sparkSession)
     at = docs.columns.index("text")
     for block in _blocks(items):
         shared = docs.sparkSession.sparkContext.broadcast(block)

@@ -86,6 +86,12 @@ class FMIndex:
         start = self.first[s]
         return np.where(known, start + both[:m], 0), np.where(known, start + both[m:], 0)
 
+    def alone(self, symbol: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The interval of each symbol by itself."""
+        known = (symbol > 0) & (symbol < 1 << self.depth)
+        s = np.where(known, symbol, 0)
+        return np.where(known, self.first[s], 0), np.where(known, self.first[s + 1], 0)
+
     def least(self, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
         """The smallest owner in each (not empty) interval."""
         level = np.frexp(hi - lo)[1] - 1
@@ -96,55 +102,73 @@ class FMIndex:
         return out
 
 
-def long_matches(index: FMIndex, patterns: list[np.ndarray], most: np.ndarray, least_words: int) -> list[np.ndarray]:
-    """For each pattern which windows of ``least_words`` words stand in the index at an owner of at most ``most``.
+#: Steps after which the patterns still at work are looked at window by window.
+STEPS = 160
+
+
+def long_matches(index: FMIndex, patterns: list[np.ndarray], most: np.ndarray, w: int) -> tuple[np.ndarray, np.ndarray]:
+    """Which windows of ``w`` words of each pattern stand in the index at an owner of at most the pattern's ``most``.
 
-    Matching statistics from right to left: a match grows until its interval empties; if it is long enough and its
-    least owner small enough, it covers its windows; the search goes on with the first window to its left. A long
-    match with larger owners only is looked at window by window.
+    Returns all patterns' windows one after the other, and where each pattern's begin. Matching statistics from right to
+    left: a match grows until its interval empties; if it is long enough and its least owner small enough, it covers its
+    windows; the search goes on with the first window to its left. Long matches with larger owners only, and what is left
+    of patterns with very many matches, are looked at window by window.
     """
-    w = least_words
-    out = [np.zeros(max(0, len(p) - w + 1), bool) for p in patterns]
-    again: list[tuple[int, int]] = []
-    _run(index, patterns, most, w, out, again)
-    if again:
-        pieces = [patterns[k][s : s + w] for k, s in again]
-        found = [np.zeros(1, bool) for _ in again]
-        _run(index, pieces, most[[k for k, _ in again]], w, found, None)
-        for (k, s), f in zip(again, found, strict=True):
-            out[k][s] |= f[0]
-    return out
-
-
-def _run(index: FMIndex, patterns: list[np.ndarray], most: np.ndarray, w: int, out: list[np.ndarray], again: list[tuple[int, int]] | None) -> None:
-    m = len(patterns)
-    size = np.array([len(p) for p in patterns])
-    flat = np.concatenate(patterns) if m else np.zeros(0, np.int64)
-    start = np.concatenate([[0], np.cumsum(size)[:-1]]) if m else np.zeros(0, np.int64)
-    end, at = size.copy(), size.copy()  # the match is [at, end)
-    lo, hi = np.zeros(m, np.int64), np.full(m, index.n)
+    size = np.array([len(p) for p in patterns], np.int64)
+    windows = np.maximum(0, size - w + 1)
+    first = np.concatenate([[0], np.cumsum(windows)[:-1]]).astype(np.int64)
+    hit = np.zeros(int(windows.sum()), bool)
+    if not len(hit):
+        return hit, first
+    flat = np.concatenate(patterns).astype(np.int64)
+    start = np.concatenate([[0], np.cumsum(size)[:-1]])
+    end, at = size.copy(), size.copy()  # a pattern's match is [at, end)
+    lo, hi = np.zeros(len(size), np.int64), np.full(len(size), index.n)
     live = np.flatnonzero(size >= w)
-    while len(live):
+    singly: list[tuple[int, int, int]] = []  # pattern, windows from, to
+    for _ in range(STEPS):
+        if not len(live):
+            break
         more = live[at[live] > 0]
         new_lo, new_hi = index.extend(flat[start[more] + at[more] - 1], lo[more], hi[more])
         grows = new_lo < new_hi
         lo[more[grows]], hi[more[grows]] = new_lo[grows], new_hi[grows]
         at[more[grows]] -= 1
-        stuck = np.concatenate([live[at[live] == 0], more[~grows]])
-        stuck = np.unique(stuck)
+        failed = more[~grows]
+        stuck = np.concatenate([live[at[live] == 0], failed])
         if not len(stuck):
             continue
         long = stuck[end[stuck] - at[stuck] >= w]
         if len(long):
             fits = index.least(lo[long], hi[long]) <= most[long]
-            for k, ok in zip(long, fits, strict=True):
+            for k, a, z, f, ok in zip(long.tolist(), at[long].tolist(), end[long].tolist(), first[long].tolist(), fits.tolist(), strict=True):
                 if ok:
-                    out[k][at[k] : end[k] - w + 1] = True
-                elif again is not None and end[k] - at[k] > w:
-                    again += [(k, s) for s in range(at[k], end[k] - w + 1)]
-        was_long = end[stuck] - at[stuck] >= w
-        # the next window to the left starts just before a long match, or ends one word earlier
-        end[stuck] = np.where(was_long, at[stuck] - 1 + w, end[stuck] - 1)
-        at[stuck] = end[stuck]
+                    hit[f + a : f + z - w + 1] = True
+                elif z - a > w:
+                    singly.append((k, a, z - w + 1))
+        # The next window to the left starts just before a long match, or ends one word earlier; but where the word in
+        # front doesn't stand in the index at all, or never before the match's first word, no window holds both.
+        then = np.where(end[stuck] - at[stuck] >= w, at[stuck] - 1 + w, end[stuck] - 1)
+        if len(failed):
+            front = start[failed] + at[failed] - 1
+            empty = at[failed] == end[failed]
+            alone_lo, alone_hi = index.alone(np.where(empty, 0, flat[np.minimum(front + 1, len(flat) - 1)]))
+            pair_lo, pair_hi = index.extend(flat[front], alone_lo, alone_hi)
+            tail = len(stuck) - len(failed)
+            then[tail:] = np.where(empty, at[failed] - 1, np.where(pair_lo >= pair_hi, at[failed], then[tail:]))
+        end[stuck] = then
+        at[stuck] = then
         lo[stuck], hi[stuck] = 0, index.n
         live = live[end[live] >= w]
+    singly += [(k, 0, int(end[k]) - w + 1) for k in live.tolist()]
+    if singly:
+        k = np.repeat([x[0] for x in singly], [x[2] - x[1] for x in singly])
+        s = np.concatenate([np.arange(a, b) for _, a, b in singly])
+        lo, hi, left = np.zeros(len(k), np.int64), np.full(len(k), index.n), np.arange(len(k))
+        for step in range(w - 1, -1, -1):
+            lo, hi = index.extend(flat[start[k[left]] + s[left] + step], lo, hi)
+            stays = lo < hi
+            lo, hi, left = lo[stays], hi[stays], left[stays]
+        left = left[index.least(lo, hi) <= most[k[left]]] if len(left) else left
+        hit[first[k[left]] + s[left]] = True
+    return hit, first

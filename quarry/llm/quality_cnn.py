@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.common import SLICE_ROWS, fold, only, rows_of
+from quarry.llm.common import SLICE_ROWS, fold, only, rows_of, small_batches
 
 CHUNK, OVERLAP = 256, 32
 WIDTH, FILTERS = 8, 24
@@ -216,6 +216,7 @@ def accepted(docs: DataFrame, labels: DataFrame, threshold: float = 0.7) -> Data
 
     Without both classes of labels nothing can be told apart, and all rows stay.
     """
+    small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(fit(docs, labels))
     at = docs.columns.index("text")
 

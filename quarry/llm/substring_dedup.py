@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.common import free_shuffles, mix64, stored
+from quarry.llm.common import SLICE_ROWS, free_shuffles, mix64, small_batches, stored
 from quarry.llm.fm_index import FMIndex, long_matches
 
 WINDOW, GRAM = 13, 6
@@ -110,7 +110,7 @@ def _texts(column: pa.Array) -> Iterator[bytes]:
 
 
 def _lists(column: pa.ListArray) -> Iterator[np.ndarray]:
-    values, offsets = column.values.to_numpy(zero_copy_only=False), column.offsets.to_numpy()
+    values, offsets = column.values.to_numpy(zero_copy_only=False), column.offsets.to_numpy()  # offsets are those of a slice
     for a, b in zip(offsets, offsets[1:], strict=False):
         yield values[a:b]
 
@@ -138,9 +138,15 @@ def _piece_batch(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], [x.split()[0] for x in PIECE.split(", ")])
 
 
+def _sliced(batches: Batches) -> Batches:
+    for b in batches:
+        for lo in range(0, b.num_rows, SLICE_ROWS):
+            yield b.slice(lo, SLICE_ROWS)
+
+
 def _pieces(batches: Batches) -> Batches:
     """Runs of windows whose anchors the document owns (indexed), and pieces of those that another one owns."""
-    for b in batches:
+    for b in _sliced(batches):
         out: list[tuple] = []
         for r, d, data, known, owners in zip(b.column(0).to_numpy(), b.column(1).to_numpy(), _texts(b.column(2)), _lists(b.column(3)), _lists(b.column(4)), strict=True):
             starts, ends, words = words_of(data)
@@ -214,24 +220,35 @@ def _searched(batches: Batches) -> Batches:
         if texts:
             build()
         if pieces:
+            names = ["owner", "piece", "first", "windows", "h"]
+            owner, piece = (np.array([p[i] for p in pieces], np.int64) for i in (0, 1))
             get = number.get
             coded = [np.array([get(w, -1) for w in words]) for _, _, words in pieces]
-            most = np.searchsorted(rank, [o for o, _, _ in pieces], side="right") - 1
-            found = long_matches(index, coded, most, WINDOW) if index is not None else [np.zeros(len(x) - WINDOW + 1, bool) for x in coded]
-            out: list[tuple] = []
-            for (o, piece, words), x in zip(pieces, found, strict=True):
-                edge = np.flatnonzero(np.diff(x, prepend=False, append=False))
-                out += [(o, piece, int(a), int(z - a), None) for a, z in zip(edge[::2], edge[1::2], strict=True)]
-                if not x.all():
-                    h = grams(words_of(" ".join(words).encode())[2], WINDOW).view(np.int64)
-                    out += [(o, piece, int(k), 0, int(h[k])) for k in np.flatnonzero(~x)]
-            if out:
-                yield pa.RecordBatch.from_arrays([pa.array(list(c), pa.int64()) for c in zip(*out, strict=True)], ["owner", "piece", "first", "windows", "h"])
+            sizes = np.array([len(x) for x in coded])
+            windows = sizes - WINDOW + 1
+            if index is not None:
+                hit, at = long_matches(index, coded, np.searchsorted(rank, owner, side="right") - 1, WINDOW)
+            else:
+                hit, at = np.zeros(windows.sum(), bool), np.cumsum(windows) - windows
+            of = np.repeat(np.arange(len(pieces)), windows)  # the piece of each window
+            same = np.append(of[1:] == of[:-1], False)
+            goes_on = same & hit & np.append(hit[1:], False)
+            first, last = np.flatnonzero(hit & ~np.append(False, goes_on[:-1])), np.flatnonzero(hit & ~goes_on)
+            if len(first):
+                k = of[first]
+                yield pa.RecordBatch.from_arrays([_longs(x) for x in (owner[k], piece[k], first - at[k], last - first + 1)] + [pa.nulls(len(k), pa.int64())], names)
+            rest = np.flatnonzero(~hit)
+            if len(rest):
+                some = np.unique(of[rest])
+                h = grams(words_of(" ".join(w for i in some for w in pieces[i][2]).encode())[2], WINDOW)
+                word = np.zeros(len(pieces), np.int64)
+                word[some] = np.cumsum(sizes[some]) - sizes[some]
+                k = of[rest]
+                yield pa.RecordBatch.from_arrays([_longs(x) for x in (owner[k], piece[k], rest - at[k], np.zeros(len(k), np.int64), h[word[k] + rest - at[k]])], names)
         pieces.clear()
 
     for b in batches:
-        for i in range(b.num_rows):
-            s, indexed, owner, words, piece = (c[i].as_py() for c in b.columns)
+        for s, indexed, owner, words, piece in zip(*(c.to_pylist() for c in b.columns), strict=True):
             if s != shard:
                 yield from search()
                 shard, index = s, None
@@ -267,7 +284,7 @@ def repeats(docs: DataFrame) -> DataFrame:
     """row, spans: for each row of ``docs`` (row, doc, text) that has any, the windows to remove (first, windows), stored."""
     spark = docs.sparkSession
     rows = docs.filter("doc IS NOT NULL AND text IS NOT NULL").select("row", "doc", "text")
-    anchors = rows.select("doc", "text").mapInArrow(_anchors, "doc long, h long")
+    anchors = stored(rows.select("doc", "text").mapInArrow(_anchors, "doc long, h long"), "anchors")
     shared = anchors.groupBy("h").agg(F.min("doc").alias("owner"), F.count("*").alias("n")).filter("n > 1").select("h", "owner")
     anchors = stored(anchors.join(shared, "h").groupBy("doc").agg(F.collect_list("h").alias("hs"), F.collect_list("owner").alias("owners")), "anchors")
     del shared
@@ -305,6 +322,7 @@ def _kept(data: bytes, firsts: np.ndarray, windows: np.ndarray) -> tuple[int, li
 
 def _with_spans(docs: DataFrame) -> DataFrame:
     """The rows with ``_firsts`` and ``_windows``, the windows to remove."""
+    small_batches(docs.sparkSession)
     keyed = docs.withColumn("_row", F.xxhash64(F.col("doc_id").cast("long"), "text"))
     spans = repeats(keyed.select(F.col("_row").alias("row"), F.col("doc_id").cast("long").alias("doc"), "text"))
     spans = spans.select(F.col("row").alias("_row"), F.col("spans.first").alias("_firsts"), F.col("spans.windows").alias("_windows"))
