@@ -116,15 +116,14 @@ def vector_topk_ivf(spark, sf):
 
 
 @query("""
-WITH n AS (SELECT doc_id, source, text, lead(text) OVER (PARTITION BY source ORDER BY doc_id) AS next FROM documents),
-w AS (SELECT doc_id, list_distinct(list_filter(string_split_regex(lower(text), '\\s+'), lambda x: x <> '')) AS a,
-             list_distinct(list_filter(string_split_regex(lower(next), '\\s+'), lambda x: x <> '')) AS b FROM n WHERE next IS NOT NULL)
+WITH w AS (SELECT d.doc_id, list_distinct(list_filter(string_split_regex(lower(d.text), '\\s+'), lambda x: x <> '')) AS a,
+             list_distinct(list_filter(string_split_regex(lower(e.text), '\\s+'), lambda x: x <> '')) AS b FROM documents d JOIN documents e ON e.doc_id = d.doc_id + 1)
 SELECT doc_id, round(CASE WHEN len(a) = 0 OR len(b) = 0 THEN 0.0
        ELSE len(list_intersect(a, b))::DOUBLE / (len(a) + len(b) - len(list_intersect(a, b))) END, 6) AS jaccard FROM w""")
 def jaccard_neighbours(spark, sf):
-    docs = table(spark, sf, "documents")
-    nxt = F.lead("text").over(Window.partitionBy("source").orderBy("doc_id"))
-    return docs.select("doc_id", "text", nxt.alias("next")).filter("next IS NOT NULL").select("doc_id", six(V.jaccard(F.col("text"), F.col("next"))).alias("jaccard"))
+    docs = table(spark, sf, "documents").select("doc_id", "text")
+    nxt = docs.select((F.col("doc_id") - 1).alias("doc_id"), F.col("text").alias("next"))
+    return docs.join(nxt, "doc_id").select("doc_id", six(V.jaccard(F.col("text"), F.col("next"))).alias("jaccard"))
 
 
 # --- filters ----------------------------------------------------------------------------------------------------

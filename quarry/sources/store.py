@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quarry import schemas
@@ -63,20 +63,23 @@ def source_exists(sources: DataFrame, chunks: DataFrame, code: DataFrame, source
 
 
 def source_texts(pages: DataFrame, source: str = "source_id", text: str = "markdown", order: str = "url") -> DataFrame:
-    """source_id, text (10 000 characters of the joined pages at most), word_count of all pages.
+    """source_id, text (10 000 characters of the joined pages at most), word_count of all pages; a page's ``order`` is its key.
 
-    Words are summed page by page. For the text each task keeps a page's first 10 000 characters, and no more pages of a
-    source than can reach that far: those whose earlier pages together are shorter.
+    Words are summed page by page. For the text only keys and lengths are ranked, and each task keeps the first pages of a
+    source that could matter: each adds its separator at least, so no more than half the limit do. Texts are joined to the
+    pages that are left, so a source of any size costs no task more than that.
     """
-    from pyspark.sql import Window
-
-    limit = 10_000
-    counts = pages.groupBy(F.col(source).alias("source_id")).agg(F.sum(F.size(F.filter(F.split(text, r"\s+"), lambda w: w != ""))).alias("word_count"))
-    before = Window.partitionBy(source).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
-    heads = pages.select(F.col(source), F.col(order), F.left(text, F.lit(limit)).alias("_head"), (F.length(text) + 2).alias("_n"))
-    heads = heads.withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0))).filter(F.col("_before") < limit)
-    joined = heads.groupBy(F.col(source).alias("source_id")).agg(F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.col("_head").alias("t")))).alias("_parts"))
-    texts = joined.select("source_id", F.left(F.array_join(F.transform("_parts", lambda p: p["t"]), "\n\n"), F.lit(limit)).alias("text"))
+    limit, gap = 10_000, "\n\n"
+    keyed = pages.select(F.col(source).alias("source_id"), F.col(order).alias("_key"), F.col(text).alias("_text"))
+    counts = keyed.groupBy("source_id").agg(F.sum(F.size(F.filter(F.split("_text", r"\s+"), lambda w: w != ""))).alias("word_count"))
+    by = Window.partitionBy("source_id").orderBy("_key")
+    sizes = keyed.select("source_id", "_key", (F.coalesce(F.length("_text"), F.lit(0)) + len(gap)).alias("_n"))
+    first = sizes.withColumn("_place", F.row_number().over(by)).filter(F.col("_place") <= limit // len(gap) + 1)
+    before = F.coalesce(F.sum("_n").over(by.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    needed = first.withColumn("_before", before).filter(F.col("_before") < limit).select("source_id", "_key")
+    parts = keyed.select("source_id", "_key", F.left("_text", F.lit(limit)).alias("_head")).join(needed, ["source_id", "_key"])
+    joined = parts.groupBy("source_id").agg(F.array_sort(F.collect_list(F.struct("_key", "_head"))).alias("_parts"))
+    texts = joined.select("source_id", F.left(F.array_join(F.transform("_parts", lambda p: p["_head"]), gap), F.lit(limit)).alias("text"))
     return texts.join(counts, "source_id")
 
 
