@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.common import SLICE_ROWS, free_shuffles, mix64, small_batches, stored
+from quarry.llm.common import SLICE_ROWS, free_shuffles, fresh, mix64, small_batches, stored
 from quarry.llm.fm_index import FMIndex, long_matches
 
 WINDOW, GRAM = 13, 6
@@ -37,8 +37,8 @@ WINDOW, GRAM = 13, 6
 CUT, MOST = 32, 128
 #: Words of a shard's index, on average at most, and shards for each shuffle partition at least.
 SHARD_WORDS, SHARDS_PER_PARTITION = 100_000, 4
-#: Pieces searched at a time.
-PIECES = 4096
+#: Pieces searched at a time; a shard asked for more than that and UNEVEN times the mean is built more than once.
+PIECES, UNEVEN = 2048, 3
 
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
@@ -263,14 +263,23 @@ def _searched(batches: Batches) -> Batches:
 
 
 def _search(pieces: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """What the indexes say of each piece (``_searched``), stored; and the searched pieces (owner, piece, words)."""
+    """What the indexes say of each piece (``_searched``), stored; and the searched pieces (owner, piece, words).
+
+    A shard that is asked for far more pieces than others is built in several tasks, each of which gets a part of them.
+    """
     spark = pieces.sparkSession
     # An owner's text may stand there more than once; equal pieces of an owner are searched once.
     asked = stored(pieces.groupBy("indexed", "owner", "piece").agg(F.min("words").alias("words")), "asked")
-    size = asked.filter("indexed").agg(F.sum(F.length("words"))).first()[0] or 0
-    shards = max(SHARDS_PER_PARTITION * int(spark.conf.get("spark.sql.shuffle.partitions")), size // (6 * SHARD_WORDS))
-    dealt = asked.withColumn("shard", F.pmod(F.xxhash64("owner"), F.lit(shards))).repartition("shard").sortWithinPartitions("shard", F.desc("indexed"))
-    found = dealt.select("shard", "indexed", "owner", "words", "piece").mapInArrow(_searched, "owner long, piece long, first long, windows long, h long")
+    size, n = asked.agg(F.sum(F.when(F.col("indexed"), F.length("words"))), F.count_if(~F.col("indexed"))).first()
+    shards = max(SHARDS_PER_PARTITION * int(spark.conf.get("spark.sql.shuffle.partitions")), (size or 0) // (6 * SHARD_WORDS))
+    most = max(PIECES, UNEVEN * n // shards)
+    asked = asked.withColumn("shard", F.pmod(F.xxhash64("owner"), F.lit(shards)))
+    busy = asked.filter("NOT indexed").groupBy("shard").agg(F.ceil(F.count("*") / most).cast("int").alias("parts")).filter("parts > 1")
+    parts = F.coalesce(F.col("parts"), F.lit(1))
+    own = F.when(F.col("indexed"), F.sequence(F.lit(0), parts - 1)).otherwise(F.array(F.pmod(F.xxhash64("piece"), parts).cast("int")))
+    dealt = asked.join(busy, "shard", "left").withColumn("part", F.explode(own)).withColumn("shard", F.col("shard") * 2**20 + F.col("part"))
+    dealt = dealt.select("shard", "indexed", "owner", "words", "piece").repartition("shard").sortWithinPartitions("shard", F.desc("indexed"))
+    found = dealt.mapInArrow(_searched, "owner long, piece long, first long, windows long, h long")
     return stored(found, "found"), asked.filter("NOT indexed").select("owner", "piece", "words")
 
 
@@ -321,17 +330,17 @@ def _kept(data: bytes, firsts: np.ndarray, windows: np.ndarray) -> tuple[int, li
 
 
 def _with_spans(docs: DataFrame) -> DataFrame:
-    """The rows with ``_firsts`` and ``_windows``, the windows to remove."""
+    """The rows and, behind their columns, two more: the first windows and the numbers of windows to remove."""
     small_batches(docs.sparkSession)
-    keyed = docs.withColumn("_row", F.xxhash64(F.col("doc_id").cast("long"), "text"))
-    spans = repeats(keyed.select(F.col("_row").alias("row"), F.col("doc_id").cast("long").alias("doc"), "text"))
-    spans = spans.select(F.col("row").alias("_row"), F.col("spans.first").alias("_firsts"), F.col("spans.windows").alias("_windows"))
-    return keyed.join(spans, "_row", "left").drop("_row")
+    key, firsts, windows = (fresh(docs, c) for c in ("_row", "_firsts", "_windows"))
+    keyed = docs.withColumn(key, F.xxhash64(F.col("doc_id").cast("long"), "text"))
+    spans = repeats(keyed.select(F.col(key).alias("row"), F.col("doc_id").cast("long").alias("doc"), "text"))
+    spans = spans.select(F.col("row").alias(key), F.col("spans.first").alias(firsts), F.col("spans.windows").alias(windows))
+    return keyed.join(spans, key, "left").drop(key)
 
 
 def _spans(b: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    at = [b.schema.names.index(c) for c in ("_firsts", "_windows")]
-    for first, n in zip(*(b.column(i) for i in at), strict=True):
+    for first, n in zip(b.column(b.num_columns - 2), b.column(b.num_columns - 1), strict=True):
         yield (np.array(first.as_py() or [], np.int64), np.array(n.as_py() or [], np.int64))
 
 
@@ -348,7 +357,7 @@ def digests(docs: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.string())], ["doc_id", "n_words", "n_removed", "kept_sha256"])
 
     df = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return _with_spans(df).select("doc_id", "text", "_firsts", "_windows").mapInArrow(run, "doc_id long, n_words long, n_removed long, kept_sha256 string")
+    return _with_spans(df).mapInArrow(run, "doc_id long, n_words long, n_removed long, kept_sha256 string")
 
 
 def without_repeats(docs: DataFrame, n_chars: str | None = "n_chars") -> DataFrame:
@@ -366,5 +375,6 @@ def without_repeats(docs: DataFrame, n_chars: str | None = "n_chars") -> DataFra
             arrays[at] = pa.array(out, pa.string())
             yield pa.RecordBatch.from_arrays(arrays, columns)
 
-    out = _with_spans(docs).select(*[F.col(f"`{c}`") for c in columns], "_firsts", "_windows").mapInArrow(run, docs.schema)
+    spans = _with_spans(docs)
+    out = spans.select(*[F.col(f"`{c}`") for c in [*columns, *spans.columns[-2:]]]).mapInArrow(run, docs.schema)
     return out.withColumn(n_chars, F.length("text").cast(docs.schema[n_chars].dataType)) if n_chars in columns else out
