@@ -25,6 +25,7 @@ class Settings:
     embedding_max_chars: int = 32_000
     rrf_k: int = 60
     code_min_length: int = 50
+    disable_thinking: bool = False
     # Not part of the results: model batches and where models are.
     embedding_batch: int = 100
     summary_batch: int = 10

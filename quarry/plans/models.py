@@ -12,6 +12,8 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from quarry.functions.text import thinking_prompt, without_think_tags
+
 
 class Embedder(Protocol):
     dimension: int
@@ -97,8 +99,8 @@ def embedding(text: Column, model: Embedder, batch: int = 100) -> Column:
     return run(text)
 
 
-def completed(prompt: Column, fallback: Column, llm: LLM) -> Column:
-    """struct<text, ok>: the model's answer to each prompt, or the fallback where it fails or says nothing."""
+def completed(prompt: Column, fallback: Column, llm: LLM, disable_thinking: bool = False) -> Column:
+    """struct<text, ok>: the model's answer to each prompt, thinking tags removed, or the fallback where it fails or says nothing."""
 
     @F.pandas_udf("string")
     def run(prompts: Iterator[pd.Series]) -> Iterator[pd.Series]:
@@ -111,5 +113,5 @@ def completed(prompt: Column, fallback: Column, llm: LLM) -> Column:
         for p in prompts:
             yield p.map(one)
 
-    answer = run(prompt)
+    answer = without_think_tags(run(thinking_prompt(prompt, disable_thinking)))
     return F.struct(F.coalesce(answer, fallback).alias("text"), answer.isNotNull().alias("ok"))

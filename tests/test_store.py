@@ -122,6 +122,23 @@ def test_ingest(spark, ingest, pages):
     assert stats["a.b"].total_chunks == 2 and stats["a.b"].total_code_examples == 1 and stats["a.b"].summary == "Content from a.b"
 
 
+def test_ingest_with_a_model(spark, ingest, pages):
+    class Says:  # in here, so that workers get it with the function
+        def complete(self, prompt):
+            if "Slate" in prompt or not prompt.startswith("/no_think"):
+                raise RuntimeError("no")
+            return " <think>well</think> About stone. "
+
+    ingest.llm, ingest.settings = Says(), Settings(use_agentic_rag=True, use_contextual_embeddings=True, disable_thinking=True)
+    ingest.run(pages)
+    got = {r.source_id: r.summary for r in ingest.store.read("sources").collect()}
+    assert got == {"a.b": "well About stone.", "c.d": "Content from c.d"}
+    assert ingest.store.read("code_examples").first().summary == "well About stone."
+    vectors = {r.url: r.embedding for r in ingest.store.read("chunks").collect()}
+    alone = ingest.embedder.embed(["Slate splits."])[0]
+    assert vectors["https://c.d/1"] == pytest.approx(alone, abs=1e-6)  # no context where the model failed
+
+
 def test_replaced_page(spark, ingest):
     one = lambda t: spark.createDataFrame([("https://a.b/1", t)], "url string, markdown string")
     ingest.run(one("A" * 12_000))
