@@ -31,7 +31,7 @@ class Ingest:
         text = F.col("chunk")
         if s.use_contextual_embeddings:
             prompt = F.concat(F.lit("Say in a sentence or two what this passage is about within its document.\n\nDocument:\n"), F.left("markdown", F.lit(25_000)), F.lit("\n\nPassage:\n"), F.col("chunk"))
-            cut = cut.withColumn("_context", completed(prompt, F.lit(None).cast("string"), self.llm, self.settings.disable_thinking))
+            cut = cut.withColumn("_context", completed(prompt, F.lit(None).cast("string"), self.llm, s.disable_thinking, s.contextual_batch))
             text = F.when(F.col("_context.ok"), T.contextual_text(F.col("_context.text"), F.col("chunk"), s.embedding_max_chars)).otherwise(F.col("chunk"))
         source = T.netloc(F.col("url"))
         return cut.select(
@@ -45,7 +45,7 @@ class Ingest:
         found = pages.select("url", F.posexplode(code_blocks(F.col("markdown"), s.code_min_length)).alias("_pos", "b"))
         shown = T.prompt_windows(F.lit(""), F.col("b.context_before"), F.col("b.code"), F.col("b.context_after"))
         prompt = F.concat(F.lit("Summarise this code example in a few sentences.\n\nBefore:\n"), shown["before"], F.lit("\n\nCode:\n"), shown["code"], F.lit("\n\nAfter:\n"), shown["after"])
-        found = found.withColumn("summary", completed(prompt, F.lit("Code example for demonstration purposes."), self.llm, s.disable_thinking)["text"])
+        found = found.withColumn("summary", completed(prompt, F.lit("Code example for demonstration purposes."), self.llm, s.disable_thinking, s.summary_batch)["text"])
         source = T.netloc(F.col("url"))
         return found.select(
             row_id(F.col("url"), F.col("_pos") + 1).alias("id"), "url", (F.col("_pos") + 1).alias("chunk_number"),
@@ -57,7 +57,7 @@ class Ingest:
     def sources(self, pages: DataFrame) -> DataFrame:
         texts = source_texts(pages.withColumn("source_id", T.netloc(F.col("url"))))
         prompt = F.concat(F.lit("Say in a few sentences what the site "), F.col("source_id"), F.lit(" is about.\n\n"), F.col("text"))
-        answer = completed(prompt, F.lit(None).cast("string"), self.llm, self.settings.disable_thinking)["text"]
+        answer = completed(prompt, F.lit(None).cast("string"), self.llm, self.settings.disable_thinking, self.settings.summary_batch)["text"]
         return texts.select("source_id", T.clamped_summary(answer, F.col("source_id")).alias("summary"), F.col("word_count").cast("int").alias("total_word_count"))
 
     def run(self, pages: DataFrame, crawl_type: str = "webpage") -> dict:

@@ -99,19 +99,39 @@ def embedding(text: Column, model: Embedder, batch: int = 100) -> Column:
     return run(text)
 
 
-def completed(prompt: Column, fallback: Column, llm: LLM, disable_thinking: bool = False) -> Column:
-    """struct<text, ok>: the model's answer to each prompt, thinking tags removed, or the fallback where it fails or says nothing."""
+def complete_all(llm: LLM, prompts: Sequence[str], batch: int = 10) -> list[str | None]:
+    """Answers of a model; None where it fails or says nothing.
 
-    @F.pandas_udf("string")
-    def run(prompts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        def one(p: str) -> str | None:
+    A model with ``complete_many(prompts)`` is asked for ``batch`` at a time, and again one by one where that fails.
+    """
+
+    def one(prompt: str) -> str | None:
+        try:
+            return llm.complete(prompt).strip() or None
+        except Exception:
+            return None
+
+    def some(part: Sequence[str]) -> list[str | None]:
+        many = getattr(llm, "complete_many", None)
+        if many is not None and len(part) > 1:
             try:
-                return llm.complete(p).strip() or None
+                answers = many(part)
+                if len(answers) == len(part):
+                    return [(a or "").strip() or None for a in answers]
             except Exception:
-                return None
+                pass
+        return [one(p) for p in part]
 
+    return [a for i in range(0, len(prompts), batch) for a in some(prompts[i : i + batch])]
+
+
+def completed(prompt: Column, fallback: Column, llm: LLM, disable_thinking: bool = False, batch: int = 10) -> Column:
+    """struct<text, ok>: the model's answer to each prompt, thinking tags removed, or the fallback where it fails or says nothing."""
+
+    @F.pandas_udf("string")
+    def run(prompts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for p in prompts:
-            yield p.map(one)
+            yield pd.Series(complete_all(llm, p.fillna("").tolist(), batch), index=p.index, dtype=object)
 
     answer = without_think_tags(run(thinking_prompt(prompt, disable_thinking)))
     return F.struct(F.coalesce(answer, fallback).alias("text"), answer.isNotNull().alias("ok"))

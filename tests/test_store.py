@@ -13,10 +13,11 @@ from quarry.config import Settings
 from quarry.operators.search import SearchService
 from quarry.plans.ingest import Ingest
 from quarry.plans.jobs import CRAWLS
-from quarry.plans.models import HashingEmbedder, OverlapScorer
+from quarry.plans.models import HashingEmbedder, OverlapScorer, complete_all
 from quarry.plans.tools import Tools
 from quarry.sources import pages as P
 from quarry.sources import store as S
+from quarry.sources.web import web_pages
 from quarry.streaming.ingest import arriving_pages, keep_ingesting
 
 def now():
@@ -49,6 +50,52 @@ def test_batch_keeps_successes_with_text(spark):
     assert [r.url for r in P.batch(df).collect()] == ["u1"]
 
 
+def test_fetching(spark, tmp_path):
+    from http.server import BaseHTTPRequestHandler, ThreadingHTTPServer
+
+    class Site(BaseHTTPRequestHandler):
+        def do_GET(self):
+            found = self.path in ("/a", "/b.txt")
+            self.send_response(200 if found else 404)
+            self.send_header("Content-Type", "text/plain" if self.path.endswith(".txt") else "text/html; charset=utf-8")
+            self.end_headers()
+            self.wfile.write(b"<h1>Stone</h1><p>hard</p>" if found else b"")
+
+        def log_message(self, *args):
+            pass
+
+    site = ThreadingHTTPServer(("127.0.0.1", 0), Site)
+    threading.Thread(target=site.serve_forever, daemon=True).start()
+    base = f"http://127.0.0.1:{site.server_port}"
+    try:
+        got = {r.url: r for r in web_pages(spark, [f"{base}/a", f"{base}/b.txt", f"{base}/none"], 2).collect()}
+    finally:
+        site.shutdown()
+    assert got[f"{base}/a"].markdown == "# Stone\n\nhard" and got[f"{base}/b.txt"].markdown.startswith("<h1>")
+    assert got[f"{base}/none"].success is False and "404" in got[f"{base}/none"].error_message
+    assert web_pages(spark, []).count() == 0
+
+
+def test_batches_of_answers():
+    class Many:
+        def __init__(self, bad):
+            self.bad, self.calls = bad, 0
+
+        def complete_many(self, prompts):
+            self.calls += 1
+            if self.bad in prompts:
+                raise RuntimeError
+            return [p.upper() for p in prompts]
+
+        def complete(self, prompt):
+            if prompt == self.bad:
+                raise RuntimeError
+            return prompt + "!"
+
+    model = Many("c")
+    assert complete_all(model, list("abcde"), 2) == ["A", "B", None, "d!", "e!"] and model.calls == 2
+
+
 def test_text_files(spark, tmp_path):
     (tmp_path / "a.txt").write_text("one\ntwo\n")
     (tmp_path / "b.txt").write_text("")
