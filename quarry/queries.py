@@ -256,7 +256,19 @@ def diversify_types(spark, sf):
     return diversify.by_content_type(rows, 3, group="source").select("source", "id", "content_type", F.col("seq").cast("long").alias("place"))
 
 
-@query()
+@query("""
+WITH RECURSIVE s AS (SELECT q.vec_id AS query_id, e.vec_id AS id, list_cosine_similarity(e.embedding::DOUBLE[], q.embedding::DOUBLE[]) AS rel
+  FROM embeddings e, embeddings q WHERE q.vec_id % 50 = 0),
+c AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(rel, 9) DESC, id) AS seq FROM s) WHERE seq <= 20),
+p AS (SELECT a.query_id, a.id AS a, b.id AS b, list_cosine_similarity(x.embedding::DOUBLE[], y.embedding::DOUBLE[]) AS sim
+  FROM c a JOIN c b ON a.query_id = b.query_id JOIN embeddings x ON x.vec_id = a.id JOIN embeddings y ON y.vec_id = b.id),
+r AS (SELECT query_id, id, 1 AS mmr_rank, [id] AS chosen FROM c WHERE seq = 1
+  UNION ALL
+  SELECT query_id, id, mmr_rank + 1, list_append(chosen, id) FROM (
+    SELECT r.query_id, c.id, r.mmr_rank, r.chosen, row_number() OVER (PARTITION BY r.query_id ORDER BY
+      0.7::DOUBLE * c.rel - 0.3::DOUBLE * greatest(0, (SELECT max(sim) FROM p WHERE p.query_id = r.query_id AND p.a = c.id AND list_contains(r.chosen, p.b))) DESC, c.seq) AS best
+    FROM r JOIN c ON c.query_id = r.query_id AND NOT list_contains(r.chosen, c.id) WHERE r.mmr_rank < 10) WHERE best = 1)
+SELECT query_id, id, mmr_rank FROM r""")
 def mmr_rerank(spark, sf):
     rows, out = table(spark, sf, "embeddings"), None
     for block in stated_queries(spark, sf):
