@@ -16,7 +16,7 @@ in all pairs of parts. Components come from ``components``.
 
 ``near_duplicates`` links at 2 bits, exactly. ``without_near_duplicates`` is about similarity: words of one 64-bit
 fingerprint of five-word shingles differ in some 10 bits at a similarity of 0.8, too many for any exact search, so it
-probes ``WORDS`` fingerprints of the sets of words, where such texts differ in a few bits each, and verifies with 128
+probes ``WORDS`` fingerprints of the sets of words, where such texts differ in a few bits each, and verifies with 256
 bits over the sets of shingles.
 
 Null and empty texts have fingerprint zero and are linked like any other.
@@ -41,8 +41,10 @@ BUCKET = 256
 #: 64-bit words of the fingerprints that ``without_near_duplicates`` probes, and candidates for each that it accepts.
 WORDS, CANDIDATES = 8, 16
 _BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little").astype(np.int64)
-NAMES = ["sig", "node", "fp", "v1", "v2"]
-SCHEMA = "sig long, node long, fp long, v1 long, v2 long"
+#: Columns of the bits that verify.
+V = ["v1", "v2", "v3", "v4"]
+NAMES = ["sig", "node", "fp", *V]
+SCHEMA = ", ".join(f"{c} long" for c in NAMES)
 
 
 # --- fingerprints -----------------------------------------------------------------------------------------------
@@ -101,21 +103,19 @@ def majorities(hashes: np.ndarray, words: int) -> list[int]:
 
 
 def wide_fingerprints(docs: DataFrame, k: int = 5) -> DataFrame:
-    """doc_id, fps, v1, v2: WORDS fingerprints of the set of words find candidates, the 128 bits v of the set of ``k``-word shingles verify."""
+    """doc_id, fps, v1 .. v4: WORDS fingerprints of the set of words find candidates, the 256 bits v of the set of ``k``-word shingles verify."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for doc_id, text in rows_of(batches):
-            fps, v1, v2 = [], [], []
+            fps, v = [], []
             for t in text:
                 words = (t or "").encode("utf-8", "replace").lower().split()
                 fps.append(majorities(shingle_hashes(list(set(words)), 1) if len(set(words)) > 1 else shingle_hashes(words[:1], 1), WORDS))
-                a, b = majorities(np.unique(shingle_hashes(words, k)), 2)
-                v1.append(a)
-                v2.append(b)
-            cols = [pa.array(doc_id, pa.int64()), pa.array(fps, pa.list_(pa.int64())), pa.array(v1, pa.int64()), pa.array(v2, pa.int64())]
-            yield pa.RecordBatch.from_arrays(cols, ["doc_id", "fps", "v1", "v2"])
+                v.append(majorities(np.unique(shingle_hashes(words, k)), len(V)))
+            cols = [pa.array(doc_id, pa.int64()), pa.array(fps, pa.list_(pa.int64()))] + [pa.array(list(c), pa.int64()) for c in zip(*v, strict=True)]
+            yield pa.RecordBatch.from_arrays(cols, ["doc_id", "fps", *V])
 
-    return only(docs, "doc_id", "text").withColumn("doc_id", F.col("doc_id").cast("long")).mapInArrow(run, "doc_id long, fps array<long>, v1 long, v2 long")
+    return only(docs, "doc_id", "text").withColumn("doc_id", F.col("doc_id").cast("long")).mapInArrow(run, "doc_id long, fps array<long>, " + ", ".join(f"{c} long" for c in V))
 
 
 # --- the search plan --------------------------------------------------------------------------------------------
@@ -270,20 +270,20 @@ def _signatures(nodes: DataFrame, make: Callable[[np.ndarray], np.ndarray]) -> D
             for lo in range(0, b.num_rows, 2048):
                 part = b.slice(lo, 2048)
                 fps = _fps(part.column(1))
-                node, v1, v2 = (part.column(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in (0, 2, 3))
+                node, *v = (part.column(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in (0, *range(2, 2 + len(V))))
                 sig = make(fps)
                 m = sig.shape[1]
-                cols = [sig.ravel().view(np.int64)] + [np.repeat(x, m) for x in (node, fps[:, 0], v1, v2)]
+                cols = [sig.ravel().view(np.int64)] + [np.repeat(x, m) for x in (node, fps[:, 0], *v)]
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], NAMES)
 
-    return nodes.select("node", "fps", "v1", "v2").mapInArrow(run, SCHEMA)
+    return nodes.select("node", "fps", *V).mapInArrow(run, SCHEMA)
 
 
-def _close(fp: np.ndarray, v1: np.ndarray, v2: np.ndarray, tau: int, tau_v: int) -> np.ndarray:
+def _close(fp: np.ndarray, v: list[np.ndarray], tau: int, tau_v: int) -> np.ndarray:
     """(groups, members) columns to (groups, members, members): which are linked."""
     x = np.bitwise_count(fp[:, :, None] ^ fp[:, None]) <= tau
-    if tau_v < 128:
-        x &= np.bitwise_count(v1[:, :, None] ^ v1[:, None]).astype(np.int16) + np.bitwise_count(v2[:, :, None] ^ v2[:, None]) <= tau_v
+    if tau_v < 64 * len(V):
+        x &= sum(np.bitwise_count(c[:, :, None] ^ c[:, None]).astype(np.int16) for c in v) <= tau_v
     return x
 
 
@@ -319,7 +319,7 @@ def _grouped(rows: DataFrame, keys: list[str], tau: int, tau_v: int, leaders: bo
             per = max(1, 2_000_000 // int(size * size))
             for lo in range(0, len(of), per):
                 at = of[lo : lo + per, None] + np.arange(size)
-                near = _close(cols["fp"][at].view(np.uint64), cols["v1"][at].view(np.uint64), cols["v2"][at].view(np.uint64), tau, tau_v)
+                near = _close(cols["fp"][at].view(np.uint64), [cols[c][at].view(np.uint64) for c in V], tau, tau_v)
                 label = _forest(near)
                 first = np.take_along_axis(at, label.astype(np.int64), 1)
                 tied = first != at
@@ -332,7 +332,7 @@ def _grouped(rows: DataFrame, keys: list[str], tau: int, tau_v: int, leaders: bo
                 top = np.where(label[:, :, None] == label[:, None], rank[:, None], -(size + 1)).argmax(2) == np.arange(size)
                 who = at[top]
                 none = pa.nulls(len(a), pa.int64())
-                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)] + [none] * 5, ["a", "b", *NAMES])
+                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)] + [none] * len(NAMES), ["a", "b", *NAMES])
                 gone = pa.nulls(len(who), pa.int64())
                 yield pa.RecordBatch.from_arrays([gone, gone] + [pa.array(cols[c][who]) for c in NAMES], ["a", "b", *NAMES])
 
@@ -362,10 +362,10 @@ def _counted(rows: DataFrame) -> DataFrame:
     return rows.join(n, "sig")
 
 
-def links(nodes: DataFrame, parts: list[Part], tau: int, tau_v: int = 128) -> DataFrame:
-    """Edges (a, b) whose components are those of all pairs of ``nodes`` (node, fps, v1, v2) that share a probe and verify.
+def links(nodes: DataFrame, parts: list[Part], tau: int, tau_v: int = 256) -> DataFrame:
+    """Edges (a, b) whose components are those of all pairs of ``nodes`` (node, fps, V) that share a probe and verify.
 
-    They verify with at most ``tau`` bits apart in the first word (64: whatever that is) and ``tau_v`` in v1 and v2.
+    They verify with at most ``tau`` bits apart in the first word (64: whatever that is) and ``tau_v`` in V.
     """
     rows = _signatures(nodes, lambda fps: probes(fps, parts))
     if tau >= 64:
@@ -397,7 +397,7 @@ def links(nodes: DataFrame, parts: list[Part], tau: int, tau_v: int = 128) -> Da
 def _all_around(hot: DataFrame, tau_v: int) -> DataFrame:
     """Links at up to 2 bits: those that share one of the 65 fingerprints that are at most one bit away from each."""
     flips = np.array([0, *[1 << b for b in range(64)]], np.uint64)
-    nodes = hot.select("node", F.array("fp").alias("fps"), "v1", "v2").distinct()
+    nodes = hot.select("node", F.array("fp").alias("fps"), *V).distinct()
     around = _signatures(nodes, lambda fps: fps.view(np.uint64)[:, :1] ^ flips[None])
     return _grouped(_counted(around), ["sig"], 2, tau_v)
 
@@ -420,7 +420,7 @@ def near_duplicates(docs: DataFrame, k: int = 3, tau: int = 2) -> DataFrame:
     fps = stored(fingerprints(docs, k), "fingerprints")
     nodes = stored(fps.groupBy("fp").agg(F.min("doc_id").alias("least_id")), "nodes")
     zero = F.lit(0).cast("long")
-    searched = nodes.select(F.col("fp").alias("node"), F.array("fp").alias("fps"), zero.alias("v1"), zero.alias("v2"))
+    searched = nodes.select(F.col("fp").alias("node"), F.array("fp").alias("fps"), *[zero.alias(c) for c in V])
     roots = stored(components(links(searched, plan(searched, 1, tau), tau)), "roots")
     free_shuffles(docs.sparkSession)
     tied = nodes.join(roots, nodes.fp == roots.node)
@@ -429,20 +429,19 @@ def near_duplicates(docs: DataFrame, k: int = 3, tau: int = 2) -> DataFrame:
     return fps.join(known, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def without_near_duplicates(docs: DataFrame, k: int = 5, similarity: float = 0.8, slack: int = 3) -> DataFrame:
+def without_near_duplicates(docs: DataFrame, k: int = 5, similarity: float = 0.8, slack: int = 5) -> DataFrame:
     """The rows of ``docs`` without those whose group of near-duplicates holds a smaller ``doc_id``.
 
-    Two documents are linked if they share a probe of their wide fingerprints and the 128 bits over their sets of
+    Two documents are linked if they share a probe of their wide fingerprints and the 256 bits over their sets of
     ``k``-word shingles differ in at most as many as a Jaccard similarity of ``similarity`` leads to, plus ``slack``.
     Rows that repeat a kept id stay; rows of a null id stay only where their group has no id.
     """
-    spark = docs.sparkSession
     cosine = 2 * similarity / (1 + similarity)
-    tau_v = round(128 * math.acos(cosine) / math.pi) + slack
-    wide = stored(wide_fingerprints(docs, k).withColumn("node", F.xxhash64("fps", "v1", "v2")), "fingerprints")
-    nodes = stored(wide.groupBy("node").agg(F.min("fps").alias("fps"), F.min("v1").alias("v1"), F.min("v2").alias("v2"), F.min("doc_id").alias("least_id")), "nodes")
+    tau_v = round(64 * len(V) * math.acos(cosine) / math.pi) + slack
+    wide = stored(wide_fingerprints(docs, k).withColumn("node", F.xxhash64("fps", *V)), "fingerprints")
+    nodes = stored(wide.groupBy("node").agg(F.min("fps").alias("fps"), *[F.min(c).alias(c) for c in V], F.min("doc_id").alias("least_id")), "nodes")
     roots = stored(components(links(nodes, plan(nodes, WORDS), 64, tau_v)), "roots")
-    free_shuffles(spark)
+    free_shuffles(docs.sparkSession)
     tied = nodes.select("node", "least_id").join(roots, "node")
     least = tied.groupBy("root").agg(F.min("least_id").alias("keeps"))
     known = nodes.select("node", "least_id").join(tied.join(least, "root").select("node", "keeps"), "node", "left").select("node", F.coalesce("keeps", "least_id").alias("keeps"))
