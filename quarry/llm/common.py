@@ -6,7 +6,8 @@ import gc
 import tempfile
 import time
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -33,7 +34,33 @@ def stored(df: DataFrame, what: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{scratch_dir(spark)}/{what}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    if _scopes:
+        _scopes[-1].append(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._stored_at = path
+    return out
+
+
+_scopes: list[list[str]] = []
+
+
+@contextmanager
+def temporary(spark: SparkSession) -> Iterator[Callable[..., None]]:
+    """Deletes the tables stored within at its end, but those given to the function it yields (what a result still reads).
+
+    All that read the others must have been stored by then.
+    """
+    _scopes.append([])
+    kept: set[str] = set()
+    try:
+        yield lambda *tables: kept.update(t._stored_at for t in tables)
+    finally:
+        for path in _scopes.pop():
+            if path not in kept:
+                where = spark._jvm.org.apache.hadoop.fs.Path(path)
+                where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+            elif _scopes:
+                _scopes[-1].append(path)  # for the scope around this one
 
 
 def small_batches(spark: SparkSession) -> None:

@@ -33,7 +33,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.common import free_shuffles, mix64, only, rows_of, stored
+from quarry.llm.common import free_shuffles, mix64, only, rows_of, stored, temporary
 from quarry.llm.components import components
 
 SEED = 42
@@ -415,14 +415,23 @@ def _in_pairs_of_parts(hot: DataFrame, tau: int, tau_v: int) -> DataFrame:
 # --- the operators ----------------------------------------------------------------------------------------------
 
 
+def _roots(find: Callable[..., DataFrame], nodes: DataFrame, *args) -> DataFrame:
+    """node, root of all nodes with links, stored; the tables of the search are deleted."""
+    spark = nodes.sparkSession
+    with temporary(spark) as keep:
+        roots = stored(components(find(nodes, *args)), "roots")
+        keep(roots)
+    free_shuffles(spark)
+    return roots
+
+
 def near_duplicates(docs: DataFrame, k: int = 3, tau: int = 2) -> DataFrame:
     """doc_id, fingerprint (hexadecimal), component_id (the least doc_id reachable by links) of every row."""
     fps = stored(fingerprints(docs, k), "fingerprints")
     nodes = stored(fps.groupBy("fp").agg(F.min("doc_id").alias("least_id")), "nodes")
     zero = F.lit(0).cast("long")
     searched = nodes.select(F.col("fp").alias("node"), F.array("fp").alias("fps"), *[zero.alias(c) for c in V])
-    roots = stored(components(links(searched, plan(searched, 1, tau), tau)), "roots")
-    free_shuffles(docs.sparkSession)
+    roots = _roots(links, searched, plan(searched, 1, tau), tau)
     tied = nodes.join(roots, nodes.fp == roots.node)
     least = tied.groupBy("root").agg(F.min("least_id").alias("component_id"))
     known = nodes.join(tied.join(least, "root").select("fp", "component_id"), "fp", "left").select("fp", F.coalesce("component_id", "least_id").alias("component_id"))
@@ -440,8 +449,7 @@ def without_near_duplicates(docs: DataFrame, k: int = 5, similarity: float = 0.8
     tau_v = round(64 * len(V) * math.acos(cosine) / math.pi) + slack
     wide = stored(wide_fingerprints(docs, k).withColumn("node", F.xxhash64("fps", *V)), "fingerprints")
     nodes = stored(wide.groupBy("node").agg(F.min("fps").alias("fps"), *[F.min(c).alias(c) for c in V], F.min("doc_id").alias("least_id")), "nodes")
-    roots = stored(components(links(nodes, plan(nodes, WORDS), 64, tau_v)), "roots")
-    free_shuffles(docs.sparkSession)
+    roots = _roots(links, nodes, plan(nodes, WORDS), 64, tau_v)
     tied = nodes.select("node", "least_id").join(roots, "node")
     least = tied.groupBy("root").agg(F.min("least_id").alias("keeps"))
     known = nodes.select("node", "least_id").join(tied.join(least, "root").select("node", "keeps"), "node", "left").select("node", F.coalesce("keeps", "least_id").alias("keeps"))

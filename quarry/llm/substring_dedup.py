@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.common import SLICE_ROWS, free_shuffles, fresh, mix64, small_batches, stored
+from quarry.llm.common import SLICE_ROWS, free_shuffles, fresh, mix64, small_batches, stored, temporary
 from quarry.llm.fm_index import FMIndex, long_matches
 
 WINDOW, GRAM = 13, 6
@@ -291,12 +291,23 @@ def _spans_of(places: DataFrame, found: DataFrame) -> DataFrame:
 
 def repeats(docs: DataFrame) -> DataFrame:
     """row, spans: for each row of ``docs`` (row, doc, text) that has any, the windows to remove (first, windows), stored."""
+    spark = docs.sparkSession
+    with temporary(spark) as keep:
+        out = _repeats(docs)
+        keep(out)
+    free_shuffles(spark)
+    return out
+
+
+def _repeats(docs: DataFrame) -> DataFrame:
     spark = docs.sparkSession
     rows = docs.filter("doc IS NOT NULL AND text IS NOT NULL").select("row", "doc", "text")
-    anchors = stored(rows.select("doc", "text").mapInArrow(_anchors, "doc long, h long"), "anchors")
-    shared = anchors.groupBy("h").agg(F.min("doc").alias("owner"), F.count("*").alias("n")).filter("n > 1").select("h", "owner")
-    anchors = stored(anchors.join(shared, "h").groupBy("doc").agg(F.collect_list("h").alias("hs"), F.collect_list("owner").alias("owners")), "anchors")
-    del shared
+    with temporary(spark) as keep:  # all anchors are many; the shared ones are few
+        every = stored(rows.select("doc", "text").mapInArrow(_anchors, "doc long, h long"), "anchors")
+        shared = every.groupBy("h").agg(F.min("doc").alias("owner"), F.count("*").alias("n")).filter("n > 1").select("h", "owner")
+        anchors = stored(every.join(shared, "h").groupBy("doc").agg(F.collect_list("h").alias("hs"), F.collect_list("owner").alias("owners")), "anchors")
+        keep(anchors)
+    del every, shared
     free_shuffles(spark)
     pieces = rows.join(anchors, "doc").select("row", "doc", "text", "hs", "owners").mapInArrow(_pieces, PIECE)
     pieces = stored(pieces.withColumn("piece", F.xxhash64("words")), "pieces")
@@ -313,9 +324,7 @@ def repeats(docs: DataFrame) -> DataFrame:
     free_shuffles(spark)
     found, _ = _search(again)
     spans = spans.unionByName(_spans_of(again.filter("NOT indexed"), found))
-    out = stored(spans.groupBy("row").agg(F.collect_set("span").alias("spans")), "spans")
-    free_shuffles(spark)
-    return out
+    return stored(spans.groupBy("row").agg(F.collect_set("span").alias("spans")), "spans")
 
 
 def _kept(data: bytes, firsts: np.ndarray, windows: np.ndarray) -> tuple[int, list[bytes], np.ndarray]:

@@ -131,7 +131,7 @@ def test_near_duplicates(make, corpus):
 
 def searched(spark, fps, tau, parts=None):
     signed = [f - (1 << 64) if f >> 63 else f for f in fps]
-    nodes = spark.createDataFrame([(s, [s], 0, 0) for s in signed], "node long, fps array<long>, v1 long, v2 long").repartition(3).cache()
+    nodes = spark.createDataFrame([(s, [s], 0, 0, 0, 0) for s in signed], "node long, fps array<long>, v1 long, v2 long, v3 long, v4 long").repartition(3).cache()
     edges = simhash.links(nodes, parts or simhash.plan(nodes, 1, tau), tau)
     roots = {r.node: r.root for r in components.components(edges).collect()}
     return [roots.get(s, s) for s in signed]
@@ -259,8 +259,12 @@ def test_substring_dedup(make, corpus):
     assert sum(n for _, n, _ in got.values()) > 1000
 
 
-def test_substring_dedup_of_mixed_passages(make):
-    """Few words, so that windows stand in many documents in many orders, and anchors' owners often lack them."""
+@pytest.mark.parametrize("uneven", [False, True])
+def test_substring_dedup_of_mixed_passages(make, monkeypatch, uneven):
+    if uneven:  # every shard of more than two pieces is built several times
+        monkeypatch.setattr(substring_dedup, "PIECES", 2)
+        monkeypatch.setattr(substring_dedup, "UNEVEN", 0)
+    # few words, so that windows stand in many documents in many orders, and anchors' owners often lack them
     r = random.Random(4)
     blocks = [" ".join(r.choice("abcdef") for _ in range(r.randint(5, 20))) for _ in range(12)]
     rows = {i: " ".join(r.choice(blocks) for _ in range(r.randint(1, 8))) for i in range(80)}
@@ -619,3 +623,18 @@ def test_entry_registers_all():
     names = list(__spark_entry__.queries())
     assert [n.split("_")[0] for n in names if n.startswith("op")] == [f"op{i}" for i in range(1, 11)] and "pipeline" in names
     json.dumps(__spark_entry__.oracle_sql())
+
+
+def test_temporary_tables_go(spark, make, corpus, tmp_path, monkeypatch):
+    import os
+    import shutil
+
+    from quarry.llm import common
+
+    monkeypatch.setattr(common, "scratch_dir", lambda s: str(tmp_path))
+    out = simhash.near_duplicates(make(corpus))
+    assert sorted(n.split("-")[0] for n in os.listdir(tmp_path)) == ["fingerprints", "nodes", "roots"] and out.count() == len(corpus)
+    for n in os.listdir(tmp_path):
+        shutil.rmtree(tmp_path / n)
+    out = substring_dedup.digests(make(corpus))
+    assert sorted(n.split("-")[0] for n in os.listdir(tmp_path)) == ["spans"] and out.count() == len(corpus)
