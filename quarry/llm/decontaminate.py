@@ -43,7 +43,7 @@ def least_distance(item: str, text: str, most: int) -> tuple[int, int]:
     for i, c in enumerate(item):
         mask[c] = mask.get(c, 0) | 1 << i
     pv, mv, now = full, 0, m
-    best, end = most + 1, -1
+    best, end = (m, 0) if m <= most else (most + 1, -1)  # all of it away from no text
     get = mask.get
     for j, c in enumerate(text):
         eq = get(c, 0)
