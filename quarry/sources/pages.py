@@ -107,6 +107,8 @@ class _Markdown(HTMLParser):
     def handle_starttag(self, tag, attrs):
         if tag in self.SKIPPED:
             self.skipped += 1
+        elif self.skipped:
+            return
         elif tag == "pre":
             self.pre += 1
             self.out.append("\n\n```\n")
@@ -118,6 +120,8 @@ class _Markdown(HTMLParser):
     def handle_endtag(self, tag):
         if tag in self.SKIPPED:
             self.skipped = max(0, self.skipped - 1)
+        elif self.skipped:
+            return
         elif tag == "pre" and self.pre:
             self.pre -= 1
             self.out.append("\n```\n\n")
