@@ -14,10 +14,11 @@ fingerprints one bit away: two are linked exactly if they share one, and no more
 salted parts find their own links and send one leader of each local group on; what doesn't shrink is compared
 in all pairs of parts. Components come from ``components``.
 
-``near_duplicates`` links at 2 bits, exactly. ``without_near_duplicates`` is about similarity: words of one 64-bit
-fingerprint of five-word shingles differ in some 10 bits at a similarity of 0.8, too many for any exact search, so it
-probes ``WORDS`` fingerprints of the sets of words, where such texts differ in a few bits each, and verifies with 256
-bits over the sets of shingles.
+``near_duplicates`` links at 2 bits, exactly. ``without_near_duplicates`` is about similarity: 64-bit fingerprints of
+five-word shingles differ in some 10 bits at a similarity of 0.8, too many for any exact search. Its candidates share one
+of ``bands`` keys, each of the least of ``ROWS`` orders of a text's shingles: two texts share a key with a probability that
+depends on their similarity alone, wherever their words differ and however many texts there are. 256 bits over the sets
+of shingles verify.
 
 Null and empty texts have fingerprint zero and are linked like any other.
 """
@@ -38,8 +39,8 @@ from quarry.llm.components import components
 
 SEED = 42
 BUCKET = 256
-#: 64-bit words of the fingerprints that ``without_near_duplicates`` probes, and candidates for each that it accepts.
-WORDS, CANDIDATES = 8, 16
+#: Least shingles in a key of ``without_near_duplicates``, and the share of pairs at its bound that may have no key in common.
+ROWS, MISSED = 3, 1e-4
 _BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little").astype(np.int64)
 #: Columns of the bits that verify.
 V = ["v1", "v2", "v3", "v4"]
@@ -102,16 +103,34 @@ def majorities(hashes: np.ndarray, words: int) -> list[int]:
     return out
 
 
-def wide_fingerprints(docs: DataFrame, k: int = 5) -> DataFrame:
-    """doc_id, fps, v1 .. v4: WORDS fingerprints of the set of words find candidates, the 256 bits v of the set of ``k``-word shingles verify."""
+def bands(similarity: float) -> int:
+    """How many keys leave at most MISSED of the pairs of that Jaccard similarity without one in common."""
+    return 1 if similarity >= 1 else math.ceil(math.log(MISSED) / math.log1p(-(similarity**ROWS)))
+
+
+def band_keys(hashes: np.ndarray, n: int) -> list[int]:
+    """``n`` keys of a set of hashes, each of its least ones in ROWS orders; the same ones for all empty sets."""
+    seeds = mix64(np.arange(1, n * ROWS + 1, dtype=np.uint64))[:, None]
+    least = np.full(n * ROWS, np.iinfo(np.uint64).max, np.uint64)
+    for lo in range(0, len(hashes), 4096):
+        least = np.minimum(least, mix64(hashes[None, lo : lo + 4096] ^ seeds).min(1))
+    keys = mix64(np.arange(n, dtype=np.uint64))
+    for part in least.reshape(n, ROWS).T:
+        keys = mix64(keys ^ part)
+    return keys.view(np.int64).tolist()
+
+
+def wide_fingerprints(docs: DataFrame, k: int = 5, similarity: float = 0.8) -> DataFrame:
+    """doc_id, fps, v1 .. v4 of the set of ``k``-word shingles: its band keys find candidates, the 256 bits v verify."""
+    n = bands(similarity)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for doc_id, text in rows_of(batches):
             fps, v = [], []
             for t in text:
-                words = (t or "").encode("utf-8", "replace").lower().split()
-                fps.append(majorities(shingle_hashes(list(set(words)), 1) if len(set(words)) > 1 else shingle_hashes(words[:1], 1), WORDS))
-                v.append(majorities(np.unique(shingle_hashes(words, k)), len(V)))
+                hashes = np.unique(shingle_hashes((t or "").encode("utf-8", "replace").lower().split(), k))
+                fps.append(band_keys(hashes, n))
+                v.append(majorities(hashes, len(V)))
             cols = [pa.array(doc_id, pa.int64()), pa.array(fps, pa.list_(pa.int64()))] + [pa.array(list(c), pa.int64()) for c in zip(*v, strict=True)]
             yield pa.RecordBatch.from_arrays(cols, ["doc_id", "fps", *V])
 
@@ -222,27 +241,21 @@ def allocate(shares: list[np.ndarray], widths: list[int], n: int, budget: int) -
 Part = tuple[int, list[int], int]  # word, bits, threshold
 
 
-def plan(nodes: DataFrame, words: int = 1, tau: int | None = None) -> list[Part]:
-    """The partitions to probe, from counts over all fingerprints.
-
-    With ``tau`` those of the least cost that find every pair with at most ``tau`` bits apart (of one word). Without it the
-    finest ones, one bit apart fewer than partitions, that give at most CANDIDATES candidates for each fingerprint.
-    """
+def plan(nodes: DataFrame, words: int, tau: int) -> list[Part]:
+    """The partitions to probe, from counts over all fingerprints: those of the least cost that find every pair with at most ``tau`` bits apart (of one word)."""
     n = nodes.count()
     orders = [correlated_order(c) for c in bit_counts(nodes, words)]
     counts = block_counts(nodes, orders)
     found = []
-    for m in (2, 3, 4, 5) if tau is not None else (3, 2, 1):
+    for m in (2, 3, 4, 5):
         cut = [round(64 * i / m) for i in range(m + 1)]
         parts = [(w, range(a, b)) for w in range(words) for a, b in zip(cut, cut[1:], strict=False)]
         try:
-            cost, pairs, t = allocate([distance_shares(counts[w], p) for w, p in parts], [len(p) for _, p in parts], n, tau - m + 1 if tau is not None else 0)
+            cost, _, t = allocate([distance_shares(counts[w], p) for w, p in parts], [len(p) for _, p in parts], n, tau - m + 1)
         except ValueError:
             continue
         found.append((cost, [(w, [orders[w][b] for b in p], x) for (w, p), x in zip(parts, t, strict=True) if x >= 0]))
-        if tau is None and pairs <= CANDIDATES * n:
-            break
-    return min(found, key=lambda x: x[0])[1] if tau is not None else found[-1][1]
+    return min(found, key=lambda x: x[0])[1]
 
 
 # --- probing and verifying --------------------------------------------------------------------------------------
@@ -362,12 +375,12 @@ def _counted(rows: DataFrame) -> DataFrame:
     return rows.join(n, "sig")
 
 
-def links(nodes: DataFrame, parts: list[Part], tau: int, tau_v: int = 256) -> DataFrame:
+def links(nodes: DataFrame, parts: list[Part] | None, tau: int, tau_v: int = 256) -> DataFrame:
     """Edges (a, b) whose components are those of all pairs of ``nodes`` (node, fps, V) that share a probe and verify.
 
-    They verify with at most ``tau`` bits apart in the first word (64: whatever that is) and ``tau_v`` in V.
+    Without ``parts`` the words of ``fps`` are the probes. They verify with at most ``tau`` bits apart in the first word (64: whatever that is) and ``tau_v`` in V.
     """
-    rows = _signatures(nodes, lambda fps: probes(fps, parts))
+    rows = _signatures(nodes, lambda fps: probes(fps, parts) if parts is not None else fps)
     if tau >= 64:
         rows = rows.withColumn("fp", F.lit(0).cast("long"))
     rows = stored(_counted(rows), "probes")
@@ -441,15 +454,15 @@ def near_duplicates(docs: DataFrame, k: int = 3, tau: int = 2) -> DataFrame:
 def without_near_duplicates(docs: DataFrame, k: int = 5, similarity: float = 0.8, slack: int = 5) -> DataFrame:
     """The rows of ``docs`` without those whose group of near-duplicates holds a smaller ``doc_id``.
 
-    Two documents are linked if they share a probe of their wide fingerprints and the 256 bits over their sets of
+    Two documents are linked if they share one of the keys of their sets of shingles and the 256 bits over their sets of
     ``k``-word shingles differ in at most as many as a Jaccard similarity of ``similarity`` leads to, plus ``slack``.
     Rows that repeat a kept id stay; rows of a null id stay only where their group has no id.
     """
     cosine = 2 * similarity / (1 + similarity)
     tau_v = round(64 * len(V) * math.acos(cosine) / math.pi) + slack
-    wide = stored(wide_fingerprints(docs, k).withColumn("node", F.xxhash64("fps", *V)), "fingerprints")
+    wide = stored(wide_fingerprints(docs, k, similarity).withColumn("node", F.xxhash64("fps", *V)), "fingerprints")
     nodes = stored(wide.groupBy("node").agg(F.min("fps").alias("fps"), *[F.min(c).alias(c) for c in V], F.min("doc_id").alias("least_id")), "nodes")
-    roots = _roots(links, nodes, plan(nodes, WORDS), 64, tau_v)
+    roots = _roots(links, nodes, None, 64, tau_v)
     tied = nodes.select("node", "least_id").join(roots, "node")
     least = tied.groupBy("root").agg(F.min("least_id").alias("keeps"))
     known = nodes.select("node", "least_id").join(tied.join(least, "root").select("node", "keeps"), "node", "left").select("node", F.coalesce("keeps", "least_id").alias("keeps"))

@@ -211,6 +211,33 @@ def test_one_of_each_group_stays(spark, make, monkeypatch, bucket):
     assert sorted(kept) == list(range(40)) and out.columns[-1] == "node"
 
 
+@pytest.mark.parametrize("kind", ["appended", "inserted", "scattered"])
+def test_pairs_over_the_bound_share_a_key(kind):
+    r = random.Random(13)
+    shared = 0
+    for _ in range(300):
+        base = words(r, r.randint(100, 250)).split()
+        if kind == "scattered":
+            w = list(base)
+            while plain_jaccard(" ".join(base), " ".join(w)) > 0.85:
+                w[r.randrange(len(w))] = words(r, 1)
+        else:
+            at = len(base) if kind == "appended" else r.randrange(len(base))
+            w = [*base[:at], *words(r, round(len(base) * 0.18)).split(), *base[at:]]
+        keys = [simhash.band_keys(np.unique(simhash.shingle_hashes(" ".join(x).encode().split(), 5)), simhash.bands(0.8)) for x in (base, w)]
+        shared += any(a == b for a, b in zip(*keys, strict=True))
+    assert shared >= 299
+
+
+def test_copies_with_appended_text_go(make):
+    r = random.Random(14)
+    rows = {i: words(r, r.randint(150, 250)) for i in range(100)}
+    for i in range(100):
+        rows[100 + i] = rows[i] + " " + words(r, round(len(rows[i].split()) * 0.12))  # a similarity of some 0.89
+    kept = {x.doc_id for x in simhash.without_near_duplicates(make(rows)).collect()}
+    assert kept >= set(range(100)) and len(kept) <= 103
+
+
 def test_texts_that_only_share_words_stay(make):
     r = random.Random(12)
     vocabulary = [words(r, 1) for _ in range(60)]
