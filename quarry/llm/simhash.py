@@ -11,8 +11,9 @@ Only distinct fingerprints are searched, buckets of one fingerprint are dropped
 a bucket gives at most one edge for each member (its links' local forest), not its pairs. Buckets of more than
 ``BUCKET`` members are split. For ``tau = 2`` each member is probed instead under itself and all 64
 fingerprints one bit away: two are linked exactly if they share one, and no more than 65 can. Otherwise
-salted parts find their own links and send one leader of each local group on; what doesn't shrink is compared
-in all pairs of parts. Components come from ``components``.
+salted parts find their own links and send one leader of each local group on, which ties most members; all members of
+a bucket that aren't yet in the component of most of it are then compared with all its members, in pairs of parts.
+Components come from ``components``.
 
 ``near_duplicates`` links at 2 bits, exactly. ``without_near_duplicates`` is about similarity: 64-bit fingerprints of
 five-word shingles differ in some 10 bits at a similarity of 0.8, too many for any exact search. Its candidates share one
@@ -389,22 +390,25 @@ def links(nodes: DataFrame, parts: list[Part] | None, tau: int, tau_v: int = 256
     hot = rows.filter(F.col("n") > BUCKET)
     if tau == 2:
         return edges.unionByName(_all_around(hot, tau_v))
-    found = [edges]
-    while not hot.isEmpty():
-        size = hot.count()
-        salted = hot.withColumn("salt", F.pmod(F.xxhash64("node", F.lit(len(found))), F.ceil(F.col("n") / BUCKET)))
+    if hot.isEmpty():
+        return edges
+    found, left = [edges], hot
+    while not left.isEmpty():
+        size = left.count()
+        salted = left.withColumn("salt", F.pmod(F.xxhash64("node", F.lit(len(found))), F.ceil(F.col("n") / BUCKET)))
         out = stored(_grouped(salted, ["sig", "salt"], tau, tau_v, leaders=True), "leaders")
         found.append(out.filter("a IS NOT NULL").select("a", "b"))
-        left = stored(_counted(out.filter("a IS NULL").select(*NAMES)), "leaders")
-        found.append(_grouped(left.filter(F.col("n") <= BUCKET), ["sig"], tau, tau_v))
-        hot = left.filter(F.col("n") > BUCKET)
-        if hot.count() > size / 2:
-            found.append(_in_pairs_of_parts(hot, tau, tau_v))
+        on = stored(_counted(out.filter("a IS NULL").select(*NAMES)), "leaders")
+        found.append(_grouped(on.filter(F.col("n") <= BUCKET), ["sig"], tau, tau_v))
+        left = on.filter(F.col("n") > BUCKET)
+        if left.count() > size / 2:
             break
     out = found[0]
     for x in found[1:]:
         out = out.unionByName(x)
-    return out
+    roots = stored(components(out), "tied")
+    tied = roots.select(F.col("node").alias("a"), F.col("root").alias("b"))
+    return tied.unionByName(_untied_with_all(hot, roots, tau, tau_v))
 
 
 def _all_around(hot: DataFrame, tau_v: int) -> DataFrame:
@@ -415,13 +419,22 @@ def _all_around(hot: DataFrame, tau_v: int) -> DataFrame:
     return _grouped(_counted(around), ["sig"], 2, tau_v)
 
 
-def _in_pairs_of_parts(hot: DataFrame, tau: int, tau_v: int) -> DataFrame:
-    """All members of each large bucket compared, part by part: each row goes to every pair of parts that holds its own."""
-    half = BUCKET // 2
-    parts = F.ceil(F.col("n") / half).cast("int")
-    rows = hot.withColumns({"parts": parts}).withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
-    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    rows = rows.withColumns({"lo": F.least("part", "other").cast("long"), "hi": F.greatest("part", "other").cast("long")})
+def _untied_with_all(hot: DataFrame, roots: DataFrame, tau: int, tau_v: int) -> DataFrame:
+    """The links of each large bucket between members of different components.
+
+    In every pair of those one at least is outside the component of most members. Members are dealt to parts, those outside
+    (``rest``) first; each of these goes to all pairs of its part with another, the others to those with a part of the rest.
+    """
+    half = max(1, BUCKET // 2)
+    rows = hot.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    sizes = rows.groupBy("sig", "root").agg(F.count("*").alias("m"))
+    most = sizes.groupBy("sig").agg(F.max_by("root", F.struct("m", "root")).alias("top"), F.max("m").alias("m"), F.sum("m").alias("of")).filter("m < of")
+    rows = rows.drop("n").join(most, "sig").withColumn("rest", F.col("root") != F.col("top"))
+    rows = rows.withColumns({"rests": F.ceil((F.col("of") - F.col("m")) / half), "mains": F.ceil(F.col("m") / half)})
+    salt = F.xxhash64("node", F.lit(SEED))
+    rows = rows.withColumn("part", F.when(F.col("rest"), F.pmod(salt, "rests")).otherwise(F.col("rests") + F.pmod(salt, "mains")))
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("rests") - 1 + F.when(F.col("rest"), F.col("mains")).otherwise(0))))
+    rows = rows.withColumns({"lo": F.least("part", "other"), "hi": F.greatest("part", "other")})
     return _grouped(rows, ["sig", "lo", "hi"], tau, tau_v)
 
 

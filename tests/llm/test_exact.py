@@ -167,6 +167,22 @@ def test_any_allocation_finds_all_links(spark, parts):
     assert same_classes(searched(spark, fps, 2, parts), [want[i] for i in range(len(fps))])
 
 
+def test_chains_across_the_parts_of_a_bucket(spark, monkeypatch):
+    """One bucket of random walks: links between members of different parts that aren't leaders."""
+    monkeypatch.setattr(simhash, "BUCKET", 8)
+    r = random.Random(21)
+    fps = set()
+    for _ in range(12):
+        f = r.getrandbits(48)
+        for _ in range(40):
+            fps.add(f)
+            for b in r.sample(range(48), 4):
+                f ^= 1 << b
+    fps = sorted(fps)
+    want = plain_components(list(range(len(fps))), fps, 4)
+    assert same_classes(searched(spark, fps, 4, [(0, list(range(48, 64)), 0)]), [want[i] for i in range(len(fps))])
+
+
 def test_allocation_is_the_cheapest():
     shares = [np.array([0.5, 0.1, 0.1, 0.3]), np.array([0.01, 0.1, 0.1, 0.79]), np.array([0.02, 0.1, 0.1, 0.78])]
     cost, _, t = simhash.allocate(shares, [3, 3, 3], 1000, 0)
