@@ -230,7 +230,7 @@ def match_code_examples(spark, sf):
 
 @query()
 def enhanced_search(spark, sf):
-    chunks = chunk_table(spark, sf).withColumn("embedding", embedding(F.left("content", F.lit(1000)), HashingEmbedder()))
+    chunks = chunk_table(spark, sf).withColumn("embedding", embedding(F.col("content"), HashingEmbedder()))
     service = search.SearchService(chunks)
     return service.enhanced_search("how to thon", 10).select("seq", "id", "content_type", six("similarity").alias("similarity"), "mmr_rank")
 
