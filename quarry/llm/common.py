@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import gc
 import tempfile
+import threading
 import time
 import uuid
 from collections.abc import Callable, Iterator
@@ -20,10 +21,15 @@ BATCH_ROWS = 1024
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """The shared folder of the session (``spark.checkpoint.dir``); a temporary one only where none is set."""
+    """The shared folder of the session (``spark.checkpoint.dir``). Where none is set, a temporary one in local mode; else an error.
+
+    What is stored there stays until the folder is emptied, but for what ``temporary`` deletes: results still read it.
+    """
     small_batches(spark)
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not base:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         base = tempfile.mkdtemp(prefix="quarry-")
         spark.sparkContext.setCheckpointDir(base)
     return base.rstrip("/")
@@ -34,44 +40,62 @@ def stored(df: DataFrame, what: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{scratch_dir(spark)}/{what}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    if _scopes:
-        _scopes[-1].append(path)
+    if _open_scopes():
+        _open_scopes()[-1].append(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._stored_at = path
     return out
 
 
-_scopes: list[list[str]] = []
+_here = threading.local()
+
+
+def _open_scopes() -> list[list[str]]:
+    """The scopes that this thread has opened."""
+    if not hasattr(_here, "scopes"):
+        _here.scopes = []
+    return _here.scopes
 
 
 @contextmanager
 def temporary(spark: SparkSession) -> Iterator[Callable[..., None]]:
-    """Deletes the tables stored within at its end, but those given to the function it yields (what a result still reads).
+    """Deletes the tables that this thread stores within at its end, but those given to the function it yields (what a result still reads).
 
     All that read the others must have been stored by then.
     """
-    _scopes.append([])
+    scopes = _open_scopes()
+    scopes.append([])
     kept: set[str] = set()
     try:
         yield lambda *tables: kept.update(t._stored_at for t in tables)
     finally:
-        for path in _scopes.pop():
+        for path in scopes.pop():
             if path not in kept:
                 where = spark._jvm.org.apache.hadoop.fs.Path(path)
                 where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
-            elif _scopes:
-                _scopes[-1].append(path)  # for the scope around this one
+            elif scopes:
+                scopes[-1].append(path)  # for the scope around this one
+
+
+def split_join(rows: DataFrame, table: DataFrame, on: str | list[str], how: str = "inner") -> DataFrame:
+    """``rows`` joined to ``table``, which has a key once, so that rows of a hot key are split over tasks.
+
+    Adaptive execution splits a large partition of a join only where both sides come straight from a shuffle. A table made
+    by an aggregate or another join on the same key would be joined without one, with all of a key's rows in one task; so it
+    is stored first.
+    """
+    return rows.join(stored(table, "keys"), on, how)
 
 
 def small_batches(spark: SparkSession) -> None:
-    """Arrow batches of BATCH_ROWS rows, unless the session says otherwise: documents are long, and workers share memory."""
+    """Arrow batches of BATCH_ROWS rows, unless the session sets a number itself: documents are long, and workers share memory."""
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if spark.conf.get(key) == "10000":
+    if key not in spark.conf.getAll:
         spark.conf.set(key, str(BATCH_ROWS))
 
 
 def free_shuffles(spark: SparkSession) -> None:
-    """Let the JVM drop the shuffle files of finished jobs now rather than at its next collection."""
+    """Let the JVM drop the shuffle files of finished jobs now rather than at its next collection; frees disk, changes no result."""
     for _ in range(2):  # what the first pass finds unreachable is cleaned behind it
         gc.collect()
         spark.sparkContext._jvm.System.gc()

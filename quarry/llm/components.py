@@ -1,7 +1,7 @@
 """Connected components of an edge table by alternating large-star and small-star steps.
 
-Each step is a pre-aggregated minimum and an equi-join, so a node of very many edges is summed on the map side
-and split by adaptive execution; nothing is gathered on the driver but a count and a checksum of each round.
+Each step is a minimum, pre-aggregated on the map side, that is stored and joined back, so that adaptive execution can
+split the edges of a hub; nothing is gathered on the driver but a count and a checksum of each round.
 """
 
 from __future__ import annotations
@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.common import free_shuffles, stored
+from quarry.llm.common import free_shuffles, split_join, stored, temporary
 
 MOST_ROUNDS = 60
 
@@ -17,12 +17,13 @@ MOST_ROUNDS = 60
 def _large_star(edges: DataFrame) -> DataFrame:
     both = edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
     least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-    return both.filter("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
+    return split_join(both.filter("b > a"), least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
     down = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
     least = down.groupBy("a").agg(F.min("b").alias("m"))
+    least = stored(least, "keys")
     rest = down.join(least, "a").filter("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
     return rest.unionByName(least.select("a", F.col("m").alias("b"))).distinct()
 
@@ -36,7 +37,10 @@ def components(edges: DataFrame) -> DataFrame:
         if now == before or not now[0]:
             break
         before = now
-        edges = stored(_small_star(_large_star(edges)), "edges")
+        with temporary(edges.sparkSession) as keep:
+            wide = stored(_large_star(edges), "edges")
+            edges = stored(_small_star(wide), "edges")
+            keep(edges)
         free_shuffles(edges.sparkSession)
     else:
         raise RuntimeError(f"components did not settle in {MOST_ROUNDS} rounds")

@@ -21,7 +21,9 @@ of ``bands`` keys, each of the least of ``ROWS`` orders of a text's shingles: tw
 depends on their similarity alone, wherever their words differ and however many texts there are. 256 bits over the sets
 of shingles verify.
 
-Null and empty texts have fingerprint zero and are linked like any other.
+Null and empty texts have fingerprint zero and are linked like any other. Repeated rows each have a row of results; rows of
+a null id are linked too, but name no component while another member has an id. Extra columns take no part; very long texts
+are hashed whole.
 """
 
 from __future__ import annotations
@@ -35,7 +37,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.common import free_shuffles, mix64, only, rows_of, stored, temporary
+from quarry.llm.common import free_shuffles, mix64, only, rows_of, split_join, stored, temporary
 from quarry.llm.components import components
 
 SEED = 42
@@ -373,7 +375,7 @@ def _grouped(rows: DataFrame, keys: list[str], tau: int, tau_v: int, leaders: bo
 def _counted(rows: DataFrame) -> DataFrame:
     """The rows of signatures that more than one row has, with that number."""
     n = rows.groupBy("sig").agg(F.count("*").alias("n")).filter("n > 1")
-    return rows.join(n, "sig")
+    return split_join(rows, n, "sig")
 
 
 def links(nodes: DataFrame, parts: list[Part] | None, tau: int, tau_v: int = 256) -> DataFrame:
@@ -460,8 +462,9 @@ def near_duplicates(docs: DataFrame, k: int = 3, tau: int = 2) -> DataFrame:
     roots = _roots(links, searched, plan(searched, 1, tau), tau)
     tied = nodes.join(roots, nodes.fp == roots.node)
     least = tied.groupBy("root").agg(F.min("least_id").alias("component_id"))
-    known = nodes.join(tied.join(least, "root").select("fp", "component_id"), "fp", "left").select("fp", F.coalesce("component_id", "least_id").alias("component_id"))
-    return fps.join(known, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    found = split_join(tied, least, "root").select("fp", "component_id")
+    known = nodes.join(found, "fp", "left").select("fp", F.coalesce("component_id", "least_id").alias("component_id"))
+    return split_join(fps, known, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def without_near_duplicates(docs: DataFrame, k: int = 5, similarity: float = 0.8, slack: int = 5) -> DataFrame:
@@ -478,7 +481,8 @@ def without_near_duplicates(docs: DataFrame, k: int = 5, similarity: float = 0.8
     roots = _roots(links, nodes, None, 64, tau_v)
     tied = nodes.select("node", "least_id").join(roots, "node")
     least = tied.groupBy("root").agg(F.min("least_id").alias("keeps"))
-    known = nodes.select("node", "least_id").join(tied.join(least, "root").select("node", "keeps"), "node", "left").select("node", F.coalesce("keeps", "least_id").alias("keeps"))
-    gone = wide.select("node", "doc_id").join(known, "node").filter("keeps IS NOT NULL AND NOT (doc_id <=> keeps)").select(F.col("doc_id").alias("_gone")).distinct()
+    found = split_join(tied, least, "root").select("node", "keeps")
+    known = nodes.select("node", "least_id").join(found, "node", "left").select("node", F.coalesce("keeps", "least_id").alias("keeps"))
+    gone = split_join(wide.select("node", "doc_id"), known, "node").filter("keeps IS NOT NULL AND NOT (doc_id <=> keeps)").select(F.col("doc_id").alias("_gone")).distinct()
     gone = stored(gone, "gone")
     return docs.join(gone, docs["doc_id"].eqNullSafe(gone["_gone"]), "left_anti")
