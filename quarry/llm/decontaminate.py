@@ -1,13 +1,14 @@
 """Benchmark decontamination by pigeonhole edit matching.
 
-Texts and items are folded to lower-case words (ASCII punctuation and white space become one space). An item of
-``n`` bytes may differ from a passage in ``e = n * RATE`` edits; cut into ``e + 1`` pieces, at least one piece then
-stands in the passage unchanged. All pieces of a block of items are found in one pass over a text by an Aho-Corasick
+Texts and items are folded to lower-case words between spaces (ASCII punctuation and white space become one space). An item
+of ``n`` bytes, taken with the space on each side, may differ from a passage in ``e = n * RATE`` edits, whatever its length;
+cut into ``e + 1`` pieces, at least one piece then stands in the passage unchanged. All pieces of a block of items are found in one pass over a text by an Aho-Corasick
 automaton; around each hit, Myers' bit-parallel algorithm gives the least edit distance of the item to any passage.
 
 Items reach the tasks in blocks of at most ``BLOCK_BYTES``, each block meeting all documents, so the benchmark may
-be of any size. An item of fewer than ``SHORTEST`` bytes must stand as whole words, unchanged. Null and empty items
-and texts match nothing. Repeated items and rows give repeated results.
+be of any size; a benchmark of more than one block costs a pass over the documents for each. An item too short for an edit
+must stand as whole words, unchanged. Null and empty items and texts match nothing. Repeated items and rows give repeated
+results; very long texts are searched whole; extra columns take no part.
 """
 
 from __future__ import annotations
@@ -20,7 +21,7 @@ from pyspark.sql import functions as F
 
 from quarry.llm.common import only, rows_of, small_batches
 
-RATE, SHORTEST = 0.08, 40
+RATE = 0.08
 BLOCK_BYTES = 1 << 20
 
 #: A-Z to a-z; other ASCII but digits and a-z to a space; bytes over 0x7F stay.
@@ -75,11 +76,10 @@ class Finder:
         self.items: list[tuple[int, str, int]] = []
         pieces: dict[str, list[tuple[int, int]]] = {}
         for item_id, text in items:
-            whole = folded(text)
-            if not whole:
+            body = folded(text)
+            if not body:
                 continue
-            body = whole if len(whole) - 2 < SHORTEST else whole[1:-1]
-            most = int(len(body) * RATE) if len(body) >= SHORTEST else 0
+            most = int((len(body) - 2) * RATE)
             i = len(self.items)
             self.items.append((item_id, body, most))
             cut = [round(len(body) * k / (most + 1)) for k in range(most + 2)]
@@ -119,7 +119,7 @@ class Finder:
                 if s is not None:
                     lo, hi = s - most, s + len(item) + most
             if best <= most:
-                out.append((item_id, len(item), best, end))
+                out.append((item_id, len(item) - 2, best, end))
         return out
 
 

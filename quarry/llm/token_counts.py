@@ -9,7 +9,11 @@ stitched without reading a block again or in order.
 
 ``scan`` takes blocks (file, block, ids), ``read_flat_files`` makes them from files on any store that Spark reads.
 An empty block or file has no documents; ids after the last separator are an unended document (``ended`` false).
-A file's trailing bytes short of an id are an error.
+A file's trailing bytes short of an id are an error. Null and empty texts are documents of no tokens; rows that repeat an id,
+and rows of a null id, are counted one by one; extra columns take no part. A text is encoded whole, in one task, whatever its
+length. Ids are written in 2 bytes, or in 4 where the vocabulary has more than 65 536.
+
+``read_flat_files`` gives a file to one task, which must hold it: Spark's binary source reads no file of 2 GiB or more.
 """
 
 from __future__ import annotations
@@ -23,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quarry.llm.common import only, rows_of, stored
-from quarry.llm.tokens import tokens, vocabulary_path
+from quarry.llm.tokens import size_of, tokens, vocabulary_path
 
 GROUP = 1024
 #: Ids in a block.
@@ -49,7 +53,8 @@ def scan(blocks: DataFrame, separator: int = SEPARATOR, dtype: str = "<u2") -> D
     """
     width = np.dtype(dtype).itemsize
     names = ["file", "block", "n", "ends", "head", "tail", "inner"]
-    schema = "file long, block long, n long, ends long, head long, tail long, inner array<long>"
+    schema = "file long, block long, n long, ends long, head long, tail long, inner array<struct<i:long,n:long,start:long>>"
+    kind = pa.struct([(c, pa.int64()) for c in ("i", "n", "start")])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -61,9 +66,10 @@ def scan(blocks: DataFrame, separator: int = SEPARATOR, dtype: str = "<u2") -> D
                 at = np.flatnonzero(ids == separator)
                 head = int(at[0]) if len(at) else len(ids)
                 tail = len(ids) - 1 - int(at[-1]) if len(at) else len(ids)
-                cols = [[file], [block], [len(ids)], [len(at)], [head], [tail], [(np.diff(at) - 1).tolist()]]
-                types = [pa.int64()] * 6 + [pa.list_(pa.int64())]
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], names)
+                # the documents that begin and end in the block: their number in it, ids, and first place
+                inner = pa.StructArray.from_arrays([pa.array(x.astype(np.int64)) for x in (np.arange(1, len(at)), np.diff(at) - 1, at[:-1] + 1)], fields=list(kind))
+                cols = [pa.array([x], pa.int64()) for x in (file, block, len(ids), len(at), head, tail)]
+                yield pa.RecordBatch.from_arrays([*cols, pa.ListArray.from_arrays(pa.array([0, len(inner)], pa.int32()), inner)], names)
 
     parts = stored(only(blocks, "file", "block", "ids").mapInArrow(run, schema), "separators")
     group = F.floor(F.col("block") / GROUP)
@@ -78,13 +84,11 @@ def scan(blocks: DataFrame, separator: int = SEPARATOR, dtype: str = "<u2") -> D
     ids, ends = F.col("b_n") + F.col("p_n"), F.col("b_ends") + F.col("p_ends")
     open_ = F.col("p_open") + F.when(F.col("p_ends") > 0, 0).otherwise(F.col("b_open"))
     joined = joined.select("file", ids.alias("_ids"), ends.alias("_ends"), open_.alias("_open"), "n", "ends", "head", "tail", "inner", (F.col("block") == F.col("_end")).alias("_last"))
-    docs = F.when(F.col("ends") > 0, F.concat(F.array(F.col("_open") + F.col("head")), "inner")).otherwise(F.array().cast("array<long>"))
-    firsts = joined.withColumn("_docs", docs)
-    ended = firsts.select("file", "_ids", "_ends", "_open", F.posexplode("_docs").alias("_i", "n_tokens"), "_docs")
-    # The first document of a block began before it; each other one begins behind the separator of the one before.
-    before = F.aggregate(F.slice("_docs", 1, F.col("_i")), F.lit(0).cast("long"), lambda a, x: a + x + 1)
-    ended = ended.select("file", (F.col("_ends") + F.col("_i")).alias("ordinal"), "n_tokens", (F.col("_ids") - F.col("_open") + before).alias("start"), F.lit(True).alias("ended"))
-    left = firsts.filter(F.col("_last")).withColumn("n_tokens", F.when(F.col("ends") > 0, F.col("tail")).otherwise(F.col("_open") + F.col("n")))
+    # The first document of a block began before it: what was open there belongs to it.
+    first = F.struct(F.lit(0).cast("long").alias("i"), (F.col("_open") + F.col("head")).alias("n"), (-F.col("_open")).alias("start"))
+    ended = joined.filter("ends > 0").select("file", "_ids", "_ends", F.inline(F.concat(F.array(first), "inner")).alias("i", "n_tokens", "start"))
+    ended = ended.select("file", (F.col("_ends") + F.col("i")).alias("ordinal"), "n_tokens", (F.col("_ids") + F.col("start")).alias("start"), F.lit(True).alias("ended"))
+    left = joined.filter(F.col("_last")).withColumn("n_tokens", F.when(F.col("ends") > 0, F.col("tail")).otherwise(F.col("_open") + F.col("n")))
     left = left.filter("n_tokens > 0").select("file", (F.col("_ends") + F.col("ends")).alias("ordinal"), "n_tokens", (F.col("_ids") + F.col("n") - F.col("n_tokens")).alias("start"), F.lit(False).alias("ended"))
     return ended.unionByName(left)
 
@@ -106,6 +110,11 @@ def read_flat_files(spark: SparkSession, path: str, block_ids: int = BLOCK_IDS,
     return spark.read.format("binaryFile").load(path).select(F.xxhash64("path").alias("file"), "content").mapInArrow(run, "file long, block long, ids binary")
 
 
+def width_of(vocabulary: str) -> str:
+    """The type of the ids in files of this vocabulary."""
+    return "<u2" if size_of(vocabulary) <= 1 << 16 else "<u4"
+
+
 def write_token_blocks(docs: DataFrame, vocabulary: str | None = None, block_ids: int = BLOCK_IDS, separator: int = SEPARATOR) -> DataFrame:
     """Every partition's documents as one flat file, in blocks of ``block_ids``, with the documents' ids in their order.
 
@@ -113,6 +122,7 @@ def write_token_blocks(docs: DataFrame, vocabulary: str | None = None, block_ids
     so no document holds the separator.
     """
     path = vocabulary or vocabulary_path()
+    dtype = np.dtype(width_of(path))
     names = ["file", "block", "ids", "doc_id", "ordinal"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -120,21 +130,21 @@ def write_token_blocks(docs: DataFrame, vocabulary: str | None = None, block_ids
         file = TaskContext.get().partitionId()
         held: list[np.ndarray] = []
         size = block = ordinal = 0
-        end = np.array([separator], np.uint16)
+        end = np.array([separator], dtype)
 
         def blocks(last: bool) -> Iterator[pa.RecordBatch]:
             nonlocal held, size, block
-            data = np.concatenate(held) if held else np.zeros(0, np.uint16)
+            data = np.concatenate(held) if held else np.zeros(0, dtype)
             cut = len(data) if last else len(data) // block_ids * block_ids
             for lo in range(0, cut, block_ids):
-                part = data[lo : min(cut, lo + block_ids)].astype("<u2").tobytes()
+                part = data[lo : min(cut, lo + block_ids)].tobytes()
                 yield pa.RecordBatch.from_arrays([pa.array([file], pa.int64()), pa.array([block], pa.int64()), pa.array([part], pa.binary()), pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64())], names)
                 block += 1
             held, size = [data[cut:]], len(data) - cut
 
         for doc_id, text in rows_of(batches):
             for x in text:
-                held += [t.encode(x).astype(np.uint16), end]
+                held += [t.encode(x).astype(dtype), end]
                 size += len(held[-2]) + 1
                 if size >= block_ids:
                     yield from blocks(last=False)
@@ -150,7 +160,8 @@ def write_token_blocks(docs: DataFrame, vocabulary: str | None = None, block_ids
 
 def count(docs: DataFrame, vocabulary: str | None = None) -> DataFrame:
     """doc_id, n_tokens, file, ordinal, start of every row: its text is written to a flat file and counted from that."""
-    out = stored(write_token_blocks(docs, vocabulary), "token-files")
-    counted = scan(out.filter("ids IS NOT NULL").select("file", "block", "ids")).filter("ended")
+    path = vocabulary or vocabulary_path()
+    out = stored(write_token_blocks(docs, path), "token-files")
+    counted = scan(out.filter("ids IS NOT NULL").select("file", "block", "ids"), dtype=width_of(path)).filter("ended")
     named = out.filter("ordinal IS NOT NULL").select("file", "ordinal", "doc_id")
     return named.join(counted, ["file", "ordinal"]).select("doc_id", "n_tokens", "file", "ordinal", "start")

@@ -360,10 +360,20 @@ WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 LOWER = str.maketrans({chr(c): chr(c + 32) for c in range(65, 91)})
 
 
+def template(label, short=False):
+    return sorted((x for name, _, x in license_scan.TEMPLATES if name == label), key=len)[0 if short else -1]
+
+
 def test_licences(make, corpus):
-    extra = {200: "Released under the MIT License. And UNDER THE MIT-LICENSE again", 201: "Licensed under the Apache License, Version 2.0.", 202: "Licensed under CC BY-NC 4.0, cc by nc", 203: dict(license_scan.TEMPLATES)["bsd"] + " more", 204: "under the mit", 205: "apache license version 2 apache license version 2", 206: "under the mit license cc by nc"}
+    bsd = template("bsd").split()
+    extra = {200: "Released under the MIT License. And UNDER THE MIT-LICENSE again", 201: "Licensed under the Apache License, Version 2.0.", 202: "Licensed under CC BY-NC 4.0, cc by nc", 203: template("bsd") + " more", 204: "under the mit", 205: "apache license version 2 apache license version 2", 206: "under the mit license cc by nc"}
+    extra |= {207: "Licensed under the Apache License, Version 1.1", 208: " ".join([*bsd[:10], *bsd[:5], *bsd[10:]]), 209: f"{template('mit')} text between {template('isc')}", 210: template("bsd-3"), 211: template("bsd-2"), 212: template("mit").replace("copyright notice", "notice of copyright").replace("TORT", "tort law")}
+    extra |= {213: f"{template('mit')} then {template('mit')}", 214: template("gpl-3").replace("version 3", "version 2"), 215: "word " * 60_000 + template("zlib"), 216: template("gpl-3").replace("Public", "Public Private")}
     rows = corpus | extra
-    got = {r.doc_id: r for r in license_scan.scan(make(rows)).collect()}
+    docs = make([*rows.items(), (210, extra[210])]).withColumnsRenamed({"lang": "labels", "source": "spans"})
+    found = license_scan.scan(docs).collect()
+    got = {r.doc_id: r for r in found}
+    assert len(found) == len(rows) + 1
     for i, t in rows.items():
         w = WORD.findall((t or "").translate(LOWER))
         hits = [(j, label) for p, label in license_scan.PHRASES.items() for n in [len(p.split())] for j in range(len(w) - n + 1) if w[j : j + n] == p.split()]
@@ -371,11 +381,44 @@ def test_licences(make, corpus):
         assert (r.n_words, r.n_base, r.base_labels) == (len(w), len(hits), ",".join(sorted({x for _, x in hits})))
         assert (r.first_word, r.last_word) == ((min(hits)[0], max(hits)[0]) if hits else (None, None))
         assert set(r.base_labels.split(",")) <= set(r.labels.split(",")) or not r.base_labels
-    assert got[203].labels == "bsd" and got[203].score > 0.9 and got[204].labels == "" and got[206].labels == "cc-by-nc,mit"
+    want = {203: "bsd", 204: "", 206: "cc-by-nc,mit", 207: "", 208: "bsd", 209: "isc,mit", 210: "bsd-3", 211: "bsd-2", 212: "mit", 213: "mit", 214: "gpl-2", 215: "zlib", 216: "gpl-3"}
+    assert {i: got[i].labels for i in want} == want
+    assert got[208].score == 1.0 and [(s.label, s.start, s.end) for s in got[208].spans] == [("bsd", 0, len(bsd) + 5)]
+    assert len(got[213].spans) == 2 and got[215].spans[0].start == 60_000 and 0.6 < got[212].score < 1
     assert all(got[i].labels == "" for i in range(60))
     assert license_scan.scan(make({})).count() == 0
 
 
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.lists(st.sampled_from("abc"), min_size=4, max_size=14), min_size=1, max_size=3), st.lists(st.sampled_from("abcd"), max_size=28), st.integers(0, 3))
+def test_chains_cover_the_most(templates, text, gap):
+    """Anchors are all maximal runs at all their places; no other sequence of them covers more."""
+    license_scan.GAP, was = gap, license_scan.GAP
+    try:
+        scanner = license_scan.Scanner([(str(i), t[0], " ".join(t)) for i, t in enumerate(templates)], {})
+        words_, words_of = [w.encode() for w in text], [[w.encode() for w in t] for t in templates]
+        anchors = scanner.automaton.anchors(scanner.automaton.scan(words_)[0])
+        longest = [max((n for n in range(i + 2) for t in words_of for j in range(len(t) - n + 1) if words_[i + 1 - n : i + 1] == t[j : j + n]), default=0) for i in range(len(words_))]
+        ends = [i + 1 for i, n in enumerate(longest) if n >= 4 and (i + 1 == len(longest) or longest[i + 1] != n + 1)]
+        for k, t in enumerate(words_of):
+            want = [(e, j + longest[e - 1], longest[e - 1]) for e in ends for j in range(len(t) - longest[e - 1] + 1) if t[j : j + longest[e - 1]] == words_[e - longest[e - 1] : e]]
+            assert sorted(anchors.get(k, [])) == sorted(want)
+
+            def most(covered, last, left):
+                out = covered
+                for i, (e, p, n) in enumerate(left):
+                    more = n if last is None else min(n, e - last[0], p - last[1])
+                    if more > 0 and (last is None or last[0] >= e - n - gap):
+                        out = max(out, most(covered + more, (e, p), left[i + 1 :]))
+                return out
+
+            if len(want) <= 9:
+                total, chain = license_scan.best_chain(anchors.get(k, []))
+                assert total == most(0, None, sorted(want)) and all(x in want for x in chain)
+    finally:
+        license_scan.GAP = was
+
+
 @settings(max_examples=80, deadline=None)
 @given(st.lists(st.lists(st.sampled_from([b"a", b"b", b"c"]), min_size=1, max_size=9), min_size=1, max_size=4), st.lists(st.sampled_from([b"a", b"b", b"c", b"d"]), max_size=30))
 def test_matching_statistics(templates, text):
@@ -414,18 +457,76 @@ def test_language_model(spark, make, corpus, monkeypatch, head):
     assert sum(r.score for r in got.values()) > sum(r.base_score for r in got.values())
 
 
+def with_train(docs):
+    return docs.withColumn("train", F.lit(True))
+
+
 def test_model_probabilities_sum_to_one(make, corpus):
-    model, counts = class_lm.fit(make(corpus))
+    """Over the known words of a class and its one symbol for all unseen ones."""
+    model, counts, _ = class_lm.fit(with_train(make(corpus)))
     assert np.allclose((10**model.step).sum(1), 1)
     total = collections.Counter()
     for r in counts.collect():
         place = np.flatnonzero(model.head.hashes == r.h)
-        unit = model.head.units(np.array([place[0]]))[0] if len(place) else class_lm.UNITS + r.g
-        total[int(model.unit_class[unit])] += (r.c - model.discount) / 10 ** model.class_size[model.unit_class[unit]]
+        c = int(model.class_of[place[0] if len(place) else model.head.limit + r.g])
+        total[c] += (r.c - model.discount) / 10 ** model.class_size[c]
     for c, share in total.items():
         assert share + 10 ** (model.unseen[c] - model.class_size[c]) == pytest.approx(1)
 
 
+@pytest.mark.parametrize(("head", "units"), [(None, None), (None, 5), (60, 20), (15, 1000)])
+def test_scores_are_those_of_the_model(make, corpus, monkeypatch, head, units):
+    """The score of each text, added up word by word from the model's own tables."""
+    for name, value in (("HEAD", head), ("UNITS", units)):
+        if value:
+            monkeypatch.setattr(class_lm, name, value)
+    docs = make(corpus).withColumn("train", F.expr("crc32(cast(cast(doc_id as string) as binary)) % 7 <> 2"))
+    model, counts, _ = class_lm.fit(docs)
+    c = {r.h: r for r in counts.collect()}
+    place = {int(h): i for i, h in enumerate(model.head.hashes)}
+    got = {r.doc_id: r.score for r in class_lm.score(make(corpus)).collect()}
+    for i, t in corpus.items():
+        before, total = int(model.class_of[-1]), 0.0
+        for w in SPACE.findall((t or "").encode().lower()):
+            h = class_lm.word_hash(w)
+            k = int(model.class_of[place.get(h, model.head.limit + class_lm.shape(w))])
+            seen = math.log10(c[h].c - model.discount) if h in c else float(model.unseen[k])
+            total += float(model.step[before, k]) - float(model.class_size[k]) + seen
+            before = k
+        total += float(model.step[before, int(model.class_of[-1])])
+        assert got[i] == pytest.approx(total)
+
+
+def test_rounds_choose_the_best_class_of_each_word(make, monkeypatch):
+    """Each word beyond the units goes where plain counting over all texts says the likelihood gains most."""
+    monkeypatch.setattr(class_lm, "UNITS", 4)
+    r = random.Random(2)
+    vocabulary = [words(r, 1) for _ in range(30)]
+    texts = {i: " ".join(r.choice(vocabulary[i % 3 :: 2]) for _ in range(25)) for i in range(40)}
+    docs = with_train(make(texts))
+    counts = class_lm.word_counts(docs).orderBy(F.desc("c"), "h").toPandas()
+    head = class_lm.Head(counts["h"].to_numpy(), counts["c"].to_numpy(), counts["g"].to_numpy().astype(int), 20)
+    head = class_lm.Head(head.hashes[:20], head.counts[:20], head.groups[:20], 20)
+    codes = class_lm.encoded(docs, head)
+    of = np.arange(head.end + 1) % 5
+    of[-1] = 5
+    table = class_lm.bigrams(codes, of)
+    got = class_lm.reassigned(codes, of, table)
+    pairs = class_lm.bigrams(codes, np.arange(head.end + 1))
+    assert np.array_equal(pairs.sum(0)[:20], head.counts)
+    for u in range(head.end):
+        if u < 4 or not pairs[u].sum() + pairs[:, u].sum():
+            assert got[u] == of[u]
+            continue
+        value = []
+        for k in range(5):
+            moved = of.copy()
+            moved[u] = k
+            one = np.eye(6)[moved]
+            value.append(class_lm.likelihood(one.T @ pairs @ one))
+        assert value[got[u]] == pytest.approx(max(value))
+
+
 def likelihood(pairs, of, classes):
     one = np.zeros((len(of), classes))
     one[np.arange(len(of)), of] = 1
@@ -457,8 +558,11 @@ def test_language_model_odd_tables(make):
     held = next(i for i in range(100) if zlib.crc32(str(i).encode()) % 7 == 2)
     r = class_lm.score(make({held: "never seen"})).first()  # nothing to learn from
     assert (r.n_tokens, r.n_known, r.train_tokens) == (3, 0, 0) and r.base_score == pytest.approx(0) and math.isfinite(r.score)
-    got = class_lm.score(make([(1, "a b"), (1, "a b"), (None, None), (2, "a")])).collect()
-    assert len(got) == 4 and {x.train_tokens for x in got if x.doc_id} == {9} or len(got) == 4
+    rows = [(1, "a b"), (1, "a b"), (None, None), (2, "a"), (3, "long " * 50_000)]
+    got = class_lm.score(make(rows).withColumnsRenamed({"lang": "train", "source": "h", "n_chars": "codes"})).collect()
+    learnt = [t for i, t in rows if zlib.crc32(str(i).encode()) % 7 != 2 or i is None]
+    assert len(got) == 5 and {x.train_tokens for x in got} == {sum(len((t or "").split()) + 1 for t in learnt)}
+    assert {x.n_tokens for x in got} == {3, 1, 2, 50_001} and len({x.score for x in got if x.doc_id == 1}) == 1
 
 
 # --- 9: packing, 3: token counts ---
@@ -481,6 +585,23 @@ def test_tokens(corpus, slow):
     assert 50256 not in tokens.Tokens(VOCABULARY, special=False).encode("a<|endoftext|>b").tolist()
 
 
+def test_both_libraries_agree_on_every_code_point(slow):
+    fast = tokens.Tokens(VOCABULARY)
+    assert fast.fast is not None
+    points = [c for c in range(0x110000) if not 0xD800 <= c < 0xE000]
+    for lo in range(0, len(points), 512):
+        part = [chr(c) for c in points[lo : lo + 512]]
+        for t in ("".join(part), " ".join(part), "".join(f"a{c}1{c}." for c in part), "".join(f"  {c}{c}\n" for c in part)):
+            assert fast.encode(t).tolist() == slow.encode(t, add_special_tokens=False).ids, hex(points[lo])
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.text(max_size=60))
+def test_both_libraries_agree(text):
+    fast = tokens.tokens(VOCABULARY)
+    assert fast.encode(text).tolist() == fast.slow.encode(text.encode("utf-8", "replace").decode(), add_special_tokens=False).ids
+
+
 def plain_cost(at, penalty, cuts, limit, powers):
     total, prev = 0, 0
     for c in cuts:
@@ -553,6 +674,29 @@ def test_token_counts(make, corpus, slow, monkeypatch):
     assert token_counts.count(make({})).count() == 0
 
 
+def test_token_counts_odd_tables(spark, make, tmp_path, monkeypatch):
+    rows = [(1, "a b"), (1, "a b"), (1, "c"), (None, "d e"), (2, None), (3, ""), (4, "word " * 60_000)]
+    docs = make(rows).withColumnsRenamed({"lang": "file", "source": "ids", "n_chars": "ordinal"})
+    got = token_counts.count(docs).collect()
+    size = lambda t: len(tokens.Tokens(VOCABULARY, special=False).encode(t))
+    assert sorted((r.doc_id or -1, r.n_tokens) for r in got) == sorted((i or -1, size(t)) for i, t in rows)
+    many = spark.range(0, 100_000, 1, 2).select(F.col("id").alias("doc_id"), F.when(F.col("id") % 3 == 0, "x").otherwise("").alias("text"))
+    assert token_counts.count(many).agg(F.count("*"), F.sum("n_tokens"), F.count_distinct("file", "ordinal")).first()[:] == (100_000, 33_334, 100_000)
+    wide = json.load(open(VOCABULARY))  # a vocabulary whose ids need more than two bytes
+    wide["added_tokens"] = [{**wide["added_tokens"][0], "content": "<far>", "id": 70_000, "special": False}]
+    path = tmp_path / "wide.json"
+    path.write_text(json.dumps(wide))
+    assert token_counts.width_of(str(path)) == "<u4" and token_counts.width_of(VOCABULARY) == "<u2"
+    assert [r.n_tokens for r in token_counts.count(make({5: "a <far> b"}), str(path)).collect()] == [len(tokens.Tokens(str(path), special=False).encode("a <far> b"))]
+
+
+def test_a_block_of_separators_alone(spark):
+    n = token_counts.BLOCK_IDS
+    df = spark.createDataFrame([(1, 0, np.zeros(n, "<u2").tobytes())], "file long, block long, ids binary")
+    out = token_counts.scan(df, 0).agg(F.count("*"), F.sum("n_tokens"), F.min("start"), F.max("start"), F.count_distinct("ordinal")).first()
+    assert out[:] == (n, 0, 0, n - 1, n)
+
+
 @pytest.mark.parametrize("group", [1, 3, 1024])
 @pytest.mark.parametrize("block", [1, 4, 7, 50, 1000])
 def test_separator_scan(spark, monkeypatch, group, block):
@@ -630,7 +774,7 @@ def test_contaminated(spark, make):
     planted(5, edited(items[3], int(len(items[3]) * decontaminate.RATE)))
     planted(6, edited(items[4], len(items[4]) // 3))
     planted(7, "a Short, item here")
-    planted(8, "shorter short items")
+    planted(8, "shorter short items")  # no whole words
     planted(9, items[0])
     rows |= {100: None, 101: "", 102: items[5]}
     df = spark.createDataFrame(list(items.items()), "item_id long, text string")
@@ -640,15 +784,42 @@ def test_contaminated(spark, make):
         for k, item in items.items():
             body = decontaminate.folded(item)
             if body:
-                long = len(body) - 2 >= decontaminate.SHORTEST
-                d = plain_distance(body[1:-1] if long else body, decontaminate.folded(t))
-                if d <= (int((len(body) - 2) * decontaminate.RATE) if long else 0):
+                d = plain_distance(body, decontaminate.folded(t))
+                if d <= int((len(body) - 2) * decontaminate.RATE):
                     want[i, k] = d
     assert got == want and {3, 4, 5, 7, 9, 102} == {i for i, _ in got}
     left = decontaminate.without_contaminated(make(rows), df)
     assert {x.doc_id for x in left.collect()} == rows.keys() - {3, 4, 5, 7, 9, 102} and left.columns == make(rows).columns
 
 
+def test_items_of_every_length_have_the_same_rate(spark, make):
+    r = random.Random(16)
+    items = {n: "".join(r.choice("abcdefgh") for _ in range(n)) for n in range(1, 60)}
+    docs = {}
+    for n, item in items.items():
+        for e in range(4):
+            changed = list(item)
+            for at in r.sample(range(n), min(n, e)):
+                changed[at] = "z"
+            docs[10 * n + e] = f"some words {''.join(changed)} and more words"
+    df = spark.createDataFrame(list(items.items()), "item_id long, text string")
+    got = {(x.doc_id, x.item_id): (x.distance, x.item_bytes) for x in decontaminate.contaminated(make(docs), df).collect()}
+    for n in items:
+        for e in range(4):
+            d = plain_distance(f" {items[n]} ", f" {docs[10 * n + e]} ")
+            assert got.get((10 * n + e, n)) == ((d, n) if d <= int(n * decontaminate.RATE) else None)
+
+
+def test_contamination_odd_tables(spark, make):
+    item = "granite columns of the northern quarry stand in long rows"
+    df = spark.createDataFrame([(1, item, 0)], "item_id long, text string, doc_id long")
+    rows = [(1, f"a {item} b"), (1, f"a {item} b"), (None, item), (2, "word " * 100_000 + item + " word" * 100_000), (3, None)]
+    docs = make(rows).withColumnsRenamed({"lang": "item_id", "source": "distance"})
+    got = decontaminate.contaminated(docs, df).collect()
+    assert sorted((x.doc_id or -1, x.item_id, x.distance) for x in got) == [(-1, 1, 0), (1, 1, 0), (1, 1, 0), (2, 1, 0)]
+    assert [x.doc_id for x in decontaminate.without_contaminated(docs, df).collect()] == [3]
+
+
 def test_contamination_in_blocks_and_of_nothing(spark, make, monkeypatch):
     monkeypatch.setattr(decontaminate, "BLOCK_BYTES", 60)
     r = random.Random(8)
