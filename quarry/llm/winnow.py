@@ -1,11 +1,14 @@
 """Document fingerprints by winnowing, in DataFrame expressions only.
 
-A text is cut into tokens (runs of up to ``TOKEN_CHARS`` code points without white space, lower-cased), every
-``k`` consecutive tokens are hashed, and of each ``w`` consecutive hashes the smallest is kept, the rightmost
-of equal ones. Any passage of ``w + k - 1`` tokens that two texts share leaves them a common hash. Kept hashes
-carry the ordinal of their first token, so a match can be located.
-
-Null text counts as empty; a text of fewer than ``k`` tokens has the hash of all of them, an empty one none.
+A text is cut into tokens (runs of up to ``TOKEN_CHARS`` code points without white space, lower-cased). Each token is hashed
+once; the hash of every ``k`` consecutive tokens is the rolling one by cyclic polynomials (Cohen 1997): the tokens' hashes,
+each rotated by its distance from the last, in exclusive or. Of each ``w`` consecutive hashes the smallest is kept, the
+rightmost of equal ones. Any passage of ``w + k - 1`` tokens that two texts share leaves them a common hash. Kept hashes carry
+the ordinal of their first token, so a match can be located. A run without white space is cut from its start: a passage
+shared inside longer runs, as in Chinese, may be cut at other places there, and the guarantee is about tokens, not characters.
+
+Null text counts as empty; a text of fewer than ``k`` tokens has the hash of all of them, an empty one none. Repeated rows
+have a row of results each; very long texts are taken whole; extra columns take no part.
 """
 
 from __future__ import annotations
@@ -18,19 +21,46 @@ from quarry.llm.common import only
 K, W, TOKEN_CHARS = 4, 4, 8
 #: Ranges of ids whose bounds are found from the data; each is then cut evenly into finer ones.
 COARSE = 256
+#: Bytes of text in a range of ids, and in a task, about; a task sorts its ranges and holds one at a time.
+RANGE_BYTES, TASK_BYTES, MOST_TASKS = 4 << 20, 8 << 20, 200_000
 LOWEST = -(2**63)
 
 
+def _rolled(hashes: str, k: int, n: str) -> tuple[str, list[tuple[str, str]]]:
+    """Steps (column, expression) to the hashes of ``k`` consecutive ones of ``hashes``, and the last one's column.
+
+    Hashes of 1, 2, 4, ... tokens are joined as the binary digits of k say; those that begin fewer than k from the end are null.
+    """
+    steps: list[tuple[str, str]] = []
+
+    def joined(a: str, b: str, size_a: int, size_b: int) -> str:
+        name = f"{hashes}_{size_a + size_b}"
+        steps.append((name, f"zip_with({a}, slice({b}, {size_a + 1}, {n}), (a, b) -> (shiftleft(a, {size_b}) | shiftrightunsigned(a, {64 - size_b})) ^ b)"))
+        return name
+
+    whole, have, power, size = "", 0, hashes, 1
+    while True:
+        if k & size:
+            whole, have = (joined(whole, power, have, size) if have else power), have + size
+        if have == k:
+            return whole, steps
+        power, size = joined(power, power, size, size), 2 * size
+
+
 def with_fingerprint(df: DataFrame, text: str, out: str, k: int = K, w: int = W) -> DataFrame:
     """Add ``out``: array<struct<h bigint, p int>>, the kept hashes with the ordinals of their first tokens."""
-    t, h = f"_{out}_t", f"_{out}_h"
-    df = df.withColumn(t, F.expr(rf"regexp_extract_all(lower(coalesce(`{text}`, '')), '\\S{{1,{TOKEN_CHARS}}}', 0)"))
-    hashes = f"transform(sequence(1, greatest(1, size({t}) - {k - 1})), i -> named_struct('h', xxhash64(slice({t}, i, {k})), 'p', 1 - i))"
-    df = df.withColumn(h, F.expr(f"if(size({t}) = 0, slice({hashes}, 1, 0), {hashes})")).drop(t)
+    t, h, n = f"_{out}_t", f"_{out}_h", f"_{out}_n"
+    df = df.withColumn(t, F.expr(rf"transform(regexp_extract_all(lower(coalesce(`{text}`, '')), '\\S{{1,{TOKEN_CHARS}}}', 0), x -> xxhash64(x))"))
+    df = df.withColumn(n, F.size(t))
+    grams, steps = _rolled(t, k, n)
+    for name, e in steps:
+        df = df.withColumn(name, F.expr(e))
+    short = f"slice(array(aggregate({t}, 0L, (a, x) -> (shiftleft(a, 1) | shiftrightunsigned(a, 63)) ^ x)), 1, least({n}, 1))"
+    df = df.withColumn(h, F.expr(f"transform(if({n} < {k}, {short}, slice({grams}, 1, greatest(1, {n} - {k - 1}))), (x, i) -> named_struct('h', x, 'p', -i))"))
+    df = df.drop(t, *(name for name, _ in steps))
     # p is negative: of equal hashes the least struct is the rightmost. Minima of 2, 4, ... hashes give those of w;
     # near the end a window is shorter than w, so only full ones (at least one) are kept afterwards.
     have = 1
-    n = f"_{out}_n"
     df = df.withColumn(n, F.size(h))
     while have < w:
         step = min(have, w - have)
@@ -58,41 +88,52 @@ def fingerprints(docs: DataFrame, k: int = K, w: int = W) -> DataFrame:
     return df.select("doc_id", F.col("_fp").alias("fingerprint"), as_text("_fp").alias("fingerprint_text"))
 
 
-def _bucketed(docs: DataFrame, buckets: int) -> tuple[DataFrame, Column]:
-    """Rows with ``_k``, the id (null: lowest), and the number of its range, which grows with the id."""
-    df = only(docs, "doc_id", "text").withColumn("_k", F.coalesce("doc_id", F.lit(LOWEST)))
-    cuts = [i / COARSE for i in range(COARSE + 1)]
-    bounds = docs.agg(F.percentile_approx("doc_id", cuts, 10_000)).first()[0] or [0, 0]
-    fine = max(1, -(-buckets // COARSE))
-    at = F.array(*[F.lit(int(b)).cast("long") for b in bounds])
-    df = df.withColumn("_c", F.size(F.filter(at, lambda b: b <= F.col("_k"))))
-    lo, hi = F.try_element_at(at, F.greatest(F.col("_c"), F.lit(1))), F.try_element_at(at, F.col("_c") + 1)
-    part = F.try_divide((F.col("_k") - lo).cast("double") * fine, (hi - lo).cast("double")).cast("long")
-    inside = F.when((F.col("_c") >= 1) & (F.col("_c") <= COARSE), F.least(F.greatest(part, F.lit(0)), F.lit(fine - 1)))
-    return df, F.col("_c").cast("long") * fine + F.coalesce(inside, F.lit(0).cast("long"))
+def _bucketed(docs: DataFrame, ranges: int, bounds: list[int]) -> DataFrame:
+    """Rows with their order (_k: the id, null the lowest; _h: of equal ids, from their texts) and the number of their range, which grows with it.
+
+    ``bounds`` are quantiles of the ids: one that stands there more than once is a hot id, whose rows are cut by ``_h``.
+    """
+    df = only(docs, "doc_id", "text").withColumns({"_k": F.coalesce("doc_id", F.lit(LOWEST)), "_h": F.xxhash64("text")})
+    hot = {b for b in bounds if bounds.count(b) > 1 and b < 2**63 - 1}
+    at = sorted({*bounds, *(b + 1 for b in hot)})
+    fine = max(1, -(-ranges // COARSE))
+    sizes = [1] + [fine * (bounds.count(b) if b in hot else 1) for b in at]
+    first = [sum(sizes[:i]) for i in range(len(sizes))]
+    longs = lambda xs: F.array(*[F.lit(int(x)).cast("long") for x in xs])
+    df = df.withColumn("_c", F.size(F.filter(longs(at), lambda b: b <= F.col("_k"))))
+    lo, hi = F.try_element_at(longs([0, *at]), F.col("_c") + 1), F.try_element_at(longs(at), F.col("_c") + 1)
+    size = F.element_at(longs(sizes), F.col("_c") + 1)
+    by_id = F.try_divide((F.col("_k") - lo).cast("double") * size, (hi - lo).cast("double"))
+    by_text = (F.col("_h").cast("double") + F.lit(2.0**63)) / F.lit(2.0**64) * size
+    part = F.when(F.element_at(F.array(F.lit(False), *[F.lit(b in hot) for b in at]), F.col("_c") + 1), by_text).otherwise(by_id)
+    inside = F.least(F.greatest(F.coalesce(part.cast("long"), F.lit(0).cast("long")), F.lit(0)), size - 1)
+    return df.withColumn("_b", F.element_at(longs(first), F.col("_c") + 1) + inside).drop("_c")
 
 
 def edit_likeness(docs: DataFrame, k: int = K, w: int = W, per_partition: int = 8) -> DataFrame:
     """Fingerprints of each text, of its edited text, and how alike they and the next document's are.
 
     The edited text has the last third of its code points replaced by as many from the start of the next
-    document in descending ``doc_id`` (after the last: the first; rows of one id by text, null ids last).
+    document in descending ``doc_id`` (after the last: the first; rows of one id in an order of their texts, null ids last).
     Neighbours meet by one shuffle over ranges of ids, in a window of each range; the first row of the next
-    range is added to each as a sentinel, so no range needs another one's rows.
+    range is added to each as a sentinel, so no range needs another one's rows. Ranges are as many as the bytes of all texts
+    ask for, and the rows of a hot id are cut into ranges by their texts; rows of equal id and text stay together.
     """
     spark = docs.sparkSession
-    buckets = per_partition * int(spark.conf.get("spark.sql.shuffle.partitions"))
-    df, bucket = _bucketed(docs, buckets)
-    df = df.withColumn("_b", bucket).drop("_c")
-    tops = df.groupBy("_b").agg(F.max("_k").alias("_k"))  # a row for each range: at most `buckets` and COARSE more
+    partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    cuts = [i / COARSE for i in range(COARSE + 1)]
+    bounds, size = docs.agg(F.percentile_approx(F.coalesce(F.col("doc_id").cast("long"), F.lit(LOWEST)), cuts, 10_000), F.sum(F.octet_length("text"))).first()
+    df = _bucketed(docs, max(per_partition * partitions, (size or 0) // RANGE_BYTES), bounds or [0, 0])
+    tops = df.groupBy("_b").agg(F.max(F.struct("_k", "_h")).alias("_top")).select("_b", "_top.*")  # a row for each range
     by = Window.orderBy("_b")
     goes = F.coalesce(F.lead("_b").over(by), F.min("_b").over(Window.orderBy(F.lit(0))))
-    tops = tops.select("_k", goes.alias("_goes"))
-    firsts = df.join(F.broadcast(tops), "_k").groupBy("_goes", "_k").agg(F.min(F.coalesce("text", F.lit(""))).alias("text"))
-    rows = df.select("_b", F.lit(False).alias("_extra"), "_k", "doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    extra = firsts.select(F.col("_goes").alias("_b"), F.lit(True).alias("_extra"), "_k", F.lit(None).cast("long").alias("doc_id"), "text")
-    met = with_fingerprint(rows.unionByName(extra).repartition("_b"), "text", "_fp", k, w)
-    order = Window.partitionBy("_b").orderBy("_extra", F.col("_k").desc(), "text")
+    tops = tops.select("_k", "_h", goes.alias("_goes"))
+    firsts = df.join(F.broadcast(tops), ["_k", "_h"]).groupBy("_goes", "_k", "_h").agg(F.min(F.coalesce("text", F.lit(""))).alias("text"))
+    rows = df.select("_b", F.lit(False).alias("_extra"), "_k", "_h", "doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    extra = firsts.select(F.col("_goes").alias("_b"), F.lit(True).alias("_extra"), "_k", "_h", F.lit(None).cast("long").alias("doc_id"), "text")
+    tasks = max(partitions, min(MOST_TASKS, (size or 0) // TASK_BYTES))
+    met = with_fingerprint(rows.unionByName(extra).repartition(tasks, "_b"), "text", "_fp", k, w)
+    order = Window.partitionBy("_b").orderBy("_extra", F.col("_k").desc(), F.col("_h").desc(), "text")
     met = met.withColumns({"_next": F.lead("text").over(order), "_next_fp": F.lead("_fp").over(order)}).filter("NOT _extra")
     met = met.withColumn("n_chars", F.length("text").cast("long")).withColumn("_cut", F.floor(F.col("n_chars") / 3).cast("int"))
     edited = F.concat(F.left("text", (F.col("n_chars") - F.col("_cut")).cast("int")), F.left("_next", F.col("_cut")))

@@ -41,16 +41,26 @@ def plain_fingerprint(text, hashes, k=winnow.K, w=winnow.W):
     return kept
 
 
-def test_fingerprints_by_the_rules(spark, make, corpus):
+def rolled(hashes):
+    """The cyclic polynomial of all of ``hashes``."""
+    out = 0
+    for h in hashes:
+        out = ((out << 1) & (2**64 - 1) | out >> 63) ^ (h % 2**64)
+    return out - 2**64 if out >> 63 else out
+
+
+@pytest.mark.parametrize("k", [1, 3, 4, 6])
+def test_fingerprints_by_the_rules(spark, make, corpus, k):
     df = make(corpus)
-    got = {r.doc_id: r.fingerprint for r in winnow.fingerprints(df).collect()}
-    grams = df.select("doc_id", F.expr(r"regexp_extract_all(lower(coalesce(text, '')), '\\S{1,8}', 0)").alias("t")).select("doc_id", "t", F.expr("transform(sequence(1, greatest(1, size(t) - 3)), i -> xxhash64(slice(t, i, 4)))").alias("h")).collect()
-    for r in grams:
+    got = {r.doc_id: r.fingerprint for r in winnow.fingerprints(df, k).collect()}
+    tokens_ = df.select("doc_id", F.expr(r"transform(regexp_extract_all(lower(coalesce(text, '')), '\\S{1,8}', 0), x -> xxhash64(x))").alias("t")).collect()
+    for r in tokens_:
         if not r.t:
             assert got[r.doc_id] == []
             continue
-        assert [x.p for x in got[r.doc_id]] == plain_fingerprint(r.t, r.h)
-        assert [x.h for x in got[r.doc_id]] == [r.h[x.p] for x in got[r.doc_id]]
+        h = [rolled(r.t[i : i + k]) for i in range(max(1, len(r.t) - k + 1))]
+        assert [x.p for x in got[r.doc_id]] == plain_fingerprint(r.t, h, k)
+        assert [x.h for x in got[r.doc_id]] == [h[x.p] for x in got[r.doc_id]]
 
 
 def test_edits_and_neighbours(make, corpus):
@@ -85,6 +95,20 @@ def test_fingerprint_odd_tables(spark, make):
         assert got[i] == hashlib.sha256((rows[i][: n - n // 3] + rows[j][: n // 3]).encode()).hexdigest()
 
 
+def test_a_hot_id_is_cut_into_ranges(spark, make):
+    """A third of all rows share an id: each range is read by itself, and every row still meets its next one."""
+    rows = [(i % 200 if i % 3 else 77, f"text {i} of {i * i}") for i in range(900)]
+    docs = make(rows)
+    bounds = docs.agg(F.percentile_approx("doc_id", [i / 256 for i in range(257)], 10_000)).first()[0]
+    sizes = sorted(r["count"] for r in winnow._bucketed(docs, 512, bounds).groupBy("_b").count().collect())
+    assert sizes[-1] < 30
+    hashed = {r.text: r.h for r in docs.select("text", F.xxhash64("text").alias("h")).collect()}
+    order = sorted(rows, key=lambda x: (-x[0], -hashed[x[1]]))
+    got = sorted((r.doc_id, r.edited_sha256) for r in winnow.edit_likeness(docs).collect())
+    want = [(i, hashlib.sha256((t[: len(t) - len(t) // 3] + n[: len(t) // 3]).encode()).hexdigest()) for (i, t), (_, n) in zip(order, order[1:] + order[:1], strict=True)]
+    assert got == sorted(want)
+
+
 def test_fingerprint_plan_is_native(make, corpus):
     plan = winnow.edit_likeness(make(corpus))._jdf.queryExecution().executedPlan().toString()
     assert not re.search("Python|Pandas|Arrow", plan)
