@@ -16,7 +16,8 @@ of a smaller id are removed. What the indexes see is narrowed down first, over a
 The index compares words, so equal hashes of different words remove nothing.
 
 Null texts have no words. Rows of a null id neither lose words nor make others lose any. Rows that repeat an id are one
-document: they don't take words from each other. Documents shorter than a window stay as they are.
+document: they don't take words from each other. Documents shorter than a window stay as they are. Very long texts are taken
+whole; extra columns take no part and are kept.
 """
 
 from __future__ import annotations
@@ -29,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.common import SLICE_ROWS, free_shuffles, fresh, mix64, small_batches, stored, temporary
+from quarry.llm.common import SLICE_ROWS, free_shuffles, fresh, mix64, small_batches, split_join, stored, temporary
 from quarry.llm.fm_index import FMIndex, long_matches
 
 WINDOW, GRAM = 13, 6
@@ -37,8 +38,8 @@ WINDOW, GRAM = 13, 6
 CUT, MOST = 32, 128
 #: Words of a shard's index, on average at most, and shards for each shuffle partition at least.
 SHARD_WORDS, SHARDS_PER_PARTITION = 100_000, 4
-#: Pieces searched at a time; a shard asked for more than that and UNEVEN times the mean is built more than once.
-PIECES, UNEVEN = 2048, 3
+#: Pieces searched at a time; a shard asked for more than LEAST_SPLIT and UNEVEN times the mean is built more than once.
+PIECES, LEAST_SPLIT, UNEVEN = 2048, 512, 3
 
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
@@ -129,6 +130,8 @@ def _anchors(batches: Batches) -> Batches:
             yield pa.RecordBatch.from_arrays([_longs(np.concatenate(c)) for c in (doc, h)], ["doc", "h"])
 
 
+#: Columns that a piece of an owner is known by.
+KEY = ["piece", "twin"]
 PIECE = "indexed boolean, owner long, words string, doc long, row long, start long"
 
 
@@ -191,14 +194,14 @@ def _split_pieces(batches: Batches) -> Batches:
 
 
 def _searched(batches: Batches) -> Batches:
-    """owner, piece, first, windows, h: the runs of a piece's windows that stand in its owner's shard at an id not over the
+    """owner, piece, twin, first, windows, h: the runs of a piece's windows that stand in its owner's shard at an id not over the
     owner's; and each other window with 0 windows and its hash.
 
-    Rows (shard, indexed, owner, words, piece) come shard by shard, a shard's indexed rows first.
+    Rows (shard, indexed, owner, words, piece, twin) come shard by shard, a shard's indexed rows first.
     """
     shard = None
     texts: list[tuple[int, list[str]]] = []
-    pieces: list[tuple[int, int, list[str]]] = []
+    pieces: list[tuple[int, int, int, list[str]]] = []
     index: FMIndex | None = None
     number: dict[str, int] = {}
     rank: np.ndarray = np.zeros(0, np.int64)
@@ -220,10 +223,10 @@ def _searched(batches: Batches) -> Batches:
         if texts:
             build()
         if pieces:
-            names = ["owner", "piece", "first", "windows", "h"]
-            owner, piece = (np.array([p[i] for p in pieces], np.int64) for i in (0, 1))
+            names = ["owner", "piece", "twin", "first", "windows", "h"]
+            owner, piece, twin = (np.array([p[i] for p in pieces], np.int64) for i in range(3))
             get = number.get
-            coded = [np.array([get(w, -1) for w in words]) for _, _, words in pieces]
+            coded = [np.array([get(w, -1) for w in words]) for *_, words in pieces]
             sizes = np.array([len(x) for x in coded])
             windows = sizes - WINDOW + 1
             if index is not None:
@@ -236,19 +239,19 @@ def _searched(batches: Batches) -> Batches:
             first, last = np.flatnonzero(hit & ~np.append(False, goes_on[:-1])), np.flatnonzero(hit & ~goes_on)
             if len(first):
                 k = of[first]
-                yield pa.RecordBatch.from_arrays([_longs(x) for x in (owner[k], piece[k], first - at[k], last - first + 1)] + [pa.nulls(len(k), pa.int64())], names)
+                yield pa.RecordBatch.from_arrays([_longs(x) for x in (owner[k], piece[k], twin[k], first - at[k], last - first + 1)] + [pa.nulls(len(k), pa.int64())], names)
             rest = np.flatnonzero(~hit)
             if len(rest):
                 some = np.unique(of[rest])
-                h = grams(words_of(" ".join(w for i in some for w in pieces[i][2]).encode())[2], WINDOW)
+                h = grams(words_of(" ".join(w for i in some for w in pieces[i][3]).encode())[2], WINDOW)
                 word = np.zeros(len(pieces), np.int64)
                 word[some] = np.cumsum(sizes[some]) - sizes[some]
                 k = of[rest]
-                yield pa.RecordBatch.from_arrays([_longs(x) for x in (owner[k], piece[k], rest - at[k], np.zeros(len(k), np.int64), h[word[k] + rest - at[k]])], names)
+                yield pa.RecordBatch.from_arrays([_longs(x) for x in (owner[k], piece[k], twin[k], rest - at[k], np.zeros(len(k), np.int64), h[word[k] + rest - at[k]])], names)
         pieces.clear()
 
     for b in batches:
-        for s, indexed, owner, words, piece in zip(*(c.to_pylist() for c in b.columns), strict=True):
+        for s, indexed, owner, words, piece, twin in zip(*(c.to_pylist() for c in b.columns), strict=True):
             if s != shard:
                 yield from search()
                 shard, index = s, None
@@ -256,41 +259,49 @@ def _searched(batches: Batches) -> Batches:
             if indexed:
                 texts.append((owner, words.split(" ")))
             else:
-                pieces.append((owner, piece, words.split(" ")))
+                pieces.append((owner, piece, twin, words.split(" ")))
                 if len(pieces) == PIECES:
                     yield from search()
     yield from search()
 
 
 def _search(pieces: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """What the indexes say of each piece (``_searched``), stored; and the searched pieces (owner, piece, words).
+    """What the indexes say of each piece (``_searched``), stored; and the searched pieces (owner, KEY, words).
 
     A shard that is asked for far more pieces than others is built in several tasks, each of which gets a part of them.
     """
     spark = pieces.sparkSession
     # An owner's text may stand there more than once; equal pieces of an owner are searched once.
-    asked = stored(pieces.groupBy("indexed", "owner", "piece").agg(F.min("words").alias("words")), "asked")
+    asked = stored(pieces.groupBy("indexed", "owner", *KEY).agg(F.min("words").alias("words")), "asked")
     size, n = asked.agg(F.sum(F.when(F.col("indexed"), F.length("words"))), F.count_if(~F.col("indexed"))).first()
     shards = max(SHARDS_PER_PARTITION * int(spark.conf.get("spark.sql.shuffle.partitions")), (size or 0) // (6 * SHARD_WORDS))
-    most = max(PIECES, UNEVEN * n // shards)
+    most = max(LEAST_SPLIT, UNEVEN * n // shards)
     asked = asked.withColumn("shard", F.pmod(F.xxhash64("owner"), F.lit(shards)))
     busy = asked.filter("NOT indexed").groupBy("shard").agg(F.ceil(F.count("*") / most).cast("int").alias("parts")).filter("parts > 1")
     parts = F.coalesce(F.col("parts"), F.lit(1))
     own = F.when(F.col("indexed"), F.sequence(F.lit(0), parts - 1)).otherwise(F.array(F.pmod(F.xxhash64("piece"), parts).cast("int")))
-    dealt = asked.join(busy, "shard", "left").withColumn("part", F.explode(own)).withColumn("shard", F.col("shard") * 2**20 + F.col("part"))
-    dealt = dealt.select("shard", "indexed", "owner", "words", "piece").repartition("shard").sortWithinPartitions("shard", F.desc("indexed"))
-    found = dealt.mapInArrow(_searched, "owner long, piece long, first long, windows long, h long")
-    return stored(found, "found"), asked.filter("NOT indexed").select("owner", "piece", "words")
+    dealt = split_join(asked, busy, "shard", "left").withColumn("part", F.explode(own)).withColumn("shard", F.col("shard") * 2**20 + F.col("part"))
+    dealt = dealt.select("shard", "indexed", "owner", "words", *KEY).repartition("shard").sortWithinPartitions("shard", F.desc("indexed"))
+    found = dealt.mapInArrow(_searched, "owner long, piece long, twin long, first long, windows long, h long")
+    return stored(found, "found"), asked.filter("NOT indexed").select("owner", *KEY, "words")
+
+
+def _keyed(pieces: DataFrame) -> DataFrame:
+    """With two independent hashes of the words: equal pieces of an owner are known by both."""
+    return pieces.withColumns({"piece": F.xxhash64("words"), "twin": F.xxhash64(F.lit(1), "words")})
 
 
 def _spans_of(places: DataFrame, found: DataFrame) -> DataFrame:
-    """row, span: the confirmed windows of each place of each piece."""
-    hits = found.filter("windows > 0").select("owner", "piece", "first", "windows")
-    return places.join(hits, ["owner", "piece"]).select("row", F.struct((F.col("start") + F.col("first")).alias("first"), "windows").alias("span"))
+    """doc, row, span: the confirmed windows of each place of each piece."""
+    hits = found.filter("windows > 0").select("owner", *KEY, "first", "windows")
+    return places.join(hits, ["owner", *KEY]).select("doc", "row", F.struct((F.col("start") + F.col("first")).alias("first"), "windows").alias("span"))
 
 
 def repeats(docs: DataFrame) -> DataFrame:
-    """row, spans: for each row of ``docs`` (row, doc, text) that has any, the windows to remove (first, windows), stored."""
+    """doc, row, spans: for each row of ``docs`` (row, doc, text) that has any, the windows to remove (first, windows), stored.
+
+    ``row`` tells rows of one id with different texts apart.
+    """
     spark = docs.sparkSession
     with temporary(spark) as keep:
         out = _repeats(docs)
@@ -305,26 +316,26 @@ def _repeats(docs: DataFrame) -> DataFrame:
     with temporary(spark) as keep:  # all anchors are many; the shared ones are few
         every = stored(rows.select("doc", "text").mapInArrow(_anchors, "doc long, h long"), "anchors")
         shared = every.groupBy("h").agg(F.min("doc").alias("owner"), F.count("*").alias("n")).filter("n > 1").select("h", "owner")
-        anchors = stored(every.join(shared, "h").groupBy("doc").agg(F.collect_list("h").alias("hs"), F.collect_list("owner").alias("owners")), "anchors")
+        anchors = stored(split_join(every, shared, "h").groupBy("doc").agg(F.collect_list("h").alias("hs"), F.collect_list("owner").alias("owners")), "anchors")
         keep(anchors)
     del every, shared
     free_shuffles(spark)
     pieces = rows.join(anchors, "doc").select("row", "doc", "text", "hs", "owners").mapInArrow(_pieces, PIECE)
-    pieces = stored(pieces.withColumn("piece", F.xxhash64("words")), "pieces")
+    pieces = stored(_keyed(pieces), "pieces")
     free_shuffles(spark)
-    places = pieces.filter("NOT indexed").select("owner", "piece", "doc", "row", "start")
+    places = pieces.filter("NOT indexed").select("owner", *KEY, "doc", "row", "start")
     found, asked = _search(pieces)
     spans = _spans_of(places, found)
     # What the anchors' owners don't have, by the windows' own hashes.
-    rest = places.join(found.filter("windows = 0").select("owner", "piece", "first", "h"), ["owner", "piece"])
+    rest = places.join(found.filter("windows = 0").select("owner", *KEY, "first", "h"), ["owner", *KEY])
     owned = rest.groupBy("h").agg(F.min("doc").alias("_owner"), F.max("doc").alias("_last")).filter("_owner < _last").select("h", "_owner")
-    again = rest.join(owned, "h").groupBy("owner", "piece", "doc", "row", "start").agg(F.collect_list(F.struct("first", F.col("_owner").alias("owner"))).alias("windows"))
-    again = again.join(asked, ["owner", "piece"]).select("doc", "row", "start", "words", "windows").mapInArrow(_split_pieces, PIECE)
-    again = stored(again.withColumn("piece", F.xxhash64("words")), "pieces")
+    again = rest.join(owned, "h").groupBy("owner", *KEY, "doc", "row", "start").agg(F.collect_list(F.struct("first", F.col("_owner").alias("owner"))).alias("windows"))
+    again = again.join(asked, ["owner", *KEY]).select("doc", "row", "start", "words", "windows").mapInArrow(_split_pieces, PIECE)
+    again = stored(_keyed(again), "pieces")
     free_shuffles(spark)
     found, _ = _search(again)
     spans = spans.unionByName(_spans_of(again.filter("NOT indexed"), found))
-    return stored(spans.groupBy("row").agg(F.collect_set("span").alias("spans")), "spans")
+    return stored(spans.groupBy("doc", "row").agg(F.collect_set("span").alias("spans")), "spans")
 
 
 def _kept(data: bytes, firsts: np.ndarray, windows: np.ndarray) -> tuple[int, list[bytes], np.ndarray]:
@@ -341,11 +352,11 @@ def _kept(data: bytes, firsts: np.ndarray, windows: np.ndarray) -> tuple[int, li
 def _with_spans(docs: DataFrame) -> DataFrame:
     """The rows and, behind their columns, two more: the first windows and the numbers of windows to remove."""
     small_batches(docs.sparkSession)
-    key, firsts, windows = (fresh(docs, c) for c in ("_row", "_firsts", "_windows"))
-    keyed = docs.withColumn(key, F.xxhash64(F.col("doc_id").cast("long"), "text"))
-    spans = repeats(keyed.select(F.col(key).alias("row"), F.col("doc_id").cast("long").alias("doc"), "text"))
-    spans = spans.select(F.col("row").alias(key), F.col("spans.first").alias(firsts), F.col("spans.windows").alias(windows))
-    return keyed.join(spans, key, "left").drop(key)
+    doc, key, firsts, windows = (fresh(docs, c) for c in ("_doc", "_row", "_firsts", "_windows"))
+    keyed = docs.withColumns({doc: F.col("doc_id").cast("long"), key: F.xxhash64("text")})
+    spans = repeats(keyed.select(F.col(key).alias("row"), F.col(doc).alias("doc"), "text"))
+    spans = spans.select(F.col("doc").alias(doc), F.col("row").alias(key), F.col("spans.first").alias(firsts), F.col("spans.windows").alias(windows))
+    return keyed.join(spans, [doc, key], "left").drop(doc, key)
 
 
 def _spans(b: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray]]:
