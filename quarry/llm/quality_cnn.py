@@ -1,16 +1,18 @@
 """Quality classifier: a byte-level convolutional network in numpy.
 
 A text's UTF-8 bytes are cut into overlapping chunks that cover the whole document. Learned filters of
-``WIDTH`` bytes run over every chunk, a rectifier and a max-pool leave one number for each filter and chunk,
-and the chunks' pooled numbers are combined (their mean and their maximum over the document) by a small
+``WIDTH`` bytes run over every chunk, at every second byte; a rectifier and a max-pool leave one number for each filter and
+chunk, and the chunks' pooled numbers are combined (their mean and their maximum over the document) by a small
 dense layer into one probability. The first layer is a sum of table rows, one table for each pair of
 neighbouring bytes in the filter, so scoring needs no multiplication per byte.
 
-Training takes a bounded sample of labelled rows (``TRAIN_ROWS``, half of each class where there are enough)
-and a fixed number of steps, so its cost doesn't grow with the corpus; every document is scored whole.
+Training takes a bounded sample of labelled rows (at most ``TRAIN_ROWS`` of at most ``TRAIN_BYTES`` in all, half of each class
+where there are enough), each with all its chunks, and a fixed number of steps, so its cost doesn't grow with the corpus;
+every document is scored whole.
 
-Null and empty texts score as a document of one blank chunk. Repeated rows get equal scores. Without a label
-of either class every score is the share of label 1 (0.5 without labels).
+Null and empty texts score as a document of one blank chunk. Repeated rows get equal scores. Rows of a null id are scored and
+teach nothing. Extra columns take no part. Without a label of either class every score is the share of label 1 (0.5 without
+labels).
 """
 
 from __future__ import annotations
@@ -23,28 +25,27 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.common import SLICE_ROWS, fold, only, rows_of, small_batches
+from quarry.llm.common import SLICE_ROWS, fold, only, rows_of, small_batches, stored
 
 CHUNK, OVERLAP = 256, 32
 WIDTH, FILTERS = 8, 24
 HIDDEN = 16
-#: Bounds of the training sample: rows, and chunks taken from one document (spread evenly over it).
-TRAIN_ROWS, TRAIN_CHUNKS = 3000, 6
-STEPS, BATCH, RATE = 1500, 48, 4e-3
+#: Bounds of the training sample: rows, and the bytes of their whole texts.
+TRAIN_ROWS, TRAIN_BYTES = 3000, 12 << 20
+STEPS, BATCH, RATE = 1200, 48, 4e-3
 #: This share of a batch shows a short cut of the document instead, so that short texts are learned too.
 SHORT_SHARE = 0.25
 SCORE_CHUNKS = 128
 PAD = 32
 
 
-def chunks_of(data: bytes, most: int | None = None) -> np.ndarray:
-    """Rows of ``CHUNK`` bytes that together cover ``data``, each overlapping the last; ``most``: evenly spaced ones only."""
+def chunks_of(data: bytes) -> np.ndarray:
+    """Rows of ``CHUNK`` bytes that together cover ``data``, each overlapping the last."""
     step = CHUNK - OVERLAP
     n = max(1, -(-(len(data) - OVERLAP) // step))
     padded = np.full((n - 1) * step + CHUNK, PAD, np.uint8)
     padded[: len(data)] = np.frombuffer(data, np.uint8)
-    rows = np.lib.stride_tricks.sliding_window_view(padded, CHUNK)[::step]
-    return rows if most is None or n <= most else rows[np.linspace(0, n - 1, most).astype(int)]
+    return np.lib.stride_tricks.sliding_window_view(padded, CHUNK)[::step]
 
 
 @dataclass
@@ -106,11 +107,14 @@ def _gradients(net: ByteCNN, rows: np.ndarray, doc: np.ndarray, n_docs: int, lab
     """Gradients of the weighted log loss for a batch: ``rows`` are chunks, ``doc`` the document of each."""
     n = CHUNK // 2 - WIDTH // 2 + 1
     at = rows[:, : 2 * (n + WIDTH // 2 - 1)]
-    conv = np.zeros((len(rows), n, FILTERS), np.float32)
-    for i in range(WIDTH):
-        conv += net.table[i][at[:, i : i + 2 * n : 2]]
-    where = conv.argmax(1)
-    peak = np.take_along_axis(conv, where[:, None], 1)[:, 0] + net.bias
+    where, peak = np.zeros((len(rows), FILTERS), np.int64), np.zeros((len(rows), FILTERS), np.float32)
+    for lo in range(0, len(rows), SCORE_CHUNKS):  # a long document's chunks are never held filtered all at once
+        part = at[lo : lo + SCORE_CHUNKS]
+        conv = net.table[0][part[:, 0 : 2 * n : 2]]
+        for i in range(1, WIDTH):
+            conv += net.table[i][part[:, i : i + 2 * n : 2]]
+        here = where[lo : lo + SCORE_CHUNKS] = conv.argmax(1)
+        peak[lo : lo + SCORE_CHUNKS] = np.take_along_axis(conv, here[:, None], 1)[:, 0] + net.bias
     best = np.maximum(peak, 0)
     count = np.bincount(doc, minlength=n_docs).astype(np.float32)
     mean = np.zeros((n_docs, FILTERS), np.float32)
@@ -137,7 +141,7 @@ def _gradients(net: ByteCNN, rows: np.ndarray, doc: np.ndarray, n_docs: int, lab
 def train(texts: list[bytes], labels: np.ndarray, steps: int = STEPS, seed: int = 7) -> ByteCNN:
     """Adam over a fixed number of batches, with both classes equally often in each."""
     net, r = ByteCNN.start(seed), np.random.default_rng(seed)
-    sets = [chunks_of(t, TRAIN_CHUNKS) for t in texts]
+    sets = [chunks_of(t) for t in texts]
     cuts = []
     for t in texts:
         size = int(r.integers(24, CHUNK))
@@ -163,10 +167,21 @@ def train(texts: list[bytes], labels: np.ndarray, steps: int = STEPS, seed: int
     return net
 
 
-def training_sample(docs: DataFrame, labels: DataFrame, label: str, folds: int, held: int, rows: int) -> list[tuple[bytes, int]]:
-    """Up to ``rows / 2`` labelled documents of each class outside the held-out fold, in the order of a hash of their ids.
+def within(rows: list[tuple[int, int, int]], most: int) -> set[int]:
+    """Of (order, id, bytes) the ids that are taken, in their order, as long as all taken have at most ``most`` bytes; one that would pass it is left out."""
+    taken, size = set(), 0
+    for _, i, n in sorted(rows):
+        if size + n <= most:
+            taken.add(i)
+            size += n
+    return taken
+
 
-    Labels of a null id or of no value teach nothing; a document with conflicting labels counts once with each.
+def training_sample(docs: DataFrame, labels: DataFrame, label: str, folds: int, held: int, rows: int, size: int) -> list[tuple[bytes, int]]:
+    """Up to ``rows / 2`` labelled documents of each class outside the held-out fold, whole, with up to ``size / 2`` bytes, in the order of a hash of their ids.
+
+    Labels of a null id or of no value teach nothing; a document with conflicting labels counts once with each, and one with
+    several texts by the least of them. The rows are stored first, and only those within the bytes reach the driver.
     """
     known = only(labels, "doc_id", label).filter(f"doc_id IS NOT NULL AND `{label}` IN (0, 1)").distinct()
     known = known.filter(fold(F.col("doc_id"), folds) != held)
@@ -175,20 +190,21 @@ def training_sample(docs: DataFrame, labels: DataFrame, label: str, folds: int,
         part = known.filter(F.col(label) == kind).orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows // 2)
         ids = part if ids is None else ids.unionByName(part)
     found = only(docs, "doc_id", "text").join(F.broadcast(ids), "doc_id")  # at most `rows` ids
-    found = found.groupBy("doc_id", label).agg(F.min("text").alias("text")).select(label, F.col("text").cast("binary").alias("text"), "doc_id")
+    found = found.groupBy("doc_id", F.col(label).cast("int").alias("label")).agg(F.min("text").alias("text")).withColumn("text", F.coalesce("text", F.lit("")).cast("binary"))
+    found = stored(found, "sample")
+    sizes = found.select("label", F.xxhash64("doc_id"), "doc_id", F.octet_length("text")).collect()  # at most `rows` rows of numbers
     out: list[tuple[int, bytes, int]] = []
-    for row in found.toLocalIterator():
-        data = bytes(row.text or b"")
-        out.append((row.doc_id, data, row[label]))
+    for kind in (0, 1):
+        taken = sorted(within([tuple(r[1:]) for r in sizes if r.label == kind], size // 2))
+        for row in found.filter((F.col("label") == kind) & F.col("doc_id").isin(taken)).toLocalIterator():
+            out.append((row.doc_id, bytes(row.text), kind))
     out.sort()
     return [(data, y) for _, data, y in out]
 
 
 def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", folds: int = 4, held: int = 2) -> tuple[ByteCNN | None, float]:
     """The network (none without both classes) and the share of label 1 in its sample (0.5 without labels)."""
-    sample = []
-    for data, y in training_sample(docs, labels, label, folds, held, TRAIN_ROWS):
-        sample.append((chunks_of(data, TRAIN_CHUNKS).tobytes() if len(data) > CHUNK * TRAIN_CHUNKS else data, y))
+    sample = training_sample(docs, labels, label, folds, held, TRAIN_ROWS, TRAIN_BYTES)
     y = np.array([s[1] for s in sample])
     return train([s[0] for s in sample], y) if len(set(y)) == 2 else None, float(y.mean()) if len(y) else 0.5
 

@@ -4,11 +4,13 @@ A document is a bag of sentences; a sentence's score is a logistic function of i
 document's is ``1 - prod(1 - sentence)``. Only documents carry labels: the gradient of the document's log loss
 reaches the sentences through the noisy-or, so the model learns which ones offend and can point at them.
 
-The model is fitted on a bounded sample of labelled rows (``TRAIN_ROWS``) with a fixed number of passes; every
-document is scored whole. A feature that fewer than ``MIN_DOCS`` sampled documents hold has no weight.
+The model is fitted on a bounded sample of labelled rows (at most ``TRAIN_ROWS`` of at most ``TRAIN_BYTES`` in all), whole, with
+a fixed number of passes; every document is scored whole. A feature that fewer than ``MIN_DOCS`` sampled documents hold has
+no weight.
 
-Null and empty texts have no sentence and score 0, with no worst sentence. Sentences end at ``.``, ``!``, ``?``
-or a line break, or after ``LONGEST`` words. Without a label of either class every score is the share of label 1
+Null and empty texts have no sentence and score 0, with no worst sentence. Repeated rows get equal scores; rows of a null id
+are scored and teach nothing; extra columns take no part. Sentences end at ``.``, ``!``, ``?`` or a line break, or after
+``LONGEST`` words. Without a label of either class every score is the share of label 1
 (0 without labels).
 """
 
@@ -28,9 +30,11 @@ from quarry.llm.quality_cnn import training_sample
 
 LONGEST = 64
 #: Bounds of the training sample.
-TRAIN_ROWS, MIN_DOCS = 4000, 6
+TRAIN_ROWS, TRAIN_BYTES, MIN_DOCS = 4000, 24 << 20, 6
 PASSES, RATE, L1, SCREEN = 300, 2.0, 2e-4, 4.0
 START_BIAS, HIGHEST_BIAS = -6.0, -4.0
+#: A sentence of this score or more is named.
+OFFENDS = 0.5
 
 _WORD = re.compile(r"\w+|[.!?\n]")
 _END = {".", "!", "?", "\n"}
@@ -79,9 +83,10 @@ class NoisyOr:
         z = self.words[w] = sum(self.weights.get(x, 0.0) for x in set(features(w)))
         return z
 
-    def document(self, text: str) -> tuple[float, float, int, int, int]:
-        """Score of the document, of its worst sentence with that one's span, and the number of sentences at 0.5 or more."""
-        log_clean, worst, offending = 0.0, (-1.0, -1, -1), 0
+    def document(self, text: str) -> tuple[float, float, int, int, list[tuple[int, int, float]]]:
+        """Score of the document, of its worst sentence with that one's span, and every sentence at OFFENDS or more (start, end, score)."""
+        log_clean, worst = 0.0, (-1.0, -1, -1)
+        offending: list[tuple[int, int, float]] = []
         for words, lo, hi in sentences(text):
             z = self.bias
             for w in set(words):
@@ -89,7 +94,8 @@ class NoisyOr:
                 z += self.word(w) if known is None else known
             p = 1 / (1 + math.exp(-z)) if z > -30 else 0.0
             log_clean += math.log1p(-min(p, 1 - 1e-12))
-            offending += p >= 0.5
+            if p >= OFFENDS:
+                offending.append((lo, hi, p))
             if p > worst[0]:
                 worst = (p, lo, hi)
         return -math.expm1(log_clean), worst[0], worst[1], worst[2], offending
@@ -143,21 +149,23 @@ def train(sample: list[tuple[str, int]]) -> NoisyOr:
 
 
 def score(docs: DataFrame, labels: DataFrame, label: str = "toxic", folds: int = 5, held: int = 0, threshold: float = 0.5) -> DataFrame:
-    """doc_id, held_out, score, predicted, and the worst sentence's score and span, of every row of ``docs``."""
-    sample = [(data.decode("utf-8", "replace"), y) for data, y in training_sample(docs, labels, label, folds, held, TRAIN_ROWS)]
+    """doc_id, held_out, score, predicted, the worst sentence's score and span, and all offending sentences, of every row of ``docs``."""
+    sample = [(data.decode("utf-8", "replace"), y) for data, y in training_sample(docs, labels, label, folds, held, TRAIN_ROWS, TRAIN_BYTES)]
     kinds = {y for _, y in sample}
     constant = sum(y for _, y in sample) / len(sample) if sample else 0.0
     shared = docs.sparkSession.sparkContext.broadcast((train(sample) if len(kinds) == 2 else None, constant))
-    schema = "doc_id long, score double, sentence_score double, sentence_start int, sentence_end int, offending int"
+    schema = "doc_id long, score double, sentence_score double, sentence_start int, sentence_end int, offending array<struct<start:int,end:int,score:double>>"
+    kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("score", pa.float64())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         net, constant = shared.value
         for doc_id, text in rows_of(batches):
-            found = [net.document(t or "") if net else (constant, -1.0, -1, -1, 0) for t in text]
+            found = [net.document(t or "") if net else (constant, -1.0, -1, -1, []) for t in text]
             s, w, lo, hi, n = (list(x) for x in zip(*found, strict=True))
             none = [x < 0 for x in lo]
             cols = [pa.array(doc_id, pa.int64()), pa.array(s, pa.float64()), pa.array([None if z else x for x, z in zip(w, none, strict=True)], pa.float64())]
-            cols += [pa.array([None if z else x for x, z in zip(v, none, strict=True)], pa.int32()) for v in (lo, hi)] + [pa.array(n, pa.int32())]
+            cols += [pa.array([None if z else x for x, z in zip(v, none, strict=True)], pa.int32()) for v in (lo, hi)]
+            cols.append(pa.array([[dict(zip(("start", "end", "score"), x, strict=True)) for x in some] for some in n], kind))
             yield pa.RecordBatch.from_arrays(cols, ["doc_id", "score", "sentence_score", "sentence_start", "sentence_end", "offending"])
 
     out = only(docs, "doc_id", "text").withColumn("doc_id", F.col("doc_id").cast("long")).mapInArrow(run, schema)

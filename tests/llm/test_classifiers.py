@@ -103,6 +103,55 @@ def test_tables_of_pairs_give_the_same_as_the_filters():
         assert np.allclose(fast[:, place], slow, atol=1e-4)
 
 
+def test_the_sample_is_bounded_by_bytes_and_whole(spark, make):
+    docs = make([(1, "a" * 400), (1, "a" * 500), (2, "b" * 900), (3, "c" * 300), (4, None), (5, "e" * 100), (6, "ü" * 50)])
+    labels = spark.createDataFrame([(i, int(i > 3), 0) for i in range(1, 8)], "doc_id long, quality int, toxic int")
+    ids = [i for i in range(1, 7) if fold(i, 4) != 2]
+    whole = {1: b"a" * 400, 2: b"b" * 900, 3: b"c" * 300, 4: b"", 5: b"e" * 100, 6: "ü".encode() * 50}
+    got = Q.training_sample(docs, labels, "quality", 4, 2, 100, 1 << 20)
+    assert got == [(whole[i], int(i > 3)) for i in ids]
+    assert sum(len(t) for t, y in Q.training_sample(docs, labels, "quality", 4, 2, 100, 800) if y == 0) <= 400
+    assert len(Q.training_sample(docs, labels, "quality", 4, 2, 2, 1 << 20)) == 2
+    assert Q.within([(3, 30, 5), (1, 10, 4), (2, 20, 9), (4, 40, 1)], 10) == {10, 30, 40}
+
+
+def plain_score(net, data):
+    """The network's probability of a document, one place and chunk at a time."""
+    step = Q.CHUNK - Q.OVERLAP
+    pooled = []
+    for lo in range(0, max(1, len(data) - Q.OVERLAP), step):
+        chunk = data[lo : lo + Q.CHUNK].ljust(Q.CHUNK, b" ")
+        places = [sum(net.table[i][chunk[p + i]] for i in range(Q.WIDTH)) for p in range(0, Q.CHUNK - Q.WIDTH + 1, 2)]
+        pooled.append(np.maximum(np.max(places, axis=0) + net.bias, 0))
+    x = np.concatenate([np.mean(pooled, axis=0), np.max(pooled, axis=0)])
+    z = np.maximum(x @ net.w1 + net.b1, 0) @ net.w2 + net.b2[0]
+    return 1 / (1 + np.exp(-z))
+
+
+def test_scores_are_those_of_the_network(judged):
+    docs, labels, _ = judged
+    net, _ = Q.fit(docs, labels)
+    got = {r.doc_id: r.score for r in Q.score(docs, labels).collect()}
+    for r in docs.filter("doc_id % 40 = 3").collect():
+        assert got[r.doc_id] == pytest.approx(plain_score(net, r.text.encode()), abs=1e-4)
+
+
+def test_toxic_scores_are_noisy_or(judged):
+    docs, labels, _ = judged
+    found = {r.doc_id: r for r in M.score(docs, labels).collect()}
+    sample = Q.training_sample(docs, labels, "toxic", 5, 0, M.TRAIN_ROWS, M.TRAIN_BYTES)
+    net = M.train([(t.decode(), y) for t, y in sample])
+    for r in docs.collect():
+        parts = []
+        for words_, lo, hi in M.sentences(r.text):
+            z = net.bias + sum(sum(net.weights.get(x, 0.0) for x in set(M.features(w))) for w in set(words_))
+            parts.append((lo, hi, 1 / (1 + np.exp(-z))))
+        got = found[r.doc_id]
+        assert got.score == pytest.approx(1 - np.prod([1 - p for *_, p in parts]), abs=1e-9)
+        assert [(x.start, x.end) for x in got.offending] == [(lo, hi) for lo, hi, p in parts if p >= 0.5]
+        assert got.sentence_score == pytest.approx(max(p for *_, p in parts))
+
+
 def test_gradients_by_differences():
     r = np.random.default_rng(1)
     net = Q.ByteCNN.start(3)
@@ -133,7 +182,9 @@ def test_noisy_or():
     p = 1 / (1 + np.exp(4.0))
     total, worst, lo, hi, n = m.document("fine words. so bad here! end")
     bad = 1 / (1 + np.exp(-2.0))
-    assert total == pytest.approx(1 - (1 - p) ** 2 * (1 - bad)) and worst == pytest.approx(bad) and n == 1
+    assert total == pytest.approx(1 - (1 - p) ** 2 * (1 - bad)) and worst == pytest.approx(bad) and n == [(lo, hi, pytest.approx(bad))]
+    text = "so bad here. fine words! bad"
+    assert [text[a:b] for a, b, _ in m.document(text)[4]] == ["so bad here", "bad"]
     assert "fine words. so bad here! end"[lo:hi] == "so bad here"
-    assert m.document("") == (0.0, -1.0, -1, -1, 0)
+    assert m.document("") == (0.0, -1.0, -1, -1, [])
     assert len(list(M.sentences("w " * 200))) == 4
