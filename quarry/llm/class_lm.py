@@ -42,7 +42,7 @@ SWEEPS, ROUNDS = 6, 2
 #: Weight of a class's own share in a transition.
 SMOOTH = 8.0
 SEED = 42
-KEPT_WORDS = 300_000
+KEPT_WORDS = 150_000
 
 
 def words_of(text: str | None) -> list[bytes]:
