@@ -1,14 +1,15 @@
 """Code blocks and code sections of markdown.
 
-``code_blocks`` is an expression: the text is split at fences, every second part is code, and its surroundings are
-read by offsets. Sections look forwards and backwards line by line; they come from an Arrow UDF.
+A text is split at its fences; every second part that a fence follows is code. One pass over the parts, with a running offset,
+gives blocks with their surroundings and positions for sections, which look forwards and backwards line by line. Both come
+from Arrow functions: where a part stands depends on all parts before it.
 """
 
 from __future__ import annotations
 
 import re
 from collections import Counter
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import Column
@@ -36,53 +37,6 @@ CONTINUES = [r"then\s*:", r"next\s*:", r"also\s*:", r"similarly\s*:", r"example\
 NEAR, LEAST_CODE, LEAST_SECTION = 2000, 100, 500
 
 
-def _trim(text: Column) -> Column:
-    return F.regexp_replace(text, r"(?U)^\s+|\s+$", "")
-
-
-def _let(value: Column, body: Callable[[Column], Column]) -> Column:
-    """``body`` of a value that is computed once, however often it is used."""
-    return F.element_at(F.transform(F.array(value), body), 1)
-
-
-def code_blocks(text: Column, min_length: int = 1000) -> Column:
-    """Array of the fenced blocks of at least ``min_length`` characters, with up to 1000 characters on each side.
-
-    A text that starts with a fence is read as if its first three characters weren't there; a fence without a partner
-    is no block.
-    """
-    skip = F.when(F.substring(_trim(text), 1, 3) == FENCE, 3).otherwise(0)
-    cut = F.struct(skip.alias("skip"), F.split(F.substring(text, skip + 1, F.length(text)), FENCE).alias("parts"))
-
-    def ends(c: Column) -> Column:
-        """Where each part ends in the text."""
-        sizes = F.transform(c["parts"], F.length)
-        return F.transform(sizes, lambda _, i: c["skip"] + F.aggregate(F.slice(sizes, 1, i + 1), F.lit(0), lambda n, x: n + x) + 3 * i)
-
-    def block(part: Column, start: Column, end: Column) -> Column:
-        head = F.substring(part, F.lit(1), F.instr(part, "\n") - 1)
-        first = F.when(F.instr(part, "\n") > 0, _trim(head)).otherwise("")
-
-        def found(language: Column) -> Column:
-            named = (language != "") & (~language.contains(" ")) & (F.length(language) < 20)
-            code = _trim(F.when(named, F.substring(part, F.instr(part, "\n") + 1, F.length(part))).otherwise(part))
-            return F.struct(code.alias("code"), F.when(named, language).otherwise("").alias("language"))
-
-        before = _trim(F.substring(text, F.greatest(start - CONTEXT, F.lit(0)) + 1, F.least(start, F.lit(CONTEXT))))
-        after = _trim(F.substring(text, end + 4, F.lit(CONTEXT)))
-        around = lambda b: F.struct(b["code"].alias("code"), b["language"].alias("language"), before.alias("context_before"), after.alias("context_after"))
-        return F.when(F.length(part) >= min_length, _let(_let(first, found), lambda b: F.when(F.length(b["code"]) >= min_length, around(b))))
-
-    def blocks(c: Column) -> Column:
-        return _let(ends(c), lambda e: F.transform(c["parts"], lambda p, i: F.when((i % 2 == 1) & (i < F.size(c["parts"]) - 1), block(p, F.element_at(e, i), F.element_at(e, i + 1)))))
-
-    def whole(b: Column) -> Column:
-        return F.struct(*[b[k].alias(k) for k in ("code", "language", "context_before", "context_after")], F.concat(b["context_before"], F.lit("\n\n"), b["code"], F.lit("\n\n"), b["context_after"]).alias("full_context"))
-
-    # Part i is code if i is odd and a fence follows it; its opening fence stands where the part before ends.
-    return F.transform(F.filter(_let(cut, blocks), lambda b: b.isNotNull()), whole)
-
-
 def is_js_like(language: Column, code: Column) -> Column:
     found = F.lower(language).isin(JS_LANGUAGES)
     for p in JS_PATTERNS:
@@ -99,17 +53,56 @@ _HEADER = re.compile(r"#{1,3}\s+")
 _RULE = re.compile(r"-{3,}|\*{3,}|_{3,}")
 
 
+def parts(text: str) -> Iterator[tuple[int, int, str]]:
+    """Where each fenced part's opening fence starts, where its closing one does, and what stands between.
+
+    A text that starts with a fence is read as if its first three characters weren't there; a fence without a partner opens
+    no part.
+    """
+    at = 3 if text.strip().startswith(FENCE) else 0
+    pieces = text[at:].split(FENCE)
+    for i, piece in enumerate(pieces):
+        if i % 2 and i < len(pieces) - 1:
+            yield at - len(FENCE), at + len(piece), piece
+        at += len(piece) + len(FENCE)
+
+
+def labelled(part: str, most: int | None = None) -> tuple[str, str]:
+    """Language and code of a part: its first line is a language if it is one word (of fewer than ``most`` characters)."""
+    head, line, body = part.partition("\n")
+    word = head.strip()
+    named = bool(line) and bool(word) and " " not in word and (most is None or len(word) < most)
+    return (word, body.strip()) if named else ("", part.strip())
+
+
+def blocks(text: str | None, min_length: int = 1000) -> list[dict]:
+    """The fenced blocks of at least ``min_length`` characters, with up to 1000 characters on each side."""
+    out = []
+    for start, end, part in parts(text or ""):
+        language, code = labelled(part, 20)
+        if len(part) >= min_length and len(code) >= min_length:
+            before, after = text[max(0, start - CONTEXT) : start].strip(), text[end + len(FENCE) : end + len(FENCE) + CONTEXT].strip()
+            out.append({"code": code, "language": language, "context_before": before, "context_after": after, "full_context": f"{before}\n\n{code}\n\n{after}"})
+    return out
+
+
+def code_blocks(text: Column, min_length: int = 1000) -> Column:
+    @F.pandas_udf(schemas.CODE_BLOCKS)
+    def run(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for t in texts:
+            yield t.map(lambda x: blocks(x, min_length))
+
+    return run(text)
+
+
 def positions(text: str) -> list[dict]:
     """Fenced blocks with at least 100 characters of code: start, end, language, code_length, is_js_like."""
-    out, at = [], 3 if text.strip().startswith(FENCE) else 0
-    while (start := text.find(FENCE, at)) >= 0 and (end := text.find(FENCE, start + 3)) >= 0:
-        head, line, body = text[start + 3 : end].partition("\n")
-        named = bool(line) and bool(head.strip()) and " " not in head.strip()
-        language, code = (head.strip(), body) if named else ("", text[start + 3 : end])
-        at = end + 3
-        if len(code.strip()) >= LEAST_CODE:
+    out = []
+    for start, end, part in parts(text):
+        language, code = labelled(part)
+        if len(code) >= LEAST_CODE:
             js = language.lower() in JS_LANGUAGES or any(p.search(code) for p in _JS)
-            out.append({"start": start, "end": at, "language": language, "code_length": len(code.strip()), "is_js_like": js})
+            out.append({"start": start, "end": end + len(FENCE), "language": language, "code_length": len(code), "is_js_like": js})
     return out
 
 
@@ -147,9 +140,8 @@ def _stop(text: str, at: int, reach: int) -> int:
 
 def sections(text: str | None, most: int = 4800) -> list[dict]:
     """Related code blocks with the text around them, cut at whole lines after ``most`` characters."""
-    blocks = positions(text or "")
     groups: list[list[dict]] = []
-    for b in blocks:
+    for b in positions(text or ""):
         if groups and _together(groups[-1][-1], b, text):
             groups[-1].append(b)
         else:

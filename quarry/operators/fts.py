@@ -1,12 +1,14 @@
 """Full-text search: terms with positions, conjunctive match, cover-density rank.
 
-A query never explodes a corpus: each text's tokens are filtered to the query's terms inside the row, so only their
-positions become rows. ``postings`` is the stored form for repeated use, sorted by term for row-group skipping.
+``postings`` is the stored form: a row for each term of a text with its positions, written in the order of terms, so that a
+query's filter on its terms skips all other row groups. Where no postings are stored, a query filters each text's tokens to
+its terms inside the row; a corpus is never exploded for a query.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import re
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
 import pandas as pd
@@ -30,23 +32,20 @@ WEIGHT = 0.1
 
 @dataclass(frozen=True)
 class Analyzer:
-    """How text becomes terms: lower-cased runs of letters and digits, stop words left out, stems if asked for."""
+    """How text becomes terms: lower-cased runs of letters and digits, stop words left out, English stems unless asked otherwise."""
 
-    stemmed: bool = False
+    stemmed: bool = True
     stop_words: bool = True
 
-    def tokens(self, text: Column) -> Column:
-        """array<string> of all tokens, stop words included (positions are places here)."""
+    def terms(self, text: Column) -> Column:
+        """array<string> of a text's terms, one for each token; "" for a stop word (its place counts)."""
         found = F.regexp_extract_all(F.lower(text), F.lit(TOKEN), F.lit(0))
+        if self.stop_words:
+            found = F.transform(found, lambda w: F.when(w.isin(STOP_WORDS), "").otherwise(w))
         return _stems(found) if self.stemmed else found
 
-    def stops(self) -> list[str]:
-        return sorted({stem(w) if self.stemmed else w for w in STOP_WORDS}) if self.stop_words else []
-
     def query_terms(self, query: str) -> list[str]:
         """The distinct terms that a text must hold, all of them."""
-        import re
-
         words = [w for w in re.findall(TOKEN, query.lower()) if not (self.stop_words and w in STOP_WORDS)]
         return list(dict.fromkeys(stem(w) if self.stemmed else w for w in words))
 
@@ -60,11 +59,36 @@ def _stems(tokens: Column) -> Column:
     return run(tokens)
 
 
-def postings(docs: DataFrame, id_col: str, text_col: str, analyzer: Analyzer | None = None) -> DataFrame:
+def _places(docs: DataFrame, text_col: str, a: Analyzer, keep: list[Column]) -> DataFrame:
+    """The ``keep`` columns, term, pos (from 1) of every term that isn't a stop word."""
+    out = docs.select(*keep, F.posexplode(a.terms(F.col(text_col))).alias("_p", "term"))
+    return out.filter("term <> ''").withColumn("pos", F.col("_p") + 1).drop("_p")
+
+
+def places(docs: DataFrame, id_col: str, text_col: str, analyzer: Analyzer | None = None) -> DataFrame:
     """id, term, pos (from 1) of every term that isn't a stop word."""
-    a = analyzer or Analyzer(stop_words=True)
-    out = docs.select(F.col(id_col).alias("id"), F.posexplode(a.tokens(F.col(text_col))).alias("_p", "term"))
-    return out.filter(~F.col("term").isin(a.stops())).select("id", "term", (F.col("_p") + 1).alias("pos")) if a.stops() else out.select("id", "term", (F.col("_p") + 1).alias("pos"))
+    return _places(docs, text_col, analyzer or Analyzer(), [F.col(id_col).alias("id")])
+
+
+def postings(docs: DataFrame, id_col: str, text_col: str, analyzer: Analyzer | None = None, keep: Sequence[str] = ()) -> DataFrame:
+    """term, id, positions (from 1, ascending) of every term of every text, and the columns ``keep``.
+
+    A text's terms are grouped inside its row: no shuffle is needed.
+    """
+    a = analyzer or Analyzer()
+    all_ = F.transform(a.terms(F.col(text_col)), lambda w, i: F.struct(w.alias("term"), (i + 1).alias("pos")))
+    sorted_ = F.array_sort(F.filter(all_, lambda x: x["term"] != ""))
+    rows = docs.select(F.col(id_col).alias("id"), *keep, sorted_.alias("_all"))
+    # runs of one term in the sorted places: where each starts, and the next one
+    starts = F.filter(F.sequence(F.lit(0), F.size("_all") - 1), lambda i: (i == 0) | (F.get("_all", i)["term"] != F.get("_all", i - 1)["term"]))
+    rows = rows.filter(F.size("_all") > 0).withColumn("_starts", starts)
+    run = lambda s, k: F.struct(F.get("_all", s)["term"].alias("term"), F.transform(F.slice("_all", s + 1, F.coalesce(F.get("_starts", k + 1), F.size("_all")) - s), lambda x: x["pos"]).alias("positions"))
+    return rows.select("id", *keep, F.inline(F.transform("_starts", run))).select("term", "id", *keep, "positions")
+
+
+def write_postings(rows: DataFrame, path: str) -> None:
+    """Postings as files in the order of their terms: each file holds a range of them."""
+    rows.repartitionByRange("term", "id").sortWithinPartitions("term", "id").write.mode("overwrite").parquet(path)
 
 
 def match(docs: DataFrame, query: str, text_col: str, analyzer: Analyzer | None = None) -> DataFrame:
@@ -73,7 +97,7 @@ def match(docs: DataFrame, query: str, text_col: str, analyzer: Analyzer | None
     terms = a.query_terms(query)
     if not terms:
         return docs.limit(0)
-    held = a.tokens(F.col(text_col))
+    held = a.terms(F.col(text_col))
     wanted = None
     for t in terms:
         one = F.array_contains(held, t)
@@ -87,8 +111,24 @@ def positions(docs: DataFrame, query: str, id_col: str, text_col: str, analyzer:
     """id, term, pos of the query's terms in the rows that match it."""
     a = analyzer or Analyzer()
     terms = a.query_terms(query)
-    places = F.filter(F.transform(a.tokens(F.col(text_col)), lambda w, i: F.struct(w.alias("term"), (i + 1).alias("pos"))), lambda x: x["term"].isin(terms or [""]))
-    return match(docs, query, text_col, a).select(F.col(id_col).alias("id"), F.inline(places))
+    found = F.filter(F.transform(a.terms(F.col(text_col)), lambda w, i: F.struct(w.alias("term"), (i + 1).alias("pos"))), lambda x: x["term"].isin(terms or [""]) & (x["term"] != ""))
+    one = docs.select(F.col(id_col).alias("id"), found.alias("_found")).filter(F.size(F.array_distinct(F.transform("_found", lambda x: x["term"]))) == len(terms))
+    return one.select("id", F.inline("_found"))
+
+
+def matching(stored: DataFrame, query: str, analyzer: Analyzer | None = None) -> DataFrame:
+    """term, id, positions of the query's terms in the texts that hold them all; only those terms' postings are read."""
+    terms = (analyzer or Analyzer()).query_terms(query)
+    found = stored.select("term", "id", "positions").filter(F.col("term").isin(terms or [""]))
+    whole = found.groupBy("id").agg(F.count_distinct("term").alias("_n")).filter(F.col("_n") == len(terms)).select("id")
+    return found.join(whole, "id")
+
+
+def rank_stored(stored: DataFrame, query: str, analyzer: Analyzer | None = None) -> DataFrame:
+    """id, text_rank of the texts that match the query, from stored postings alone."""
+    a = analyzer or Analyzer()
+    found = matching(stored, query, a).select("id", "term", F.explode("positions").alias("pos"))
+    return cover_density(found, a.query_terms(query) or [""])
 
 
 def cover_density(found: DataFrame, terms: list[str]) -> DataFrame:

@@ -1,7 +1,9 @@
 """Approximate vector search: an inverted file over k-means cells.
 
 Cells are fitted on a bounded sample (``SAMPLE``), every row is put into its nearest cell, and a query reads the
-cells nearest to it only: with the index written by cell, the others are pruned as partitions.
+cells nearest to it only: the index is written by cell, so the others are pruned as partitions. How many cells a query
+probes for a wanted recall is measured on the sample: vectors without clusters need most of them, and exact search is then
+as fast.
 """
 
 from __future__ import annotations
@@ -10,12 +12,14 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quarry.functions import vector
 
 SAMPLE, ROUNDS = 20_000, 12
+#: Rows of the sample that stand as queries to find how many cells to probe, and how many of their neighbours count.
+TRIED, NEAR = 256, 10
 
 
 def _unit(x: np.ndarray) -> np.ndarray:
@@ -23,12 +27,16 @@ def _unit(x: np.ndarray) -> np.ndarray:
     return np.divide(x, n, out=np.zeros_like(x), where=n > 0)
 
 
-def fit(df: DataFrame, cells: int = 100, id_col: str = "id", vector_col: str = "embedding", seed: int = 1) -> np.ndarray:
-    """Spherical k-means on the ``SAMPLE`` rows of the least id hashes."""
+def sample(df: DataFrame, id_col: str = "id", vector_col: str = "embedding") -> np.ndarray:
+    """The vectors, of length 1, of the ``SAMPLE`` rows of the least id hashes."""
     rows = df.filter(F.col(vector_col).isNotNull()).orderBy(F.xxhash64(id_col), id_col).limit(SAMPLE).select(vector_col).toArrow()
-    if not rows.num_rows:
-        return np.zeros((0, 0))
-    x = _unit(np.stack(rows[vector_col].to_pylist()).astype(float))
+    return _unit(np.stack(rows[vector_col].to_pylist()).astype(float)) if rows.num_rows else np.zeros((0, 0))
+
+
+def fit(x: np.ndarray, cells: int = 100, seed: int = 1) -> np.ndarray:
+    """Spherical k-means of a sample."""
+    if not len(x):
+        return x
     centres = x[np.random.default_rng(seed).choice(len(x), min(cells, len(x)), replace=False)]
     for _ in range(ROUNDS):
         near = (x @ centres.T).argmax(1)
@@ -39,6 +47,19 @@ def fit(df: DataFrame, cells: int = 100, id_col: str = "id", vector_col: str = "
     return centres
 
 
+def probes_for(x: np.ndarray, centres: np.ndarray, recall: float = 0.95) -> int:
+    """The fewest cells in which the first ``TRIED`` rows of a sample find this share of their ``NEAR`` nearest ones."""
+    if not len(x):
+        return 1
+    q = x[:TRIED]
+    near = np.argpartition(-(q @ x.T), min(NEAR, len(x) - 1), axis=1)[:, :NEAR]
+    cell = (x @ centres.T).argmax(1)
+    order = np.argsort(-(q @ centres.T), axis=1, kind="stable")
+    place = np.argsort(order, axis=1)  # of each cell in a query's order
+    needed = np.take_along_axis(place, cell[near], 1)
+    return next(n for n in range(1, len(centres) + 1) if (needed < n).mean() >= recall)
+
+
 def assign(df: DataFrame, centres: np.ndarray, id_col: str = "id", vector_col: str = "embedding") -> DataFrame:
     """id, embedding, cell of every row; rows without a vector are in cell -1."""
 
@@ -64,12 +85,37 @@ def topk(index: DataFrame, centres: np.ndarray, query: Sequence[float], k: int,
     return vector.topk(index.filter(F.col("cell").isin(probed(query, centres, probes))), query, k)
 
 
+def write(index: DataFrame, path: str) -> None:
+    """The index as files by cell."""
+    index.repartition("cell").write.mode("overwrite").partitionBy("cell").parquet(path)
+
+
+def read(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.schema("id long, embedding array<float>, cell int").parquet(path)
+
+
 def topk_batched(index: DataFrame, centres: np.ndarray, queries: Sequence[tuple[int, Sequence[float]]], k: int, probes: int = 10) -> DataFrame:
-    """query_id, id, similarity, rank: each query meets the rows of its own cells only."""
-    from pyspark.sql import Window
+    """query_id, id, similarity, rank: each query meets the rows of its own cells only, as one matrix product a cell and batch."""
+    ids = np.array([i for i, _ in queries], np.int64)
+    q = _unit(np.array([v for _, v in queries], float).reshape(len(queries), -1))
+    order = np.argsort(-(q @ centres.T), axis=1, kind="stable")[:, :probes] if len(centres) and len(q) else np.zeros((len(q), 0), int)
+    asks = {c: np.flatnonzero((order == c).any(1)) for c in np.unique(order)}
 
-    cells = [(qid, c, [float(v) for v in q]) for qid, q in queries for c in probed(q, centres, probes)]
-    wanted = index.sparkSession.createDataFrame(cells, "query_id long, cell int, query array<double>")
-    near = index.join(F.broadcast(wanted), "cell").select("query_id", "id", vector.cosine(F.col("embedding"), F.col("query")).alias("similarity"))  # a stated query set
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            cell = b.column(2).to_numpy(zero_copy_only=False)
+            for c in np.unique(cell):
+                if c not in asks:
+                    continue
+                part = b.filter(pa.array(cell == c))
+                x = _unit(part.column(1).flatten().to_numpy(zero_copy_only=False).astype(float).reshape(part.num_rows, -1))
+                rows = part.column(0).to_numpy()
+                sims = q[asks[c]] @ x.T
+                best = np.lexsort((np.broadcast_to(rows, sims.shape), -sims), axis=1)[:, :k]
+                found = [np.repeat(ids[asks[c]], best.shape[1]), rows[best].ravel(), np.take_along_axis(sims, best, 1).ravel()]
+                yield pa.RecordBatch.from_arrays([pa.array(v) for v in found], ["query_id", "id", "similarity"])
+
+    wanted = index.filter(F.col("cell").isin([int(c) for c in asks])).select("id", "embedding", "cell")
+    near = wanted.mapInArrow(run, "query_id long, id long, similarity double")
     by = Window.partitionBy("query_id").orderBy(F.desc_nulls_last("similarity"), "id")
     return near.withColumn("rank", F.row_number().over(by)).filter(F.col("rank") <= k)

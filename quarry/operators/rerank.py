@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quarry.plans.models import Scorer
+from quarry.config import Settings
+from quarry.plans.models import Scorer, load_scorer
 
 
 def pair_score(query: Column, text: Column, load: Callable[[], Scorer]) -> Column:
@@ -38,7 +39,7 @@ def reranked(results: DataFrame, score: Column, threshold: float | None = None,
     return out.orderBy(F.desc_nulls_last("rerank_score"), seq)
 
 
-def first_that_loads(paths: list[str], load: Callable[[str], Scorer]) -> Scorer | None:
+def first_that_loads(paths: Sequence[str], load: Callable[[str], Scorer] = load_scorer) -> Scorer | None:
     """The model of the first path that can be loaded (a local file, a URL, a default name); none if none can."""
     for p in paths:
         try:
@@ -46,3 +47,8 @@ def first_that_loads(paths: list[str], load: Callable[[str], Scorer]) -> Scorer
         except Exception:
             continue
     return None
+
+
+def scorer_of(settings: Settings) -> Scorer | None:
+    """The scorer that the settings name, where reranking is on."""
+    return first_that_loads(settings.reranker_paths) if settings.use_reranking else None

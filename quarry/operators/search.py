@@ -31,16 +31,22 @@ def _numbered(df: DataFrame, *order, name: str) -> DataFrame:
     return df.withColumn(name, F.row_number().over(Window.orderBy(*order)))
 
 
-def hybrid(table: DataFrame, query: Sequence[float], text: str, k: int = 10, wanted: dict[str, Any] | None = None, source: str | None = None, rrf_k: int = 60, text_col: str | None = None, analyzer: fts.Analyzer | None = None) -> DataFrame:
+def hybrid(table: DataFrame, query: Sequence[float], text: str, k: int = 10, wanted: dict[str, Any] | None = None, source: str | None = None, rrf_k: int = 60, text_col: str | None = None, analyzer: fts.Analyzer | None = None, postings: DataFrame | None = None) -> DataFrame:
     """Reciprocal rank fusion of the 2k nearest and the 2k best full-text rows: similarity, text_rank, hybrid_score of the k best.
 
-    A row of one arm only has 0 for the other's value. Code examples are searched as content and summary together.
+    A row of one arm only has 0 for the other's value. Code examples are searched as content and summary together. With stored
+    ``postings`` (term, id, positions) of the table the text arm reads no text, only the postings of the query's terms.
     """
-    searched = table if text_col else table.withColumn("_text", F.concat("content", F.lit(" "), "summary") if "summary" in table.columns else F.col("content"))
+    searched = table if text_col else table.withColumn("_text", F.concat_ws(" ", "content", "summary") if "summary" in table.columns else F.col("content"))
     kept = filters.where_metadata(searched, wanted, source)
     near = vector.topk(kept.select("id", "embedding"), query, 2 * k).select("id", "similarity")
     near = _numbered(near, F.desc_nulls_last("similarity"), "id", name="vector_rank")
-    found = fts.rank(kept, text, "id", text_col or "_text", analyzer)
+    if postings is None:
+        found = fts.rank(kept, text, "id", text_col or "_text", analyzer)
+    else:
+        found = fts.rank_stored(postings, text, analyzer)
+        if wanted or source is not None:
+            found = found.join(kept.select("id"), "id", "left_semi")
     found = _numbered(found.orderBy(F.desc("text_rank"), "id").limit(2 * k), F.desc("text_rank"), "id", name="text_place")
     part = lambda rank: F.coalesce(F.lit(1.0) / (F.lit(float(rrf_k)) + F.col(rank)), F.lit(0.0))
     fused = near.join(found, "id", "full_outer").select(
@@ -57,11 +63,19 @@ class SearchService:
 
     chunks: DataFrame
     code_examples: DataFrame | None = None
+    chunk_postings: DataFrame | None = None
+    code_postings: DataFrame | None = None
+    analyzer: fts.Analyzer = field(default_factory=fts.Analyzer)
     embedder: Embedder = field(default_factory=HashingEmbedder)
     llm: LLM = field(default_factory=NoLLM)
     scorer: Scorer | None = None
     settings: Settings = field(default_factory=Settings)
 
+    @classmethod
+    def of(cls, store, **more) -> SearchService:
+        """Over all tables of a store, its postings included."""
+        return cls(store.read("chunks"), store.read("code_examples"), store.read("chunk_postings"), store.read("code_postings"), store.analyzer, **more)
+
     def _embed(self, text: str) -> list[float]:
         return embed_all(self.embedder, [text[: self.settings.embedding_max_chars]])[0]
 
@@ -71,7 +85,7 @@ class SearchService:
     def search_documents(self, query: str, k: int = 10, wanted: dict[str, Any] | None = None, source: str | None = None, use_hybrid: bool | None = None) -> DataFrame:
         vec = self._embed(query)
         if self._hybrid(use_hybrid):
-            return hybrid(self.chunks, vec, query, k, wanted, source, self.settings.rrf_k)
+            return hybrid(self.chunks, vec, query, k, wanted, source, self.settings.rrf_k, analyzer=self.analyzer, postings=self.chunk_postings)
         return match(self.chunks, vec, k, wanted, source)
 
     def search_code_examples(self, query: str, language: str | None = None, k: int = 10, wanted: dict[str, Any] | None = None, source: str | None = None, use_hybrid: bool | None = None) -> DataFrame:
@@ -80,7 +94,7 @@ class SearchService:
         vec = self._embed(f"Code example for {query}{within}\n\nSummary: Example code showing {query}")
         wanted = filters.with_language(wanted, language)
         if self._hybrid(use_hybrid):
-            return hybrid(self.code_examples, vec, query, k, wanted, source, self.settings.rrf_k)
+            return hybrid(self.code_examples, vec, query, k, wanted, source, self.settings.rrf_k, analyzer=self.analyzer, postings=self.code_postings)
         return match(self.code_examples, vec, k, wanted, source)
 
     def enhanced_search(self, query: str, k: int = 10, wanted: dict[str, Any] | None = None, source: str | None = None, use_hybrid: bool | None = None, context: str | None = None) -> DataFrame:

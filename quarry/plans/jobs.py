@@ -13,7 +13,7 @@ from pyspark.sql import SparkSession
 @dataclass
 class Crawl:
     crawl_id: str
-    url: str
+    urls: list[str]
     kind: str
     started: float = field(default_factory=time.time)
     cancelled: bool = False
@@ -25,8 +25,8 @@ class Crawls:
     def __init__(self):
         self._lock, self._running = threading.Lock(), {}
 
-    def start(self, spark: SparkSession, url: str, kind: str) -> Crawl:
-        crawl = Crawl(uuid.uuid4().hex, url, kind)
+    def start(self, spark: SparkSession, urls: list[str], kind: str) -> Crawl:
+        crawl = Crawl(str(uuid.uuid4()), urls, kind)
         with self._lock:
             self._running[crawl.crawl_id] = crawl
         spark.sparkContext.addJobTag(crawl.crawl_id)
@@ -58,10 +58,11 @@ class Crawls:
             ids = list(self._running)
         return sum(self.cancel(spark, i) for i in ids)
 
-    def active(self) -> list[dict]:
+    def active(self) -> dict[str, dict]:
+        """Each running crawl by its id."""
         now = time.time()
         with self._lock:
-            return [{"crawl_id": c.crawl_id, "url": c.url, "crawl_type": c.kind, "runtime_seconds": round(now - c.started, 2)} for c in self._running.values()]
+            return {c.crawl_id: {"operation_type": c.kind, "urls": c.urls, "start_time": c.started, "status": "running", "runtime_seconds": round(now - c.started, 2), "url_count": len(c.urls)} for c in self._running.values()}
 
 
 CRAWLS = Crawls()

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import json
 import time
 import zlib
 from collections.abc import Callable, Iterator, Sequence
-from typing import Protocol
+from dataclasses import dataclass
+from typing import Any, Protocol
 
 import numpy as np
 import pandas as pd
@@ -67,6 +69,101 @@ class OverlapScorer:
         return out
 
 
+def _post(url: str, body: Any, key: str | None, timeout: float) -> Any:
+    from urllib.request import Request, urlopen
+
+    headers = {"Content-Type": "application/json"} | ({"Authorization": f"Bearer {key}"} if key else {})
+    with urlopen(Request(url, json.dumps(body).encode(), headers), timeout=timeout) as answer:
+        return json.loads(answer.read())
+
+
+@dataclass(frozen=True)
+class ChatService:
+    """Embeddings and answers of a service with the widespread ``/embeddings`` and ``/chat/completions`` calls; picklable, so workers ask it themselves."""
+
+    base_url: str
+    embedding_model: str = ""
+    chat_model: str = ""
+    key: str | None = None
+    dimension: int = 1536
+    temperature: float = 0.3
+    max_tokens: int = 4000
+    timeout: float = 60.0
+
+    def embed(self, texts: Sequence[str]) -> list[list[float]]:
+        body = {"model": self.embedding_model, "input": list(texts), "dimensions": self.dimension}
+        rows = _post(f"{self.base_url.rstrip('/')}/embeddings", body, self.key, self.timeout)["data"]
+        if len(rows) != len(texts):
+            raise ModelUnavailable(f"{len(rows)} vectors for {len(texts)} texts")
+        return [r["embedding"] for r in sorted(rows, key=lambda r: r.get("index", 0))]
+
+    def complete(self, prompt: str) -> str:
+        body = {"model": self.chat_model, "messages": [{"role": "user", "content": prompt}], "temperature": self.temperature, "max_tokens": self.max_tokens}
+        return _post(f"{self.base_url.rstrip('/')}/chat/completions", body, self.key, self.timeout)["choices"][0]["message"]["content"]
+
+    def complete_many(self, prompts: Sequence[str]) -> list[str | None]:
+        """Several at a time; None for one that fails."""
+        from concurrent.futures import ThreadPoolExecutor
+
+        def one(prompt: str) -> str | None:
+            try:
+                return self.complete(prompt)
+            except Exception:
+                return None
+
+        with ThreadPoolExecutor(max(1, len(prompts))) as pool:
+            return list(pool.map(one, prompts))
+
+
+@dataclass(frozen=True)
+class RerankService:
+    """Pair scores of a service that takes a query and its texts and gives {"index", "score"} for each."""
+
+    url: str
+    key: str | None = None
+    timeout: float = 60.0
+
+    def predict(self, pairs: Sequence[tuple[str, str]]) -> list[float]:
+        out = [0.0] * len(pairs)
+        by_query: dict[str, list[int]] = {}
+        for i, (query, _) in enumerate(pairs):
+            by_query.setdefault(query, []).append(i)
+        for query, at in by_query.items():
+            for row in _post(self.url, {"query": query, "texts": [pairs[i][1] for i in at]}, self.key, self.timeout):
+                out[at[row["index"]]] = float(row["score"])
+        return out
+
+
+class CrossEncoder:
+    """A cross-encoder in a folder with ``model.onnx`` and ``tokenizer.json``; its first output is the score of a pair."""
+
+    MOST_TOKENS = 512
+
+    def __init__(self, folder: str):
+        import onnxruntime
+        from tokenizers import Tokenizer
+
+        self.folder = folder
+        self.session = onnxruntime.InferenceSession(f"{folder}/model.onnx", providers=["CPUExecutionProvider"])
+        self.tokenizer = Tokenizer.from_file(f"{folder}/tokenizer.json")
+        self.tokenizer.enable_truncation(self.MOST_TOKENS)
+        self.tokenizer.enable_padding()
+
+    def __reduce__(self):
+        return CrossEncoder, (self.folder,)
+
+    def predict(self, pairs: Sequence[tuple[str, str]]) -> list[float]:
+        coded = self.tokenizer.encode_batch([tuple(p) for p in pairs])
+        known = {"input_ids": [c.ids for c in coded], "attention_mask": [c.attention_mask for c in coded], "token_type_ids": [c.type_ids for c in coded]}
+        fed = {i.name: np.array(known[i.name], np.int64) for i in self.session.get_inputs()}
+        return np.asarray(self.session.run(None, fed)[0], float).reshape(len(pairs), -1)[:, 0].tolist()
+
+
+def load_scorer(where: str) -> Scorer:
+    """The scorer at a URL or in a folder."""
+    return RerankService(where) if where.startswith(("http://", "https://")) else CrossEncoder(where)
+
+
 def embed_all(model: Embedder, texts: Sequence[str], tries: int = 3, wait: Callable[[float], None] = time.sleep) -> list[list[float]]:
     """All texts in one call, tried again after growing waits; then one by one, zeros for a text that fails."""
     if not texts:

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import json
+import tempfile
+import uuid
 from collections.abc import Callable, Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -12,8 +15,12 @@ from quarry.functions import query as Q
 from quarry.functions import text as T
 from quarry.functions import vector as V
 from quarry.functions.chunking import with_chunks
+from quarry.config import SearchRequest, Settings
+from quarry.functions.stemming import stem
 from quarry.operators import diversify, filters, fts, ivf, rerank, search
+from quarry.plans.ingest import Ingest
 from quarry.plans.models import HashingEmbedder, OverlapScorer, embedding
+from quarry.plans.tools import Tools
 from quarry.sources import pages as P
 from quarry.sources import store as S
 
@@ -43,22 +50,48 @@ def query_vector(spark: SparkSession, sf: str, vec_id: int = 0) -> list[float]:
     return table(spark, sf, "embeddings").filter(F.col("vec_id") == vec_id).select("embedding").first()[0]
 
 
-def stated_queries(spark: SparkSession, sf: str, block: int = 512) -> Iterator[list[tuple[int, list[float]]]]:
-    """Every vector whose id is divisible by 50, in blocks."""
+#: Bytes of the query vectors that are sent to all tasks at a time.
+BLOCK_BYTES = 32 << 20
+
+
+def stated_queries(spark: SparkSession, sf: str) -> Iterator[list[tuple[int, list[float]]]]:
+    """Every vector whose id is divisible by 50, in blocks: one scan of the vectors for each."""
     held = []
     for r in table(spark, sf, "embeddings").filter("vec_id % 50 = 0").select("vec_id", "embedding").orderBy("vec_id").toLocalIterator():
         held.append((r[0], r[1]))
-        if len(held) == block:
+        if len(held) * len(r[1]) * 8 >= BLOCK_BYTES:
             yield held
             held = []
     if held:
         yield held
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """Where indexes that a query reads are kept: the session's folder, or a temporary one in local mode."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not base:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        base = tempfile.mkdtemp(prefix="quarry-")
+        spark.sparkContext.setCheckpointDir(base)
+    return f"{base.rstrip('/')}/{uuid.uuid4().hex}"
+
+
+_INDEXES: dict[tuple, object] = {}
+
+
+def index(spark: SparkSession, sf: str, name: str, make: Callable[[str], object]):
+    """What ``make`` gave for a table folder: indexes are built once in a session, as on ingestion, and read by all queries after."""
+    key = (spark.sparkContext.applicationId, sf, name)
+    if key not in _INDEXES:
+        _INDEXES[key] = make(shared_folder(spark))
+    return _INDEXES[key]
+
+
 def chunk_table(spark: SparkSession, sf: str) -> DataFrame:
-    """Documents with a vector, as a table of chunks."""
+    """Documents as a table of chunks; some have no vector."""
     docs, vectors = table(spark, sf, "documents"), table(spark, sf, "embeddings")
-    joined = docs.join(vectors.select(F.col("vec_id").alias("doc_id"), "embedding", "label"), "doc_id")
+    joined = docs.join(vectors.select(F.col("vec_id").alias("doc_id"), "embedding", "label"), "doc_id", "left")
     return joined.select(
         F.col("doc_id").alias("id"), doc_url().alias("url"), F.lit(1).alias("chunk_number"), F.col("text").alias("content"),
         filters.as_variant({"lang": F.col("lang"), "label": F.col("label")}).alias("metadata"), F.col("source").alias("source_id"), "embedding",
@@ -104,17 +137,45 @@ def vector_topk_batched(spark, sf):
     return out.select("query_id", "id", six("similarity").alias("similarity"), F.col("rank").cast("long").alias("rank"))
 
 
+def _ivf(spark, sf):
+    """The inverted file of the vectors: its rows by cell, the centres, and the cells to probe."""
+
+    def make(path):
+        rows = table(spark, sf, "embeddings")
+        x = ivf.sample(rows, "vec_id")
+        centres = ivf.fit(x, max(4, round(len(x) ** 0.5 / 4)))
+        ivf.write(ivf.assign(rows, centres, "vec_id"), path)
+        return path, centres, ivf.probes_for(x, centres)
+
+    path, centres, probes = index(spark, sf, "ivf", make)
+    return ivf.read(spark, path), centres, probes
+
+
 @query()
 def vector_topk_ivf(spark, sf):
-    rows, out = table(spark, sf, "embeddings"), None
-    centres = ivf.fit(rows, 32, "vec_id")
-    index = ivf.assign(rows, centres, "vec_id")
+    rows, centres, probes = _ivf(spark, sf)
+    out = None
     for block in stated_queries(spark, sf):
-        found = ivf.topk_batched(index, centres, block, 10, probes=16)
+        found = ivf.topk_batched(rows, centres, block, 10, probes)
         out = found if out is None else out.unionByName(found)
     return out.select("query_id", "id", six("similarity").alias("similarity"), F.col("rank").cast("long").alias("rank"))
 
 
+@query("SELECT count(*) AS queries, true AS nine_tenths FROM embeddings WHERE vec_id % 50 = 0")
+def vector_ivf_recall(spark, sf):
+    """Whether the inverted file finds nine tenths of the neighbours that exact search finds."""
+    exact, found = vector_topk_batched(spark, sf), vector_topk_ivf(spark, sf).select("query_id", "id", F.lit(1).alias("hit"))
+    return exact.join(found, ["query_id", "id"], "left").agg(F.count_distinct("query_id").alias("queries"), (F.count("hit") >= 0.9 * F.count("*")).alias("nine_tenths"))
+
+
+@query("""SELECT a.vec_id, round(coalesce(list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 0), 6) AS similarity
+FROM embeddings a LEFT JOIN embeddings b ON b.vec_id = a.vec_id + 1""")
+def cosine_neighbours(spark, sf):
+    rows = table(spark, sf, "embeddings").select("vec_id", "embedding")
+    nxt = rows.select((F.col("vec_id") - 1).alias("vec_id"), F.col("embedding").alias("next"))
+    return rows.join(nxt, "vec_id", "left").select("vec_id", six(V.cosine_or_zero(F.col("embedding"), F.col("next"))).alias("similarity"))
+
+
 @query("""
 WITH w AS (SELECT d.doc_id, list_distinct(list_filter(string_split_regex(lower(d.text), '\\s+'), lambda x: x <> '')) AS a,
              list_distinct(list_filter(string_split_regex(lower(e.text), '\\s+'), lambda x: x <> '')) AS b FROM documents d JOIN documents e ON e.doc_id = d.doc_id + 1)
@@ -158,81 +219,198 @@ TEXT_QUERY = "the tion thon"  # the first is a stop word
 _STOPS = ", ".join(f"'{w}'" for w in fts.STOP_WORDS)
 _TOKENS = """tok AS (SELECT doc_id AS id, unnest(regexp_extract_all(lower(text), '[a-z0-9]+')) AS term,
   generate_subscripts(regexp_extract_all(lower(text), '[a-z0-9]+'), 1) AS pos FROM documents)"""
-_RANKED = f"""{_TOKENS},
-hit AS (SELECT * FROM tok WHERE term IN ('tion', 'thon')),
+# Endings that an English stem may have lost.
+_ENDINGS = ["", "s", "e", "es", "ed", "ing", "er", "ers", "ion", "ions", "or", "ors", "al", "ally", "ly", "ness", "ful", "ment", "ments", "able", "ible", "ance", "ence", "ant", "ent", "ive", "ize", "ous", "ism", "ate", "iti"]
+
+
+def _forms(term: str) -> str:
+    """The word forms of a stem, as SQL: no dictionary is needed, as the stem and an ending make the form."""
+    return ", ".join(f"'{term + e}'" for e in _ENDINGS if stem(term + e) == term)
+
+
+def _ranked(one: str, two: str) -> str:
+    one, two = stem(one), stem(two)
+    return f"""{_TOKENS},
+hit AS (SELECT id, pos, CASE WHEN term IN ({_forms(one)}) THEN 1 ELSE 2 END AS term FROM tok WHERE term IN ({_forms(one)}, {_forms(two)})),
 both_ AS (SELECT id FROM hit GROUP BY id HAVING count(DISTINCT term) = 2),
-lasts AS (SELECT id, pos, max(CASE WHEN term = 'tion' THEN pos END) OVER w AS p1, max(CASE WHEN term = 'thon' THEN pos END) OVER w AS p2
+lasts AS (SELECT id, pos, max(CASE WHEN term = 1 THEN pos END) OVER w AS p1, max(CASE WHEN term = 2 THEN pos END) OVER w AS p2
   FROM hit WHERE id IN (SELECT id FROM both_) WINDOW w AS (PARTITION BY id ORDER BY pos)),
 cov AS (SELECT id, least(p1, p2) AS s, min(pos) AS e FROM lasts WHERE p1 IS NOT NULL AND p2 IS NOT NULL GROUP BY ALL),
 ranked AS (SELECT id, sum(0.1::DOUBLE / (1.0::DOUBLE + greatest(e - s - 1, 0))) AS text_rank FROM cov GROUP BY id)"""
 
 
+_RANKED = _ranked("tion", "thon")
+
+
+def stored_postings(spark, sf) -> DataFrame:
+    """The postings of all documents, stemmed, in the order of their terms."""
+
+    def make(path):
+        fts.write_postings(fts.postings(table(spark, sf, "documents"), "doc_id", "text"), path)
+        return path
+
+    return spark.read.schema("term string, id long, positions array<int>").parquet(index(spark, sf, "postings", make))
+
+
 @query(f"WITH {_TOKENS} SELECT term, count(DISTINCT id) AS documents, count(*) AS places, max(pos) AS last FROM tok WHERE term NOT IN ({_STOPS}) GROUP BY term")
 def fts_terms(spark, sf):
-    found = fts.postings(table(spark, sf, "documents"), "doc_id", "text")
-    return found.groupBy("term").agg(F.count_distinct("id").alias("documents"), F.count("*").alias("places"), F.max("pos").cast("long").alias("last"))
+    found = fts.postings(table(spark, sf, "documents"), "doc_id", "text", fts.Analyzer(stemmed=False))
+    return found.groupBy("term").agg(F.count("*").alias("documents"), F.sum(F.size("positions")).alias("places"), F.max(F.element_at("positions", -1)).cast("long").alias("last"))
 
 
 @query(f"WITH {_RANKED} SELECT id FROM both_")
 def fts_match(spark, sf):
-    return fts.match(table(spark, sf, "documents"), TEXT_QUERY, "text").select(F.col("doc_id").alias("id"))
+    return fts.matching(stored_postings(spark, sf), TEXT_QUERY).select("id").distinct()
 
 
 @query(f"WITH {_RANKED} SELECT id, round(text_rank, 6) AS text_rank FROM ranked")
 def fts_rank_cd(spark, sf):
-    return fts.rank(table(spark, sf, "documents"), TEXT_QUERY, "doc_id", "text").select("id", six("text_rank").alias("text_rank"))
+    return fts.rank_stored(stored_postings(spark, sf), TEXT_QUERY).select("id", six("text_rank").alias("text_rank"))
 
 
-@query()
+@query(f"WITH {_ranked('licensed', 'version')} SELECT id, round(text_rank, 6) AS text_rank FROM ranked")
 def fts_stemmed(spark, sf):
-    analyzer = fts.Analyzer(stemmed=True)
-    return fts.rank(table(spark, sf, "documents"), "licensed works", "doc_id", "text", analyzer).select("id", six("text_rank").alias("text_rank"))
+    """Without stored postings: each text's tokens are stemmed and filtered in its row."""
+    return fts.rank(table(spark, sf, "documents"), "licenses and versions", "doc_id", "text").select("id", six("text_rank").alias("text_rank"))
 
 
 # --- hybrid -----------------------------------------------------------------------------------------------------
 
 
-def _hybrid_sql(arm: str, payload: str) -> str:
-    return f"""WITH {_RANKED},
-vs AS (SELECT *, row_number() OVER (ORDER BY sim DESC, id) AS rv FROM (SELECT vec_id AS id, {_SIMILARITY} AS sim FROM embeddings {arm} ORDER BY sim DESC, id LIMIT 20)),
-ts AS (SELECT *, row_number() OVER (ORDER BY round(text_rank, 12) DESC, id) AS rt FROM (SELECT * FROM ranked WHERE id IN (SELECT vec_id FROM embeddings {arm}) ORDER BY round(text_rank, 12) DESC, id LIMIT 20)),
-f AS (SELECT coalesce(vs.id, ts.id) AS id, coalesce(sim, 0) AS similarity, coalesce(text_rank, 0) AS text_rank,
+def _hybrid_sql(where: str, payload: str, ranked: str = _RANKED, limit: int = 10) -> str:
+    kept = f"SELECT doc_id FROM documents {where}"
+    return f"""WITH {ranked},
+vs AS (SELECT *, row_number() OVER (ORDER BY sim DESC NULLS LAST, id) AS rv FROM (SELECT doc_id AS id, {_SIMILARITY} AS sim FROM documents LEFT JOIN embeddings ON vec_id = doc_id {where} ORDER BY sim DESC NULLS LAST, id LIMIT {2 * limit})),
+ts AS (SELECT *, row_number() OVER (ORDER BY round(text_rank, 12) DESC, id) AS rt FROM (SELECT * FROM ranked WHERE id IN ({kept}) ORDER BY round(text_rank, 12) DESC, id LIMIT {2 * limit})),
+f AS (SELECT coalesce(vs.id, ts.id) AS id, CASE WHEN rv IS NULL THEN 0 ELSE sim END AS similarity, coalesce(text_rank, 0) AS text_rank,
   coalesce(1.0::DOUBLE / (60 + rv), 0) + coalesce(1.0::DOUBLE / (60 + rt), 0) AS hybrid_score FROM vs FULL JOIN ts ON vs.id = ts.id)
 SELECT f.id, {payload} round(similarity, 6) AS similarity, round(text_rank, 6) AS text_rank, round(hybrid_score, 6) AS hybrid_score
-FROM f JOIN documents d ON d.doc_id = f.id ORDER BY f.hybrid_score DESC, f.id LIMIT 10"""
+FROM f JOIN documents d ON d.doc_id = f.id ORDER BY f.hybrid_score DESC, f.id LIMIT {limit}"""
+
 
+_FUSED = ("similarity", "text_rank", "hybrid_score")
 
-@query(_hybrid_sql("WHERE vec_id IN (SELECT doc_id FROM documents)", "d.source AS source_id,"))
+
+@query(_hybrid_sql("", "d.source AS source_id,"))
 def hybrid_rrf(spark, sf):
-    out = search.hybrid(chunk_table(spark, sf), query_vector(spark, sf), TEXT_QUERY, 10)
-    return out.select("id", "source_id", *[six(c).alias(c) for c in ("similarity", "text_rank", "hybrid_score")])
+    out = search.hybrid(chunk_table(spark, sf), query_vector(spark, sf), TEXT_QUERY, 10, postings=stored_postings(spark, sf))
+    return out.select("id", "source_id", *[six(c).alias(c) for c in _FUSED])
 
 
-@query(_hybrid_sql("WHERE vec_id IN (SELECT doc_id FROM documents WHERE lang = 'en' AND source = 'src1')", "d.source AS source_id,"))
+@query(_hybrid_sql("WHERE lang = 'en' AND source = 'src1'", "d.source AS source_id,"))
 def hybrid_rrf_filtered(spark, sf):
-    out = search.hybrid(chunk_table(spark, sf), query_vector(spark, sf), TEXT_QUERY, 10, {"lang": "en"}, "src1")
-    return out.select("id", "source_id", *[six(c).alias(c) for c in ("similarity", "text_rank", "hybrid_score")])
+    out = search.hybrid(chunk_table(spark, sf), query_vector(spark, sf), TEXT_QUERY, 10, {"lang": "en"}, "src1", postings=stored_postings(spark, sf))
+    return out.select("id", "source_id", *[six(c).alias(c) for c in _FUSED])
+
+
+def _nearest(columns: str, where: str = "", limit: int = 10, more: str = "") -> str:
+    return f"SELECT {columns} FROM (SELECT *, {_SIMILARITY} AS sim FROM documents LEFT JOIN embeddings ON vec_id = doc_id {where} ORDER BY sim DESC NULLS LAST, doc_id LIMIT {limit}) {more}"
+
 
+_URL = "'https://' || source || '.example/' || doc_id"
 
-@query(f"""SELECT d.doc_id AS id, 'https://' || source || '.example/' || doc_id AS url, round({_SIMILARITY}, 6) AS similarity
-FROM documents d JOIN embeddings e ON d.doc_id = e.vec_id WHERE lang = 'fr' AND source = 'src3' ORDER BY {_SIMILARITY} DESC, doc_id LIMIT 10""")
+
+@query(_nearest(f"doc_id AS id, {_URL} AS url, round(sim, 6) AS similarity", "WHERE lang = 'fr' AND source = 'src3'"))
 def match_chunks(spark, sf):
     out = search.match(chunk_table(spark, sf), query_vector(spark, sf), 10, {"lang": "fr"}, "src3")
     return out.select("id", "url", six("similarity").alias("similarity"))
 
 
-@query(f"""SELECT d.doc_id AS id, 'Example ' || doc_id AS summary, round({_SIMILARITY}, 6) AS similarity
-FROM documents d JOIN embeddings e ON d.doc_id = e.vec_id WHERE (CASE lang WHEN 'en' THEN 'python' ELSE 'sql' END) = 'python' ORDER BY {_SIMILARITY} DESC, doc_id LIMIT 10""")
+def code_table(spark, sf) -> DataFrame:
+    """The chunks as code examples: with a summary, and a language in the metadata."""
+    language = F.when(F.try_variant_get("metadata", "$.lang", "string") == "en", "python").otherwise("sql")
+    return chunk_table(spark, sf).withColumns({"summary": F.concat(F.lit("Example "), F.col("id")), "metadata": filters.as_variant({"language": language})})
+
+
+class FixedEmbedder:
+    """One vector for every text, so that SQL can follow a search."""
+
+    def __init__(self, vector: list[float]):
+        self.vector, self.dimension = [float(x) for x in vector], len(vector)
+
+    def embed(self, texts):
+        return [self.vector] * len(texts)
+
+
+def service(spark, sf, scorer=None, **settings) -> search.SearchService:
+    return search.SearchService(
+        chunk_table(spark, sf), code_table(spark, sf), stored_postings(spark, sf), None, embedder=FixedEmbedder(query_vector(spark, sf)), scorer=scorer,
+        settings=Settings(**({"use_result_diversification": False} | settings)),
+    )
+
+
+@query(_nearest("doc_id AS id, 'Example ' || doc_id AS summary, round(sim, 6) AS similarity", "WHERE lang = 'en'"))
 def match_code_examples(spark, sf):
-    rows = chunk_table(spark, sf).withColumns({"summary": F.concat(F.lit("Example "), F.col("id")), "metadata": filters.as_variant({"language": F.when(F.try_variant_get("metadata", "$.lang", "string") == "en", "python").otherwise("sql")})})
-    return search.match(rows, query_vector(spark, sf), 10, filters.with_language({}, "python")).select("id", "summary", six("similarity").alias("similarity"))
+    out = service(spark, sf).search_code_examples("sort rows", language="python")
+    return out.select("id", "summary", six("similarity").alias("similarity"))
+
+
+@query(_hybrid_sql("WHERE lang <> 'en'", "'Example ' || d.doc_id AS summary,", _ranked("example", "thon").replace("FROM documents)", "FROM (SELECT doc_id, text || ' Example ' || doc_id AS text FROM documents))")))
+def hybrid_code_examples(spark, sf):
+    """Content and summary are searched together: only the summary holds the first word."""
+    out = service(spark, sf).search_code_examples("an example of thon", language="sql", use_hybrid=True)
+    return out.select("id", "summary", *[six(c).alias(c) for c in _FUSED])
+
+
+@query(_nearest("doc_id AS id, source AS source_id, round(sim, 6) AS similarity", "WHERE source = 'src1'", 7))
+def search_documents(spark, sf):
+    return service(spark, sf).search_documents("anything", 7, source="src1").select("id", "source_id", six("similarity").alias("similarity"))
+
+
+@query(_hybrid_sql("", "", limit=8))
+def search_documents_hybrid(spark, sf):
+    return service(spark, sf).search_documents(TEXT_QUERY, 8, use_hybrid=True).select("id", *[six(c).alias(c) for c in _FUSED])
+
+
+@query(_nearest("doc_id AS id, row_number() OVER (ORDER BY sim DESC NULLS LAST, doc_id) AS seq, round(sim, 6) AS similarity"))
+def enhanced_search_plain(spark, sf):
+    """Three variations of the query find rows again, which their prefixes tell; what is left is sorted and cut."""
+    out = service(spark, sf).enhanced_search("how to thon", 10)
+    return out.select("id", F.col("seq").cast("long").alias("seq"), six("similarity").alias("similarity"))
 
 
 @query()
 def enhanced_search(spark, sf):
     chunks = chunk_table(spark, sf).withColumn("embedding", embedding(F.col("content"), HashingEmbedder()))
-    service = search.SearchService(chunks)
-    return service.enhanced_search("how to thon", 10).select("seq", "id", "content_type", six("similarity").alias("similarity"), "mmr_rank")
+    found = search.SearchService(chunks).enhanced_search("how to thon", 10)
+    return found.select("seq", "id", "content_type", six("similarity").alias("similarity"), "mmr_rank")
+
+
+@query(f"""WITH s AS ({_nearest("doc_id AS id, sim", limit=9)}), c AS ({_nearest("doc_id AS id, sim", limit=9)})
+SELECT id, 'page' AS kind, round(sim, 6) AS similarity FROM s WHERE coalesce(sim, 0) >= 0.2 UNION ALL SELECT id, 'code', round(sim, 6) FROM c""")
+def perform_search(spark, sf):
+    """Pages of a similarity of 0.2 or more, then code examples."""
+    out = service(spark, sf, use_agentic_rag=True).perform(SearchRequest("what is thon", None, 9, 0.2, "semantic"), include_code=True)
+    return out.select("id", F.when(F.col("summary").isNull(), "page").otherwise("code").alias("kind"), six("similarity").alias("similarity"))
+
+
+def _tools(spark, sf, scorer=None, **settings) -> Tools:
+    made = service(spark, sf, scorer, **settings)
+    return Tools(spark, Ingest(None, F.lit(NOW).cast("timestamp")), lambda: made, settings=made.settings)
+
+
+def _answer(spark, answer: str, schema: str) -> DataFrame:
+    """The results of a tool's answer, one row each."""
+    rows = json.loads(answer)
+    return spark.createDataFrame([(rows["success"], rows["total_results"], rows["message"], json.dumps(r)) for r in rows["results"]], "success boolean, total_results int, message string, r string").withColumn("r", F.from_json("r", schema))
+
+
+@query(f"""WITH s AS ({_nearest("*", limit=5)})
+SELECT true AS success, (SELECT count(*) FROM s WHERE sim >= 0.2)::INT AS total_results, md5(text) AS content_md5, {_URL} AS url, source, 1 AS chunk_number, round(sim, 6) AS similarity_score, lang FROM s WHERE sim >= 0.2""")
+def rag_answers(spark, sf):
+    answer = _tools(spark, sf, semantic_threshold=0.2).perform_rag_query("what is thon", None, 5)
+    out = _answer(spark, answer, "content string, url string, source string, chunk_number int, similarity_score double, metadata struct<lang:string>")
+    return out.select("success", "total_results", F.md5(F.col("r.content").cast("binary")).alias("content_md5"), "r.url", "r.source", "r.chunk_number", six("r.similarity_score").alias("similarity_score"), "r.metadata.lang")
+
+
+@query(f"""WITH s AS ({_nearest("*, CASE WHEN lang = 'en' THEN 'python' ELSE 'sql' END AS language", limit=8)}),
+r AS (SELECT *, row_number() OVER (ORDER BY sim DESC NULLS LAST, doc_id) AS place FROM s)
+SELECT 'Example ' || doc_id AS summary, {_URL} AS url, source, language, round(sim, 6) AS similarity_score, 0.5::DOUBLE AS rerank_score FROM r ORDER BY place LIMIT 4""")
+def code_answers(spark, sf):
+    """Twice as many are asked for, reranked by their summaries (each holds one of the query's two words), then cut."""
+    answer = _tools(spark, sf, OverlapScorer(), use_agentic_rag=True, use_reranking=True).search_code_examples("example quarry", None, 4)
+    out = _answer(spark, answer, "code string, language string, summary string, url string, source string, similarity_score double, rerank_score double")
+    return out.select("r.summary", "r.url", "r.source", "r.language", six("r.similarity_score").alias("similarity_score"), "r.rerank_score")
 
 
 # --- diversification and reranking ------------------------------------------------------------------------------
@@ -246,13 +424,13 @@ def content_type(spark, sf):
 
 
 @query(f"""
-WITH t AS (SELECT d.doc_id AS id, d.source, {_KINDS} AS content_type, round(list_cosine_similarity(embedding::DOUBLE[], {_QUERY_VECTOR}), 9) AS similarity FROM documents d JOIN embeddings e ON d.doc_id = e.vec_id),
-s AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY similarity DESC, id) AS seq FROM t),
+WITH t AS (SELECT d.doc_id AS id, d.source, {_KINDS} AS content_type, round(list_cosine_similarity(embedding::DOUBLE[], {_QUERY_VECTOR}), 9) AS similarity FROM documents d LEFT JOIN embeddings e ON d.doc_id = e.vec_id),
+s AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY similarity DESC NULLS LAST, id) AS seq FROM t),
 g AS (SELECT *, row_number() OVER w AS turn, max(similarity) OVER (PARTITION BY source, content_type) AS best, min(seq) OVER (PARTITION BY source, content_type) AS first_ FROM s WINDOW w AS (PARTITION BY source, content_type ORDER BY seq))
-SELECT source, id, content_type, row_number() OVER (PARTITION BY source ORDER BY turn, best DESC, first_) AS place FROM g WHERE turn <= 3""")
+SELECT source, id, content_type, row_number() OVER (PARTITION BY source ORDER BY turn, best DESC NULLS LAST, first_) AS place FROM g WHERE turn <= 3""")
 def diversify_types(spark, sf):
     rows = chunk_table(spark, sf).select("id", F.col("source_id").alias("source"), diversify.content_type(F.col("content")).alias("content_type"), F.round(V.cosine(F.col("embedding"), V.vector_literal(query_vector(spark, sf))), 9).alias("similarity"))
-    rows = rows.withColumn("seq", F.row_number().over(Window.partitionBy("source").orderBy(F.desc("similarity"), "id")))
+    rows = rows.withColumn("seq", F.row_number().over(Window.partitionBy("source").orderBy(F.desc_nulls_last("similarity"), "id")))
     return diversify.by_content_type(rows, 3, group="source").select("source", "id", "content_type", F.col("seq").cast("long").alias("place"))
 
 
@@ -280,22 +458,56 @@ def mmr_rerank(spark, sf):
     return diversify.mmr(out, "query_id", 0.7, 10).select("query_id", "id", "mmr_rank")
 
 
-@query("""
-WITH q AS (SELECT list_distinct(list_filter(string_split_regex(lower((SELECT text FROM benchmark WHERE item_id = 0)), '\\s+'), lambda x: x <> '')) AS w),
-s AS (SELECT doc_id, len(list_intersect(q.w, list_distinct(string_split_regex(lower(text), '\\s+'))))::DOUBLE / len(q.w) AS score FROM documents, q)
-SELECT doc_id, round(score, 6) AS rerank_score FROM s WHERE score >= 0.3""")
+# Both arms of MMR together: types in turn, then relevance against likeness to what is chosen.
+@query(f"""
+WITH RECURSIVE s AS (SELECT q.vec_id AS query_id, e.vec_id AS id, list_cosine_similarity(e.embedding::DOUBLE[], q.embedding::DOUBLE[]) AS rel
+  FROM embeddings e, embeddings q WHERE q.vec_id % 50 = 0),
+n AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(rel, 9) DESC, id) AS seq FROM s) WHERE seq <= 20),
+t AS (SELECT n.*, {_KINDS} AS content_type FROM n JOIN documents ON doc_id = id),
+g AS (SELECT *, row_number() OVER w AS turn, max(rel) OVER k AS best, min(seq) OVER k AS first_ FROM t WINDOW w AS (PARTITION BY query_id, content_type ORDER BY seq), k AS (PARTITION BY query_id, content_type)),
+c AS (SELECT query_id, id, rel, row_number() OVER (PARTITION BY query_id ORDER BY turn, best DESC, first_) AS seq FROM g WHERE turn <= 3),
+p AS (SELECT a.query_id, a.id AS a, b.id AS b, list_cosine_similarity(x.embedding::DOUBLE[], y.embedding::DOUBLE[]) AS sim
+  FROM c a JOIN c b ON a.query_id = b.query_id JOIN embeddings x ON x.vec_id = a.id JOIN embeddings y ON y.vec_id = b.id),
+r AS (SELECT query_id, id, 1 AS mmr_rank, [id] AS chosen FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY rel DESC, seq) AS o FROM c) WHERE o = 1
+  UNION ALL
+  SELECT query_id, id, mmr_rank + 1, list_append(chosen, id) FROM (
+    SELECT r.query_id, c.id, r.mmr_rank, r.chosen, row_number() OVER (PARTITION BY r.query_id ORDER BY
+      0.7::DOUBLE * c.rel - 0.3::DOUBLE * greatest(0, (SELECT max(sim) FROM p WHERE p.query_id = r.query_id AND p.a = c.id AND list_contains(r.chosen, p.b))) DESC, c.seq) AS best
+    FROM r JOIN c ON c.query_id = r.query_id AND NOT list_contains(r.chosen, c.id) WHERE r.mmr_rank < 6) WHERE best = 1)
+SELECT query_id, id, mmr_rank FROM r""")
+def diversify_hybrid(spark, sf):
+    rows, out = table(spark, sf, "embeddings"), None
+    for block in stated_queries(spark, sf):
+        found = V.topk_batched(rows, block, 20, "vec_id").withColumnRenamed("rank", "seq")
+        out = found if out is None else out.unionByName(found)
+    own = table(spark, sf, "documents").select(F.col("doc_id").alias("id"), diversify.content_type(F.col("text")).alias("content_type"), F.lit("").alias("content"))
+    asked = rows.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query_embedding"))
+    out = out.join(own, "id").join(rows.select(F.col("vec_id").alias("id"), "embedding"), "id").join(asked, "query_id")
+    return diversify.diversified(out, "hybrid", "query_id", 0.7, 3, 6).select("query_id", "id", "mmr_rank")
+
+
+# The stated queries of reranking: items whose id is divisible by 50, in a block.
+_ASKS = "q AS (SELECT item_id, list_distinct(list_filter(string_split_regex(lower(text), '\\s+'), lambda x: x <> '')) AS w FROM benchmark WHERE item_id % 50 = 0)"
+
+
+def _asks(spark, sf) -> DataFrame:
+    """Each document with each of the stated queries."""
+    items = [(r.item_id, r.text) for r in table(spark, sf, "benchmark").filter("item_id % 50 = 0").toLocalIterator()]
+    asked = F.array(*[F.struct(F.lit(i).cast("long").alias("item_id"), F.lit(t).alias("query")) for i, t in items])
+    return table(spark, sf, "documents").select("doc_id", F.col("doc_id").alias("seq"), "text", F.inline(asked))
+
+
+@query(f"""WITH {_ASKS},
+s AS (SELECT doc_id, item_id, len(list_intersect(q.w, list_distinct(string_split_regex(lower(text), '\\s+'))))::DOUBLE / len(q.w) AS score FROM documents, q)
+SELECT doc_id, item_id, round(score, 6) AS rerank_score FROM s WHERE score >= 0.3""")
 def rerank_overlap(spark, sf):
-    asked = table(spark, sf, "benchmark").filter("item_id = 0").first().text
-    rows = table(spark, sf, "documents").withColumn("seq", F.col("doc_id"))
-    return rerank.reranked(rows, rerank.overlap(F.lit(asked), F.col("text")), 0.3).select("doc_id", six("rerank_score").alias("rerank_score"))
+    return rerank.reranked(_asks(spark, sf), rerank.overlap(F.col("query"), F.col("text")), 0.3).select("doc_id", "item_id", six("rerank_score").alias("rerank_score"))
 
 
-@query("""
-WITH q AS (SELECT list_distinct(list_filter(string_split_regex(lower((SELECT text FROM benchmark WHERE item_id = 0)), '\\s+'), lambda x: x <> '')) AS w)
-SELECT doc_id, round(len(list_intersect(q.w, list_distinct(string_split_regex(lower(text), '\\s+'))))::DOUBLE / len(q.w), 6) AS rerank_score FROM documents, q""")
+@query(f"""WITH {_ASKS}
+SELECT doc_id, item_id, round(len(list_intersect(q.w, list_distinct(string_split_regex(lower(text), '\\s+'))))::DOUBLE / len(q.w), 6) AS rerank_score FROM documents, q""")
 def rerank_model(spark, sf):
-    asked = table(spark, sf, "benchmark").filter("item_id = 0").first().text
-    return table(spark, sf, "documents").select("doc_id", six(rerank.pair_score(F.lit(asked), F.col("text"), OverlapScorer)).alias("rerank_score"))
+    return _asks(spark, sf).select("doc_id", "item_id", six(rerank.pair_score(F.col("query"), F.col("text"), OverlapScorer)).alias("rerank_score"))
 
 
 # --- the store --------------------------------------------------------------------------------------------------
@@ -368,11 +580,16 @@ def missing_sources(spark, sf):
     return S.with_missing_sources(_sources(spark, sf), rows, F.lit(NOW).cast("timestamp")).select("source_id", "summary", "total_word_count")
 
 
-@query("""SELECT doc_id, CASE lang WHEN 'en' THEN 'python' WHEN 'fr' THEN 'sql' ELSE 'unknown' END AS language, coalesce(CASE lang WHEN 'de' THEN 1 END, 0) AS kept FROM documents""")
+@query("""SELECT doc_id, CASE lang WHEN 'en' THEN 'python' WHEN 'fr' THEN 'sql' ELSE 'unknown' END AS language, n_chars, lang AS tag, doc_id % 3 AS kept FROM documents WHERE doc_id % 3 = 1 AND lang IN ('en', 'fr')
+UNION ALL SELECT doc_id, 'unknown', n_chars, lang, doc_id % 3 FROM documents WHERE doc_id % 3 = 1 AND lang NOT IN ('en', 'fr')""")
 def code_language(spark, sf):
+    """Metadata keeps its types beside the new language: rows are found by a number in a nested object and in an array."""
     fence = F.when(F.col("lang") == "en", "python").when(F.col("lang") == "fr", "sql").otherwise("")
-    rows = table(spark, sf, "documents").select("doc_id", T.fenced(F.col("text"), fence).alias("content"), filters.as_variant({"language": F.lit("other"), "kept": F.when(F.col("lang") == "de", 1)}).alias("metadata"))
-    return S.with_fence_language(rows).select("doc_id", F.try_variant_get("metadata", "$.language", "string").alias("language"), F.coalesce(F.try_variant_get("metadata", "$.kept", "string").cast("int"), F.lit(0)).alias("kept"))
+    old = {"language": F.lit("other"), "n": F.col("n_chars"), "tags": F.array("lang", F.lit("x")), "nested": F.struct((F.col("doc_id") % 3).alias("k"))}
+    rows = S.with_fence_language(table(spark, sf, "documents").select("doc_id", T.fenced(F.col("text"), fence).alias("content"), filters.as_variant(old).alias("metadata")))
+    found = filters.where_metadata(rows, {"nested": {"k": 1}, "tags": ["x"]})
+    get = lambda path, kind: F.try_variant_get("metadata", path, kind)
+    return found.select("doc_id", get("$.language", "string").alias("language"), get("$.n", "long").alias("n_chars"), get("$.tags[0]", "string").alias("tag"), get("$.nested.k", "long").alias("kept"))
 
 
 @query("SELECT source, url_host, count(*) AS n FROM (SELECT source, 'h' || (doc_id % 7) AS url_host FROM documents) GROUP BY ALL HAVING count(*) > 1")
@@ -381,17 +598,6 @@ def duplicate_keys(spark, sf):
     return S.duplicates(rows).select(F.col("url").alias("source"), F.col("chunk_number").alias("url_host"), F.col("count").alias("n"))
 
 
-@query("""WITH n AS (SELECT source, lang, count(*) AS n FROM documents GROUP BY ALL)
-SELECT source, lang AS language FROM (SELECT *, row_number() OVER (PARTITION BY source ORDER BY n DESC, lang) AS r FROM n) WHERE r = 1""")
-def primary_language(spark, sf):
-    return table(spark, sf, "documents").groupBy("source").agg(F.mode("lang", True).alias("language"))
-
-
-@query("SELECT count(*) AS pages, sum(n_chars)::BIGINT AS chars, count(*) FILTER (n_chars > 1000) AS long_pages, count(DISTINCT source) AS sources FROM documents")
-def crawl_totals(spark, sf):
-    return table(spark, sf, "documents").agg(F.count("*").alias("pages"), F.sum("n_chars").alias("chars"), F.count_if(F.col("n_chars") > 1000).alias("long_pages"), F.count_distinct("source").alias("sources"))
-
-
 # --- pages and links --------------------------------------------------------------------------------------------
 
 _AUTHORITY = "regexp_extract(url, '^[a-z]+://([^/?#]*)', 1)"
@@ -419,7 +625,10 @@ def link_extract(spark, sf):
     return table(spark, sf, "pages").select("page_id", F.explode(P.hrefs(F.col("html"))).alias("href"))
 
 
-@query()
+@query(f"""WITH h AS (SELECT DISTINCT url, unnest(regexp_extract_all(html, 'href="([^"]*)"', 1)) AS href FROM pages),
+r AS (SELECT url, {_AUTHORITY} AS host, regexp_extract(url, '^([a-z]+)://', 1) AS scheme, href FROM h),
+l AS (SELECT url, split_part(CASE WHEN href LIKE 'http%://%' THEN href WHEN href LIKE '/%' THEN scheme || '://' || host || href WHEN href LIKE '#%' OR href = '' THEN split_part(url, '#', 1) END, '#', 1) AS link, host FROM r)
+SELECT DISTINCT url, link FROM l WHERE link <> '' AND regexp_extract(link, '^[a-z]+://([^/?#]*)', 1) = host""")
 def internal_links(spark, sf):
     return P.links(table(spark, sf, "pages"))
 
@@ -442,6 +651,11 @@ def batch_pages(spark, sf):
     return P.batch(crawl).select("url", F.length("markdown").cast("long").alias("n"))
 
 
+@query("SELECT count(*) FILTER (ok) AS urls_processed, count(*) FILTER (NOT ok) AS urls_failed FROM (SELECT url, max(page_id % 5 <> 0 AND html <> '') AS ok FROM pages GROUP BY url)")
+def crawl_totals(spark, sf):
+    return P.outcome(table(spark, sf, "pages").select((F.col("page_id") % 5 != 0).alias("success"), "url", F.col("html").alias("markdown")))
+
+
 @query()
 def html_markdown(spark, sf):
     return P.fetched(table(spark, sf, "pages"))
@@ -455,6 +669,18 @@ def sitemap_urls(spark, sf):
     return pages.select("page_id", F.explode(P.sitemap_urls(F.when(F.col("page_id") % 3 == 0, "no xml").otherwise(xml))).alias("loc"))
 
 
+@query("SELECT item_id, text || chr(10) AS markdown FROM benchmark WHERE text <> ''")
+def text_file_pages(spark, sf):
+    """Text files, each read whole: the benchmark's items are written as files first."""
+
+    def make(path):
+        table(spark, sf, "benchmark").filter("text <> ''").select("item_id", "text").repartition(8).write.partitionBy("item_id").text(path)
+        return path
+
+    found = P.text_files(spark, f"{index(spark, sf, 'text-files', make)}/*/*")
+    return found.select(F.regexp_extract("url", r"item_id=(\d+)", 1).cast("long").alias("item_id"), "markdown")
+
+
 # --- text -------------------------------------------------------------------------------------------------------
 
 _MARKED = "'# ' || lang || chr(10) || text || chr(10) || '### Part ' || doc_id || chr(10) || 'end'"
@@ -497,23 +723,78 @@ def chunk_markdown(spark, sf):
     return out.select("doc_id", "chunk_number", F.md5(F.col("chunk").cast("binary")).alias("chunk_md5"), F.length("chunk").cast("long").alias("n_chars"))
 
 
-@query("""WITH t AS (SELECT doc_id, text, left(text, 60) AS head, trim(regexp_replace(left(text, 60), '^\\s+|\\s+$', '', 'g')) AS code, CASE doc_id % 3 WHEN 0 THEN 'python' WHEN 1 THEN '' ELSE 'a long title' END AS lang FROM documents)
-SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN 'python' ELSE '' END AS language,
-  CASE WHEN doc_id % 3 = 2 THEN 'a long title' || chr(10) || regexp_replace(head, '\\s+$', '') ELSE regexp_replace(head, '^\\s+|\\s+$', '', 'g') END AS code, 'Intro' AS context_before,
-  regexp_replace(left(chr(10) || 'After ' || text || chr(10) || '``` odd', 1000), '^\\s+|\\s+$', '', 'g') AS context_after FROM t WHERE length(CASE WHEN doc_id % 3 = 2 THEN 'a long title' || chr(10) || regexp_replace(head, '\\s+$', '') ELSE regexp_replace(head, '^\\s+|\\s+$', '', 'g') END) >= 30""")
+@query(f"SELECT source, count(DISTINCT doc_id) AS pages, count(*) AS chunks, max(chunk_number) AS most, sum(n_chars)::BIGINT AS chars FROM ({_CHUNKS}) JOIN documents USING (doc_id) GROUP BY source".replace("length(chunk) AS n_chars", "length(chunk) AS size").replace("sum(n_chars)", "sum(size)"))
+def chunk_totals(spark, sf):
+    out = with_chunks(table(spark, sf, "documents").select("doc_id", "source", "text"), "text", _SIZE, _OVERLAP)
+    return out.groupBy("source").agg(F.count_distinct("doc_id").alias("pages"), F.count("*").alias("chunks"), F.max("chunk_number").alias("most"), F.sum(F.length("chunk")).alias("chars"))
+
+
+# What Python's and this engine's strip() take off on either side.
+_BLANK = "chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13) || chr(28) || chr(29) || chr(30) || chr(31) || chr(133) || chr(160)"
+
+
+@query(f"""WITH t AS (SELECT doc_id, text, CASE doc_id % 3 WHEN 0 THEN 'python' WHEN 1 THEN '' ELSE 'a long title' END AS title FROM documents),
+c AS (SELECT *, trim(CASE WHEN doc_id % 3 = 0 THEN text ELSE title || chr(10) || text END, {_BLANK}) AS code FROM t)
+SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN 'python' ELSE '' END AS language, md5(code) AS code_md5, 'Intro' AS context_before,
+  md5(trim(left(chr(10) || 'After ' || text || chr(10) || '``` odd', 1000), {_BLANK})) AS context_after_md5 FROM c WHERE length(code) >= 30 AND length(title || chr(10) || text || chr(10)) >= 30""")
 def code_blocks(spark, sf):
     title = F.when(F.col("doc_id") % 3 == 0, "python").when(F.col("doc_id") % 3 == 1, "").otherwise("a long title")
-    md = F.concat(F.lit("Intro\n```"), title, F.lit("\n"), F.left("text", F.lit(60)), F.lit("\n```\nAfter "), F.col("text"), F.lit("\n``` odd"))
+    md = F.concat(F.lit("Intro\n```"), title, F.lit("\n"), F.col("text"), F.lit("\n```\nAfter "), F.col("text"), F.lit("\n``` odd"))
     out = table(spark, sf, "documents").select("doc_id", F.inline(C.code_blocks(md, 30)))
-    return out.filter("context_before = 'Intro'").select("doc_id", "language", "code", "context_before", "context_after")
+    return out.select("doc_id", "language", F.md5(F.col("code").cast("binary")).alias("code_md5"), "context_before", F.md5(F.col("context_after").cast("binary")).alias("context_after_md5"))
 
 
-@query()
+_JS = " OR ".join(f"regexp_matches(code, $${p}$$)" for p in C.JS_PATTERNS)
+_JS_NAMES = ", ".join(f"'{x}'" for x in C.JS_LANGUAGES)
+_HAS_JS = "CASE doc_id % 4 WHEN 0 THEN 'useState (1)' WHEN 1 THEN 'x => {' WHEN 2 THEN '<b>y</b>' ELSE 'plain' END"
+
+
+def _marked_code() -> Column:
+    kind = F.col("doc_id") % 4
+    return F.concat("text", F.lit("\n"), F.when(kind == 0, "useState (1)").when(kind == 1, "x => {").when(kind == 2, "<b>y</b>").otherwise("plain"))
+
+
+@query(f"""WITH t AS (SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN 'TSX' WHEN 1 THEN 'sql' ELSE '' END AS language, text || chr(10) || {_HAS_JS} AS code FROM documents)
+SELECT doc_id, lower(language) IN ({_JS_NAMES}) OR {_JS} AS is_js_like FROM t""")
+def js_like(spark, sf):
+    language = F.when(F.col("doc_id") % 3 == 0, "TSX").when(F.col("doc_id") % 3 == 1, "sql").otherwise("")
+    return table(spark, sf, "documents").select("doc_id", C.is_js_like(language, _marked_code()).alias("is_js_like"))
+
+
+@query(f"""WITH t AS (SELECT doc_id, text, text || chr(10) || {_HAS_JS} AS code FROM documents),
+p AS (SELECT doc_id, 6 AS start, 6 + 3 + 4 + length(code) + 1 + 3 AS "end", 'sql' AS language, length(trim(code, {_BLANK})) AS code_length, {_JS} AS is_js_like FROM t
+  UNION ALL SELECT doc_id, 6 + 3 + 4 + length(code) + 1 + 3 + 5, 6 + 3 + 4 + length(code) + 1 + 3 + 5 + 3 + 1 + length(text) + 4, '', length(trim(text, {_BLANK})), ({_JS.replace("regexp_matches(code", "regexp_matches(text")}) FROM t)
+SELECT * FROM p WHERE code_length >= 100""")
+def code_positions(spark, sf):
+    md = F.concat(F.lit("Intro\n```sql\n"), _marked_code(), F.lit("\n```\nand\n```\n"), F.col("text"), F.lit("\n```\n``` odd"))
+    out = table(spark, sf, "documents").select("doc_id", F.inline(C.code_positions(md)))
+    return out.select("doc_id", *[F.col(c).cast("long").alias(c) for c in ("start", "end")], "language", F.col("code_length").cast("long").alias("code_length"), "is_js_like")
+
+
+# Sections: one block of its own under a header; far behind it, under another one, three blocks that belong together.
+_CALM = "replace(replace(replace(text, '<', ' '), '=', ' '), '(', ' ')"  # no JavaScript, so that only what stands between tells
+_FAR = 2500
+_SECTIONS = f"""WITH t AS (SELECT doc_id, 'c' || chr(10) || replace({_CALM}, 'import', '') || chr(10) || repeat('z', 100) AS body FROM documents),
+m AS (SELECT doc_id, body, '# One' || chr(10) || '```go' || chr(10) || body || chr(10) || '```' || chr(10) AS one,
+  '# Two' || chr(10) || '```sql' || chr(10) || body || chr(10) || '```' || chr(10) || 'or' || chr(10) || '```c' || chr(10) || body || chr(10) || '```' || chr(10) || '```sql' || chr(10) || body || chr(10) || '```' || chr(10) AS two,
+  repeat('-' || chr(10), 6) || '# Mid' || chr(10) || repeat('y', {_FAR}) || chr(10) AS gap FROM documents JOIN t USING (doc_id)),
+r AS (SELECT doc_id, one || repeat('-' || chr(10), 6) AS content, 1 AS code_blocks_count, 'go' AS primary_language, length(trim(body, {_BLANK})) AS total_code_length, 0 AS section_start FROM m
+  UNION ALL SELECT doc_id, two || 'end', 3, 'sql', 3 * length(trim(body, {_BLANK})), length(one || gap) FROM m)
+SELECT doc_id, md5(content) AS content_md5, code_blocks_count, primary_language, false AS is_js_like, total_code_length, section_start, section_start + length(content) AS section_end FROM r WHERE length(content) >= 500"""
+
+
+@query(_SECTIONS)
 def code_sections(spark, sf):
-    fence = lambda lang, n: F.concat(F.lit(f"\n```{lang}\n"), F.left("text", F.lit(n)), F.lit("\n```\n"))
-    md = F.concat(F.lit("# Start\n"), F.col("text"), fence("js", 400), F.lit("\nThen:\n"), fence("python", 300), F.lit("\n## Next\n"), F.col("text"), fence("js", 200))
-    out = table(spark, sf, "documents").select("doc_id", F.inline(C.code_sections(md, 2000)))
-    return out
+    calm = F.col("text")
+    for mark in "<=(":
+        calm = F.replace(calm, F.lit(mark), F.lit(" "))
+    body = F.concat(F.lit("c\n"), F.replace(calm, F.lit("import"), F.lit("")), F.lit("\n"), F.lit("z" * 100))
+    block = lambda language: F.concat(F.lit(f"```{language}\n"), F.col("body"), F.lit("\n```\n"))
+    gap = "-\n" * 6 + "# Mid\n" + "y" * _FAR + "\n"
+    md = F.concat(F.lit("# One\n"), block("go"), F.lit(gap + "# Two\n"), block("sql"), F.lit("or\n"), block("c"), block("sql"), F.lit("end"))
+    out = table(spark, sf, "documents").select("doc_id", body.alias("body")).select("doc_id", F.inline(C.code_sections(md, 10_000_000)))
+    numbers = ("code_blocks_count", "total_code_length", "section_start", "section_end")
+    return out.select("doc_id", F.md5(F.col("content").cast("binary")).alias("content_md5"), "primary_language", "is_js_like", *[F.col(c).cast("long").alias(c) for c in numbers])
 
 
 @query("""WITH t AS (SELECT doc_id, text, left(text, 1500) AS c FROM documents),
@@ -547,12 +828,6 @@ def chunk_metadata(spark, sf):
     return out.select("doc_id", *[F.try_variant_get("m", f"$.{k}", t).alias(k) for k, t in kinds.items()])
 
 
-@query("""SELECT doc_id, '{"success":true,"query":"' || lang || '","count":' || n_chars || ',"results":[{"source":"' || source || '"}]}' AS answer FROM documents""")
-def json_result(spark, sf):
-    fields = F.struct(F.lit(True).alias("success"), F.col("lang").alias("query"), F.col("n_chars").alias("count"), F.array(F.struct("source")).alias("results"))
-    return table(spark, sf, "documents").select("doc_id", F.to_json(fields).alias("answer"))
-
-
 @query()
 def embed_texts(spark, sf):
     out = table(spark, sf, "documents").select("doc_id", embedding(T.truncated(F.col("text")), HashingEmbedder()).alias("e"))
@@ -561,14 +836,14 @@ def embed_texts(spark, sf):
 
 # --- queries as data --------------------------------------------------------------------------------------------
 
-_ASKED = "(CASE item_id % 5 WHEN 0 THEN 'how to ' WHEN 1 THEN 'fix the api, ' WHEN 2 THEN 'what is ' WHEN 3 THEN 'function ' ELSE 'zyx ' END) || left(text, 30)"
+_ASKED = "(CASE item_id % 5 WHEN 0 THEN 'how to ' WHEN 1 THEN 'fix the api, ' WHEN 2 THEN 'what is ' WHEN 3 THEN 'function ' ELSE 'zyx ' END) || text"
 _TYPES = "CASE " + " ".join(f"WHEN {' OR '.join(f'contains(lower(q), $${p}$$)' for p in parts)} THEN '{k}'" for k, parts in Q.TYPES.items()) + " ELSE 'factual' END"
 
 
 def _asked(spark, sf):
     kind = F.col("item_id") % 5
     start = F.when(kind == 0, "how to ").when(kind == 1, "fix the api, ").when(kind == 2, "what is ").when(kind == 3, "function ").otherwise("zyx ")
-    return table(spark, sf, "benchmark").select("item_id", F.concat(start, F.left("text", F.lit(30))).alias("q"))
+    return table(spark, sf, "benchmark").select("item_id", F.concat(start, F.col("text")).alias("q"))
 
 
 @query(f"SELECT item_id, {_TYPES} AS query_type FROM (SELECT item_id, {_ASKED} AS q FROM benchmark)")

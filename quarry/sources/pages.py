@@ -26,6 +26,13 @@ def batch(crawl: DataFrame) -> DataFrame:
     return crawl.filter(F.col("success") & (F.coalesce(F.col("markdown"), F.lit("")) != "")).select("url", "markdown")
 
 
+def outcome(crawl: DataFrame) -> DataFrame:
+    """urls_processed, urls_failed of crawl results, in one row; a URL that succeeded once, with text, is no failure."""
+    good = F.col("success") & (F.coalesce(F.col("markdown"), F.lit("")) != "")
+    each = crawl.groupBy("url").agg(F.coalesce(F.max(good), F.lit(False)).alias("_good"))
+    return each.agg(F.count_if("_good").alias("urls_processed"), F.count_if(~F.col("_good")).alias("urls_failed"))
+
+
 def text_files(spark: SparkSession, path: str) -> DataFrame:
     """url, markdown of each text file, whole."""
     return spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("url"), F.col("value").alias("markdown")).filter("markdown <> ''")
@@ -90,11 +97,36 @@ def reachable(edges: DataFrame, start: DataFrame, max_depth: int = 3, cut: Calla
 
 
 def recursive_crawl(pages: DataFrame, start: DataFrame, max_depth: int = 3) -> DataFrame:
-    """url, markdown, depth of the pages visited from ``start`` by internal links; failed pages count as visited."""
+    """url, markdown, depth of the pages of a table visited from ``start`` by internal links; failed pages count as visited."""
     seen = reachable(links(pages), start, max_depth)
     return fetched(pages).withColumn("url", defragmented(F.col("url"))).dropDuplicates(["url"]).join(seen, "url")
 
 
+def crawl_levels(fetch: Callable[[DataFrame], DataFrame], start: DataFrame, max_depth: int = 3, cut: Callable[[DataFrame], DataFrame] | None = None, stopped: Callable[[], bool] = lambda: False) -> DataFrame:
+    """What ``fetch`` gives (success, url, html, markdown, ...) for ``start`` (url) and, level by level, the internal links of its successes; with ``depth``.
+
+    Each level is fetched once and stored by ``cut`` (by default a reliable checkpoint where a folder for it is set); a failed
+    URL counts as visited. ``stopped`` is asked before each level.
+    """
+    spark = start.sparkSession
+    store = cut or ((lambda df: df.checkpoint()) if spark.sparkContext.getCheckpointDir() else (lambda df: df.persist()))
+    frontier = start.select(defragmented(F.col("url")).alias("url")).distinct()
+    out = None
+    for depth in range(1, max_depth + 1):
+        if stopped():
+            raise RuntimeError("the crawl was cancelled")
+        level = store(fetch(frontier).withColumn("depth", F.lit(depth)))
+        out = level if out is None else out.unionByName(level)
+        if depth == max_depth:
+            break
+        good = level.filter(F.col("success") & (F.coalesce(F.col("markdown"), F.lit("")) != ""))
+        found = links(good).select(defragmented(F.col("link")).alias("url")).distinct()
+        frontier = store(found.join(out.select("url").distinct(), "url", "left_anti"))
+        if frontier.isEmpty():
+            break
+    return out
+
+
 class _Markdown(HTMLParser):
     SKIPPED = {"script", "style", "nav", "noscript", "template"}
     BLOCKS = {"p", "div", "section", "article", "li", "ul", "ol", "table", "tr", "br", "main", "body", "title", "h1", "h2", "h3", "h4", "h5", "h6"}

@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+import json
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quarry import schemas
 from quarry.functions.text import fence_language
+from quarry.operators import fts
+from quarry.sources.files import Files
 
 
 def row_id(url: Column, number: Column) -> Column:
@@ -89,54 +93,156 @@ def duplicates(df: DataFrame) -> DataFrame:
 
 
 def with_fence_language(code: DataFrame) -> DataFrame:
-    """The language of a code example's opening fence in its metadata, over any that stood there."""
-    merged = F.from_json(F.to_json("metadata"), "map<string,string>")
-    language = F.create_map(F.lit("language"), fence_language(F.col("content")))
-    rest = F.map_filter(F.coalesce(merged, F.create_map().cast("map<string,string>")), lambda k, v: k != "language")
-    return code.withColumn("metadata", F.parse_json(F.to_json(F.map_concat(rest, language))))
+    """The language of a code example's opening fence in its metadata, over any that stood there; all else keeps its type.
+
+    Metadata that is no object becomes one of the language alone.
+    """
+    old = F.try_variant_get("metadata", "$", "map<string,variant>")
+    rest = F.map_filter(F.coalesce(old, F.create_map().cast("map<string,variant>")), lambda k, v: k != "language")
+    language = F.to_json(F.create_map(F.lit("language"), fence_language(F.col("content"))))
+    body = F.to_json(rest)  # values are written as the JSON that they are
+    merged = F.when(F.size(rest) == 0, language).otherwise(F.concat(F.left(language, F.length(language) - 1), F.lit(","), F.substring(body, F.lit(2), F.length(body))))
+    return code.withColumn("metadata", F.parse_json(merged))
 
 
 class Store:
-    """Tables in versioned folders; a pointer names the current version, so that a failed write leaves the last one."""
+    """Tables cut into buckets by a hash of their key; a write makes new folders for the buckets it touches, and no others.
+
+    A version of a table is a numbered file that names the folder of each bucket. Readers take the greatest; a version is made
+    by a rename that fails where there already is one, so a failed write leaves the last version and of two writers at once
+    the second begins again from what the first has made. The last ``keep`` versions can still be read; older ones' folders
+    are deleted. The postings of chunks and code examples lie in the same buckets as their rows, sorted by term.
+    """
 
-    TABLES = {"sources": schemas.SOURCES, "chunks": schemas.CHUNKS, "code_examples": schemas.CODE_EXAMPLES}
+    TABLES = {"sources": schemas.SOURCES, "chunks": schemas.CHUNKS, "code_examples": schemas.CODE_EXAMPLES, "chunk_postings": schemas.POSTINGS, "code_postings": schemas.POSTINGS}
+    #: The table whose URLs decide the buckets of postings, and the text that they index.
+    INDEXED = {"chunks": ("chunk_postings", ["content"]), "code_examples": ("code_postings", ["content", "summary"])}
+    TRIES = 5
 
-    def __init__(self, spark: SparkSession, root: str):
-        self.spark, self.root = spark, root.rstrip("/")
+    def __init__(self, spark: SparkSession, root: str, buckets: int = 16, keep: int = 3, analyzer: fts.Analyzer | None = None):
+        self.spark, self.root, self.buckets, self.keep = spark, root.rstrip("/"), buckets, keep
+        self.analyzer = analyzer or fts.Analyzer()
+        self.files = Files(spark, self.root)
 
-    def _pointer(self, name: str) -> str:
-        return f"{self.root}/{name}/current"
+    # --- versions ---
 
-    def read(self, name: str) -> DataFrame:
-        fs = self.spark._jvm.org.apache.hadoop.fs.Path(self._pointer(name))
-        if not fs.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(fs):
-            return self.spark.createDataFrame([], self.TABLES[name])
-        version = self.spark.read.text(self._pointer(name)).first()[0]
-        return self.spark.read.schema(self.TABLES[name]).parquet(f"{self.root}/{name}/{version}")
+    def version(self, name: str) -> tuple[int, dict]:
+        """The number of a table's current version (0: none) and its content: how many buckets, and the folder of each that has rows."""
+        found = self.files.names(f"{self.root}/{name}/versions")
+        if not found:
+            return 0, {"buckets": self.buckets, "folders": {}}
+        return int(found[-1]), json.loads(self.files.read(f"{self.root}/{name}/versions/{found[-1]}"))
 
-    def write(self, name: str, df: DataFrame) -> None:
-        version = f"v-{uuid.uuid4().hex}"
+    def _rows(self, name: str, folders: list[str]) -> DataFrame:
+        if not folders:
+            return self.spark.createDataFrame([], self.TABLES[name])
+        return self.spark.read.schema(self.TABLES[name]).parquet(*[f"{self.root}/{name}/{f}" for f in folders])
+
+    def read(self, name: str, buckets: list[int] | None = None) -> DataFrame:
+        """A table's current rows; of some buckets only those are read."""
+        folders = self.version(name)[1]["folders"]
+        return self._rows(name, [f for b, f in sorted(folders.items()) if buckets is None or int(b) in buckets])
+
+    def _bucketed(self, name: str, df: DataFrame, key: Column, buckets: int, sort: list[str]) -> dict[str, str]:
+        """Write ``df`` by bucket; the new folder of each bucket that has rows."""
+        folder = f"data/{uuid.uuid4().hex}"
+        cut = df.withColumn("bucket", F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int")).repartition("bucket").sortWithinPartitions("bucket", *sort)
+        cut.write.partitionBy("bucket").parquet(f"{self.root}/{name}/{folder}")
+        return {n.removeprefix("bucket="): f"{folder}/{n}" for n in self.files.names(f"{self.root}/{name}/{folder}")}
+
+    def _commit(self, name: str, number: int, content: dict) -> bool:
+        done = self.files.commit(f"{self.root}/{name}/versions/{number + 1:012d}", json.dumps(content))
+        if done:
+            self._forget(name)
+        return done
+
+    def _forget(self, name: str) -> None:
+        """Delete all but the last versions, and the folders that none of those has."""
+        found = self.files.names(f"{self.root}/{name}/versions")
+        old, kept = found[: -self.keep], found[-self.keep :]
+        if not old:
+            return
+        folders = lambda versions: {f for v in versions for f in json.loads(self.files.read(f"{self.root}/{name}/versions/{v}"))["folders"].values()}
+        for f in folders(old) - folders(kept):
+            self.files.delete(f"{self.root}/{name}/{f}")
+        for v in old:
+            self.files.delete(f"{self.root}/{name}/versions/{v}")
+
+    def _again(self, once: Callable[[], bool], name: str) -> None:
+        for _ in range(self.TRIES):
+            if once():
+                return
+        raise RuntimeError(f"other writers of {name} came first {self.TRIES} times")
+
+    # --- writing ---
+
+    def _staged(self, name: str, df: DataFrame) -> tuple[DataFrame, str]:
+        """The rows, written once, so that what makes them doesn't run again."""
+        folder = f"{self.root}/{name}/staged/{uuid.uuid4().hex}"
         columns = self.spark.createDataFrame([], self.TABLES[name]).columns
-        df.select(*columns).write.parquet(f"{self.root}/{name}/{version}")
-        self.spark.createDataFrame([(version,)], "version string").coalesce(1).write.mode("overwrite").text(self._pointer(name))
+        df.select(*columns).write.parquet(folder)
+        return self.spark.read.schema(self.TABLES[name]).parquet(folder), folder
+
+    def _replace(self, name: str, rows: DataFrame, key: str) -> None:
+        """Put ``rows`` in place of all rows of their keys; only their buckets are read and written."""
+
+        def once() -> bool:
+            number, content = self.version(name)
+            n = content["buckets"]
+            touched = [r.b for r in rows.select(F.pmod(F.xxhash64(key), F.lit(n)).cast("int").alias("b")).distinct().collect()]  # at most one row a bucket
+            left = self.read(name, touched).join(rows.select(key).distinct(), key, "left_anti")
+            made = self._bucketed(name, left.unionByName(rows), F.col(key), n, [key])
+            folders = {b: f for b, f in content["folders"].items() if int(b) not in touched} | made
+            return self._commit(name, number, {"buckets": n, "folders": folders})
+
+        self._again(once, name)
+
+    def _replace_postings(self, name: str, rows: DataFrame) -> None:
+        """Put the postings of ``rows`` in place of those of their URLs, in the buckets of the URLs."""
+        postings, columns = self.INDEXED[name]
+        text = F.concat_ws(" ", *columns)
+        new = fts.postings(rows.withColumn("_text", text), "id", "_text", self.analyzer, keep=["url"])
+
+        def once() -> bool:
+            number, content = self.version(postings)
+            n = content["buckets"]
+            touched = [r.b for r in rows.select(F.pmod(F.xxhash64("url"), F.lit(n)).cast("int").alias("b")).distinct().collect()]
+            left = self.read(postings, touched).join(rows.select("url").distinct(), "url", "left_anti")
+            made = self._bucketed(postings, left.unionByName(new.select(left.columns)), F.col("url"), n, ["term", "id"])
+            folders = {b: f for b, f in content["folders"].items() if int(b) not in touched} | made
+            return self._commit(postings, number, {"buckets": n, "folders": folders})
+
+        self._again(once, postings)
+
+    def _add(self, name: str, rows: DataFrame, now: Column) -> int:
+        staged, folder = self._staged(name, rows)
+        try:
+            n = staged.count()
+            if n:
+                self._replace("sources", self._missing_sources(staged, now), "source_id")
+                self._replace_postings(name, staged)  # first: postings without a row find nothing, a row without postings would stay hidden
+                self._replace(name, staged, "url")
+            return n
+        finally:
+            self.files.delete(folder)
+
+    def _missing_sources(self, rows: DataFrame, now: Column) -> DataFrame:
+        known = self.read("sources")
+        return with_missing_sources(known.limit(0), rows.join(known, "source_id", "left_anti"), now)
 
     def add_chunks(self, rows: DataFrame, now: Column) -> int:
         """Replace all chunks of the rows' URLs; sources that are missing are made first. The number of rows added."""
-        n = rows.count()
-        if n:
-            self.write("sources", with_missing_sources(self.read("sources"), rows, now))
-            self.write("chunks", replaced_by_url(self.read("chunks"), rows.select(*self.read("chunks").columns)))
-        return n
+        return self._add("chunks", rows, now)
 
     def add_code(self, rows: DataFrame, now: Column) -> int:
-        n = rows.count()
-        if n:
-            self.write("sources", with_missing_sources(self.read("sources"), rows, now))
-            self.write("code_examples", replaced_by_url(self.read("code_examples"), with_fence_language(rows).select(*self.read("code_examples").columns)))
-        return n
+        return self._add("code_examples", with_fence_language(rows), now)
 
     def update_sources(self, rows: DataFrame, now: Column) -> None:
-        self.write("sources", updated_sources(self.read("sources"), rows, now))
+        staged, folder = self._staged("sources", updated_sources(self.read("sources").join(rows.select("source_id"), "source_id", "left_semi"), rows, now))
+        try:
+            self._replace("sources", staged, "source_id")
+        finally:
+            self.files.delete(folder)
 
     def stats(self) -> DataFrame:
         return source_stats(self.read("sources"), self.read("chunks"), self.read("code_examples")).orderBy("source_id")

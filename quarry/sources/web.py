@@ -1,10 +1,11 @@
-"""A Spark data source that fetches pages: each slice of the URLs is a partition, a failed URL is a row with its error."""
+"""Fetching pages: tables of URLs, or a Spark data source over a list of them. A failed URL is a row with its error."""
 
 from __future__ import annotations
 
 import json
 from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
@@ -63,3 +64,19 @@ def web_pages(spark: SparkSession, urls: list[str], max_concurrent: int = 10, ti
     """success, url, html, markdown, error_message of each URL; ``max_concurrent`` tasks fetch at a time at most."""
     spark.dataSource.register(WebPages)
     return spark.read.format("webpages").option("urls", json.dumps(list(urls))).option("slices", max_concurrent).option("timeout", timeout).load()
+
+
+def fetched_urls(urls: DataFrame, max_concurrent: int = 10, timeout: float = 30.0) -> DataFrame:
+    """success, url, html, markdown, error_message of each row of ``urls`` (url); ``max_concurrent`` tasks fetch at a time at most.
+
+    Whoever reads the result more than once must store it first: each reading fetches.
+    """
+    names = [c.split()[0] for c in SCHEMA.split(", ")]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for url in b.column(0).to_pylist():
+                found = fetch_one(url, timeout)
+                yield pa.RecordBatch.from_arrays([pa.array([x], pa.bool_() if i == 0 else pa.string()) for i, x in enumerate(found)], names)
+
+    return urls.select("url").repartition(max_concurrent).mapInArrow(run, SCHEMA)

@@ -46,17 +46,26 @@ def test_batched_equals_single(spark):
         assert [got[q, k] for k in range(1, 6)] == [a.id for a in V.topk(df, x[q].tolist(), 5).collect()]
 
 
-def test_ivf_recall(spark):
+def test_ivf_recall(spark, tmp_path):
     r = np.random.default_rng(1)
     x = (r.normal(size=(40, 16))[r.integers(0, 40, 2000)] + 0.3 * r.normal(size=(2000, 16))).astype("f4")
     df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id long, embedding array<float>")
     queries = [(i, x[i].tolist()) for i in range(0, 2000, 50)]
-    centres = ivf.fit(df, 32)
-    index = ivf.assign(df, centres)
-    assert index.count() == 2000
-    found = {(a.query_id, a.id) for a in ivf.topk_batched(index, centres, queries, 10, 8).collect()}
+    sample = ivf.sample(df)
+    centres = ivf.fit(sample, 32)
+    probes = ivf.probes_for(sample, centres)
+    assert probes <= 8  # vectors in clusters need few of them
+    ivf.write(ivf.assign(df.unionByName(spark.createDataFrame([(5000, None), (5001, [0.0] * 16)], df.schema)), centres), str(tmp_path / "index"))
+    index = ivf.read(spark, str(tmp_path / "index"))
+    assert index.count() == 2002
+    found = {(a.query_id, a.id) for a in ivf.topk_batched(index, centres, queries, 10, probes).collect()}
     exact = {(a.query_id, a.id) for a in V.topk_batched(df, queries, 10).collect()}
     assert len(found & exact) / len(exact) >= 0.9
+    everything = {(a.query_id, a.id, a["rank"]) for a in ivf.topk_batched(index, centres, queries, 10, 32).collect()}
+    assert everything == {(a.query_id, a.id, a["rank"]) for a in V.topk_batched(df, queries, 10).collect()}
+    plan = ivf.topk(index, centres, queries[0][1], 5, 2)._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [" in plan and "cell" in plan.split("PartitionFilters:")[1]
+    assert ivf.fit(ivf.sample(df.limit(0)), 4).size == 0 and ivf.topk_batched(index, centres, [], 5).count() == 0
 
 
 def test_metadata_containment(chunks):
@@ -97,8 +106,25 @@ def test_cover_density_by_brute_force(spark):
         assert got.keys() == want.keys() and all(got[i] == pytest.approx(want[i]) for i in want)
 
 
+def test_postings_hold_every_place(spark, tmp_path):
+    rows = [(1, "Stones and a stone, the quarry", "u1"), (2, "", "u2"), (3, None, "u3"), (4, "the of", "u4"), (5, "stone " * 3, "u5")]
+    df = spark.createDataFrame(rows, "id long, content string, url string")
+    got = {(r.term, r.id, r.url): r.positions for r in fts.postings(df, "id", "content", keep=["url"]).collect()}
+    assert got == {("stone", 1, "u1"): [1, 4], ("quarri", 1, "u1"): [6], ("stone", 5, "u5"): [1, 2, 3]}
+    assert {(r.id, r.term, r.pos) for r in fts.places(df, "id", "content").collect()} == {(i, t, p) for (t, i, _), ps in got.items() for p in ps}
+    fts.write_postings(fts.postings(df, "id", "content"), str(tmp_path / "p"))
+    stored = spark.read.parquet(str(tmp_path / "p"))
+    assert {r.id for r in fts.matching(stored, "the stones").collect()} == {1, 5} and fts.rank_stored(stored, "the").count() == 0
+
+
+def test_a_stem_like_a_stop_word_is_a_term(spark):
+    df = spark.createDataFrame([(1, "a doe"), (2, "it does")], "id long, content string")
+    assert [r.id for r in fts.match(df, "doe", "content").collect()] == [1]
+
+
 def test_stemmed_search(spark):
     df = spark.createDataFrame([(1, "Running quarries"), (2, "a run at the quarry"), (3, "stone")], "id long, content string")
+    assert {r.id for r in fts.match(df, "run quarry", "content", fts.Analyzer(stemmed=False)).collect()} == {2}
     assert {r.id for r in fts.match(df, "runs quarry", "content", fts.Analyzer(stemmed=True)).collect()} == {1, 2}
 
 

@@ -10,10 +10,11 @@ import pytest
 from pyspark.sql import functions as F
 
 from quarry.config import Settings
+from quarry.operators.rerank import scorer_of
 from quarry.operators.search import SearchService
 from quarry.plans.ingest import Ingest
 from quarry.plans.jobs import CRAWLS
-from quarry.plans.models import HashingEmbedder, OverlapScorer, complete_all
+from quarry.plans.models import ChatService, HashingEmbedder, OverlapScorer, complete_all, embedding, load_scorer
 from quarry.plans.tools import Tools
 from quarry.sources import pages as P
 from quarry.sources import store as S
@@ -157,7 +158,7 @@ def test_source_texts(spark):
 
 def test_ingest(spark, ingest, pages):
     out = ingest.run(pages)
-    assert out["urls_processed"] == 3 and out["total_chunks"] == 3 and out["code_examples"] == 1 and out["sources_updated"] == 2
+    assert out["urls_processed"] == 3 and out["total_chunks"] == 3 and out["code_examples"] == 1 and out["sources_updated"] == ["a.b", "c.d"]
     ingest.run(pages)  # again: nothing is doubled
     chunks = ingest.store.read("chunks")
     assert chunks.count() == 3 and S.duplicates(chunks).count() == 0
@@ -200,6 +201,89 @@ def test_empty_ingest(spark, ingest, pages):
     assert out["total_chunks"] == 0 and ingest.store.read("chunks").count() == 0
 
 
+def chunk_rows(spark, rows):
+    """Chunks from (url, number, content)."""
+    df = spark.createDataFrame(rows, "url string, chunk_number int, content string")
+    return df.select(S.row_id(F.col("url"), F.col("chunk_number")).alias("id"), "url", "chunk_number", "content", F.parse_json(F.lit("{}")).alias("metadata"), F.split("url", "/")[0].alias("source_id"), F.array(F.lit(1.0).cast("float")).alias("embedding"), now().alias("created_at"))
+
+
+def test_an_upsert_writes_only_its_buckets(spark, tmp_path):
+    store = S.Store(spark, str(tmp_path / "kb"), buckets=8)
+    assert store.add_chunks(chunk_rows(spark, [(f"s/{i}", 1, f"stone {i}") for i in range(40)]), now()) == 40
+    before = store.version("chunks")
+    assert store.add_chunks(chunk_rows(spark, [("s/7", 1, "new"), ("s/7", 2, "extra")]), now()) == 2
+    after = store.version("chunks")
+    assert after[0] == before[0] + 1 and sum(after[1]["folders"][b] != f for b, f in before[1]["folders"].items()) == 1
+    got = {(r.url, r.chunk_number): r.content for r in store.read("chunks").collect()}
+    assert len(got) == 41 and got["s/7", 1] == "new" and got["s/8", 1] == "stone 8"
+    ids = {r.id for r in store.read("chunks").collect()}
+    assert {r.id for r in store.read("chunk_postings").collect()} == ids and store.read("sources").count() == 1
+    assert store.add_chunks(chunk_rows(spark, [("s/7", 1, "x")]).limit(0), now()) == 0 and store.version("chunks")[0] == after[0]
+
+
+def test_stored_postings_rank_as_texts_do(spark, tmp_path):
+    from quarry.operators import fts
+
+    store = S.Store(spark, str(tmp_path / "kb"), buckets=4)
+    texts = ["Granite stones lie in the quarry.", "A stone, the quarry: granite.", "quarrying of stone and granites", "slate", "", "granite granite stone far away from any quarry"]
+    store.add_chunks(chunk_rows(spark, [(f"s/{i}", 1, t) for i, t in enumerate(texts)]), now())
+    for query in ("granite stones", "the quarry stone", "slate", "the", "absent stone"):
+        want = {r.id: r.text_rank for r in fts.rank(store.read("chunks"), query, "id", "content").collect()}
+        assert {r.id: r.text_rank for r in fts.rank_stored(store.read("chunk_postings"), query).collect()} == pytest.approx(want)
+    plan = fts.rank_stored(store.read("chunk_postings"), "granite")._jdf.queryExecution().executedPlan().toString()
+    assert "PushedFilters: [" in plan and "term" in plan.split("PushedFilters:")[1]
+
+
+def test_a_failed_write_leaves_the_last_version(spark, tmp_path, monkeypatch):
+    store = S.Store(spark, str(tmp_path / "kb"), buckets=4)
+    store.add_chunks(chunk_rows(spark, [("s/1", 1, "first")]), now())
+    monkeypatch.setattr(S.Store, "_commit", lambda *a: (_ for _ in ()).throw(RuntimeError("power cut")))
+    with pytest.raises(RuntimeError, match="power cut"):
+        store.add_chunks(chunk_rows(spark, [("s/1", 1, "second"), ("s/2", 1, "other")]), now())
+    monkeypatch.undo()
+    assert [r.content for r in S.Store(spark, str(tmp_path / "kb")).read("chunks").collect()] == ["first"]
+    store.add_chunks(chunk_rows(spark, [("s/1", 1, "third")]), now())
+    assert [r.content for r in store.read("chunks").collect()] == ["third"]
+
+
+def test_two_writers_lose_nothing(spark, tmp_path, monkeypatch):
+    store, other = (S.Store(spark, str(tmp_path / "kb"), buckets=1) for _ in range(2))
+    commit, late = S.Store._commit, []
+
+    def second_comes_first(self, name, number, content):
+        if self is store and name == "chunks" and not late:
+            late.append(other.add_chunks(chunk_rows(spark, [("s/2", 1, "two")]), now()))
+        return commit(self, name, number, content)
+
+    monkeypatch.setattr(S.Store, "_commit", second_comes_first)
+    store.add_chunks(chunk_rows(spark, [("s/1", 1, "one")]), now())
+    assert {r.content for r in store.read("chunks").collect()} == {"one", "two"} and late == [1]
+
+
+def test_old_versions_go(spark, tmp_path):
+    import os
+
+    store = S.Store(spark, str(tmp_path / "kb"), buckets=2, keep=2)
+    for i in range(5):
+        store.add_chunks(chunk_rows(spark, [("s/1", 1, f"text {i}")]), now())
+    assert sorted(n for n in os.listdir(tmp_path / "kb" / "chunks" / "versions") if n[0] != ".") == [f"{4:012d}", f"{5:012d}"]
+    assert [r.content for r in store.read("chunks").collect()] == ["text 4"]
+    assert sum(len(d) for _, d, _ in os.walk(tmp_path / "kb" / "chunks" / "data")) <= 7  # the folders of two versions
+
+
+def test_metadata_keeps_its_types(spark):
+    from quarry.operators import filters
+
+    rows = [(1, '{"chunk_index": 1, "tags": ["a"], "nested": {"k": 2}, "language": "old", "x": null, "y": 1.5, "z": true}'), (2, None), (3, "[1]"), (4, "{}"), (5, '{"q\\"uote": "v\\\\"}')]
+    df = spark.createDataFrame(rows, "id int, m string").select("id", F.parse_json("m").alias("metadata"), F.lit("```sql\nselect\n```").alias("content"))
+    out = S.with_fence_language(df)
+    got = {r.id: json.loads(r.m) for r in out.select("id", F.to_json("metadata").alias("m")).collect()}
+    assert got[1] == {"chunk_index": 1, "tags": ["a"], "nested": {"k": 2}, "language": "sql", "x": None, "y": 1.5, "z": True}
+    assert got[2] == got[3] == got[4] == {"language": "sql"} and got[5] == {'q"uote': "v\\", "language": "sql"}
+    for wanted in ({"chunk_index": 1}, {"nested": {"k": 2}}, {"tags": ["a"]}, {"language": "sql", "z": True}):
+        assert filters.where_metadata(out, wanted).filter("id = 1").count() == 1
+
+
 # --- tools ---
 
 
@@ -207,29 +291,135 @@ def test_empty_ingest(spark, ingest, pages):
 def tools(spark, ingest, pages):
     settings = Settings(use_agentic_rag=True, use_reranking=True)
 
-    def fetch(urls):
-        return pages.filter(F.col("url").isin(urls)).withColumn("success", F.lit(True))
+    def fetch(urls, max_concurrent):
+        return urls.join(pages, "url", "left").select(F.col("markdown").isNotNull().alias("success"), "url", F.lit(None).cast("string").alias("html"), "markdown")
 
     def service():
-        return SearchService(ingest.store.read("chunks"), ingest.store.read("code_examples"), ingest.embedder, scorer=OverlapScorer(), settings=settings)
+        return SearchService.of(ingest.store, embedder=ingest.embedder, scorer=OverlapScorer(), settings=settings)
 
     return Tools(spark, ingest, service, fetch, settings=settings)
 
 
 def test_tools(tools):
-    assert json.loads(tools.crawl_single_page("https://a.b/1"))["total_chunks"] == 1
-    assert json.loads(tools.crawl_single_page("https://no.where/"))["success"] is False
-    assert json.loads(tools.smart_crawl_url("https://a.b/2"))["already_exists"]
-    assert json.loads(tools.smart_crawl_url("https://a.b/2", force_recrawl=True))["code_examples"] == 1
+    one = json.loads(tools.crawl_single_page("https://a.b/1"))
+    assert one["chunks_created"] == 1 and one["source_id"] == "a.b" and one["crawl_type"] == "single_page" and one["crawl_id"]
+    none = json.loads(tools.crawl_single_page("https://no.where/"))
+    assert none["success"] is False and none["url"] == "https://no.where/" and none["crawl_id"]
+    known = json.loads(tools.smart_crawl_url("https://a.b/2"))
+    assert known["already_exists"] and known["success"] is False and known["existing_stats"]["total_chunks"] == 1 and known["source_id"] == "a.b"
+    again = json.loads(tools.smart_crawl_url("https://a.b/2", force_recrawl=True))
+    assert (again["total_code_examples"], again["urls_processed"], again["urls_failed"], again["sources_updated"], again["force_recrawl"]) == (1, 1, 0, ["a.b"], True)
     assert json.loads(tools.smart_crawl_url("https://a.b/2", max_depth=99))["success"] is False
     sources = json.loads(tools.get_available_sources())
-    assert sources["count"] == 1 and sources["sources"][0]["source_id"] == "a.b"
+    assert sources["total_sources"] == 1 and sources["sources"][0]["source"] == "a.b" and sources["sources"][0]["last_updated"].startswith("2024-01-01")
     found = json.loads(tools.perform_rag_query("granite is hard.", match_count=3))
-    assert found["success"] and all(r["similarity_score"] >= 0.5 for r in found["results"])
+    assert found["success"] and found["search_type"] == "semantic" and found["total_results"] == len(found["results"]) and all(r["similarity_score"] >= 0.5 for r in found["results"])
     code = json.loads(tools.search_code_examples("quarry stone", match_count=1))
-    assert code["count"] <= 1 and code["success"]
-    assert json.loads(tools.perform_rag_query(""))["success"] is False
-    assert json.loads(tools.cancel_crawl("none"))["success"] is False and json.loads(tools.get_active_crawls())["count"] == 0
+    assert code["total_results"] <= 1 and code["success"]
+    refused = json.loads(tools.perform_rag_query(""))
+    assert refused["success"] is False and refused["results"] == [] and refused["query"] == ""
+    gone = json.loads(tools.cancel_crawl("none"))
+    assert gone["success"] is False and gone["crawl_id"] == "none" and json.loads(tools.get_active_crawls())["total_active"] == 0 and json.loads(tools.cancel_all_crawls())["cancelled_count"] == 0
+
+
+def test_hybrid_tool_reads_postings(tools):
+    tools.crawl_single_page("https://a.b/1")
+    tools.settings = Settings(use_hybrid_search=True, semantic_threshold=0.0)
+    tools.service = lambda: SearchService.of(tools.ingest.store, embedder=tools.ingest.embedder, settings=tools.settings)
+    found = json.loads(tools.perform_rag_query("granites hardness?"))
+    assert found["success"] and found["search_type"] == "hybrid" and found["results"][0]["url"] == "https://a.b/1"
+
+
+class Site:
+    """A small web site on a port of its own."""
+
+    def __init__(self, files):
+        from http.server import BaseHTTPRequestHandler, ThreadingHTTPServer
+
+        asked = self.asked = []
+
+        class Answers(BaseHTTPRequestHandler):
+            def do_GET(self):
+                asked.append(self.path)
+                body = files.get(self.path)
+                self.send_response(200 if body is not None else 404)
+                self.send_header("Content-Type", "text/xml" if self.path.endswith(".xml") else "text/html; charset=utf-8")
+                self.end_headers()
+                self.wfile.write((body or "").replace("BASE", f"http://{self.headers['Host']}").encode())
+
+            def do_POST(self):
+                body = json.loads(self.rfile.read(int(self.headers["Content-Length"])))
+                asked.append((self.path, body, self.headers.get("Authorization")))
+                self.send_response(200)
+                self.end_headers()
+                self.wfile.write(json.dumps(files[self.path](body)).encode())
+
+            def log_message(self, *args):
+                pass
+
+        self.server = ThreadingHTTPServer(("127.0.0.1", 0), Answers)
+        self.base = f"http://127.0.0.1:{self.server.server_port}"
+
+    def __enter__(self):
+        threading.Thread(target=self.server.serve_forever, daemon=True).start()
+        return self
+
+    def __exit__(self, *_):
+        self.server.shutdown()
+
+
+def page(text, *links):
+    return f"<h1>{text}</h1><p>{text} is a stone.</p>" + "".join(f'<a href="{x}">x</a>' for x in links)
+
+
+def test_crawling_follows_links_over_the_web(spark, ingest):
+    files = {"/": page("Granite", "/a", "/b#top", "/gone", "https://other.invalid/"), "/a": page("Slate", "/", "/c"), "/b": page("Marble"), "/c": page("Basalt", "/d"), "/d": page("Tuff")}
+    files["/map/sitemap.xml"] = '<urlset xmlns="http://www.sitemaps.org/schemas/sitemap/0.9"><url><loc>BASE/a</loc></url><url><loc>BASE/none</loc></url></urlset>'
+    tools = Tools(spark, ingest, settings=Settings())
+    with Site(files) as site:
+        out = json.loads(tools.smart_crawl_url(f"{site.base}/#start", max_depth=3, max_concurrent=2))
+        assert (out["urls_processed"], out["urls_failed"], out["crawl_type"]) == (4, 1, "webpage"), out
+        assert sorted(site.asked) == ["/", "/a", "/b", "/c", "/gone"]  # each once, and nothing below the third level
+        out = json.loads(tools.smart_crawl_url(f"{site.base}/", max_depth=1, force_recrawl=True))
+        assert (out["urls_processed"], out["urls_failed"]) == (1, 0) and "forced" in out["message"]
+        out = json.loads(tools.smart_crawl_url(f"{site.base}/map/sitemap.xml", force_recrawl=True))
+        assert (out["urls_processed"], out["urls_failed"], out["crawl_type"]) == (1, 1, "sitemap")
+    urls = {r.url.rsplit("/", 1)[-1] for r in ingest.store.read("chunks").collect()}
+    assert urls == {"", "a", "b", "c"}
+
+
+def test_a_cancelled_crawl_stops_between_levels(spark):
+    pages = spark.createDataFrame([(True, "https://a.b/1", '<a href="/2">x</a>', "one"), (True, "https://a.b/2", "", "two")], "success boolean, url string, html string, markdown string")
+    fetched = []
+
+    def fetch(urls):
+        fetched.append(sorted(r.url for r in urls.collect()))
+        return pages.join(urls, "url")
+
+    start = spark.createDataFrame([("https://a.b/1",)], "url string")
+    assert {(r.url[-1], r.depth) for r in P.crawl_levels(fetch, start, 5).collect()} == {("1", 1), ("2", 2)} and fetched == [["https://a.b/1"], ["https://a.b/2"]]
+    with pytest.raises(RuntimeError, match="cancelled"):
+        P.crawl_levels(fetch, start, 5, stopped=lambda: len(fetched) == 3)
+
+
+def test_services(spark):
+    files = {
+        "/v1/embeddings": lambda q: {"data": [{"index": i, "embedding": [float(len(t)), 1.0]} for i, t in reversed(list(enumerate(q["input"])))]},
+        "/v1/chat/completions": lambda q: {"choices": [{"message": {"content": q["messages"][0]["content"].upper()}}]},
+        "/rerank": lambda q: [{"index": i, "score": len(t)} for i, t in reversed(list(enumerate(q["texts"])))],
+    }
+    with Site(files) as site:
+        service = ChatService(f"{site.base}/v1", "e", "c", key="k", dimension=2)
+        df = spark.createDataFrame([("a",), ("bcd",)], "t string")
+        assert sorted(tuple(r[0]) for r in df.select(embedding(F.col("t"), service)).collect()) == [(1.0, 1.0), (3.0, 1.0)]
+        assert complete_all(service, ["x", "y", "z"], 2) == ["X", "Y", "Z"]
+        assert load_scorer(f"{site.base}/rerank").predict([("q", "aa"), ("r", "b"), ("q", "ccc")]) == [2.0, 1.0, 3.0]
+        assert site.asked[0][2] == "Bearer k" and site.asked[0][1]["dimensions"] == 2
+        settings = Settings(use_reranking=True, reranker_paths=("/no/such/folder", f"{site.base}/rerank"))
+        assert scorer_of(settings).predict([("q", "four")]) == [4.0] and scorer_of(Settings()) is None
+        assert scorer_of(Settings(use_reranking=True, reranker_paths=("/no/such/folder",))) is None
+    with pytest.raises(Exception):
+        service.complete("gone")
 
 
 def test_code_tool_needs_its_flag(tools):
@@ -238,8 +428,8 @@ def test_code_tool_needs_its_flag(tools):
 
 
 def test_cancelling_interrupts_the_job(spark):
-    crawl = CRAWLS.start(spark, "https://a.b", "webpage")
-    assert CRAWLS.active()[0]["crawl_id"] == crawl.crawl_id and not CRAWLS.is_cancelled(crawl.crawl_id)
+    crawl = CRAWLS.start(spark, ["https://a.b"], "webpage")
+    assert CRAWLS.active()[crawl.crawl_id]["url_count"] == 1 and not CRAWLS.is_cancelled(crawl.crawl_id)
     timer = threading.Timer(1.5, lambda: CRAWLS.cancel(spark, crawl.crawl_id))
     timer.start()
     began = time.time()
@@ -249,7 +439,7 @@ def test_cancelling_interrupts_the_job(spark):
     finally:
         timer.join()
         CRAWLS.finish(spark, crawl.crawl_id)
-    assert time.time() - began < 15 and CRAWLS.active() == [] and CRAWLS.is_cancelled(crawl.crawl_id)
+    assert time.time() - began < 15 and CRAWLS.active() == {} and CRAWLS.is_cancelled(crawl.crawl_id)
 
 
 def test_stream_of_pages(spark, ingest, pages, tmp_path):
