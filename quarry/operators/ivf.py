@@ -97,7 +97,7 @@ def read(spark: SparkSession, path: str) -> DataFrame:
 def topk_batched(index: DataFrame, centres: np.ndarray, queries: Sequence[tuple[int, Sequence[float]]], k: int, probes: int = 10) -> DataFrame:
     """query_id, id, similarity, rank: each query meets the rows of its own cells only, as one matrix product a cell and batch."""
     ids = np.array([i for i, _ in queries], np.int64)
-    q = _unit(np.array([v for _, v in queries], float).reshape(len(queries), -1))
+    q = _unit(np.array([v for _, v in queries], float).reshape(len(queries), centres.shape[1] if len(queries) else 0))
     order = np.argsort(-(q @ centres.T), axis=1, kind="stable")[:, :probes] if len(centres) and len(q) else np.zeros((len(q), 0), int)
     asks = {c: np.flatnonzero((order == c).any(1)) for c in np.unique(order)}
 
