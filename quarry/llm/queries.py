@@ -1,10 +1,15 @@
-"""The queries of this subpackage: each applies its operator, with production parameters, to the whole table."""
+"""The queries of this subpackage: each applies its operator, with production parameters, to the whole table.
+
+Four more show those columns of an operator's result that SQL can express, beside that SQL. What it can't: models' scores,
+tokenizers, XXH64, edit distances, and chains of matches.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -71,9 +76,65 @@ def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(_read(spark, sf_dir, "documents"))
 
 
+def lm_base_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of LM scoring what follows from the corpus's counts alone."""
+    return op7_lm_scoring(spark, sf_dir).select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", F.round("base_score", 5).alias("base_score"))
+
+
+def license_places(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of license scans the places of the base phrases."""
+    return op6_license_scan(spark, sf_dir).select("doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels")
+
+
+def edited_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of document fingerprints the edited texts."""
+    return op8_document_fingerprints(spark, sf_dir).select("doc_id", "n_chars", "edited_sha256")
+
+
+_WORDS = "list_filter(string_split_regex({}, '[ \\t\\n\\x0b\\x0c\\r]+'), lambda x: x <> '')"
+_LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+#: CRC-32, bit by bit, of an id's decimal text.
+_CRC = """xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(doc_id::VARCHAR, ''), lambda x: ascii(x)::BIGINT)),
+  lambda c, b: list_reduce([xor(c, b), 0, 0, 0, 0, 0, 0, 0, 0], lambda x, y: xor(x >> 1, 3988292384::BIGINT * (x & 1)))), 4294967295::BIGINT)"""
+
+
+def _phrases() -> str:
+    from quarry.llm.license_scan import PHRASES
+
+    def one(phrase: str, label: str) -> str:
+        words = phrase.split()
+        return f"list_transform(list_filter(range(1, len(w) - {len(words) - 2}), lambda i: w[i:i + {len(words) - 1}] = {words}), lambda i: {{'at': i - 1, 'label': '{label}'}})"
+
+    return "list_concat(" + ", ".join(one(p, label) for p, label in PHRASES.items()) + ")"
+
+
+SQL: dict[str, Callable[[], str]] = {
+    "op5_substring_dedup": lambda: f"""WITH t AS (SELECT doc_id, {_WORDS.format("coalesce(text, '')")} AS w FROM documents),
+win AS (SELECT doc_id, i, array_to_string(w[i:i + 12], ' ') AS k FROM t, unnest(range(1, len(w) - 11)) AS u(i)),
+first AS (SELECT k, min(doc_id) AS d FROM win GROUP BY k),
+gone AS (SELECT DISTINCT doc_id, unnest(range(i, i + 13)) AS p FROM win JOIN first USING (k) WHERE d < doc_id),
+word AS (SELECT doc_id, unnest(w) AS x, generate_subscripts(w, 1) AS p FROM t),
+kept AS (SELECT doc_id, string_agg(x, ' ' ORDER BY p) AS s FROM word ANTI JOIN gone USING (doc_id, p) GROUP BY doc_id),
+n AS (SELECT doc_id, count(*) AS n FROM gone GROUP BY doc_id)
+SELECT t.doc_id, len(w) AS n_words, coalesce(n.n, 0) AS n_removed, sha256(coalesce(s, '')) AS kept_sha256 FROM t LEFT JOIN kept ON kept.doc_id = t.doc_id LEFT JOIN n ON n.doc_id = t.doc_id""",
+    "lm_base_scores": lambda: f"""WITH t AS (SELECT doc_id, {_CRC} % 7 = 2 AS held_out, list_append({_WORDS.format(_LOWER)}, ' ') AS w FROM documents),
+tok AS (SELECT doc_id, held_out, unnest(w) AS x FROM t),
+c AS (SELECT x, count(*) AS c FROM tok WHERE NOT held_out GROUP BY x),
+s AS (SELECT coalesce(sum(c), 0)::BIGINT AS n, count(*) AS v FROM c)
+SELECT doc_id, any_value(held_out) AS held_out, count(*) AS n_tokens, count(c) AS n_known, any_value(n) AS train_tokens, round(sum(log10((coalesce(c, 0) + 1)::DOUBLE / (n + v + 1))), 5) AS base_score
+FROM tok LEFT JOIN c USING (x), s GROUP BY doc_id""",
+    "license_places": lambda: f"""WITH t AS (SELECT doc_id, regexp_extract_all({_LOWER}, '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS w FROM documents),
+p AS (SELECT doc_id, len(w) AS n_words, {_phrases()} AS found FROM t)
+SELECT doc_id, n_words, len(found) AS n_base, list_min(list_transform(found, lambda x: x.at)) AS first_word, list_max(list_transform(found, lambda x: x.at)) AS last_word,
+  array_to_string(list_sort(list_distinct(list_transform(found, lambda x: x.label))), ',') AS base_labels FROM p""",
+    "edited_texts": lambda: """WITH t AS (SELECT doc_id, coalesce(text, '') AS text, coalesce(lead(coalesce(text, '')) OVER w, first_value(coalesce(text, '')) OVER w) AS next FROM documents WINDOW w AS (ORDER BY doc_id DESC))
+SELECT doc_id, length(text) AS n_chars, sha256(left(text, length(text) - length(text) // 3) || left(next, length(text) // 3)) AS edited_sha256 FROM t""",
+}
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {name: f for name, f in globals().items() if name.startswith("op")}
+    return {name: f for name, f in globals().items() if name.startswith("op") or name in SQL}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {name: sql() for name, sql in SQL.items()}

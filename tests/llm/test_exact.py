@@ -860,6 +860,7 @@ def test_entry_registers_all():
 
     names = list(__spark_entry__.queries())
     assert [n.split("_")[0] for n in names if n.startswith("op")] == [f"op{i}" for i in range(1, 11)] and "pipeline" in names
+    assert set(__spark_entry__.oracle_sql()) < set(names)
     json.dumps(__spark_entry__.oracle_sql())
 
 
