@@ -18,8 +18,8 @@ Components come from ``components``.
 ``near_duplicates`` links at 2 bits, exactly. ``without_near_duplicates`` is about similarity: 64-bit fingerprints of
 five-word shingles differ in some 10 bits at a similarity of 0.8, too many for any exact search. Its candidates share one
 of ``bands`` keys, each of the least of ``ROWS`` orders of a text's shingles: two texts share a key with a probability that
-depends on their similarity alone, wherever their words differ and however many texts there are. 256 bits over the sets
-of shingles verify.
+depends on their similarity alone, wherever their words differ and however many texts there are. 1024 SimHash bits over the
+sets of shingles verify: they are joined to the texts that share a key with another one, and to no others.
 
 Null and empty texts have fingerprint zero and are linked like any other. Repeated rows each have a row of results; rows of
 a null id are linked too, but name no component while another member has an id. Extra columns take no part; very long texts
@@ -46,8 +46,9 @@ BUCKET = 256
 ROWS, MISSED = 3, 1e-4
 _BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little").astype(np.int64)
 #: Columns of the bits that verify.
-V = ["v1", "v2", "v3", "v4"]
-NAMES = ["sig", "node", "fp", *V]
+V = [f"v{i}" for i in range(1, 17)]
+PROBE = ["sig", "node", "fp"]
+NAMES = [*PROBE, *V]
 SCHEMA = ", ".join(f"{c} long" for c in NAMES)
 
 
@@ -124,7 +125,7 @@ def band_keys(hashes: np.ndarray, n: int) -> list[int]:
 
 
 def wide_fingerprints(docs: DataFrame, k: int = 5, similarity: float = 0.8) -> DataFrame:
-    """doc_id, fps, v1 .. v4 of the set of ``k``-word shingles: its band keys find candidates, the 256 bits v verify."""
+    """doc_id, fps, v1 .. v16 of the set of ``k``-word shingles: its band keys find candidates, the 1024 bits v verify."""
     n = bands(similarity)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -286,13 +287,11 @@ def _signatures(nodes: DataFrame, make: Callable[[np.ndarray], np.ndarray]) -> D
             for lo in range(0, b.num_rows, 2048):
                 part = b.slice(lo, 2048)
                 fps = _fps(part.column(1))
-                node, *v = (part.column(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in (0, *range(2, 2 + len(V))))
                 sig = make(fps)
-                m = sig.shape[1]
-                cols = [sig.ravel().view(np.int64)] + [np.repeat(x, m) for x in (node, fps[:, 0], *v)]
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], NAMES)
+                cols = [sig.ravel().view(np.int64)] + [np.repeat(x, sig.shape[1]) for x in (part.column(0).to_numpy(zero_copy_only=False).astype(np.int64), fps[:, 0])]
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], PROBE)
 
-    return nodes.select("node", "fps", *V).mapInArrow(run, SCHEMA)
+    return nodes.select("node", "fps").mapInArrow(run, ", ".join(f"{c} long" for c in PROBE))
 
 
 def _close(fp: np.ndarray, v: list[np.ndarray], tau: int, tau_v: int) -> np.ndarray:
@@ -378,15 +377,20 @@ def _counted(rows: DataFrame) -> DataFrame:
     return split_join(rows, n, "sig")
 
 
-def links(nodes: DataFrame, parts: list[Part] | None, tau: int, tau_v: int = 256) -> DataFrame:
-    """Edges (a, b) whose components are those of all pairs of ``nodes`` (node, fps, V) that share a probe and verify.
+def links(nodes: DataFrame, parts: list[Part] | None, tau: int, tau_v: int = 64 * len(V)) -> DataFrame:
+    """Edges (a, b) whose components are those of all pairs of ``nodes`` (node, fps, and V where ``tau_v`` needs it) that share a probe and verify.
 
     Without ``parts`` the words of ``fps`` are the probes. They verify with at most ``tau`` bits apart in the first word (64: whatever that is) and ``tau_v`` in V.
     """
     rows = _signatures(nodes, lambda fps: probes(fps, parts) if parts is not None else fps)
     if tau >= 64:
         rows = rows.withColumn("fp", F.lit(0).cast("long"))
-    rows = stored(_counted(rows), "probes")
+    rows = _counted(rows)
+    if tau_v < 64 * len(V):
+        rows = rows.join(nodes.select("node", *V), "node")
+    else:
+        rows = rows.withColumns({c: F.lit(0).cast("long") for c in V})
+    rows = stored(rows, "probes")
     free_shuffles(rows.sparkSession)
     edges = _grouped(rows.filter(F.col("n") <= BUCKET), ["sig"], tau, tau_v)
     hot = rows.filter(F.col("n") > BUCKET)
@@ -416,9 +420,9 @@ def links(nodes: DataFrame, parts: list[Part] | None, tau: int, tau_v: int = 256
 def _all_around(hot: DataFrame, tau_v: int) -> DataFrame:
     """Links at up to 2 bits: those that share one of the 65 fingerprints that are at most one bit away from each."""
     flips = np.array([0, *[1 << b for b in range(64)]], np.uint64)
-    nodes = hot.select("node", F.array("fp").alias("fps"), *V).distinct()
-    around = _signatures(nodes, lambda fps: fps.view(np.uint64)[:, :1] ^ flips[None])
-    return _grouped(_counted(around), ["sig"], 2, tau_v)
+    around = _signatures(hot.select("node", F.array("fp").alias("fps")).distinct(), lambda fps: fps.view(np.uint64)[:, :1] ^ flips[None])
+    bits = hot.select("node", *V).distinct()
+    return _grouped(_counted(around).join(bits, "node"), ["sig"], 2, tau_v)
 
 
 def _untied_with_all(hot: DataFrame, roots: DataFrame, tau: int, tau_v: int) -> DataFrame:
@@ -453,36 +457,41 @@ def _roots(find: Callable[..., DataFrame], nodes: DataFrame, *args) -> DataFrame
     return roots
 
 
+def _least(nodes: DataFrame, roots: DataFrame) -> DataFrame:
+    """node, least: for every node the least ``least_id`` of its component."""
+    tied = nodes.select("node", "least_id").join(roots, "node")
+    least = tied.groupBy("root").agg(F.min("least_id").alias("_least"))
+    found = split_join(tied, least, "root").select("node", "_least")
+    return nodes.select("node", "least_id").join(found, "node", "left").select("node", F.coalesce("_least", "least_id").alias("least"))
+
+
 def near_duplicates(docs: DataFrame, k: int = 3, tau: int = 2) -> DataFrame:
     """doc_id, fingerprint (hexadecimal), component_id (the least doc_id reachable by links) of every row."""
-    fps = stored(fingerprints(docs, k), "fingerprints")
-    nodes = stored(fps.groupBy("fp").agg(F.min("doc_id").alias("least_id")), "nodes")
-    zero = F.lit(0).cast("long")
-    searched = nodes.select(F.col("fp").alias("node"), F.array("fp").alias("fps"), *[zero.alias(c) for c in V])
-    roots = _roots(links, searched, plan(searched, 1, tau), tau)
-    tied = nodes.join(roots, nodes.fp == roots.node)
-    least = tied.groupBy("root").agg(F.min("least_id").alias("component_id"))
-    found = split_join(tied, least, "root").select("fp", "component_id")
-    known = nodes.join(found, "fp", "left").select("fp", F.coalesce("component_id", "least_id").alias("component_id"))
-    return split_join(fps, known, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
-
-
-def without_near_duplicates(docs: DataFrame, k: int = 5, similarity: float = 0.8, slack: int = 5) -> DataFrame:
+    with temporary(docs.sparkSession) as keep:
+        fps = stored(fingerprints(docs, k), "fingerprints")
+        nodes = stored(fps.groupBy("fp").agg(F.min("doc_id").alias("least_id")), "nodes")
+        searched = nodes.select(F.col("fp").alias("node"), F.array("fp").alias("fps"))
+        known = stored(_least(nodes.withColumnRenamed("fp", "node"), _roots(links, searched, plan(searched, 1, tau), tau)), "keys")
+        keep(fps, known)
+    found = fps.join(known.select(F.col("node").alias("fp"), F.col("least").alias("component_id")), "fp")
+    return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def without_near_duplicates(docs: DataFrame, k: int = 5, similarity: float = 0.8, slack: int = 16) -> DataFrame:
     """The rows of ``docs`` without those whose group of near-duplicates holds a smaller ``doc_id``.
 
-    Two documents are linked if they share one of the keys of their sets of shingles and the 256 bits over their sets of
-    ``k``-word shingles differ in at most as many as a Jaccard similarity of ``similarity`` leads to, plus ``slack``.
+    Two documents are linked if they share one of the keys of their sets of shingles and the 1024 bits over their sets of
+    ``k``-word shingles differ in at most as many as a Jaccard similarity of ``similarity`` leads to, plus ``slack`` (by
+    default 1.4 standard deviations of that number, so that few pairs at the bound are lost).
     Rows that repeat a kept id stay; rows of a null id stay only where their group has no id.
     """
     cosine = 2 * similarity / (1 + similarity)
     tau_v = round(64 * len(V) * math.acos(cosine) / math.pi) + slack
-    wide = stored(wide_fingerprints(docs, k, similarity).withColumn("node", F.xxhash64("fps", *V)), "fingerprints")
-    nodes = stored(wide.groupBy("node").agg(F.min("fps").alias("fps"), *[F.min(c).alias(c) for c in V], F.min("doc_id").alias("least_id")), "nodes")
-    roots = _roots(links, nodes, None, 64, tau_v)
-    tied = nodes.select("node", "least_id").join(roots, "node")
-    least = tied.groupBy("root").agg(F.min("least_id").alias("keeps"))
-    found = split_join(tied, least, "root").select("node", "keeps")
-    known = nodes.select("node", "least_id").join(found, "node", "left").select("node", F.coalesce("keeps", "least_id").alias("keeps"))
-    gone = split_join(wide.select("node", "doc_id"), known, "node").filter("keeps IS NOT NULL AND NOT (doc_id <=> keeps)").select(F.col("doc_id").alias("_gone")).distinct()
-    gone = stored(gone, "gone")
+    with temporary(docs.sparkSession) as keep:
+        wide = stored(wide_fingerprints(docs, k, similarity).withColumn("node", F.xxhash64("fps", *V)), "fingerprints")
+        nodes = stored(wide.groupBy("node").agg(F.min("fps").alias("fps"), *[F.min(c).alias(c) for c in V], F.min("doc_id").alias("least_id")), "nodes")
+        known = _least(nodes, _roots(links, nodes, None, 64, tau_v))
+        gone = split_join(wide.select("node", "doc_id"), known, "node").filter("least IS NOT NULL AND NOT (doc_id <=> least)")
+        gone = stored(gone.select(F.col("doc_id").alias("_gone")).distinct(), "gone")
+        keep(gone)
     return docs.join(gone, docs["doc_id"].eqNullSafe(gone["_gone"]), "left_anti")

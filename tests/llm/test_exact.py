@@ -155,7 +155,7 @@ def test_near_duplicates(make, corpus):
 
 def searched(spark, fps, tau, parts=None):
     signed = [f - (1 << 64) if f >> 63 else f for f in fps]
-    nodes = spark.createDataFrame([(s, [s], 0, 0, 0, 0) for s in signed], "node long, fps array<long>, v1 long, v2 long, v3 long, v4 long").repartition(3).cache()
+    nodes = spark.createDataFrame([(s, [s]) for s in signed], "node long, fps array<long>").repartition(3).cache()
     edges = simhash.links(nodes, parts or simhash.plan(nodes, 1, tau), tau)
     roots = {r.node: r.root for r in components.components(edges).collect()}
     return [roots.get(s, s) for s in signed]
@@ -872,7 +872,7 @@ def test_temporary_tables_go(spark, make, corpus, tmp_path, monkeypatch):
 
     monkeypatch.setattr(common, "scratch_dir", lambda s: str(tmp_path))
     out = simhash.near_duplicates(make(corpus))
-    assert sorted(n.split("-")[0] for n in os.listdir(tmp_path)) == ["fingerprints", "nodes", "roots"] and out.count() == len(corpus)
+    assert sorted(n.split("-")[0] for n in os.listdir(tmp_path)) == ["fingerprints", "keys"] and out.count() == len(corpus)
     for n in os.listdir(tmp_path):
         shutil.rmtree(tmp_path / n)
     out = substring_dedup.digests(make(corpus))
