@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import json
 from typing import Any
 
 from pyspark.sql import Column, DataFrame, Window
@@ -81,7 +80,3 @@ def new_prefixes(main: DataFrame, more: DataFrame, seq: str, content: str = "con
 
 def as_variant(columns: dict[str, Column]) -> Column:
     return F.parse_json(F.to_json(F.struct(*[c.alias(k) for k, c in columns.items()])))
-
-
-def literal_variant(value: dict[str, Any]) -> Column:
-    return F.parse_json(F.lit(json.dumps(value)))

@@ -537,9 +537,10 @@ def source_stats(spark, sf):
     return S.source_stats(*_stat_tables(spark, sf)).select(*_STAT_COLUMNS)
 
 
-@query(f"WITH {_STATS} WHERE source_id = 'src3'")
+@query(f"SELECT * FROM (WITH {_STATS}) WHERE source_id = 'src3' AND total_chunks > 0")
 def source_exists(spark, sf):
-    return S.source_exists(*_stat_tables(spark, sf), "src3").select(*_STAT_COLUMNS)
+    """What keeps a crawl from starting: a source that has chunks."""
+    return S.source_exists(*_stat_tables(spark, sf), "src3").filter("total_chunks > 0").select(*_STAT_COLUMNS)
 
 
 @query("""
@@ -697,24 +698,30 @@ def section_info(spark, sf):
 
 # The chunker's rules as a recursion: where the chunk ends, then where the next one starts.
 _SIZE, _OVERLAP = 1000, 100
-_CHUNKS = f"""WITH RECURSIVE step AS (
+
+
+def _chunks_sql(size: int, overlap: int, last: str = "md5(chunk) AS chunk_md5, length(chunk) AS n_chars") -> str:
+    return f"""WITH RECURSIVE step AS (
   SELECT doc_id, text, 0 AS start, 0 AS n, NULL::VARCHAR AS chunk FROM documents WHERE trim(text, chr(32) || chr(10) || chr(9) || chr(13)) <> ''
   UNION ALL
-  SELECT doc_id, text, CASE WHEN last_ THEN length(text) WHEN n2 > 1 THEN greatest(start + 1, e - {_OVERLAP}, CASE WHEN mark > 0 THEN greatest(0, e - {_OVERLAP} + mark - 1 + 2) ELSE 0 END) ELSE e END, n2, c FROM (
+  SELECT doc_id, text, CASE WHEN last_ THEN length(text) WHEN n2 > 1 THEN greatest(start + 1, e - {overlap}, CASE WHEN mark > 0 THEN greatest(0, e - {overlap} + mark - 1 + 2) ELSE 0 END) ELSE e END, n2, c FROM (
     SELECT *, n + (c <> '')::INT AS n2, greatest(CASE WHEN strpos(rov, ' .') > 0 THEN length(ov) - strpos(rov, ' .') ELSE 0 END, CASE WHEN strpos(rov, chr(10) || chr(10)) > 0 THEN length(ov) - strpos(rov, chr(10) || chr(10)) ELSE 0 END) AS mark FROM (
       SELECT *, trim(substr(text, start + 1, CASE WHEN last_ THEN length(text) ELSE e - start END), chr(32) || chr(10) || chr(9) || chr(13)) AS c,
-        substr(text, greatest(0, e - {_OVERLAP}) + 1, e - greatest(0, e - {_OVERLAP})) AS ov, reverse(substr(text, greatest(0, e - {_OVERLAP}) + 1, e - greatest(0, e - {_OVERLAP}))) AS rov FROM (
-        SELECT *, start + {_SIZE} >= length(text) AS last_, start + CASE
-          WHEN fence > {0.3 * _SIZE} THEN fence
-          WHEN para >= 0 THEN CASE WHEN para > {0.3 * _SIZE} THEN para ELSE {_SIZE} END
-          WHEN sent >= 0 THEN CASE WHEN sent > {0.3 * _SIZE} THEN sent + 1 ELSE {_SIZE} END
-          WHEN space_ > {0.8 * _SIZE} THEN space_ ELSE {_SIZE} END AS e FROM (
+        substr(text, greatest(0, e - {overlap}) + 1, e - greatest(0, e - {overlap})) AS ov, reverse(substr(text, greatest(0, e - {overlap}) + 1, e - greatest(0, e - {overlap}))) AS rov FROM (
+        SELECT *, start + {size} >= length(text) AS last_, start + CASE
+          WHEN fence > {0.3 * size} THEN fence
+          WHEN para >= 0 THEN CASE WHEN para > {0.3 * size} THEN para ELSE {size} END
+          WHEN sent >= 0 THEN CASE WHEN sent > {0.3 * size} THEN sent + 1 ELSE {size} END
+          WHEN space_ > {0.8 * size} THEN space_ ELSE {size} END AS e FROM (
           SELECT *, CASE WHEN strpos(r, '```') > 0 THEN length(r) - strpos(r, '```') - 2 ELSE -1 END AS fence,
             CASE WHEN strpos(r, chr(10) || chr(10)) > 0 THEN length(r) - strpos(r, chr(10) || chr(10)) - 1 ELSE -1 END AS para,
             CASE WHEN strpos(r, ' .') > 0 THEN length(r) - strpos(r, ' .') - 1 ELSE -1 END AS sent,
             CASE WHEN strpos(r, ' ') > 0 THEN length(r) - strpos(r, ' ') ELSE -1 END AS space_ FROM (
-            SELECT *, reverse(substr(text, start + 1, {_SIZE})) AS r FROM step WHERE start < length(text)))))))
-SELECT doc_id, n AS chunk_number, md5(chunk) AS chunk_md5, length(chunk) AS n_chars FROM step WHERE chunk IS NOT NULL AND chunk <> ''"""
+            SELECT *, reverse(substr(text, start + 1, {size})) AS r FROM step WHERE start < length(text)))))))
+SELECT doc_id, n AS chunk_number, {last} FROM step WHERE chunk IS NOT NULL AND chunk <> ''"""
+
+
+_CHUNKS = _chunks_sql(_SIZE, _OVERLAP)
 
 
 @query(_CHUNKS)
@@ -723,7 +730,7 @@ def chunk_markdown(spark, sf):
     return out.select("doc_id", "chunk_number", F.md5(F.col("chunk").cast("binary")).alias("chunk_md5"), F.length("chunk").cast("long").alias("n_chars"))
 
 
-@query(f"SELECT source, count(DISTINCT doc_id) AS pages, count(*) AS chunks, max(chunk_number) AS most, sum(n_chars)::BIGINT AS chars FROM ({_CHUNKS}) JOIN documents USING (doc_id) GROUP BY source".replace("length(chunk) AS n_chars", "length(chunk) AS size").replace("sum(n_chars)", "sum(size)"))
+@query(f"SELECT source, count(DISTINCT doc_id) AS pages, count(*) AS chunks, max(chunk_number) AS most, sum(size)::BIGINT AS chars FROM ({_chunks_sql(_SIZE, _OVERLAP, 'length(chunk) AS size')}) JOIN documents USING (doc_id) GROUP BY source")
 def chunk_totals(spark, sf):
     out = with_chunks(table(spark, sf, "documents").select("doc_id", "source", "text"), "text", _SIZE, _OVERLAP)
     return out.groupBy("source").agg(F.count_distinct("doc_id").alias("pages"), F.count("*").alias("chunks"), F.max("chunk_number").alias("most"), F.sum(F.length("chunk")).alias("chars"))
@@ -809,7 +816,8 @@ def truncate_embedding(spark, sf):
   '/no_think' || chr(10) || chr(10) || left(text, 20) AS prompt,
   CASE WHEN doc_id % 3 = 0 THEN 'Content from ' || source WHEN length(text) > 500 THEN left(text, 500) || '...' ELSE text END AS summary,
   'Chunk ' || doc_id || ' of document: ' || left(text, 10) AS placeholder, '```sql' || chr(10) || left(text, 10) || chr(10) || '```' AS fenced,
-  left(text, 10) || chr(10) || '---' || chr(10) || left(text, 20) AS contextual, right(text, 500) AS before_window, left(text, 1500) AS code_window FROM documents""")
+  left(text, 10) || chr(10) || '---' || chr(10) || left(text, 20) AS contextual, right(text, 500) AS before_window, left(text, 1500) AS code_window,
+  md5(lang || chr(10) || chr(10) || '```sql' || chr(10) || text || chr(10) || '```') AS embedded_md5 FROM documents""")
 def prompt_texts(spark, sf):
     t = F.col("text")
     shown = T.prompt_windows(t, t, t, t)
@@ -817,6 +825,7 @@ def prompt_texts(spark, sf):
         "doc_id", T.without_think_tags(F.concat(F.lit("<think>"), F.left(t, F.lit(40)), F.lit("</think>"))).alias("plain"), T.thinking_prompt(F.left(t, F.lit(20)), True).alias("prompt"),
         T.clamped_summary(F.when(F.col("doc_id") % 3 == 0, "").otherwise(t), F.col("source")).alias("summary"), T.placeholder_context(F.col("doc_id"), F.left(t, F.lit(10))).alias("placeholder"),
         T.fenced(F.left(t, F.lit(10)), F.lit("sql")).alias("fenced"), T.contextual_text(F.left(t, F.lit(10)), F.left(t, F.lit(20))).alias("contextual"), shown["before"].alias("before_window"), shown["code"].alias("code_window"),
+        F.md5(T.code_embedding_text(F.col("lang"), t, F.lit("sql")).cast("binary")).alias("embedded_md5"),
     )
 
 
@@ -834,6 +843,93 @@ def embed_texts(spark, sf):
     return out.select("doc_id", F.size("e").alias("dimension"), six(F.sqrt(V.dot(F.col("e"), F.col("e")))).alias("length"))
 
 
+# --- ingestion --------------------------------------------------------------------------------------------------
+
+
+class LengthEmbedder:
+    """The length of a text as its vector: shows what is embedded."""
+
+    dimension = 1
+
+    def embed(self, texts):
+        return [[float(len(t))] for t in texts]
+
+
+class OneAnswer:
+    """Answers every prompt alike, with thinking tags."""
+
+    def complete(self, prompt):
+        return " <think>About</think> it. "
+
+
+def _ingest(answers: bool = False) -> Ingest:
+    more = {"llm": OneAnswer()} if answers else {}
+    return Ingest(None, F.lit(NOW).cast("timestamp"), LengthEmbedder(), settings=Settings(use_contextual_embeddings=answers), **more)
+
+
+def _pages(spark, sf, markdown: Column | None = None) -> DataFrame:
+    return table(spark, sf, "documents").select("doc_id", doc_url().alias("url"), (F.col("text") if markdown is None else markdown).alias("markdown"))
+
+
+def _ingested_sql(extra: int) -> str:
+    return f"""SELECT {_URL} AS url, chunk_number, chunk_md5, source || '.example' AS source_id, size + {extra} AS embedded, chunk_number - 1 AS chunk_index, 'webpage' AS crawl_type
+FROM ({_chunks_sql(5000, 200, "md5(chunk) AS chunk_md5, length(chunk) AS size")}) JOIN documents USING (doc_id)"""
+
+
+def _ingested(spark, sf, answers: bool) -> DataFrame:
+    out = _ingest(answers).chunks(_pages(spark, sf), "webpage")
+    get = lambda path, kind: F.try_variant_get("metadata", path, kind)
+    return out.select("url", "chunk_number", F.md5(F.col("content").cast("binary")).alias("chunk_md5"), "source_id", F.col("embedding")[0].cast("long").alias("embedded"), get("$.chunk_index", "long").alias("chunk_index"), get("$.crawl_type", "string").alias("crawl_type"))
+
+
+@query(_ingested_sql(0))
+def ingest_chunks(spark, sf):
+    return _ingested(spark, sf, False)
+
+
+@query(_ingested_sql(len("About it.\n---\n")))
+def ingest_contextual(spark, sf):
+    """A model's sentence about each chunk is embedded with it."""
+    return _ingested(spark, sf, True)
+
+
+@query(f"""WITH c AS (SELECT *, trim(text, chr(32) || chr(9) || chr(10) || chr(13)) AS code FROM documents)
+SELECT {_URL} AS url, 1 AS chunk_number, 'About it.' AS summary, source || '.example' AS source_id, md5('```python' || chr(10) || code || chr(10) || '```') AS content_md5,
+  length('About it.' || chr(10) || chr(10) || '```python' || chr(10) || code || chr(10) || '```') AS embedded, length(code) AS char_count FROM c WHERE length(code) >= 50""")
+def ingest_code(spark, sf):
+    """Each code block with its summary, which a model gives, and the vector of both."""
+    made = _ingest(True)
+    out = made.code(_pages(spark, sf, F.concat(F.lit("See\n```python\n"), "text", F.lit("\n```\n"))))
+    return out.select("url", "chunk_number", "summary", "source_id", F.md5(F.col("content").cast("binary")).alias("content_md5"), F.col("embedding")[0].cast("long").alias("embedded"), F.try_variant_get("metadata", "$.char_count", "long").alias("char_count"))
+
+
+@query("""SELECT source || '.example' AS source_id, 'Content from ' || source || '.example' AS summary, sum(len(list_filter(string_split_regex(text, '\\s+'), lambda x: x <> '')))::INT AS total_word_count FROM documents GROUP BY source""")
+def ingest_sources(spark, sf):
+    """Without a model a source's summary is a fixed sentence."""
+    return _ingest().sources(_pages(spark, sf))
+
+
+@query(f"""WITH r AS (SELECT doc_id, source, {_URL} AS url, doc_id % 4 = 0 AS new, text FROM documents)
+SELECT url, CASE WHEN new THEN 'new ' ELSE '' END || md5(text) AS content, source AS source_id FROM r""")
+def store_upsert(spark, sf):
+    """A quarter of the pages replaced in a stored table: only the buckets of their URLs are written."""
+    now = F.lit(NOW).cast("timestamp")
+
+    def rows(new: bool) -> DataFrame:
+        docs = table(spark, sf, "documents").filter("doc_id % 4 = 0") if new else table(spark, sf, "documents")
+        content = F.concat(F.lit("new " if new else ""), F.md5(F.col("text").cast("binary")))
+        return docs.select(S.row_id(doc_url(), F.lit(1)).alias("id"), doc_url().alias("url"), F.lit(1).alias("chunk_number"), content.alias("content"), F.parse_json(F.lit("{}")).alias("metadata"), F.col("source").alias("source_id"), F.array(F.lit(0.0).cast("float")).alias("embedding"), now.alias("created_at"))
+
+    def make(path):
+        store = S.Store(spark, path)
+        store.add_chunks(rows(False), now)
+        return store
+
+    store = index(spark, sf, "store", make)
+    store.add_chunks(rows(True), now)
+    return store.read("chunks").select("url", "content", "source_id")
+
+
 # --- queries as data --------------------------------------------------------------------------------------------
 
 _ASKED = "(CASE item_id % 5 WHEN 0 THEN 'how to ' WHEN 1 THEN 'fix the api, ' WHEN 2 THEN 'what is ' WHEN 3 THEN 'function ' ELSE 'zyx ' END) || text"
