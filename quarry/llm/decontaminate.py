@@ -2,45 +2,51 @@
 
 Texts and items are folded to lower-case words between spaces (ASCII punctuation and white space become one space). An item
 of ``n`` bytes, taken with the space on each side, may differ from a passage in ``e = n * RATE`` edits, whatever its length;
-cut into ``e + 1`` pieces, at least one piece then stands in the passage unchanged. All pieces of a block of items are found in one pass over a text by an Aho-Corasick
-automaton; around each hit, Myers' bit-parallel algorithm gives the least edit distance of the item to any passage.
-
-Items reach the tasks in blocks of at most ``BLOCK_BYTES``, each block meeting all documents, so the benchmark may
-be of any size; a benchmark of more than one block costs a pass over the documents for each. An item too short for an edit
-must stand as whole words, unchanged. Null and empty items and texts match nothing. Repeated items and rows give repeated
-results; very long texts are searched whole; extra columns take no part.
+cut into ``e + 1`` pieces, at least one piece then stands in the passage unchanged. The pieces of a block of items are
+known by their first ``KEY`` bytes, in a sorted table behind a bit map; all places of a batch of texts are looked up there at
+once, and pieces that then stand in the text whole are hits. Around each hit, Myers' bit-parallel algorithm gives the least
+edit distance of the item to any passage.
+
+Items reach the tasks in blocks of at most ``BLOCK_BYTES`` (a worker needs some five times that), each block meeting all
+documents, so the benchmark may be of any size; one of more than a block costs a pass over the documents for each, and the
+driver keeps all blocks until the result has been read. An item too short for an edit must stand as whole words, unchanged. Null and empty items and
+texts match nothing. Repeated items and rows give repeated results; very long texts are searched whole; extra columns take no
+part.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.common import only, rows_of, small_batches
+from quarry.llm.common import SLICE_ROWS, only, rows_of, small_batches
 
 RATE = 0.08
-BLOCK_BYTES = 1 << 20
+BLOCK_BYTES = 16 << 20
+#: Bytes at a piece's start that it is looked up by, and bits of the map for each piece.
+KEY, MAP_BITS = 8, 16
+#: Bytes of texts that are searched at a time.
+SEARCHED = 1 << 20
 
 #: A-Z to a-z; other ASCII but digits and a-z to a space; bytes over 0x7F stay.
 _FOLD = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
 
 
-def folded(text: str | None) -> str:
-    """The folded text between two spaces, a character for each byte; empty without words."""
-    if not text:
-        return ""
-    words = text.encode("utf-8", "replace").translate(_FOLD).split()
-    return (b" " + b" ".join(words) + b" ").decode("latin-1") if words else ""
+def folded(text: str | None) -> bytes:
+    """The folded text between two spaces; empty without words."""
+    words = text.encode("utf-8", "replace").translate(_FOLD).split() if text else []
+    return b" " + b" ".join(words) + b" " if words else b""
 
 
-def least_distance(item: str, text: str, most: int) -> tuple[int, int]:
+def least_distance(item: bytes, text: bytes, most: int) -> tuple[int, int]:
     """Myers: the least edit distance of ``item`` to any substring of ``text`` and where the first such one ends; (most + 1, -1) if over ``most``."""
     m = len(item)
     full, top = (1 << m) - 1, 1 << (m - 1)
-    mask: dict[str, int] = {}
+    mask: dict[int, int] = {}
     for i, c in enumerate(item):
         mask[c] = mask.get(c, 0) | 1 << i
     pv, mv, now = full, 0, m
@@ -67,61 +73,91 @@ def least_distance(item: str, text: str, most: int) -> tuple[int, int]:
     return best, end
 
 
+def _spread(keys: np.ndarray, shift: int) -> np.ndarray:
+    with np.errstate(over="ignore"):
+        return (keys * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(shift)
+
+
 class Finder:
-    """The pieces of a block of items."""
+    """The pieces of a block of items, in a table for each length of keys (shorter pieces than KEY are their own keys)."""
 
     def __init__(self, items: list[tuple[int, str]]):
-        import ahocorasick
-
-        self.items: list[tuple[int, str, int]] = []
-        pieces: dict[str, list[tuple[int, int]]] = {}
+        self.items: list[tuple[int, bytes, int]] = []
+        pieces: dict[int, list[tuple[int, int, int]]] = {}  # (item, where the piece starts, its bytes) by the length of the key
         for item_id, text in items:
             body = folded(text)
             if not body:
                 continue
             most = int((len(body) - 2) * RATE)
-            i = len(self.items)
-            self.items.append((item_id, body, most))
             cut = [round(len(body) * k / (most + 1)) for k in range(most + 2)]
             for a, b in zip(cut, cut[1:], strict=False):
-                pieces.setdefault(body[a:b], []).append((i, a))
-        self.automaton = ahocorasick.Automaton()
-        for piece, at in pieces.items():
-            self.automaton.add_word(piece, (len(piece), at))
-        self.some = bool(pieces)
-        if self.some:
-            self.automaton.make_automaton()
-
-    def find(self, text: str | None) -> list[tuple[int, int, int, int]]:
-        """(item id, its bytes, distance, end of the passage in the folded text) of each item that the text holds."""
-        body = folded(text)
-        if not body or not self.some:
-            return []
-        starts: dict[int, list[int]] = {}
-        for end, (size, at) in self.automaton.iter(body):
-            for i, offset in at:
-                starts.setdefault(i, []).append(end + 1 - size - offset)
-        out = []
-        for i, found in starts.items():
-            item_id, item, most = self.items[i]
-            best, end = most + 1, -1
-            lo = hi = None
-            for s in [*sorted(found), None]:  # passages whose windows meet are searched as one
-                if s is not None and hi is not None and s - most <= hi:
-                    hi = s + len(item) + most
-                    continue
-                if hi is not None:
-                    d, e = least_distance(item, body[max(0, lo) : hi], most)
-                    if d < best:
-                        best, end = d, max(0, lo) + e
-                    if not best:
-                        break
-                if s is not None:
-                    lo, hi = s - most, s + len(item) + most
-            if best <= most:
-                out.append((item_id, len(item) - 2, best, end))
+                pieces.setdefault(min(KEY, b - a), []).append((len(self.items), a, b - a))
+            self.items.append((item_id, body, most))
+        self.tables = []
+        for size, found in pieces.items():
+            keys = np.array([int.from_bytes(self.items[i][1][a : a + size], "little") for i, a, _ in found], np.uint64)
+            order = np.argsort(keys, kind="stable")
+            shift = 64 - max(10, (MAP_BITS * len(keys)).bit_length())
+            bits = np.zeros(1 << (64 - shift), bool)
+            bits[_spread(keys, shift)] = True
+            self.tables.append((np.uint64((1 << 8 * size) - 1), keys[order], np.array(found, np.int32)[order], shift, bits))
+
+    def _hits(self, data: bytes) -> Iterator[tuple[int, int, int]]:
+        """(place, item, place of the piece in the item) of each piece that stands in ``data``, which ends in KEY zeros."""
+        eight = np.ndarray(len(data) - KEY + 1, "<u8", data, strides=(1,))
+        for mask, keys, pieces, shift, bits in self.tables:
+            x = eight & mask
+            place = np.flatnonzero(bits[_spread(x, shift)])
+            lo, hi = (np.searchsorted(keys, x[place], side=side) for side in ("left", "right"))
+            some = np.flatnonzero(hi > lo)
+            for p, a, b in zip(place[some].tolist(), lo[some].tolist(), hi[some].tolist(), strict=True):
+                for i, start, size in pieces[a:b].tolist():
+                    if data[p : p + size] == self.items[i][1][start : start + size]:
+                        yield p, i, start
+
+    def find_all(self, texts: list[str | None]) -> list[list[tuple[int, int, int, int]]]:
+        """(item id, its bytes, distance, end of the passage in the folded text) of each item that each text holds."""
+        out: list[list[tuple[int, int, int, int]]] = [[] for _ in texts]
+        bodies = [folded(t) for t in texts]
+        lo = 0
+        while lo < len(bodies) and self.tables:
+            hi, size = lo, 0
+            while hi < len(bodies) and (hi == lo or size + len(bodies[hi]) < SEARCHED):
+                size += len(bodies[hi]) + KEY
+                hi += 1
+            # zeros stand in no piece, so none is found across two texts
+            data = b"".join(b + bytes(KEY) for b in bodies[lo:hi])
+            first = np.cumsum([0, *(len(b) + KEY for b in bodies[lo:hi])])
+            starts: dict[tuple[int, int], list[int]] = {}
+            for p, i, start in self._hits(data):
+                k = int(np.searchsorted(first, p, side="right")) - 1
+                starts.setdefault((k, i), []).append(p - int(first[k]) - start)
+            for (k, i), found in starts.items():
+                best = self._nearest(i, bodies[lo + k], found)
+                if best is not None:
+                    out[lo + k].append(best)
+            lo = hi
         return out
 
+    def _nearest(self, i: int, body: bytes, found: list[int]) -> tuple[int, int, int, int] | None:
+        """The item's least distance to a passage near one of the starts that its pieces' places lead to; None if over its budget."""
+        item_id, item, most = self.items[i]
+        best, end = most + 1, -1
+        lo = hi = None
+        for s in [*sorted(found), None]:  # passages whose windows meet are searched as one
+            if s is not None and hi is not None and s - most <= hi:
+                hi = s + len(item) + most
+                continue
+            if hi is not None:
+                d, e = least_distance(item, body[max(0, lo) : hi], most)
+                if d < best:
+                    best, end = d, max(0, lo) + e
+                if not best:
+                    break
+            if s is not None:
+                lo, hi = s - most, s + len(item) + most
+        return (item_id, len(item) - 2, best, end) if best <= most else None
+
 
 def _blocks(items: DataFrame) -> Iterator[list[tuple[int, str]]]:
     """The items, block by block; a block is bounded, so the driver never holds them all."""
@@ -147,7 +183,7 @@ def contaminated(docs: DataFrame, items: DataFrame) -> DataFrame:
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             finder = Finder(shared.value)
             for doc_id, text in rows_of(batches):
-                found = [(d, *x) for d, t in zip(doc_id, text, strict=True) for x in finder.find(t)]
+                found = [(d, *x) for d, some in zip(doc_id, finder.find_all(text), strict=True) for x in some]
                 cols = [list(c) for c in zip(*found, strict=True)] or [[]] * 5
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], [x.split()[0] for x in schema.split(", ")])
 
@@ -165,7 +201,9 @@ def without_contaminated(docs: DataFrame, items: DataFrame) -> DataFrame:
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             finder = Finder(shared.value)
             for b in batches:
-                yield b.filter(pa.array([not finder.find(t.as_py()) for t in b.column(at)], pa.bool_()))
+                for lo in range(0, b.num_rows, SLICE_ROWS):
+                    part = b.slice(lo, SLICE_ROWS)
+                    yield part.filter(pa.array([not x for x in finder.find_all(part.column(at).to_pylist())], pa.bool_()))
 
         docs = docs.mapInArrow(run, docs.schema)
     return docs

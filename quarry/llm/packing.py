@@ -7,11 +7,12 @@ to ``j``,
 
     f(j) = penalty(j) + min( min over j - limit <= i < j of f(i) + limit - (j - i),  min over k of f(j - 2^k) ),
 
-where the first minimum comes from a monotone queue over ``f(i) + i`` and the second holds because windows
-whose length is a power of two are not padded. No row leaves its partition; a partition's stream is cut in
-blocks, the last windows of a block being decided with the next one.
+where the first minimum comes from a monotone queue over ``f(i) + i`` and the second, over ``2^k`` in ``POWERS``, holds because
+windows whose length is a power of two are not padded; shorter powers would only split texts further. No row leaves its
+partition; a partition's stream is cut in blocks, the last windows of a block being decided with the next one.
 
-A null or empty text is its end id alone. Repeated rows and ids are packed as they come; ids need not differ.
+A null or empty text is its end id alone. Repeated rows and ids are packed as they come; ids need not differ, and may be
+null. A text of any length is encoded whole and cut in blocks; extra columns take no part.
 """
 
 from __future__ import annotations

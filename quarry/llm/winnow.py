@@ -21,8 +21,9 @@ from quarry.llm.common import only
 K, W, TOKEN_CHARS = 4, 4, 8
 #: Ranges of ids whose bounds are found from the data; each is then cut evenly into finer ones.
 COARSE = 256
-#: Bytes of text in a range of ids, and in a task, about; a task sorts its ranges and holds one at a time.
-RANGE_BYTES, TASK_BYTES, MOST_TASKS = 4 << 20, 8 << 20, 200_000
+#: Bytes of text in a range of ids, and in a task, about; a task sorts its ranges and holds one at a time. The bounds of all
+#: ranges are sent to all tasks, so there are at most MOST_RANGES (and as many as COARSE and hot ids add); larger texts have larger ones.
+RANGE_BYTES, TASK_BYTES, MOST_TASKS, MOST_RANGES = 4 << 20, 8 << 20, 200_000, 1 << 18
 LOWEST = -(2**63)
 
 
@@ -123,7 +124,7 @@ def edit_likeness(docs: DataFrame, k: int = K, w: int = W, per_partition: int =
     partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
     cuts = [i / COARSE for i in range(COARSE + 1)]
     bounds, size = docs.agg(F.percentile_approx(F.coalesce(F.col("doc_id").cast("long"), F.lit(LOWEST)), cuts, 10_000), F.sum(F.octet_length("text"))).first()
-    df = _bucketed(docs, max(per_partition * partitions, (size or 0) // RANGE_BYTES), bounds or [0, 0])
+    df = _bucketed(docs, min(MOST_RANGES, max(per_partition * partitions, (size or 0) // RANGE_BYTES)), bounds or [0, 0])
     tops = df.groupBy("_b").agg(F.max(F.struct("_k", "_h")).alias("_top")).select("_b", "_top.*")  # a row for each range
     by = Window.orderBy("_b")
     goes = F.coalesce(F.lead("_b").over(by), F.min("_b").over(Window.orderBy(F.lit(0))))

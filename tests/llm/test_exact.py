@@ -770,6 +770,7 @@ def plain_distance(item, text):
 @settings(max_examples=120, deadline=None)
 @given(st.text(alphabet="abc", min_size=1, max_size=90), st.text(alphabet="abc", max_size=60))
 def test_myers(item, text):
+    item, text = item.encode(), text.encode()
     want = plain_distance(item, text)
     got, end = decontaminate.least_distance(item, text, len(item))
     assert got == want
@@ -830,10 +831,28 @@ def test_items_of_every_length_have_the_same_rate(spark, make):
     got = {(x.doc_id, x.item_id): (x.distance, x.item_bytes) for x in decontaminate.contaminated(make(docs), df).collect()}
     for n in items:
         for e in range(4):
-            d = plain_distance(f" {items[n]} ", f" {docs[10 * n + e]} ")
+            d = plain_distance(f" {items[n]} ", f" {docs[10 * n + e]} ")  # words alone, as they are folded to themselves
             assert got.get((10 * n + e, n)) == ((d, n) if d <= int(n * decontaminate.RATE) else None)
 
 
+@settings(max_examples=150, deadline=None)
+@given(st.lists(st.text(alphabet="ab ", max_size=40), max_size=5), st.lists(st.text(alphabet="ab .", max_size=60), max_size=6), st.sampled_from([16, 1 << 20]))
+def test_pieces_miss_no_item(items, texts, at_a_time):
+    decontaminate.SEARCHED, was = at_a_time, decontaminate.SEARCHED
+    try:
+        found = decontaminate.Finder(list(enumerate(items))).find_all(texts)
+    finally:
+        decontaminate.SEARCHED = was
+    for t, got in zip(texts, found, strict=True):
+        want = {}
+        for i, item in enumerate(items):
+            body = decontaminate.folded(item)
+            d = plain_distance(body, decontaminate.folded(t)) if body else None
+            if body and decontaminate.folded(t) and d <= int((len(body) - 2) * decontaminate.RATE):
+                want[i] = d
+        assert {i: d for i, _, d, _ in got} == want and len(got) == len(want)
+
+
 def test_contamination_odd_tables(spark, make):
     item = "granite columns of the northern quarry stand in long rows"
     df = spark.createDataFrame([(1, item, 0)], "item_id long, text string, doc_id long")
