@@ -657,7 +657,26 @@ def crawl_totals(spark, sf):
     return P.outcome(table(spark, sf, "pages").select((F.col("page_id") % 5 != 0).alias("success"), "url", F.col("html").alias("markdown")))
 
 
-@query()
+def _replaced(text: str, *rules: tuple[str, str]) -> str:
+    """SQL that applies regular expressions one after the other."""
+    for pattern, to in rules:
+        text = f"regexp_replace({text}, '{pattern}', {to}, 'g')"
+    return text
+
+
+_LINE = "chr(10)"
+# The rules for tags as expressions: what is skipped, then headings, list items, blocks, and all other tags.
+_MARKDOWN = _replaced(
+    "html", ("\\s+", "' '"), ("<!--.*?-->|<![^>]*>", "''"), ("<(script|style|nav)[^>]*>.*?</(script|style|nav)>", "''"),
+    ("<h1[^>]*>", f"{_LINE} || {_LINE} || '# '"), ("<h2[^>]*>", f"{_LINE} || {_LINE} || '## '"), ("<h3[^>]*>", f"{_LINE} || {_LINE} || '### '"), ("<li[^>]*>", f"{_LINE} || {_LINE} || '- '"),
+    ("</?(p|div|section|article|ul|ol|table|tr|br|main|body|title)( [^>]*)?>|</(h[1-6]|li)>", f"{_LINE} || {_LINE}"), ("<[^>]*>", "''"),
+)
+for _name, _char in {"&copy;": "\u00a9", "&middot;": "\u00b7", "&nbsp;": "\u00a0", "&lt;": "<", "&gt;": ">", "&quot;": '"', "&#39;": "\'\'", "&amp;": "&"}.items():
+    _MARKDOWN = f"replace({_MARKDOWN}, '{_name}', '{_char}')"
+_MARKDOWN = "trim(" + _replaced(_MARKDOWN, ("[ \\t]+\\n", _LINE), ("\\n{3,}", f"{_LINE} || {_LINE}")) + ", ' ' || chr(10))"
+
+
+@query(f"SELECT url, {_MARKDOWN} AS markdown FROM pages WHERE {_MARKDOWN} <> ''")
 def html_markdown(spark, sf):
     return P.fetched(table(spark, sf, "pages"))
 
@@ -837,8 +856,9 @@ def chunk_metadata(spark, sf):
     return out.select("doc_id", *[F.try_variant_get("m", f"$.{k}", t).alias(k) for k, t in kinds.items()])
 
 
-@query()
+@query("SELECT doc_id, 64 AS dimension, CASE WHEN regexp_matches(text, '\\S') THEN 1.0::DOUBLE ELSE 0.0 END AS length FROM documents")
 def embed_texts(spark, sf):
+    """Every vector has its dimension and length 1, or 0 without words."""
     out = table(spark, sf, "documents").select("doc_id", embedding(T.truncated(F.col("text")), HashingEmbedder()).alias("e"))
     return out.select("doc_id", F.size("e").alias("dimension"), six(F.sqrt(V.dot(F.col("e"), F.col("e")))).alias("length"))
 
