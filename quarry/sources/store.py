@@ -168,6 +168,19 @@ class Store:
         for v in old:
             self.files.delete(f"{self.root}/{name}/versions/{v}")
 
+    def vacuum(self) -> None:
+        """Delete what failed writes have left: folders that no kept version names. No writer may run meanwhile."""
+        for name in self.TABLES:
+            root = f"{self.root}/{name}"
+            versions = self.files.names(f"{root}/versions")
+            named = {f for v in versions for f in json.loads(self.files.read(f"{root}/versions/{v}"))["folders"].values()}
+            for folder in self.files.names(f"{root}/data"):
+                for bucket in self.files.names(f"{root}/data/{folder}"):
+                    if f"data/{folder}/{bucket}" not in named:
+                        self.files.delete(f"{root}/data/{folder}/{bucket}")
+            for folder in self.files.names(f"{root}/staged"):
+                self.files.delete(f"{root}/staged/{folder}")
+
     def _again(self, once: Callable[[], bool], name: str) -> None:
         for _ in range(self.TRIES):
             if once():
@@ -219,7 +232,9 @@ class Store:
         try:
             n = staged.count()
             if n:
-                self._replace("sources", self._missing_sources(staged, now), "source_id")
+                missing = self._missing_sources(staged, now)
+                if not missing.isEmpty():
+                    self._replace("sources", missing, "source_id")
                 self._replace_postings(name, staged)  # first: postings without a row find nothing, a row without postings would stay hidden
                 self._replace(name, staged, "url")
             return n

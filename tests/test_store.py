@@ -242,6 +242,11 @@ def test_a_failed_write_leaves_the_last_version(spark, tmp_path, monkeypatch):
         store.add_chunks(chunk_rows(spark, [("s/1", 1, "second"), ("s/2", 1, "other")]), now())
     monkeypatch.undo()
     assert [r.content for r in S.Store(spark, str(tmp_path / "kb")).read("chunks").collect()] == ["first"]
+    folders = lambda: {str(d.relative_to(tmp_path)) for d in (tmp_path / "kb").glob("*/data/*/bucket=*")}
+    before = folders()
+    store.vacuum()
+    named = {f"kb/{n}/{f}" for n in S.Store.TABLES for f in store.version(n)[1]["folders"].values()}
+    assert named <= folders() < before and [r.content for r in store.read("chunks").collect()] == ["first"]
     store.add_chunks(chunk_rows(spark, [("s/1", 1, "third")]), now())
     assert [r.content for r in store.read("chunks").collect()] == ["third"]
 
