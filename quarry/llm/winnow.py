@@ -104,7 +104,8 @@ def _bucketed(docs: DataFrame, ranges: int, bounds: list[int]) -> DataFrame:
     df = df.withColumn("_c", F.size(F.filter(longs(at), lambda b: b <= F.col("_k"))))
     lo, hi = F.try_element_at(longs([0, *at]), F.col("_c") + 1), F.try_element_at(longs(at), F.col("_c") + 1)
     size = F.element_at(longs(sizes), F.col("_c") + 1)
-    by_id = F.try_divide((F.col("_k") - lo).cast("double") * size, (hi - lo).cast("double"))
+    double = lambda c: c.cast("double")  # noqa: E731  # as differences of longs may not fit into one
+    by_id = F.try_divide((double(F.col("_k")) - double(lo)) * size, double(hi) - double(lo))
     by_text = (F.col("_h").cast("double") + F.lit(2.0**63)) / F.lit(2.0**64) * size
     part = F.when(F.element_at(F.array(F.lit(False), *[F.lit(b in hot) for b in at]), F.col("_c") + 1), by_text).otherwise(by_id)
     inside = F.least(F.greatest(F.coalesce(part.cast("long"), F.lit(0).cast("long")), F.lit(0)), size - 1)

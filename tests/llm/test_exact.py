@@ -109,6 +109,15 @@ def test_a_hot_id_is_cut_into_ranges(spark, make):
     assert got == sorted(want)
 
 
+def test_ids_as_far_apart_as_can_be(spark, make):
+    rows = [(None, "no id"), (2**63 - 1, "last"), (-(2**63), "first"), (0, "zero"), *((i, f"text {i}") for i in range(1, 3000))]
+    got = {r.doc_id: r.edited_sha256 for r in winnow.edit_likeness(make(rows)).collect()}
+    order = sorted((x for x in rows if x[0] is not None and x[0] > -(2**63)), reverse=True)
+    for (i, t), (_, n) in zip(order, order[1:], strict=False):
+        assert got[i] == hashlib.sha256((t[: len(t) - len(t) // 3] + n[: len(t) // 3]).encode()).hexdigest()
+    assert len(got) == len(rows)
+
+
 def test_fingerprint_plan_is_native(make, corpus):
     plan = winnow.edit_likeness(make(corpus))._jdf.queryExecution().executedPlan().toString()
     assert not re.search("Python|Pandas|Arrow", plan)
