@@ -138,8 +138,9 @@ def _gradients(net: ByteCNN, rows: np.ndarray, doc: np.ndarray, n_docs: int, lab
     return [d_table, d_best.sum(0), pooled.T @ dh, dh.sum(0), hidden.T @ dz, dz.sum(keepdims=True)]
 
 
-def train(texts: list[bytes], labels: np.ndarray, steps: int = STEPS, seed: int = 7) -> ByteCNN:
-    """Adam over a fixed number of batches, with both classes equally often in each."""
+def train(texts: list[bytes], labels: np.ndarray, steps: int | None = None, seed: int = 7) -> ByteCNN:
+    """Adam over a fixed number of batches (``STEPS`` if not given), with both classes equally often in each."""
+    steps = steps or STEPS
     net, r = ByteCNN.start(seed), np.random.default_rng(seed)
     sets = [chunks_of(t) for t in texts]
     cuts = []

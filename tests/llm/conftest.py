@@ -4,6 +4,10 @@ import random
 
 import pytest
 
+from quarry.llm import quality_cnn
+
+quality_cnn.STEPS = 400  # the tests' texts are few and easy
+
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 
 
