@@ -120,8 +120,8 @@ def matching(stored: DataFrame, query: str, analyzer: Analyzer | None = None) ->
     """term, id, positions of the query's terms in the texts that hold them all; only those terms' postings are read."""
     terms = (analyzer or Analyzer()).query_terms(query)
     found = stored.select("term", "id", "positions").filter(F.col("term").isin(terms or [""]))
-    whole = found.groupBy("id").agg(F.count_distinct("term").alias("_n")).filter(F.col("_n") == len(terms)).select("id")
-    return found.join(whole, "id")
+    whole = found.groupBy("id").agg(F.collect_list(F.struct("term", "positions")).alias("_held"))  # a row for each term of a text at most
+    return whole.filter(F.size("_held") == len(terms)).select("id", F.inline("_held"))
 
 
 def rank_stored(stored: DataFrame, query: str, analyzer: Analyzer | None = None) -> DataFrame:
