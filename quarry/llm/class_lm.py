@@ -264,15 +264,13 @@ def reassigned(codes: DataFrame, of: np.ndarray, table: np.ndarray) -> np.ndarra
             np.add.at(counts, word + np.where(same_next, 2 * classes, of[seq[at + 1]]), 1)
             np.add.at(counts, (word + classes + of[seq[at - 1]])[~same_before], 1)
         counts = counts.reshape(n, -1)
-        some = np.flatnonzero(counts.any(1))
-        for lo in range(0, len(some), 4096):
-            code, kind, number = [], [], []
-            for i in some[lo : lo + 4096]:
-                k = np.flatnonzero(counts[i])
-                code.append(i + units)
-                kind.append(k.astype(np.uint8).tobytes())
-                number.append(counts[i][k].astype("<u4").tobytes())
-            yield pa.RecordBatch.from_arrays([pa.array(code, pa.int32()), pa.array(kind, pa.binary()), pa.array(number, pa.binary())], ["code", "kind", "number"])
+        for lo in range(0, n, 1 << 14):
+            row, kind = np.nonzero(counts[lo : lo + (1 << 14)])
+            number = counts[lo + row, kind].astype("<u4")
+            word, first = np.unique(row, return_index=True)
+            ends = np.append(first, len(row)).astype(np.int32)
+            cols = [pa.Array.from_buffers(pa.binary(), len(word), [None, pa.py_buffer(size * ends), pa.py_buffer(x.tobytes())]) for size, x in ((np.int32(1), kind.astype(np.uint8)), (np.int32(4), number))]
+            yield pa.RecordBatch.from_arrays([pa.array((word + lo + units).astype(np.int32)), *cols], ["code", "kind", "number"])
 
     def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         of, table = shared.value
