@@ -7,8 +7,8 @@ dense layer into one probability. The first layer is a sum of table rows, one ta
 neighbouring bytes in the filter, so scoring needs no multiplication per byte.
 
 Training takes a bounded sample of labelled rows (at most ``TRAIN_ROWS`` of at most ``TRAIN_BYTES`` in all, half of each class
-where there are enough), each with all its chunks, and a fixed number of steps, so its cost doesn't grow with the corpus;
-every document is scored whole.
+where there are enough), each with all its chunks, and bounded numbers of steps and of chunks, so its cost doesn't grow with
+the corpus; every document is scored whole.
 
 Null and empty texts score as a document of one blank chunk. Repeated rows get equal scores. Rows of a null id are scored and
 teach nothing. Extra columns take no part. Without a label of either class every score is the share of label 1 (0.5 without
@@ -33,6 +33,8 @@ HIDDEN = 16
 #: Bounds of the training sample: rows, and the bytes of their whole texts.
 TRAIN_ROWS, TRAIN_BYTES = 3000, 12 << 20
 STEPS, BATCH, RATE = 1200, 48, 4e-3
+#: Chunks in a batch, about: fewer documents where they are long; and chunks seen in all, after which training ends.
+BATCH_CHUNKS, WORK = 4096, 2_000_000
 #: This share of a batch shows a short cut of the document instead, so that short texts are learned too.
 SHORT_SHARE = 0.25
 SCORE_CHUNKS = 128
@@ -139,7 +141,7 @@ def _gradients(net: ByteCNN, rows: np.ndarray, doc: np.ndarray, n_docs: int, lab
 
 
 def train(texts: list[bytes], labels: np.ndarray, steps: int | None = None, seed: int = 7) -> ByteCNN:
-    """Adam over a fixed number of batches (``STEPS`` if not given), with both classes equally often in each."""
+    """Adam over batches with both classes equally often in each, ``STEPS`` of them if not given, or as many as have ``WORK`` chunks."""
     steps = steps or STEPS
     net, r = ByteCNN.start(seed), np.random.default_rng(seed)
     sets = [chunks_of(t) for t in texts]
@@ -154,13 +156,20 @@ def train(texts: list[bytes], labels: np.ndarray, steps: int | None = None, seed
     share = float(np.clip(share, 0.2, 0.8))
     m = [np.zeros_like(x) for x in net.parts()]
     v = [np.zeros_like(x) for x in net.parts()]
-    for step in range(1, steps + 1):
-        pick = np.concatenate([r.choice(k, BATCH // 2) for k in kinds])
-        shown = [cuts[i] if u < SHORT_SHARE else sets[i] for i, u in zip(pick, r.random(BATCH), strict=True)]
-        doc = np.repeat(np.arange(BATCH), [len(x) for x in shown])
+    seen = step = 0
+    while step < steps and seen < WORK:
+        step += 1
+        pick = np.stack([r.choice(k, BATCH // 2) for k in kinds], 1).ravel()
+        short = r.random(BATCH) < SHORT_SHARE
+        shown = [cuts[i] if u else sets[i] for i, u in zip(pick, short, strict=True)]
+        pairs = 1 + int(np.searchsorted(np.cumsum([len(a) + len(b) for a, b in zip(shown[::2], shown[1::2], strict=True)])[:-1], BATCH_CHUNKS))
+        pick, shown = pick[: 2 * pairs], shown[: 2 * pairs]
+        rows = np.concatenate(shown)
+        seen += len(rows)
+        doc = np.repeat(np.arange(len(shown)), [len(x) for x in shown])
         y = labels[pick].astype(np.float32)
-        grads = _gradients(net, np.concatenate(shown), doc, BATCH, y, np.where(y == 1, 2 * share, 2 * (1 - share)).astype(np.float32))
-        rate = RATE * (1 - step / (steps + 1))
+        grads = _gradients(net, rows, doc, len(shown), y, np.where(y == 1, 2 * share, 2 * (1 - share)).astype(np.float32))
+        rate = RATE * max(0.0, 1 - max(step / (steps + 1), seen / WORK))
         for k, (x, g) in enumerate(zip(net.parts(), grads, strict=True)):
             m[k] = 0.9 * m[k] + 0.1 * g
             v[k] = 0.99 * v[k] + 0.01 * g * g
