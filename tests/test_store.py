@@ -371,6 +371,7 @@ class Site:
 
     def __exit__(self, *_):
         self.server.shutdown()
+        self.server.server_close()
 
 
 def page(text, *links):
