@@ -254,8 +254,9 @@ def stored_postings(spark, sf) -> DataFrame:
 
 @query(f"WITH {_TOKENS} SELECT term, count(DISTINCT id) AS documents, count(*) AS places, max(pos) AS last FROM tok WHERE term NOT IN ({_STOPS}) GROUP BY term")
 def fts_terms(spark, sf):
-    found = fts.postings(table(spark, sf, "documents"), "doc_id", "text", fts.Analyzer(stemmed=False))
-    return found.groupBy("term").agg(F.count("*").alias("documents"), F.sum(F.size("positions")).alias("places"), F.max(F.element_at("positions", -1)).cast("long").alias("last"))
+    found = fts.places(table(spark, sf, "documents"), "doc_id", "text", fts.Analyzer(stemmed=False))
+    each = found.groupBy("term", "id").agg(F.count("*").alias("n"), F.max("pos").alias("last"))
+    return each.groupBy("term").agg(F.count("*").alias("documents"), F.sum("n").alias("places"), F.max("last").cast("long").alias("last"))
 
 
 @query(f"WITH {_RANKED} SELECT id FROM both_")
