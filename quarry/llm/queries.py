@@ -76,6 +76,12 @@ def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(_read(spark, sf_dir, "documents"))
 
 
+def op11_conversation_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quarry.llm import prefix_trie
+
+    return prefix_trie.trie(_read(spark, sf_dir, "conversations"))
+
+
 def lm_base_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Of LM scoring what follows from the corpus's counts alone."""
     return op7_lm_scoring(spark, sf_dir).select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", F.round("base_score", 5).alias("base_score"))
@@ -93,11 +99,17 @@ def edited_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _WORDS = "list_filter(string_split_regex({}, '[ \\t\\n\\x0b\\x0c\\r]+'), lambda x: x <> '')"
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
-#: CRC-32, bit by bit, of an id's decimal text.
-_CRC = """xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(doc_id::VARCHAR, ''), lambda x: ascii(x)::BIGINT)),
+
+
+def _crc(text: str) -> str:
+    """CRC-32, bit by bit, of an ASCII text."""
+    return f"""xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split({text}, ''), lambda x: ascii(x)::BIGINT)),
   lambda c, b: list_reduce([xor(c, b), 0, 0, 0, 0, 0, 0, 0, 0], lambda x, y: xor(x >> 1, 3988292384::BIGINT * (x & 1)))), 4294967295::BIGINT)"""
 
 
+_CRC = _crc("doc_id::VARCHAR")
+
+
 def _phrases() -> str:
     from quarry.llm.license_scan import PHRASES
 
@@ -117,6 +129,19 @@ word AS (SELECT doc_id, unnest(w) AS x, generate_subscripts(w, 1) AS p FROM t),
 kept AS (SELECT doc_id, string_agg(x, ' ' ORDER BY p) AS s FROM word ANTI JOIN gone USING (doc_id, p) GROUP BY doc_id),
 n AS (SELECT doc_id, count(*) AS n FROM gone GROUP BY doc_id)
 SELECT t.doc_id, len(w) AS n_words, coalesce(n.n, 0) AS n_removed, sha256(coalesce(s, '')) AS kept_sha256 FROM t LEFT JOIN kept ON kept.doc_id = t.doc_id LEFT JOIN n ON n.doc_id = t.doc_id""",
+    # A prefix's key is its turns as JSON. Sums over subtrees go over the pairs of a node and one below it.
+    "op11_conversation_prefix_trie": lambda: f"""WITH o AS (SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS i FROM conversations WHERE conv_id IS NOT NULL),
+c AS (SELECT conv_id, {_crc("conv_id::VARCHAR")} % 4 AS h, conv_id - conv_id % 20 AS b FROM (SELECT DISTINCT conv_id FROM o)),
+r AS (SELECT c.conv_id, 0 AS part, i, role, text FROM c JOIN o ON o.conv_id = b AND i <= h UNION ALL SELECT c.conv_id, 1, i, role, text FROM c JOIN o ON o.conv_id = c.conv_id AND i > h),
+d AS (SELECT conv_id, row_number() OVER w AS depth, len({_WORDS.format("text")}) AS words, to_json(list({{'r': role, 't': text}}) OVER w)::VARCHAR AS k FROM r WINDOW w AS (PARTITION BY conv_id ORDER BY part, i)),
+p AS (SELECT conv_id, depth, words, k, coalesce(lag(k) OVER (PARTITION BY conv_id ORDER BY depth), '') AS up FROM d UNION ALL SELECT conv_id, 0, 0, '', NULL FROM c),
+n AS (SELECT k, min(conv_id) AS conv_id, any_value(depth) AS depth, any_value(up) AS up, count(*) AS n_convs, any_value(words) AS words FROM p GROUP BY k),
+kids AS (SELECT up AS k, count(*) AS n_children FROM n WHERE up IS NOT NULL GROUP BY up),
+below AS (SELECT DISTINCT a.k, b.k AS low FROM p a JOIN p b ON a.conv_id = b.conv_id AND a.depth <= b.depth),
+sums AS (SELECT below.k, count(*) FILTER (kids.k IS NULL) AS n_leaves, sum((n.n_convs - 1) * n.words)::BIGINT AS saved_tokens FROM below JOIN n ON n.k = low LEFT JOIN kids ON kids.k = low GROUP BY below.k),
+ends AS (SELECT k, string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) AS ids FROM (SELECT conv_id, arg_max(k, depth) AS k FROM p GROUP BY conv_id) GROUP BY k)
+SELECT n.conv_id, n.depth, u.conv_id AS parent_conv_id, n.n_convs, coalesce(n_children, 0) AS n_children, n_leaves, saved_tokens, sha256(coalesce(ids, '')) AS ends_sha256
+FROM n LEFT JOIN n u ON u.k = n.up LEFT JOIN kids ON kids.k = n.k JOIN sums ON sums.k = n.k LEFT JOIN ends ON ends.k = n.k""",
     "lm_base_scores": lambda: f"""WITH t AS (SELECT doc_id, {_CRC} % 7 = 2 AS held_out, list_append({_WORDS.format(_LOWER)}, ' ') AS w FROM documents),
 tok AS (SELECT doc_id, held_out, unnest(w) AS x FROM t),
 c AS (SELECT x, count(*) AS c FROM tok WHERE NOT held_out GROUP BY x),
