@@ -82,6 +82,12 @@ def op11_conversation_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame
     return prefix_trie.trie(_read(spark, sf_dir, "conversations"))
 
 
+def op12_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quarry.llm import bpe
+
+    return bpe.digests(_read(spark, sf_dir, "documents"))
+
+
 def lm_base_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Of LM scoring what follows from the corpus's counts alone."""
     return op7_lm_scoring(spark, sf_dir).select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", F.round("base_score", 5).alias("base_score"))
