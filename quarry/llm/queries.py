@@ -88,6 +88,12 @@ def op12_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(_read(spark, sf_dir, "documents"))
 
 
+def op13_branch_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quarry.llm import branch_merge
+
+    return branch_merge.digests(_read(spark, sf_dir, "documents"))
+
+
 def lm_base_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Of LM scoring what follows from the corpus's counts alone."""
     return op7_lm_scoring(spark, sf_dir).select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", F.round("base_score", 5).alias("base_score"))
@@ -126,7 +132,37 @@ def _phrases() -> str:
     return "list_concat(" + ", ".join(one(p, label) for p, label in PHRASES.items()) + ")"
 
 
+def _merge_sql() -> str:
+    """Each unit's codes side by side; a code under 3 changes a line, 3 and 4 fill the gap behind it."""
+    code = lambda branch, name: f"{_crc(f"'{branch}:' || doc_id || ':' || {name}")} % 17"
+    both = lambda name, to: f"{code('L', name)} AS l{to}, {code('R', name)} AS r{to}"
+    column = lambda c, k: f"CASE {k}{c[0]} WHEN 0 THEN '' WHEN 1 THEN {c} || '!' WHEN 2 THEN {c} || '?' ELSE {c} END AS {k}_{c}"
+    merged = lambda c: f"CASE WHEN l_{c} <> {c} OR rr = 0 THEN l_{c} ELSE r_{c} END AS {c}"
+    counts = lambda c: f"((l_{c} <> {c} OR r_{c} <> {c}) AND (l_{c} = {c} OR r_{c} = {c} OR l_{c} = r_{c}))::INT", lambda c: f"(l_{c} <> {c} AND r_{c} <> {c} AND l_{c} <> r_{c})::INT"
+    return f"""WITH b AS (SELECT doc_id, coalesce(text, '') AS text, coalesce(lang, '') AS lang, coalesce(source, '') AS source FROM documents),
+c AS (SELECT *, {both("'row'", "r")}, {both("'lang'", "l")}, {both("'source'", "s")} FROM b),
+d AS (SELECT *, {column("lang", "l")}, {column("lang", "r")}, {column("source", "l")}, {column("source", "r")} FROM c),
+t AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS v, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS i FROM b),
+u AS (SELECT t.doc_id, v, i, {both("i", "").replace("doc_id", "t.doc_id")}, rr FROM t JOIN (SELECT doc_id, rr FROM c) x ON x.doc_id = t.doc_id),
+w AS (SELECT *, CASE WHEN l < 3 THEN l WHEN r < 3 AND rr <> 0 THEN r END AS e, CASE WHEN l IN (3, 4) THEN l WHEN r IN (3, 4) AND rr <> 0 THEN r END AS g FROM u),
+s AS (SELECT doc_id, list(CASE WHEN e = 0 THEN [] WHEN e = 1 THEN [v || '!'] WHEN e = 2 THEN [v || '?'] ELSE [v] END || CASE g WHEN 3 THEN ['!'] WHEN 4 THEN ['?'] ELSE [] END ORDER BY i) AS parts,
+  count(*) FILTER ((l < 3 OR r < 3) AND (l >= 3 OR r >= 3 OR l = r)) + count(*) FILTER ((l IN (3, 4) OR r IN (3, 4)) AND (l NOT IN (3, 4) OR r NOT IN (3, 4) OR l = r)) AS clean,
+  count(*) FILTER (l < 3 AND r < 3 AND l <> r AND l > 0 AND r > 0) AS ee, count(*) FILTER (l < 3 AND r < 3 AND l <> r AND (l = 0 OR r = 0)) AS ed, count(*) FILTER (l IN (3, 4) AND r IN (3, 4) AND l <> r) AS ii,
+  bool_or(l < 5) AS l_lines, bool_or(r < 5) AS r_lines FROM w GROUP BY doc_id),
+k AS (SELECT d.doc_id, {merged("lang")}, {merged("source")}, array_to_string(flatten(parts), chr(10)) AS text, lr = 0 OR rr = 0 AS drop, lr = 0 AS l_drop,
+  (lr <> 0 AND (l_lines OR l_lang <> lang OR l_source <> source)) OR (rr <> 0 AND (r_lines OR r_lang <> lang OR r_source <> source)) AS kept_changed,
+  clean + {counts[0]("lang")} + {counts[0]("source")} AS clean, ee + {counts[1]("lang")} + {counts[1]("source")} AS ee, ed, ii FROM d JOIN s ON s.doc_id = d.doc_id),
+a AS (SELECT -1 - doc_id AS doc_id, 'L' AS branch, lang, source, CASE lr WHEN 3 THEN '!' ELSE '?' END AS text FROM c WHERE lr IN (3, 4)
+  UNION ALL SELECT -5 - doc_id, 'R', lang, source, CASE rr WHEN 3 THEN '!' ELSE '?' END FROM c WHERE rr IN (3, 4)),
+n AS (SELECT doc_id, arg_min(lang, branch) AS lang, arg_min(source, branch) AS source, arg_min(text, branch) AS text, (count(DISTINCT {{'a': lang, 'b': source, 'c': text}}) > 1)::BIGINT AS ii FROM a GROUP BY doc_id)
+SELECT doc_id, CASE WHEN NOT gone THEN lang END AS lang, CASE WHEN NOT gone THEN source END AS source, CASE WHEN NOT gone THEN sha256(text) END AS text_sha256,
+  CASE WHEN drop THEN (NOT kept_changed)::INT ELSE clean END AS n_clean, CASE WHEN drop THEN 0 ELSE ee END AS n_edit_edit, CASE WHEN drop THEN kept_changed::INT ELSE ed END AS n_edit_delete, CASE WHEN drop THEN 0 ELSE ii END AS n_insert_insert
+FROM (SELECT *, drop AND (l_drop OR NOT kept_changed) AS gone FROM k)
+UNION ALL SELECT doc_id, lang, source, sha256(text), 1 - ii, 0, 0, ii FROM n"""
+
+
 SQL: dict[str, Callable[[], str]] = {
+    "op13_branch_merge": _merge_sql,
     "op5_substring_dedup": lambda: f"""WITH t AS (SELECT doc_id, {_WORDS.format("coalesce(text, '')")} AS w FROM documents),
 win AS (SELECT doc_id, i, array_to_string(w[i:i + 12], ' ') AS k FROM t, unnest(range(1, len(w) - 11)) AS u(i)),
 first AS (SELECT k, min(doc_id) AS d FROM win GROUP BY k),
