@@ -23,6 +23,7 @@ from __future__ import annotations
 import base64
 import hashlib
 import heapq
+import re
 from collections.abc import Iterable, Iterator
 from itertools import chain
 
@@ -66,7 +67,8 @@ class Codec:
 
         with open(path, "rb") as f:
             self.ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-        self.find = regex.compile(pattern).findall
+        self.match = regex.compile(pattern).findall
+        self.newer = self._newer(regex)
         self.words: list[bytes] = [b""] * (1 + max(self.ranks.values()))
         for word, rank in self.ranks.items():
             self.words[rank] = word
@@ -77,6 +79,36 @@ class Codec:
         self.held = 0  # bytes of long pieces in it
         self._pair_holds: dict[tuple[int, int], bool] = {}
 
+    def _newer(self, regex) -> tuple | None:
+        """Characters that belong to another class in the library's Unicode tables than in this one's: a quick search (any beyond
+        the basic plane may be one), and stand-ins of the right class.
+
+        A probe with a vocabulary of bytes and a class as its pattern gives all characters of the class as the library has it.
+        """
+        import tiktoken
+
+        everything = "".join(map(chr, [*range(0xD800), *range(0xE000, 0x110000)]))
+        probe = {bytes([i]): i for i in range(256)}
+        stand_ins: dict[int, str] = {}
+        for kind, stand_in in ((r"\s", "\t"), (r"\p{L}", "z"), (r"\p{N}", "0")):
+            theirs = set(bytes(tiktoken.Encoding("class", pat_str=kind, mergeable_ranks=probe, special_tokens={}).encode_ordinary(everything)).decode())
+            ours = set(regex.findall(kind, everything))
+            stand_ins |= {ord(c): "!" for c in ours - theirs if ord(c) not in stand_ins} | {ord(c): stand_in for c in theirs - ours}
+        if not stand_ins:
+            return None
+        basic = "".join(re.escape(chr(c)) for c in stand_ins if c < 0x10000)
+        return re.compile(f"[{basic}\U00010000-\U0010ffff]").search, stand_ins
+
+    def find(self, text: str) -> list[str]:
+        """The pieces of a text."""
+        if self.newer is None or text.isascii() or not self.newer[0](text):
+            return self.match(text)
+        out, at = [], 0
+        for p in self.match(text.translate(self.newer[1])):
+            out.append(text[at : at + len(p)])
+            at += len(p)
+        return out
+
     def _pairs(self) -> None:
         """The token that each pair of neighbours makes, as a table of keys in a power of two of slots: linear probing, vectorised."""
         ranks = self.ranks
