@@ -116,19 +116,45 @@ def positions(docs: DataFrame, query: str, id_col: str, text_col: str, analyzer:
     return one.select("id", F.inline("_found"))
 
 
+def _held(stored: DataFrame, terms: list[str]) -> DataFrame:
+    """id, its address (where the postings have one) and _held: of each of ``terms`` the place in the list and the positions, for texts that hold all.
+
+    Only those terms' postings are read; a text has a row for each.
+    """
+    found = stored.filter(F.col("term").isin(terms or [""]))
+    place = F.array_position(F.array(*[F.lit(t) for t in terms or [""]]), F.col("term")).cast("int")
+    more = [F.first("address").alias("address")] if "address" in stored.columns else []
+    whole = found.groupBy("id").agg(F.collect_list(F.struct(place.alias("place"), "term", "positions")).alias("_held"), *more)
+    return whole.filter(F.size("_held") == len(terms))
+
+
 def matching(stored: DataFrame, query: str, analyzer: Analyzer | None = None) -> DataFrame:
     """term, id, positions of the query's terms in the texts that hold them all; only those terms' postings are read."""
     terms = (analyzer or Analyzer()).query_terms(query)
-    found = stored.select("term", "id", "positions").filter(F.col("term").isin(terms or [""]))
-    whole = found.groupBy("id").agg(F.collect_list(F.struct("term", "positions")).alias("_held"))  # a row for each term of a text at most
-    return whole.filter(F.size("_held") == len(terms)).select("id", F.inline("_held"))
+    return _held(stored, terms).select("id", F.inline("_held")).drop("place")
 
 
 def rank_stored(stored: DataFrame, query: str, analyzer: Analyzer | None = None) -> DataFrame:
-    """id, text_rank of the texts that match the query, from stored postings alone."""
-    a = analyzer or Analyzer()
-    found = matching(stored, query, a).select("id", "term", F.explode("positions").alias("pos"))
-    return cover_density(found, a.query_terms(query) or [""])
+    """id, text_rank (and address, where the postings have one) of the texts that match the query, from stored postings alone.
+
+    Cover density (see there) inside the row: a text's places are merged in their order, and for each the latest place of every
+    term so far says where a stretch that ends there starts. The first end of each start is a cover.
+    """
+    terms = (analyzer or Analyzer()).query_terms(query)
+    whole = _held(stored, terms)
+    n = max(1, len(terms))
+    places = F.array_sort(F.flatten(F.transform("_held", lambda h: F.transform(h["positions"], lambda p: F.struct(p.alias("pos"), (h["place"] - 1).alias("place"))))))
+
+    def step(state: Column, x: Column) -> Column:
+        last = F.transform(state["last"], lambda old, i: F.when(i == x["place"], x["pos"]).otherwise(old))
+        start = F.array_min(last)
+        noise = F.greatest(x["pos"] - start - F.lit(n - 1), F.lit(0))
+        is_new = (start > 0) & (start != state["start"])
+        return F.struct(last.alias("last"), start.alias("start"), (state["rank"] + F.when(is_new, F.lit(WEIGHT) / (F.lit(1.0) + noise)).otherwise(0.0)).alias("rank"))
+
+    begin = F.struct(F.array_repeat(F.lit(0), n).alias("last"), F.lit(0).alias("start"), F.lit(0.0).alias("rank"))
+    ranked = whole.withColumn("text_rank", F.aggregate(places, begin, step, lambda s: s["rank"]))
+    return ranked.drop("_held")
 
 
 def cover_density(found: DataFrame, terms: list[str]) -> DataFrame:

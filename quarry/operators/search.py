@@ -1,11 +1,12 @@
 """Vector, full-text and hybrid search over a table of chunks or of code examples.
 
-Ranking reads only ids, vectors and filters; the wide columns are joined to the few rows that remain.
+Ranking reads only ids, vectors and filters. The wide columns of the few rows that remain are fetched from where those lie, if the
+table is a store's (``Fetch``), or joined to them.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass, field
 from typing import Any
 
@@ -19,11 +20,28 @@ from quarry.operators import diversify, filters, fts, rerank
 from quarry.plans.models import LLM, Embedder, HashingEmbedder, NoLLM, Scorer, embed_all
 
 
-def match(table: DataFrame, query: Sequence[float], k: int = 10, wanted: dict[str, Any] | None = None, source: str | None = None) -> DataFrame:
+#: From a few (id, address) of a table with addresses to their rows.
+Fetch = Callable[[list[tuple[int, int]]], DataFrame]
+
+
+def _address(table: DataFrame) -> list[str]:
+    return [c for c in table.columns if c == "address"]
+
+
+def _whole(table: DataFrame, best: DataFrame, fetch: Fetch | None) -> DataFrame:
+    """``best`` (k rows) with the table's other columns: by address, read from those rows' buckets only, or by a join."""
+    if fetch is None:
+        return table.drop("embedding", "address").join(F.broadcast(best.drop("address")), "id")
+    rows = best.collect()  # k rows
+    few = best.sparkSession.createDataFrame(rows, best.schema).drop("address")
+    return fetch([(r["id"], r["address"]) for r in rows]).drop("embedding").join(F.broadcast(few), "id")
+
+
+def match(table: DataFrame, query: Sequence[float], k: int = 10, wanted: dict[str, Any] | None = None, source: str | None = None, fetch: Fetch | None = None) -> DataFrame:
     """The k rows nearest to ``query`` among those that pass the filters, with ``similarity`` (cosine)."""
     kept = filters.where_metadata(table, wanted, source)
-    best = vector.topk(kept.select("id", "embedding"), query, k).select("id", "similarity")
-    return table.drop("embedding").join(F.broadcast(best), "id").orderBy(F.desc_nulls_last("similarity"), "id")  # k rows
+    best = vector.topk(kept.select("id", *_address(table), "embedding"), query, k).drop("embedding")
+    return _whole(table, best, fetch).orderBy(F.desc_nulls_last("similarity"), "id")
 
 
 def _numbered(df: DataFrame, *order, name: str) -> DataFrame:
@@ -31,7 +49,7 @@ def _numbered(df: DataFrame, *order, name: str) -> DataFrame:
     return df.withColumn(name, F.row_number().over(Window.orderBy(*order)))
 
 
-def hybrid(table: DataFrame, query: Sequence[float], text: str, k: int = 10, wanted: dict[str, Any] | None = None, source: str | None = None, rrf_k: int = 60, text_col: str | None = None, analyzer: fts.Analyzer | None = None, postings: DataFrame | None = None) -> DataFrame:
+def hybrid(table: DataFrame, query: Sequence[float], text: str, k: int = 10, wanted: dict[str, Any] | None = None, source: str | None = None, rrf_k: int = 60, text_col: str | None = None, analyzer: fts.Analyzer | None = None, postings: DataFrame | None = None, fetch: Fetch | None = None) -> DataFrame:
     """Reciprocal rank fusion of the 2k nearest and the 2k best full-text rows: similarity, text_rank, hybrid_score of the k best.
 
     A row of one arm only has 0 for the other's value. Code examples are searched as content and summary together. With stored
@@ -39,10 +57,12 @@ def hybrid(table: DataFrame, query: Sequence[float], text: str, k: int = 10, wan
     """
     searched = table if text_col else table.withColumn("_text", F.concat_ws(" ", "content", "summary") if "summary" in table.columns else F.col("content"))
     kept = filters.where_metadata(searched, wanted, source)
-    near = vector.topk(kept.select("id", "embedding"), query, 2 * k).select("id", "similarity")
+    at = _address(table)
+    near = vector.topk(kept.select("id", *at, "embedding"), query, 2 * k).drop("embedding")
     near = _numbered(near, F.desc_nulls_last("similarity"), "id", name="vector_rank")
     if postings is None:
         found = fts.rank(kept, text, "id", text_col or "_text", analyzer)
+        found = found.join(table.select("id", *at), "id") if at else found
     else:
         found = fts.rank_stored(postings, text, analyzer)
         if wanted or source is not None:
@@ -50,11 +70,11 @@ def hybrid(table: DataFrame, query: Sequence[float], text: str, k: int = 10, wan
     found = _numbered(found.orderBy(F.desc("text_rank"), "id").limit(2 * k), F.desc("text_rank"), "id", name="text_place")
     part = lambda rank: F.coalesce(F.lit(1.0) / (F.lit(float(rrf_k)) + F.col(rank)), F.lit(0.0))
     fused = near.join(found, "id", "full_outer").select(
-        "id", F.when(F.col("vector_rank").isNull(), 0.0).otherwise(F.col("similarity")).alias("similarity"),
+        "id", *[F.coalesce(near[c], found[c]).alias(c) for c in at], F.when(F.col("vector_rank").isNull(), 0.0).otherwise(F.col("similarity")).alias("similarity"),
         F.coalesce("text_rank", F.lit(0.0)).alias("text_rank"), (part("vector_rank") + part("text_place")).alias("hybrid_score"),
     )
     best = fused.orderBy(F.desc("hybrid_score"), "id").limit(k)
-    return table.drop("embedding").join(F.broadcast(best), "id").orderBy(F.desc("hybrid_score"), "id")  # k rows
+    return _whole(table, best, fetch).orderBy(F.desc("hybrid_score"), "id")
 
 
 @dataclass
@@ -70,11 +90,16 @@ class SearchService:
     llm: LLM = field(default_factory=NoLLM)
     scorer: Scorer | None = None
     settings: Settings = field(default_factory=Settings)
+    fetch_chunks: Fetch | None = None
+    fetch_code: Fetch | None = None
 
     @classmethod
     def of(cls, store, **more) -> SearchService:
-        """Over all tables of a store, its postings included."""
-        return cls(store.read("chunks"), store.read("code_examples"), store.read("chunk_postings"), store.read("code_postings"), store.analyzer, **more)
+        """Over all tables of a store in one state, its postings included; rows found are fetched by address."""
+        now = store.snapshot()
+        read = lambda name: now.read(name, addressed=True)
+        fetch = {"fetch_chunks": lambda found: now.fetch("chunks", found), "fetch_code": lambda found: now.fetch("code_examples", found)}
+        return cls(read("chunks"), read("code_examples"), read("chunk_postings"), read("code_postings"), store.analyzer, **(fetch | more))
 
     def _embed(self, text: str) -> list[float]:
         return embed_all(self.embedder, [text[: self.settings.embedding_max_chars]])[0]
@@ -85,8 +110,8 @@ class SearchService:
     def search_documents(self, query: str, k: int = 10, wanted: dict[str, Any] | None = None, source: str | None = None, use_hybrid: bool | None = None) -> DataFrame:
         vec = self._embed(query)
         if self._hybrid(use_hybrid):
-            return hybrid(self.chunks, vec, query, k, wanted, source, self.settings.rrf_k, analyzer=self.analyzer, postings=self.chunk_postings)
-        return match(self.chunks, vec, k, wanted, source)
+            return hybrid(self.chunks, vec, query, k, wanted, source, self.settings.rrf_k, analyzer=self.analyzer, postings=self.chunk_postings, fetch=self.fetch_chunks)
+        return match(self.chunks, vec, k, wanted, source, self.fetch_chunks)
 
     def search_code_examples(self, query: str, language: str | None = None, k: int = 10, wanted: dict[str, Any] | None = None, source: str | None = None, use_hybrid: bool | None = None) -> DataFrame:
         """The vector stands for a sentence about the query; the full-text arm reads the query itself."""
@@ -94,8 +119,8 @@ class SearchService:
         vec = self._embed(f"Code example for {query}{within}\n\nSummary: Example code showing {query}")
         wanted = filters.with_language(wanted, language)
         if self._hybrid(use_hybrid):
-            return hybrid(self.code_examples, vec, query, k, wanted, source, self.settings.rrf_k, analyzer=self.analyzer, postings=self.code_postings)
-        return match(self.code_examples, vec, k, wanted, source)
+            return hybrid(self.code_examples, vec, query, k, wanted, source, self.settings.rrf_k, analyzer=self.analyzer, postings=self.code_postings, fetch=self.fetch_code)
+        return match(self.code_examples, vec, k, wanted, source, self.fetch_code)
 
     def enhanced_search(self, query: str, k: int = 10, wanted: dict[str, Any] | None = None, source: str | None = None, use_hybrid: bool | None = None, context: str | None = None) -> DataFrame:
         """The query's own results and, after them, new ones of up to three variations; sorted by score, then diversified to k."""

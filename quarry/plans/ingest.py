@@ -62,11 +62,11 @@ class Ingest:
 
     def run(self, pages: DataFrame, crawl_type: str = "webpage") -> dict:
         """Store the pages' chunks, code examples and, last, sources; the totals. A page of a known URL is replaced."""
-        pages = pages.select("url", "markdown").filter(F.coalesce("markdown", F.lit("")) != "").persist()
+        pages, folder = self.store.staged(pages.select("url", "markdown").filter(F.coalesce("markdown", F.lit("")) != ""))
         try:
             chunks = self.store.add_chunks(self.chunks(pages, crawl_type), self.now)
             code = self.store.add_code(self.code(pages), self.now) if self.settings.use_agentic_rag else 0
             self.store.update_sources(self.sources(pages), self.now)
             return {"success": True, "crawl_type": crawl_type, "urls_processed": pages.count(), "total_chunks": chunks, "code_examples": code, "sources_updated": sorted(r[0] for r in pages.select(T.netloc(F.col("url"))).distinct().collect())}
         finally:
-            pages.unpersist()
+            self.store.files.delete(folder)

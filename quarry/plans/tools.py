@@ -16,7 +16,6 @@ from quarry.operators.search import SearchService
 from quarry.plans.ingest import Ingest
 from quarry.plans.jobs import CRAWLS
 from quarry.sources import pages as P
-from quarry.sources.store import source_exists
 from quarry.sources.web import fetched_urls
 
 
@@ -143,7 +142,7 @@ class Tools:
     def _known(self, url: str) -> dict | None:
         """What the store has of a URL's source, if it has any chunks."""
         source = P.source_of(url)
-        r = source_exists(self.ingest.store.read("sources"), self.ingest.store.read("chunks"), self.ingest.store.read("code_examples"), source).filter("total_chunks > 0").first()
+        r = self.ingest.store.stats(source).filter("total_chunks > 0").first()
         if r is None:
             return None
         stats = {"total_documents": r.total_documents, "total_chunks": r.total_chunks, "total_code_examples": r.total_code_examples, "word_count": r.word_count, "last_updated": str(r.last_updated), "summary": r.summary}

@@ -80,9 +80,16 @@ def shared_folder(spark: SparkSession) -> str:
 _INDEXES: dict[tuple, object] = {}
 
 
+def _state(spark: SparkSession, sf: str) -> tuple:
+    """When the tables of a folder were last written: an index of older ones isn't used."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(sf)
+    fs = where.getFileSystem(spark._jsc.hadoopConfiguration())
+    return tuple(sorted((f.getPath().getName(), f.getLen(), f.getModificationTime()) for f in fs.listStatus(where)))
+
+
 def index(spark: SparkSession, sf: str, name: str, make: Callable[[str], object]):
     """What ``make`` gave for a table folder: indexes are built once in a session, as on ingestion, and read by all queries after."""
-    key = (spark.sparkContext.applicationId, sf, name)
+    key = (spark.sparkContext.applicationId, sf, name, _state(spark, sf))
     if key not in _INDEXES:
         _INDEXES[key] = make(shared_folder(spark))
     return _INDEXES[key]
@@ -98,6 +105,18 @@ def chunk_table(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+def chunk_store(spark, sf) -> S.Snapshot:
+    """The chunks in a store, as ingestion leaves them."""
+
+    def make(path):
+        now = F.lit(NOW).cast("timestamp")
+        store = S.Store(spark, path)
+        store.add_chunks(chunk_table(spark, sf).withColumn("created_at", now), now)
+        return store
+
+    return index(spark, sf, "chunk-store", make).snapshot()
+
+
 def doc_url() -> Column:
     return F.concat(F.lit("https://"), F.col("source"), F.lit(".example/"), F.col("doc_id"))
 
@@ -294,13 +313,15 @@ _FUSED = ("similarity", "text_rank", "hybrid_score")
 
 @query(_hybrid_sql("", "d.source AS source_id,"))
 def hybrid_rrf(spark, sf):
-    out = search.hybrid(chunk_table(spark, sf), query_vector(spark, sf), TEXT_QUERY, 10, postings=stored_postings(spark, sf))
+    now = chunk_store(spark, sf)
+    out = search.hybrid(now.read("chunks", addressed=True), query_vector(spark, sf), TEXT_QUERY, 10, postings=now.read("chunk_postings", addressed=True), fetch=lambda few: now.fetch("chunks", few))
     return out.select("id", "source_id", *[six(c).alias(c) for c in _FUSED])
 
 
 @query(_hybrid_sql("WHERE lang = 'en' AND source = 'src1'", "d.source AS source_id,"))
 def hybrid_rrf_filtered(spark, sf):
-    out = search.hybrid(chunk_table(spark, sf), query_vector(spark, sf), TEXT_QUERY, 10, {"lang": "en"}, "src1", postings=stored_postings(spark, sf))
+    now = chunk_store(spark, sf)
+    out = search.hybrid(now.read("chunks", addressed=True), query_vector(spark, sf), TEXT_QUERY, 10, {"lang": "en"}, "src1", postings=now.read("chunk_postings", addressed=True), fetch=lambda few: now.fetch("chunks", few))
     return out.select("id", "source_id", *[six(c).alias(c) for c in _FUSED])
 
 
@@ -313,7 +334,8 @@ _URL = "'https://' || source || '.example/' || doc_id"
 
 @query(_nearest(f"doc_id AS id, {_URL} AS url, round(sim, 6) AS similarity", "WHERE lang = 'fr' AND source = 'src3'"))
 def match_chunks(spark, sf):
-    out = search.match(chunk_table(spark, sf), query_vector(spark, sf), 10, {"lang": "fr"}, "src3")
+    now = chunk_store(spark, sf)
+    out = search.match(now.read("chunks", addressed=True), query_vector(spark, sf), 10, {"lang": "fr"}, "src3", lambda few: now.fetch("chunks", few))
     return out.select("id", "url", six("similarity").alias("similarity"))
 
 
@@ -334,9 +356,10 @@ class FixedEmbedder:
 
 
 def service(spark, sf, scorer=None, **settings) -> search.SearchService:
+    now = chunk_store(spark, sf)
     return search.SearchService(
-        chunk_table(spark, sf), code_table(spark, sf), stored_postings(spark, sf), None, embedder=FixedEmbedder(query_vector(spark, sf)), scorer=scorer,
-        settings=Settings(**({"use_result_diversification": False} | settings)),
+        now.read("chunks", addressed=True), code_table(spark, sf), now.read("chunk_postings", addressed=True), None, embedder=FixedEmbedder(query_vector(spark, sf)), scorer=scorer,
+        settings=Settings(**({"use_result_diversification": False} | settings)), fetch_chunks=lambda few: now.fetch("chunks", few),
     )
 
 
@@ -933,7 +956,11 @@ def ingest_sources(spark, sf):
 @query(f"""WITH r AS (SELECT doc_id, source, {_URL} AS url, doc_id % 4 = 0 AS new, text FROM documents)
 SELECT url, CASE WHEN new THEN 'new ' ELSE '' END || md5(text) AS content, source AS source_id FROM r""")
 def store_upsert(spark, sf):
-    """A quarter of the pages replaced in a stored table: only the buckets of their URLs are written."""
+    """A quarter of the pages replaced in a stored table that has been split and compacted: only a part of their rows is written."""
+    return _upserted_store(spark, sf).read("chunks").select("url", "content", "source_id")
+
+
+def _upserted_store(spark, sf) -> S.Store:
     now = F.lit(NOW).cast("timestamp")
 
     def rows(new: bool) -> DataFrame:
@@ -942,13 +969,20 @@ def store_upsert(spark, sf):
         return docs.select(S.row_id(doc_url(), F.lit(1)).alias("id"), doc_url().alias("url"), F.lit(1).alias("chunk_number"), content.alias("content"), F.parse_json(F.lit("{}")).alias("metadata"), F.col("source").alias("source_id"), F.array(F.lit(0.0).cast("float")).alias("embedding"), now.alias("created_at"))
 
     def make(path):
-        store = S.Store(spark, path)
+        store = S.Store(spark, path, buckets=2, bucket_bytes=32 << 10)
         store.add_chunks(rows(False), now)
+        store.compact("chunks")  # again, so that buckets are split twice
         return store
 
     store = index(spark, sf, "store", make)
     store.add_chunks(rows(True), now)
-    return store.read("chunks").select("url", "content", "source_id")
+    return store
+
+
+@query("SELECT source AS source_id, count(*) AS total_documents, count(*) AS total_chunks FROM documents GROUP BY source")
+def store_statistics(spark, sf):
+    """A store's statistics after an upsert, from what its writes have counted: no row of a chunk is read."""
+    return _upserted_store(spark, sf).stats().select("source_id", "total_documents", "total_chunks")
 
 
 # --- queries as data --------------------------------------------------------------------------------------------

@@ -21,6 +21,16 @@ class Files:
         found = [s.getPath().getName() for s in self.fs.listStatus(where)] if self.fs.exists(where) else []
         return sorted(n for n in found if n[0] not in "._")
 
+    def sizes(self, folder: str) -> dict[str, int]:
+        """The bytes of all files below each name in a folder."""
+        root, out = self.fs.makeQualified(self.path(folder)), {}
+        below = self.fs.listFiles(root, True)
+        while below.hasNext():
+            f = below.next()
+            name = f.getPath().toString().removeprefix(f"{root}/").split("/")[0]
+            out[name] = out.get(name, 0) + f.getLen()
+        return out
+
     def read(self, name: str) -> str:
         stream = self.fs.open(self.path(name))
         try:

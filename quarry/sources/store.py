@@ -1,10 +1,22 @@
-"""The knowledge base's tables: replace-by-URL upserts, source records and statistics, and their Parquet store."""
+"""The knowledge base's tables: replace-by-URL upserts, source records and statistics, and their Parquet store.
+
+The store is merged on reading. A write adds a part: the new rows, their postings, and a tombstone for each of their URLs, all cut
+by bucket. A row is dead if its URL has a tombstone of a later write; only buckets that hold more than one part need that join.
+Compaction rewrites the buckets whose later parts have grown, and splits buckets by linear hashing where they have become too
+large on the average: a bucket's rows go to itself and one other bucket, and no other bucket changes.
+
+One manifest names the parts of all tables. It is a numbered file made by a rename that fails where there already is one, so rows
+and postings are always of one state, a failed write leaves the last one, and of two writers at once the second begins again
+from what the first has made.
+"""
 
 from __future__ import annotations
 
 import json
+import time
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -51,8 +63,18 @@ def source_stats(sources: DataFrame, chunks: DataFrame, code: DataFrame) -> Data
 
     Both tables are summed by source before they are joined, so neither multiplies the other.
     """
-    pages = chunks.groupBy("source_id").agg(F.count_distinct("url").alias("total_documents"), F.count("id").alias("total_chunks"))
-    examples = code.groupBy("source_id").agg(F.count_distinct("url").alias("total_code_examples"), F.count("id").alias("code_example_rows"))
+    return counted_sources(sources, counts(chunks), counts(code))
+
+
+def counts(rows: DataFrame) -> DataFrame:
+    """source_id, documents (URLs), rows."""
+    return rows.groupBy("source_id").agg(F.count_distinct("url").alias("documents"), F.count("*").alias("rows"))
+
+
+def counted_sources(sources: DataFrame, chunks: DataFrame, code: DataFrame) -> DataFrame:
+    """As ``source_stats``, from both tables' ``counts``."""
+    pages = chunks.withColumnsRenamed({"documents": "total_documents", "rows": "total_chunks"})
+    examples = code.withColumnsRenamed({"documents": "total_code_examples", "rows": "code_example_rows"})
     zero = lambda c: F.coalesce(c, F.lit(0)).alias(c)
     return sources.join(pages, "source_id", "left").join(examples, "source_id", "left").select(
         "source_id", "summary", F.coalesce("total_word_count", F.lit(0)).alias("word_count"), zero("total_documents"), zero("total_chunks"), zero("total_code_examples"), zero("code_example_rows"),
@@ -105,146 +127,282 @@ def with_fence_language(code: DataFrame) -> DataFrame:
     return code.withColumn("metadata", F.parse_json(merged))
 
 
-class Store:
-    """Tables cut into buckets by a hash of their key; a write makes new folders for the buckets it touches, and no others.
+#: Values of a row's address, the part of its URL's hash that decides its bucket however many there are.
+ADDRESSES = 1 << 24
 
-    A version of a table is a numbered file that names the folder of each bucket. Readers take the greatest; a version is made
-    by a rename that fails where there already is one, so a failed write leaves the last version and of two writers at once
-    the second begins again from what the first has made. The last ``keep`` versions can still be read; older ones' folders
-    are deleted. The postings of chunks and code examples lie in the same buckets as their rows, sorted by term.
-    """
 
-    TABLES = {"sources": schemas.SOURCES, "chunks": schemas.CHUNKS, "code_examples": schemas.CODE_EXAMPLES, "chunk_postings": schemas.POSTINGS, "code_postings": schemas.POSTINGS}
-    #: The table whose URLs decide the buckets of postings, and the text that they index.
-    INDEXED = {"chunks": ("chunk_postings", ["content"]), "code_examples": ("code_postings", ["content", "summary"])}
-    TRIES = 5
+def address(key: Column) -> Column:
+    return F.xxhash64(key).bitwiseAND(ADDRESSES - 1).cast("int")
+
+
+def bucket(at: Column, n: int) -> Column:
+    """The bucket of an address among ``n``: by as many bits as n needs, by one less where that bucket isn't split off yet."""
+    high = 1 << (n - 1).bit_length()
+    return F.when(at % high < n, at % high).otherwise(at % max(1, high // 2))
+
+
+def bucket_of(at: int, n: int) -> int:
+    high = 1 << (n - 1).bit_length()
+    return at % high if at % high < n else at % max(1, high // 2)
+
+
+def parent(b: int) -> int:
+    """The bucket that ``b`` is split off from."""
+    return b - (1 << (b.bit_length() - 1))
+
+
+@dataclass(frozen=True)
+class Group:
+    """Rows and their postings, in the same buckets by a hash of ``key``; ``indexed`` columns make the postings' text."""
+
+    rows: str
+    key: str
+    indexed: tuple[str, ...] = ()
+
+    def schema(self, what: str) -> str:
+        if what == "tombstones":
+            return "key string, seq long"
+        return f"{self.rows if what == 'rows' else schemas.POSTINGS}, address int, seq long"
+
+
+STATS = "source_id string, documents long, rows long"
+
+
+class Snapshot:
+    """All tables of a store in one state."""
+
+    def __init__(self, store: Store, number: int, groups: dict):
+        self.store, self.spark, self.number, self.groups = store, store.spark, number, groups
 
-    def __init__(self, spark: SparkSession, root: str, buckets: int = 16, keep: int = 3, analyzer: fts.Analyzer | None = None):
-        self.spark, self.root, self.buckets, self.keep = spark, root.rstrip("/"), buckets, keep
+    def group(self, name: str) -> dict:
+        """n (buckets), parts (id, seq, bytes of tombstones, buckets: bytes of rows and of postings by bucket), stats (ids of parts)."""
+        return self.groups.get(name) or {"n": self.store.buckets, "parts": [], "stats": []}
+
+    def holders(self, name: str) -> dict[int, list[dict]]:
+        """The parts of each bucket, in the order of their writes."""
+        out: dict[int, list[dict]] = {}
+        for part in self.group(name)["parts"]:
+            for b in part["buckets"]:
+                out.setdefault(int(b), []).append(part)
+        return out
+
+    def _scan(self, name: str, what: str, folders: list[str]) -> DataFrame:
+        schema = self.store.GROUPS[name].schema(what)
+        if not folders:
+            return self.spark.createDataFrame([], schema)
+        return self.spark.read.schema(schema).parquet(*[f"{self.store.root}/{name}/{f}" for f in folders])
+
+    def live(self, name: str, what: str = "rows", buckets: set[int] | None = None) -> DataFrame:
+        """The rows, or postings, that no later write has replaced, with address and seq; of some buckets only those are read."""
+        place = 0 if what == "rows" else 1
+        clean, merged, dead, tombstones = [], [], [], {}
+        for b, parts in sorted(self.holders(name).items()):
+            if buckets is not None and b not in buckets:
+                continue
+            there = [f"{p['id']}/{what}/bucket={b}" for p in parts if p["buckets"][str(b)][place]]
+            if len(parts) == 1:
+                clean += there
+            else:
+                merged += there
+                dead += [f"{p['id']}/tombstones/bucket={b}" for p in parts[1:]]
+                tombstones |= {p["id"]: p["tombstones"] for p in parts[1:]}
+        out = self._scan(name, what, clean)
+        if not merged:
+            return out
+        last = self._scan(name, "tombstones", dead).groupBy(F.col("key").alias(self.store.GROUPS[name].key)).agg(F.max("seq").alias("_last"))
+        if sum(tombstones.values()) <= self.store.BROADCAST_BYTES:  # else a shuffle join
+            last = F.broadcast(last)
+        key = self.store.GROUPS[name].key
+        rows = self._scan(name, what, merged)
+        kept = rows.join(last, key, "left").filter("_last IS NULL OR seq >= _last").select(*rows.columns)
+        return out.unionByName(kept) if clean else kept
+
+    def read(self, table: str, buckets: set[int] | None = None, addressed: bool = False) -> DataFrame:
+        """A table's rows; ``addressed``: with the address by which ``fetch`` finds them."""
+        name, what = self.store.TABLES[table]
+        out = self.live(name, what, buckets)
+        return out.drop("seq") if addressed else out.drop("seq", "address")
+
+    def fetch(self, table: str, found: Sequence[tuple[int, int]]) -> DataFrame:
+        """The rows of a few (id, address): only their buckets are listed, where rows lie by id, so that bounds of row groups and pages skip most."""
+        name, what = self.store.TABLES[table]
+        n = self.group(name)["n"]
+        rows = self.live(name, what, {bucket_of(at, n) for _, at in found})
+        return rows.filter(F.col("id").isin([i for i, _ in found])).drop("seq", "address")
+
+    def counts(self, name: str) -> DataFrame:
+        """source_id, documents, rows of a group: what each write has added and taken away; no row of the group is read."""
+        parts = self.group(name)["stats"]
+        if not parts:
+            return self.spark.createDataFrame([], STATS)
+        kept = self.spark.read.schema(STATS).parquet(*[f"{self.store.root}/{name}/{p}/stats" for p in parts])
+        out = kept.groupBy("source_id").agg(F.sum("documents").alias("documents"), F.sum("rows").alias("rows"))
+        return out.filter("rows <> 0 OR documents <> 0")
+
+    def stats(self, source_id: str | None = None) -> DataFrame:
+        """Each source's statistics, or one's."""
+        one = lambda df: df if source_id is None else df.filter(F.col("source_id") == source_id)
+        return counted_sources(one(self.read("sources")), one(self.counts("chunks")), one(self.counts("code_examples"))).orderBy("source_id")
+
+
+class Store:
+    """The tables' parts and manifests under a folder. The last ``keep`` states, and all younger than ``keep_seconds``, can still be read."""
+
+    GROUPS = {"sources": Group(schemas.SOURCES, "source_id"), "chunks": Group(schemas.CHUNKS, "url", ("content",)), "code_examples": Group(schemas.CODE_EXAMPLES, "url", ("content", "summary"))}
+    TABLES = {"sources": ("sources", "rows"), "chunks": ("chunks", "rows"), "code_examples": ("code_examples", "rows"), "chunk_postings": ("chunks", "postings"), "code_postings": ("code_examples", "postings")}
+    TRIES = 5
+    #: A bucket is compacted at so many later parts, or where those have this share of the first one's bytes.
+    MOST_PARTS, SHARE = 8, 0.5
+    #: Statistics of so many writes are summed into one.
+    MOST_STATS = 32
+    #: Bytes of tombstones that are sent to all tasks.
+    BROADCAST_BYTES = 16 << 20
+
+    def __init__(self, spark: SparkSession, root: str, buckets: int = 16, keep: int = 3, analyzer: fts.Analyzer | None = None, keep_seconds: float = 3600.0, bucket_bytes: int = 1 << 30, compacts: bool = True):
+        self.spark, self.root, self.buckets, self.keep, self.keep_seconds = spark, root.rstrip("/"), buckets, keep, keep_seconds
+        self.bucket_bytes, self.compacts = bucket_bytes, compacts
         self.analyzer = analyzer or fts.Analyzer()
         self.files = Files(spark, self.root)
 
-    # --- versions ---
+    # --- states ---
 
-    def version(self, name: str) -> tuple[int, dict]:
-        """The number of a table's current version (0: none) and its content: how many buckets, and the folder of each that has rows."""
-        found = self.files.names(f"{self.root}/{name}/versions")
-        if not found:
-            return 0, {"buckets": self.buckets, "folders": {}}
-        return int(found[-1]), json.loads(self.files.read(f"{self.root}/{name}/versions/{found[-1]}"))
+    def _manifests(self) -> list[str]:
+        return self.files.names(f"{self.root}/manifests")
 
-    def _rows(self, name: str, folders: list[str]) -> DataFrame:
-        if not folders:
-            return self.spark.createDataFrame([], self.TABLES[name])
-        return self.spark.read.schema(self.TABLES[name]).parquet(*[f"{self.root}/{name}/{f}" for f in folders])
-
-    def read(self, name: str, buckets: list[int] | None = None) -> DataFrame:
-        """A table's current rows; of some buckets only those are read."""
-        folders = self.version(name)[1]["folders"]
-        return self._rows(name, [f for b, f in sorted(folders.items()) if buckets is None or int(b) in buckets])
-
-    def _bucketed(self, name: str, df: DataFrame, key: Column, buckets: int, sort: list[str]) -> dict[str, str]:
-        """Write ``df`` by bucket; the new folder of each bucket that has rows."""
-        folder = f"data/{uuid.uuid4().hex}"
-        cut = df.withColumn("bucket", F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int")).repartition("bucket").sortWithinPartitions("bucket", *sort)
-        cut.write.partitionBy("bucket").parquet(f"{self.root}/{name}/{folder}")
-        return {n.removeprefix("bucket="): f"{folder}/{n}" for n in self.files.names(f"{self.root}/{name}/{folder}")}
-
-    def _commit(self, name: str, number: int, content: dict) -> bool:
-        done = self.files.commit(f"{self.root}/{name}/versions/{number + 1:012d}", json.dumps(content))
+    def _manifest(self, name: str) -> dict:
+        return json.loads(self.files.read(f"{self.root}/manifests/{name}"))
+
+    def snapshot(self) -> Snapshot:
+        found = self._manifests()
+        return Snapshot(self, int(found[-1]), self._manifest(found[-1])["groups"]) if found else Snapshot(self, 0, {})
+
+    def read(self, table: str, buckets: set[int] | None = None) -> DataFrame:
+        """A table's current rows; for several tables of one state take a ``snapshot``."""
+        return self.snapshot().read(table, buckets)
+
+    def stats(self, source_id: str | None = None) -> DataFrame:
+        return self.snapshot().stats(source_id)
+
+    def _commit(self, number: int, groups: dict) -> bool:
+        done = self.files.commit(f"{self.root}/manifests/{number:012d}", json.dumps({"time": time.time(), "groups": groups}))
         if done:
-            self._forget(name)
+            self._forget()
         return done
 
-    def _forget(self, name: str) -> None:
-        """Delete all but the last versions, and the folders that none of those has."""
-        found = self.files.names(f"{self.root}/{name}/versions")
-        old, kept = found[: -self.keep], found[-self.keep :]
+    @staticmethod
+    def _named(manifests: Sequence[dict]) -> set[tuple[str, str, str]]:
+        """(group, part, bucket) of all parts that manifests name; an empty bucket for a part's statistics."""
+        out = set()
+        for m in manifests:
+            for name, g in m["groups"].items():
+                out |= {(name, p["id"], b) for p in g["parts"] for b in p["buckets"]} | {(name, p, "") for p in g["stats"]}
+        return out
+
+    def _forget(self) -> None:
+        """Delete the states that need no longer be kept, and what only those name."""
+        found, old = self._manifests(), []
+        for name in found[: -self.keep]:
+            m = self._manifest(name)
+            if m["time"] > time.time() - self.keep_seconds:
+                break
+            old.append((name, m))
         if not old:
             return
-        folders = lambda versions: {f for v in versions for f in json.loads(self.files.read(f"{self.root}/{name}/versions/{v}"))["folders"].values()}
-        for f in folders(old) - folders(kept):
-            self.files.delete(f"{self.root}/{name}/{f}")
-        for v in old:
-            self.files.delete(f"{self.root}/{name}/versions/{v}")
+        kept = self._named([self._manifest(n) for n in found[len(old) :]])
+        parts = {(name, p) for name, p, _ in kept}
+        for name, part, b in self._named([m for _, m in old]) - kept:
+            if (name, part) not in parts:
+                self.files.delete(f"{self.root}/{name}/{part}")
+                continue
+            for what in ("rows", "postings", "tombstones") if b else ("stats",):
+                self.files.delete(f"{self.root}/{name}/{part}/{what}" + (f"/bucket={b}" if b else ""))
+        for name, _ in old:
+            self.files.delete(f"{self.root}/manifests/{name}")
 
     def vacuum(self) -> None:
-        """Delete what failed writes have left: folders that no kept version names. No writer may run meanwhile."""
-        for name in self.TABLES:
-            root = f"{self.root}/{name}"
-            versions = self.files.names(f"{root}/versions")
-            named = {f for v in versions for f in json.loads(self.files.read(f"{root}/versions/{v}"))["folders"].values()}
-            for folder in self.files.names(f"{root}/data"):
-                for bucket in self.files.names(f"{root}/data/{folder}"):
-                    if f"data/{folder}/{bucket}" not in named:
-                        self.files.delete(f"{root}/data/{folder}/{bucket}")
-            for folder in self.files.names(f"{root}/staged"):
-                self.files.delete(f"{root}/staged/{folder}")
-
-    def _again(self, once: Callable[[], bool], name: str) -> None:
+        """Delete what failed writes have left: parts that no manifest names, and staged rows. No writer may run meanwhile."""
+        parts = {(name, p) for name, p, _ in self._named([self._manifest(n) for n in self._manifests()])}
+        for name in self.GROUPS:
+            for part in self.files.names(f"{self.root}/{name}"):
+                if (name, part) not in parts:
+                    self.files.delete(f"{self.root}/{name}/{part}")
+        self.files.delete(f"{self.root}/staged")
+
+    def _again(self, once: Callable[[], bool]) -> None:
         for _ in range(self.TRIES):
             if once():
                 return
-        raise RuntimeError(f"other writers of {name} came first {self.TRIES} times")
+        raise RuntimeError(f"other writers came first {self.TRIES} times")
 
     # --- writing ---
 
-    def _staged(self, name: str, df: DataFrame) -> tuple[DataFrame, str]:
-        """The rows, written once, so that what makes them doesn't run again."""
-        folder = f"{self.root}/{name}/staged/{uuid.uuid4().hex}"
-        columns = self.spark.createDataFrame([], self.TABLES[name]).columns
-        df.select(*columns).write.parquet(folder)
-        return self.spark.read.schema(self.TABLES[name]).parquet(folder), folder
-
-    def _replace(self, name: str, rows: DataFrame, key: str) -> None:
-        """Put ``rows`` in place of all rows of their keys; only their buckets are read and written."""
-
-        def once() -> bool:
-            number, content = self.version(name)
-            n = content["buckets"]
-            touched = [r.b for r in rows.select(F.pmod(F.xxhash64(key), F.lit(n)).cast("int").alias("b")).distinct().collect()]  # at most one row a bucket
-            left = self.read(name, touched).join(rows.select(key).distinct(), key, "left_anti")
-            made = self._bucketed(name, left.unionByName(rows), F.col(key), n, [key])
-            folders = {b: f for b, f in content["folders"].items() if int(b) not in touched} | made
-            return self._commit(name, number, {"buckets": n, "folders": folders})
-
-        self._again(once, name)
-
-    def _replace_postings(self, name: str, rows: DataFrame) -> None:
-        """Put the postings of ``rows`` in place of those of their URLs, in the buckets of the URLs."""
-        postings, columns = self.INDEXED[name]
-        text = F.concat_ws(" ", *columns)
-        new = fts.postings(rows.withColumn("_text", text), "id", "_text", self.analyzer, keep=["url"])
-
-        def once() -> bool:
-            number, content = self.version(postings)
-            n = content["buckets"]
-            touched = [r.b for r in rows.select(F.pmod(F.xxhash64("url"), F.lit(n)).cast("int").alias("b")).distinct().collect()]
-            left = self.read(postings, touched).join(rows.select("url").distinct(), "url", "left_anti")
-            made = self._bucketed(postings, left.unionByName(new.select(left.columns)), F.col("url"), n, ["term", "id"])
-            folders = {b: f for b, f in content["folders"].items() if int(b) not in touched} | made
-            return self._commit(postings, number, {"buckets": n, "folders": folders})
-
-        self._again(once, postings)
+    def staged(self, df: DataFrame) -> tuple[DataFrame, str]:
+        """The rows, written once, so that what makes them doesn't run again; and the folder to delete."""
+        folder = f"{self.root}/staged/{uuid.uuid4().hex}"
+        df.write.parquet(folder)
+        return self.spark.read.schema(df.schema).parquet(folder), folder
+
+    def _cut(self, df: DataFrame, path: str, n: int, sort: list[str]) -> dict[str, int]:
+        """Write by bucket; the bytes of each. A large bucket is dealt to several tasks, small ones go to one together."""
+        cut = df.withColumn("bucket", bucket(F.col("address"), n)).hint("rebalance", F.col("bucket")).sortWithinPartitions("bucket", *sort)
+        cut.write.partitionBy("bucket").parquet(path)
+        return {k.removeprefix("bucket="): v for k, v in self.files.sizes(path).items() if k.startswith("bucket=")}
+
+    def _part(self, name: str, rows: DataFrame, n: int, seq: int, postings: DataFrame | None, replaces: DataFrame | None) -> dict:
+        """Write a part: rows with address and seq, their postings, and tombstones for the keys of ``replaces``."""
+        part, g = uuid.uuid4().hex, self.GROUPS[name]
+        path = f"{self.root}/{name}/{part}"
+        sizes = self._cut(rows, f"{path}/rows", n, ["id"] if "id" in rows.columns else [g.key])
+        indexed = self._cut(postings, f"{path}/postings", n, ["term", "id"]) if postings is not None else {}
+        tombstones = 0
+        if replaces is not None:
+            keys = replaces.select(F.col(g.key).alias("key"), "address").distinct().withColumn("seq", F.lit(seq).cast("long"))
+            tombstones = sum(self._cut(keys, f"{path}/tombstones", n, ["key"]).values())
+        return {"id": part, "seq": seq, "tombstones": tombstones, "buckets": {b: [size, indexed.get(b, 0)] for b, size in sizes.items()}}
+
+    def _upserted(self, snap: Snapshot, name: str, rows: DataFrame) -> dict:
+        """The group of ``snap`` with a part of ``rows`` in place of all rows of their keys."""
+        g, old, seq = self.GROUPS[name], snap.group(name), snap.number + 1
+        new = rows.withColumns({"address": address(F.col(g.key)), "seq": F.lit(seq).cast("long")})
+        postings = None
+        if g.indexed:
+            postings = fts.postings(new.withColumn("_text", F.concat_ws(" ", *g.indexed)), "id", "_text", self.analyzer, keep=["url", "address", "seq"])
+        part = self._part(name, new, old["n"], seq, postings, new)
+        stats = old["stats"]
+        if g.indexed:
+            gone = snap.live(name, "rows", {int(b) for b in part["buckets"]}).select("url", "source_id").join(rows.select("url").distinct(), "url", "left_semi")
+            lost = counts(gone).select("source_id", (-F.col("documents")).alias("documents"), (-F.col("rows")).alias("rows"))
+            self._write_stats(counts(rows).unionByName(lost), f"{self.root}/{name}/{part['id']}/stats")
+            stats = [*stats, part["id"]]
+        return {"n": old["n"], "parts": [*old["parts"], part], "stats": stats}
+
+    @staticmethod
+    def _write_stats(changes: DataFrame, path: str) -> None:
+        changes.groupBy("source_id").agg(F.sum("documents").alias("documents"), F.sum("rows").alias("rows")).coalesce(1).write.parquet(path)  # a row a source
 
     def _add(self, name: str, rows: DataFrame, now: Column) -> int:
-        staged, folder = self._staged(name, rows)
+        staged, folder = self.staged(rows.select(*self.spark.createDataFrame([], self.GROUPS[name].rows).columns))
         try:
             n = staged.count()
             if n:
-                missing = self._missing_sources(staged, now)
-                if not missing.isEmpty():
-                    self._replace("sources", missing, "source_id")
-                self._replace_postings(name, staged)  # first: postings without a row find nothing, a row without postings would stay hidden
-                self._replace(name, staged, "url")
+
+                def once() -> bool:
+                    snap = self.snapshot()
+                    groups = dict(snap.groups)
+                    known = snap.read("sources")
+                    missing = with_missing_sources(known.limit(0), staged.join(known, "source_id", "left_anti"), now)
+                    if not missing.isEmpty():
+                        groups["sources"] = self._upserted(snap, "sources", missing)
+                    groups[name] = self._upserted(snap, name, staged)
+                    return self._commit(snap.number + 1, groups)
+
+                self._again(once)
+                if self.compacts:
+                    self.compact(name)
             return n
         finally:
             self.files.delete(folder)
 
-    def _missing_sources(self, rows: DataFrame, now: Column) -> DataFrame:
-        known = self.read("sources")
-        return with_missing_sources(known.limit(0), rows.join(known, "source_id", "left_anti"), now)
-
     def add_chunks(self, rows: DataFrame, now: Column) -> int:
         """Replace all chunks of the rows' URLs; sources that are missing are made first. The number of rows added."""
         return self._add("chunks", rows, now)
@@ -253,11 +411,52 @@ class Store:
         return self._add("code_examples", with_fence_language(rows), now)
 
     def update_sources(self, rows: DataFrame, now: Column) -> None:
-        staged, folder = self._staged("sources", updated_sources(self.read("sources").join(rows.select("source_id"), "source_id", "left_semi"), rows, now))
+        staged, folder = self.staged(rows)
+
+        def once() -> bool:
+            snap = self.snapshot()
+            known = snap.read("sources").join(staged.select("source_id"), "source_id", "left_semi")
+            return self._commit(snap.number + 1, snap.groups | {"sources": self._upserted(snap, "sources", updated_sources(known, staged, now))})
+
         try:
-            self._replace("sources", staged, "source_id")
+            self._again(once)
+            if self.compacts:
+                self.compact("sources")
         finally:
             self.files.delete(folder)
 
-    def stats(self) -> DataFrame:
-        return source_stats(self.read("sources"), self.read("chunks"), self.read("code_examples")).orderBy("source_id")
+    # --- compaction ---
+
+    def _worn(self, snap: Snapshot, name: str) -> set[int]:
+        """The buckets whose later parts have grown."""
+        out = set()
+        for b, parts in snap.holders(name).items():
+            sizes = [sum(p["buckets"][str(b)]) for p in parts]
+            if len(parts) > self.MOST_PARTS or sum(sizes[1:]) > self.SHARE * sizes[0]:
+                out.add(b)
+        return out
+
+    def compact(self, name: str, everything: bool = False) -> bool:
+        """Rewrite worn buckets (or all of several parts) without dead rows, and split buckets where they hold too much on the average.
+
+        Whether that was needed and no other writer came first; else all stays as it is.
+        """
+        snap = self.snapshot()
+        g = snap.group(name)
+        total = sum(sum(x) for p in g["parts"] for x in p["buckets"].values())
+        n = max(g["n"], min(2 * g["n"], -(-total // self.bucket_bytes), ADDRESSES))
+        touched = {b for b, parts in snap.holders(name).items() if len(parts) > 1} if everything else self._worn(snap, name)
+        touched |= {parent(b) for b in range(g["n"], n)}
+        if not touched and len(g["stats"]) <= self.MOST_STATS:
+            return False
+        parts = [p | {"buckets": {b: x for b, x in p["buckets"].items() if int(b) not in touched}} for p in g["parts"]]
+        parts = [p for p in parts if p["buckets"]]
+        if touched:
+            postings = snap.live(name, "postings", touched) if self.GROUPS[name].indexed else None
+            made = self._part(name, snap.live(name, "rows", touched), n, snap.number + 1, postings, None)
+            parts = [made, *parts] if made["buckets"] else parts
+        stats = g["stats"]
+        if len(stats) > self.MOST_STATS:
+            stats = [uuid.uuid4().hex]
+            self._write_stats(snap.counts(name), f"{self.root}/{name}/{stats[0]}/stats")
+        return self._commit(snap.number + 1, snap.groups | {name: {"n": n, "parts": parts, "stats": stats}})

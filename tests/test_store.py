@@ -208,17 +208,129 @@ def chunk_rows(spark, rows):
 
 
 def test_an_upsert_writes_only_its_buckets(spark, tmp_path):
-    store = S.Store(spark, str(tmp_path / "kb"), buckets=8)
+    store = S.Store(spark, str(tmp_path / "kb"), buckets=8, compacts=False)
     assert store.add_chunks(chunk_rows(spark, [(f"s/{i}", 1, f"stone {i}") for i in range(40)]), now()) == 40
-    before = store.version("chunks")
+    before = store.snapshot()
     assert store.add_chunks(chunk_rows(spark, [("s/7", 1, "new"), ("s/7", 2, "extra")]), now()) == 2
-    after = store.version("chunks")
-    assert after[0] == before[0] + 1 and sum(after[1]["folders"][b] != f for b, f in before[1]["folders"].items()) == 1
+    after = store.snapshot()
+    assert after.number == before.number + 1 and after.group("chunks")["parts"][:-1] == before.group("chunks")["parts"]
+    assert len(after.group("chunks")["parts"][-1]["buckets"]) == 1
     got = {(r.url, r.chunk_number): r.content for r in store.read("chunks").collect()}
     assert len(got) == 41 and got["s/7", 1] == "new" and got["s/8", 1] == "stone 8"
     ids = {r.id for r in store.read("chunks").collect()}
     assert {r.id for r in store.read("chunk_postings").collect()} == ids and store.read("sources").count() == 1
-    assert store.add_chunks(chunk_rows(spark, [("s/7", 1, "x")]).limit(0), now()) == 0 and store.version("chunks")[0] == after[0]
+    assert {r.content for r in before.read("chunks").filter("url = 's/7'").collect()} == {"stone 7"}
+    assert store.add_chunks(chunk_rows(spark, [("s/7", 1, "x")]).limit(0), now()) == 0 and store.snapshot().number == after.number
+
+
+def test_buckets_split_by_linear_hashing(spark):
+    for n in range(1, 40):
+        for at in (0, 1, 5, 17, 63, 1000, S.ADDRESSES - 1):
+            assert 0 <= S.bucket_of(at, n) < n
+            assert S.bucket_of(at, n + 1) in (S.bucket_of(at, n), n)
+            if S.bucket_of(at, n + 1) == n:
+                assert S.bucket_of(at, n) == S.parent(n)
+    rows = spark.range(2000).select(S.address(F.col("id").cast("string")).alias("a"))
+    for n in (1, 6, 8, 13):
+        assert all(r.b == S.bucket_of(r.a, n) for r in rows.select("a", S.bucket(F.col("a"), n).alias("b")).collect())
+
+
+def test_splits_and_compaction_keep_all_rows(spark, tmp_path):
+    store = S.Store(spark, str(tmp_path / "kb"), buckets=1, bucket_bytes=4000, keep=1, keep_seconds=0, compacts=False)
+    want = {f"s/{i}": f"stone {i} granite" for i in range(300)}
+    store.add_chunks(chunk_rows(spark, [(u, 1, t) for u, t in want.items()]), now())
+    for step in range(4):
+        new = {f"s/{i}": f"slate {step} {i}" for i in range(step, 300, 9 + step)}
+        want |= new
+        store.add_chunks(chunk_rows(spark, [(u, 1, t) for u, t in new.items()]), now())
+        if step % 2:
+            store.compact("chunks", everything=step == 3)
+        snap = store.snapshot()
+        assert {r.url: r.content for r in snap.read("chunks").collect()} == want
+        assert {r.url for r in snap.read("chunk_postings").filter("term = 'slate'").collect()} == {u for u, t in want.items() if "slate" in t}
+        assert snap.counts("chunks").first().rows == 300 and snap.stats().first().total_documents == 300
+    g = store.snapshot().group("chunks")
+    assert g["n"] >= 4 and all(len(p) == 1 for p in store.snapshot().holders("chunks").values())
+    at = {r.url: (r.id, r.address) for r in store.snapshot().read("chunks", addressed=True).collect()}
+    assert {S.bucket_of(a, g["n"]) for _, a in at.values()} == set(store.snapshot().holders("chunks"))
+    assert [r.content for r in store.snapshot().fetch("chunks", [at["s/3"]]).collect()] == [want["s/3"]]
+
+
+def test_a_large_write_of_few_keys_is_compacted_by_itself(spark, tmp_path):
+    store = S.Store(spark, str(tmp_path / "kb"), buckets=2)
+    for i in range(3):
+        store.add_chunks(chunk_rows(spark, [(f"s/{k}", 1, f"text {i}") for k in range(20)]), now())
+    assert all(len(p) == 1 for p in store.snapshot().holders("chunks").values()) and store.read("chunks").filter("content = 'text 2'").count() == 20
+
+
+def test_a_spread_upsert_writes_few_bytes(spark, tmp_path):
+    """Of 2000 pages of random words 20 are replaced, some in every bucket: less than 3 % of the bytes are written."""
+    import random
+
+    r = random.Random(4)
+    text = lambda: " ".join("".join(r.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(6)) for _ in range(400))
+    store = S.Store(spark, str(tmp_path / "kb"), buckets=4)
+    store.add_chunks(chunk_rows(spark, [(f"s/{i}", 1, text()) for i in range(2000)]), now())
+    size = lambda: sum(f.stat().st_size for f in (tmp_path / "kb").rglob("*.parquet"))
+    before = size()
+    store.add_chunks(chunk_rows(spark, [(f"s/{i}", 1, text()) for i in range(0, 2000, 100)]), now())
+    assert len(store.snapshot().group("chunks")["parts"][-1]["buckets"]) == 4
+    assert size() - before < 0.03 * before
+    assert store.read("chunks").count() == 2000
+
+
+def scanned_buckets(df):
+    """The bucket folders that a plan's scans list."""
+    import re
+
+    return {x for x in re.findall(r"rows/bucket=(\d+)", "\n".join(df.inputFiles()))}
+
+
+def test_winners_are_fetched_from_their_buckets(spark, tmp_path):
+    from quarry.operators import search
+
+    store = S.Store(spark, str(tmp_path / "kb"), buckets=32)
+    rows = chunk_rows(spark, [(f"s/{i}", 1, f"granite {i} stone") for i in range(200)])
+    rows = rows.withColumn("embedding", F.array(F.lit(1.0).cast("float"), (F.xxhash64("url") % 100 / 100).cast("float")))
+    store.add_chunks(rows, now())
+    store.add_chunks(rows.filter("url IN ('s/3', 's/4')"), now())  # two buckets of two parts
+    snap = store.snapshot()
+    table, fetch = snap.read("chunks", addressed=True), lambda found: snap.fetch("chunks", found)
+    plain = store.read("chunks")
+    for got, want in (
+        (search.match(table, [1.0, 0.5], 3, fetch=fetch), search.match(plain, [1.0, 0.5], 3)),
+        (search.hybrid(table, [1.0, 0.5], "granite stone", 3, postings=snap.read("chunk_postings", addressed=True), fetch=fetch), search.hybrid(plain, [1.0, 0.5], "granite stone", 3, text_col="content")),
+        (search.hybrid(table, [1.0, 0.5], "granite stone", 3, text_col="content", fetch=fetch), search.hybrid(plain, [1.0, 0.5], "granite stone", 3, text_col="content")),
+    ):
+        columns = [c for c in want.columns if c not in ("metadata", "address")]
+        assert sorted(got.drop("metadata").columns) == sorted(columns)
+        assert got.select(*columns).collect() == want.select(*columns).collect()
+        assert 1 <= len(scanned_buckets(got)) <= 3
+    assert snap.fetch("chunks", []).count() == 0 and search.match(table.limit(0), [1.0, 0.5], 3, fetch=fetch).count() == 0
+
+
+def test_a_reader_keeps_its_state(spark, tmp_path):
+    """Rows and postings change together: a snapshot taken before a write ranks and fetches what it saw."""
+    store = S.Store(spark, str(tmp_path / "kb"), buckets=2)
+    store.add_chunks(chunk_rows(spark, [("s/1", 1, "granite")]), now())
+    service = SearchService.of(store, embedder=HashingEmbedder(1))
+    for i in range(4):
+        store.add_chunks(chunk_rows(spark, [("s/1", 1, f"slate {i}")]), now())
+    assert [r.content for r in service.search_documents("granite", use_hybrid=True).collect()] == ["granite"]
+    assert [r.text_rank > 0 for r in SearchService.of(store, embedder=HashingEmbedder(1)).search_documents("slate", use_hybrid=True).collect()] == [True]
+
+
+def test_statistics_read_no_chunk(spark, tmp_path):
+    store = S.Store(spark, str(tmp_path / "kb"), buckets=2)
+    store.MOST_STATS = 2
+    for i in range(5):
+        store.add_chunks(chunk_rows(spark, [(f"s/{k}", n, "text") for k in range(i + 1) for n in range(1, 3)] + [("t/1", 1, "x")]), now())
+    store.add_chunks(chunk_rows(spark, [("s/0", 1, "one left")]), now())
+    stats = store.stats()
+    got = {r.source_id: (r.total_documents, r.total_chunks) for r in stats.collect()}
+    want = {r.source_id: (r.total_documents, r.total_chunks) for r in S.source_stats(store.read("sources"), store.read("chunks"), store.read("code_examples")).collect()}
+    assert got == want == {"s": (5, 9), "t": (1, 1)}
+    assert not any("/chunks/" in f and "/stats/" not in f for f in stats.inputFiles()) and len(store.snapshot().group("chunks")["stats"]) <= 3
 
 
 def test_stored_postings_rank_as_texts_do(spark, tmp_path):
@@ -242,11 +354,10 @@ def test_a_failed_write_leaves_the_last_version(spark, tmp_path, monkeypatch):
         store.add_chunks(chunk_rows(spark, [("s/1", 1, "second"), ("s/2", 1, "other")]), now())
     monkeypatch.undo()
     assert [r.content for r in S.Store(spark, str(tmp_path / "kb")).read("chunks").collect()] == ["first"]
-    folders = lambda: {str(d.relative_to(tmp_path)) for d in (tmp_path / "kb").glob("*/data/*/bucket=*")}
-    before = folders()
+    parts = lambda: {d.name for d in (tmp_path / "kb" / "chunks").iterdir()}
+    before = parts()
     store.vacuum()
-    named = {f"kb/{n}/{f}" for n in S.Store.TABLES for f in store.version(n)[1]["folders"].values()}
-    assert named <= folders() < before and [r.content for r in store.read("chunks").collect()] == ["first"]
+    assert parts() == {p["id"] for p in store.snapshot().group("chunks")["parts"]} < before and [r.content for r in store.read("chunks").collect()] == ["first"]
     store.add_chunks(chunk_rows(spark, [("s/1", 1, "third")]), now())
     assert [r.content for r in store.read("chunks").collect()] == ["third"]
 
@@ -255,25 +366,37 @@ def test_two_writers_lose_nothing(spark, tmp_path, monkeypatch):
     store, other = (S.Store(spark, str(tmp_path / "kb"), buckets=1) for _ in range(2))
     commit, late = S.Store._commit, []
 
-    def second_comes_first(self, name, number, content):
-        if self is store and name == "chunks" and not late:
-            late.append(other.add_chunks(chunk_rows(spark, [("s/2", 1, "two")]), now()))
-        return commit(self, name, number, content)
+    def second_comes_first(self, number, groups):
+        if self is store and not late:
+            late.append(other.add_chunks(chunk_rows(spark, [("s/2", 1, "two"), ("s/3", 1, "three")]), now()))
+        return commit(self, number, groups)
 
     monkeypatch.setattr(S.Store, "_commit", second_comes_first)
-    store.add_chunks(chunk_rows(spark, [("s/1", 1, "one")]), now())
-    assert {r.content for r in store.read("chunks").collect()} == {"one", "two"} and late == [1]
+    store.add_chunks(chunk_rows(spark, [("s/1", 1, "one"), ("s/3", 1, "later three")]), now())
+    assert {r.content for r in store.read("chunks").collect()} == {"one", "two", "later three"} and late == [2]
 
 
 def test_old_versions_go(spark, tmp_path):
     import os
 
-    store = S.Store(spark, str(tmp_path / "kb"), buckets=2, keep=2)
+    store = S.Store(spark, str(tmp_path / "kb"), buckets=2, keep=2, keep_seconds=0)
     for i in range(5):
         store.add_chunks(chunk_rows(spark, [("s/1", 1, f"text {i}")]), now())
-    assert sorted(n for n in os.listdir(tmp_path / "kb" / "chunks" / "versions") if n[0] != ".") == [f"{4:012d}", f"{5:012d}"]
+    kept = sorted(n for n in os.listdir(tmp_path / "kb" / "manifests") if n[0] != ".")
+    assert len(kept) == 2 and int(kept[-1]) == store.snapshot().number
     assert [r.content for r in store.read("chunks").collect()] == ["text 4"]
-    assert sum(len(d) for _, d, _ in os.walk(tmp_path / "kb" / "chunks" / "data")) <= 7  # the folders of two versions
+    named = {p["id"] for n in kept for p in json.loads((tmp_path / "kb" / "manifests" / n).read_text())["groups"]["chunks"]["parts"]}
+    stats = {p for n in kept for p in json.loads((tmp_path / "kb" / "manifests" / n).read_text())["groups"]["chunks"]["stats"]}
+    assert {d.name for d in (tmp_path / "kb" / "chunks").iterdir()} == named | stats
+
+
+def test_young_versions_stay(spark, tmp_path):
+    store = S.Store(spark, str(tmp_path / "kb"), buckets=2, keep=1)
+    store.add_chunks(chunk_rows(spark, [("s/1", 1, "first")]), now())
+    first = store.snapshot()
+    for i in range(4):
+        store.add_chunks(chunk_rows(spark, [("s/1", 1, f"text {i}")]), now())
+    assert [r.content for r in first.read("chunks").collect()] == ["first"]
 
 
 def test_metadata_keeps_its_types(spark):
