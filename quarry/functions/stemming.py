@@ -1,68 +1,95 @@
-"""Porter's stemmer (M. F. Porter, "An algorithm for suffix stripping", Program 14(3), 1980)."""
+"""The English stemmer of the Snowball project ("Porter2"), for words of ASCII letters; others stay as they are."""
 
 from __future__ import annotations
 
 import re
 from functools import lru_cache
 
-_C, _V = "[^aeiou]", "[aeiouy]"
-_CS, _VS = f"{_C}[^aeiouy]*", f"{_V}[aeiou]*"
-_MEASURED = {n: re.compile(f"^(?:{_CS})?" + f"(?:{_VS}{_CS})" * n) for n in (1, 2)}
-_ONE = re.compile(f"^(?:{_CS})?{_VS}{_CS}(?:{_VS})?$")
-_VOWEL = re.compile(f"^(?:{_CS})?{_V}")
-_SHORT = re.compile(f"^{_CS}{_V}[^aeiouwxy]$")
+_VOWELS = "aeiouy"
+_REGION = re.compile(f"[{_VOWELS}][^{_VOWELS}]")
+_SHORT = re.compile(f"(?:^[{_VOWELS}][^{_VOWELS}]|[^{_VOWELS}][{_VOWELS}][^{_VOWELS}wxY])$")
+_VOWEL = re.compile(f"[{_VOWELS}]")
 
-# The published suffix tables of steps 2, 3 and 4.
-_STEP2 = {"ational": "ate", "tional": "tion", "enci": "ence", "anci": "ance", "izer": "ize", "bli": "ble", "alli": "al", "entli": "ent", "eli": "e", "ousli": "ous", "ization": "ize", "ation": "ate", "ator": "ate", "alism": "al", "iveness": "ive", "fulness": "ful", "ousness": "ous", "aliti": "al", "iviti": "ive", "biliti": "ble", "logi": "log"}
-_STEP3 = {"icate": "ic", "ative": "", "alize": "al", "iciti": "ic", "ical": "ic", "ful": "", "ness": ""}
-_STEP4 = ["al", "ance", "ence", "er", "ic", "able", "ible", "ant", "ement", "ment", "ent", "ou", "ism", "ate", "iti", "ous", "ive", "ize"]
+# The published lists of irregular words, beginnings and suffixes.
+_WHOLE = {"skis": "ski", "skies": "sky", "dying": "die", "lying": "lie", "tying": "tie", "idly": "idl", "gently": "gentl", "ugly": "ugli", "early": "earli", "only": "onli", "singly": "singl"}
+_WHOLE |= {w: w for w in ("sky", "news", "howe", "atlas", "cosmos", "bias", "andes")}
+_AFTER_PLURAL = {"inning", "outing", "canning", "herring", "earring", "proceed", "exceed", "succeed"}
+_BEGINNINGS = ("gener", "commun", "arsen")
+_DOUBLES = ("bb", "dd", "ff", "gg", "mm", "nn", "pp", "rr", "tt")
+_BEFORE_LI = "cdeghkmnrt"
+_STEP2 = {"tional": "tion", "enci": "ence", "anci": "ance", "abli": "able", "entli": "ent", "izer": "ize", "ization": "ize", "ational": "ate", "ation": "ate", "ator": "ate", "alism": "al", "aliti": "al", "alli": "al", "fulness": "ful", "ousli": "ous", "ousness": "ous", "iveness": "ive", "iviti": "ive", "biliti": "ble", "bli": "ble", "ogi": "og", "fulli": "ful", "lessli": "less", "li": ""}
+_STEP3 = {"tional": "tion", "ational": "ate", "alize": "al", "icate": "ic", "iciti": "ic", "ical": "ic", "ful": "", "ness": "", "ative": ""}
+_STEP4 = ["al", "ance", "ence", "er", "ic", "able", "ible", "ant", "ement", "ment", "ent", "ism", "ate", "iti", "ous", "ive", "ize", "ion"]
 
 
 def _longest(word: str, suffixes) -> str | None:
     return max((s for s in suffixes if word.endswith(s)), key=len, default=None)
 
 
-def _swap(word: str, table: dict[str, str]) -> str:
-    s = _longest(word, table)
-    if s is not None and _MEASURED[1].match(word[: -len(s)]):
-        return word[: -len(s)] + table[s]
-    return word
+def _after(word: str, at: int) -> int:
+    """Where the region behind the first consonant behind a vowel begins."""
+    found = _REGION.search(word, at)
+    return found.end() if found else len(word)
+
+
+def _marked(word: str) -> str:
+    """A y that stands for a consonant becomes Y: at the start and behind a vowel."""
+    out = ""
+    for c in word:
+        out += "Y" if c == "y" and (not out or out[-1] in _VOWELS) else c
+    return out
+
+
+def _verb(w: str, r1: int) -> str:
+    end = _longest(w, ("eed", "eedly", "ed", "edly", "ing", "ingly"))
+    if end in ("eed", "eedly"):
+        return w[: -len(end)] + "ee" if len(w) - len(end) >= r1 else w
+    if end is None or not _VOWEL.search(w[: -len(end)]):
+        return w
+    w = w[: -len(end)]
+    if w.endswith(("at", "bl", "iz")):
+        return w + "e"
+    if w.endswith(_DOUBLES):
+        return w[:-1]
+    return w + "e" if r1 >= len(w) and _SHORT.search(w) else w
 
 
 @lru_cache(maxsize=100_000)
 def stem(word: str) -> str:
     if len(word) < 3 or not word.isascii() or not word.isalpha():
         return word
-    w = word[0].upper() + word[1:] if word[0] == "y" else word
-    if w.endswith(("sses", "ies")):
+    if word in _WHOLE:
+        return _WHOLE[word]
+    w = _marked(word)
+    begins = _longest_start(w)
+    r1 = len(begins) if begins else _after(w, 0)
+    r2 = _after(w, r1)
+    if w.endswith("sses"):
         w = w[:-2]
-    elif w.endswith("s") and not w.endswith("ss"):
+    elif w.endswith(("ied", "ies")):
+        w = w[:-2] if len(w) > 4 else w[:-1]
+    elif w.endswith("s") and not w.endswith(("us", "ss")) and _VOWEL.search(w[:-2]):
         w = w[:-1]
-    if w.endswith("eed"):
-        if _MEASURED[1].match(w[:-3]):
-            w = w[:-1]
-    else:
-        end = next((e for e in ("ed", "ing") if w.endswith(e) and _VOWEL.match(w[: -len(e)])), None)
-        if end:
-            w = w[: -len(end)]
-            if w.endswith(("at", "bl", "iz")):
-                w += "e"
-            elif len(w) > 1 and w[-1] == w[-2] and w[-1] not in "aeiouylsz":
-                w = w[:-1]
-            elif _SHORT.match(w):
-                w += "e"
-    if w.endswith("y") and _VOWEL.match(w[:-1]):
+    if w in _AFTER_PLURAL:
+        return w
+    w = _verb(w, r1)
+    if w[-1] in "yY" and len(w) > 2 and w[-2] not in _VOWELS:
         w = w[:-1] + "i"
-    w = _swap(_swap(w, _STEP2), _STEP3)
-    s = _longest(w, [*_STEP4, "ion"])
-    if s is not None:
-        rest = w[: -len(s)]
-        if _MEASURED[2].match(rest) and (s != "ion" or rest[-1:] in ("s", "t")):
-            w = rest
-    if w.endswith("e"):
-        rest = w[:-1]
-        if _MEASURED[2].match(rest) or (_ONE.match(rest) and not _SHORT.match(rest)):
-            w = rest
-    if w.endswith("ll") and _MEASURED[2].match(w[:-1]):
+    end = _longest(w, _STEP2)
+    if end and len(w) - len(end) >= r1 and (end != "ogi" or w[-4:-3] == "l") and (end != "li" or w[-3:-2] in tuple(_BEFORE_LI)):
+        w = w[: -len(end)] + _STEP2[end]
+    end = _longest(w, _STEP3)
+    if end and len(w) - len(end) >= (r2 if end == "ative" else r1):
+        w = w[: -len(end)] + _STEP3[end]
+    end = _longest(w, _STEP4)
+    if end and len(w) - len(end) >= r2 and (end != "ion" or w[-4:-3] in ("s", "t")):
+        w = w[: -len(end)]
+    if w.endswith("e") and (len(w) > r2 or (len(w) > r1 and not _SHORT.search(w[:-1]))):
+        w = w[:-1]
+    elif w.endswith("ll") and len(w) > r2:
         w = w[:-1]
     return w.lower()
+
+
+def _longest_start(w: str) -> str | None:
+    return next((b for b in _BEGINNINGS if w.startswith(b)), None)

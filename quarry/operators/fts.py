@@ -7,9 +7,9 @@ its terms inside the row; a corpus is never exploded for a query.
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
+from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -25,38 +25,93 @@ against between into through during before after above below to from up down in
 once here there when where why how all any both each few more most other some such no nor not only own same so than too
 very s t can will just don should now""".split()
 
-TOKEN = r"[a-z0-9]+"
+_WORD = r"[\p{L}\p{M}\p{N}]+"
+_HYPHENED = rf"{_WORD}(?:-{_WORD}){{0,15}}"
+_HOST = rf"{_HYPHENED}(?:\.{_HYPHENED}){{0,15}}\.\p{{L}}{{2,}}"
+#: What is a token, the first that fits: a scheme, an address of mail, a host with a path or without, a number with points, a word
+#: of letters of any script and digits, with hyphens or without. Repeats are bounded, so that odd texts cost no more than others.
+TOKEN = "|".join([r"[a-z]+://", rf"{_WORD}(?:[._+-]{_WORD}){{0,15}}@{_HOST}", rf"{_HOST}(?:/(?:[\p{{L}}\p{{M}}\p{{N}}_.~%&=+?#/-]*[\p{{L}}\p{{M}}\p{{N}}/])?)?", r"\p{N}+(?:\.\p{N}+){1,15}", _HYPHENED])
 #: What one cover of a query's terms adds at most.
 WEIGHT = 0.1
 
 
 @dataclass(frozen=True)
 class Analyzer:
-    """How text becomes terms: lower-cased runs of letters and digits, stop words left out, English stems unless asked otherwise."""
+    """How text becomes terms: lower-cased tokens, stop words left out, English stems unless asked otherwise.
+
+    A word with hyphens is a term and each of its parts another; so are a host with a path, the host and the path. Schemes
+    are none. Stems are of words of ASCII letters; all other terms stay as they are. Every term has a place of its own.
+    """
 
     stemmed: bool = True
     stop_words: bool = True
 
     def terms(self, text: Column) -> Column:
-        """array<string> of a text's terms, one for each token; "" for a stop word (its place counts)."""
-        found = F.regexp_extract_all(F.lower(text), F.lit(TOKEN), F.lit(0))
+        """array<string> of a text's terms; "" for a stop word (its place counts)."""
+        if self.stemmed:
+            return _analyzed(text, self)
+        found = F.flatten(F.transform(F.regexp_extract_all(F.lower(text), F.lit(TOKEN), F.lit(0)), _terms_of))
         if self.stop_words:
             found = F.transform(found, lambda w: F.when(w.isin(STOP_WORDS), "").otherwise(w))
-        return _stems(found) if self.stemmed else found
+        return found
+
+    def all_terms(self, text: str) -> list[str]:
+        """As ``terms``, of one text."""
+        out = []
+        for token in _pattern().findall(text.lower()):
+            for w in _split(token):
+                out.append("" if self.stop_words and w in _STOPS else stem(w) if self.stemmed else w)
+        return out
 
     def query_terms(self, query: str) -> list[str]:
         """The distinct terms that a text must hold, all of them."""
-        words = [w for w in re.findall(TOKEN, query.lower()) if not (self.stop_words and w in STOP_WORDS)]
-        return list(dict.fromkeys(stem(w) if self.stemmed else w for w in words))
+        return list(dict.fromkeys(w for w in self.all_terms(query) if w))
+
+
+_STOPS = frozenset(STOP_WORDS)
+
+
+@lru_cache(maxsize=1)
+def _pattern():
+    import regex
+
+    return regex.compile(TOKEN)
+
+
+def _split(token: str) -> list[str]:
+    """The terms of a token."""
+    if token.endswith("://"):
+        return []
+    if "@" in token:
+        return [token]
+    host, slash, path = token.partition("/")
+    if slash:
+        return [token, host, slash + path] if path else [token, host]
+    if "-" in token and "." not in token:
+        return [token, *token.split("-")]
+    return [token]
+
+
+def _terms_of(token: Column) -> Column:
+    """As ``_split``."""
+    host = F.substring_index(token, "/", 1)
+    path = F.substring(token, F.length(host) + 1, F.length(token))
+    with_path = F.when(F.length(path) > 1, F.array(token, host, path)).otherwise(F.array(token, host))
+    return (
+        F.when(token.endswith("://"), F.array().cast("array<string>")).when(F.contains(token, F.lit("@")), F.array(token)).when(F.contains(token, F.lit("/")), with_path)
+        .when(F.contains(token, F.lit("-")) & ~F.contains(token, F.lit(".")), F.concat(F.array(token), F.split(token, "-"))).otherwise(F.array(token))
+    )
+
 
+def _analyzed(text: Column, analyzer: Analyzer) -> Column:
+    """Tokens, stop words and stems in one step outside the JVM."""
 
-def _stems(tokens: Column) -> Column:
     @F.pandas_udf("array<string>")
-    def run(tokens: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for t in tokens:
-            yield t.map(lambda ws: [stem(w) for w in ws] if ws is not None else None)
+    def run(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for t in texts:
+            yield t.map(lambda x: analyzer.all_terms(x) if x is not None else None)
 
-    return run(tokens)
+    return run(text)
 
 
 def _places(docs: DataFrame, text_col: str, a: Analyzer, keep: list[Column]) -> DataFrame:

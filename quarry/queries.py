@@ -236,14 +236,21 @@ def prefix_dedup(spark, sf):
 
 TEXT_QUERY = "the tion thon"  # the first is a stop word
 _STOPS = ", ".join(f"'{w}'" for w in fts.STOP_WORDS)
-_TOKENS = """tok AS (SELECT doc_id AS id, unnest(regexp_extract_all(lower(text), '[a-z0-9]+')) AS term,
-  generate_subscripts(regexp_extract_all(lower(text), '[a-z0-9]+'), 1) AS pos FROM documents)"""
+# Its engine takes no bounds this large, and needs none.
+_TOKEN = fts.TOKEN.replace("{0,15}", "*").replace("{1,15}", "+")
+# The terms of each token: of a host with a path, and of a word with hyphens, also the parts.
+_TERMS = f"""flatten(list_transform(regexp_extract_all(lower(text), '{_TOKEN}'), lambda x: CASE WHEN suffix(x, '://') THEN [] WHEN contains(x, '@') THEN [x]
+  WHEN contains(x, '/') THEN list_filter([x, split_part(x, '/', 1), substr(x, strpos(x, '/'))], lambda y: y <> '/') WHEN contains(x, '-') AND NOT contains(x, '.') THEN list_prepend(x, string_split(x, '-')) ELSE [x] END))"""
+_TOKENS = f"""terms AS (SELECT doc_id AS id, {_TERMS} AS terms FROM documents),
+tok AS (SELECT id, unnest(terms) AS term, generate_subscripts(terms, 1) AS pos FROM terms)"""
 # Endings that an English stem may have lost.
-_ENDINGS = ["", "s", "e", "es", "ed", "ing", "er", "ers", "ion", "ions", "or", "ors", "al", "ally", "ly", "ness", "ful", "ment", "ments", "able", "ible", "ance", "ence", "ant", "ent", "ive", "ize", "ous", "ism", "ate", "iti"]
+_ENDINGS = ["", "s", "e", "es", "ed", "ing", "er", "ers", "ion", "ions", "or", "ors", "al", "ally", "ly", "lyed", "lying", "edly", "ingly", "ness", "ful", "ment", "ments", "able", "ible", "ance", "ence", "ant", "ent", "ive", "ize", "ous", "ism", "ate", "iti"]
 
 
 def _forms(term: str) -> str:
-    """The word forms of a stem, as SQL: no dictionary is needed, as the stem and an ending make the form."""
+    """The word forms of a stem, as SQL: no dictionary is needed, as the stem and an ending make the form. Other terms stand alone."""
+    if not (term.isascii() and term.isalpha()):
+        return f"'{term}'"
     return ", ".join(f"'{term + e}'" for e in _ENDINGS if stem(term + e) == term)
 
 
@@ -273,9 +280,10 @@ def stored_postings(spark, sf) -> DataFrame:
 
 @query(f"WITH {_TOKENS} SELECT term, count(DISTINCT id) AS documents, count(*) AS places, max(pos) AS last FROM tok WHERE term NOT IN ({_STOPS}) GROUP BY term")
 def fts_terms(spark, sf):
-    found = fts.places(table(spark, sf, "documents"), "doc_id", "text", fts.Analyzer(stemmed=False))
-    each = found.groupBy("term", "id").agg(F.count("*").alias("n"), F.max("pos").alias("last"))
-    return each.groupBy("term").agg(F.count("*").alias("documents"), F.sum("n").alias("places"), F.max("last").cast("long").alias("last"))
+    """A text's terms are grouped inside its row, so one aggregate counts them."""
+    found = fts.postings(table(spark, sf, "documents"), "doc_id", "text", fts.Analyzer(stemmed=False))
+    places = F.size("positions").cast("long")
+    return found.groupBy("term").agg(F.count("*").alias("documents"), F.sum(places).alias("places"), F.max(F.element_at("positions", -1)).cast("long").alias("last"))
 
 
 @query(f"WITH {_RANKED} SELECT id FROM both_")
@@ -288,6 +296,30 @@ def fts_rank_cd(spark, sf):
     return fts.rank_stored(stored_postings(spark, sf), TEXT_QUERY).select("id", six("text_rank").alias("text_rank"))
 
 
+# Two words each of the other languages, one or both with letters beyond ASCII.
+@query(f"WITH {_ranked('für', 'die')} SELECT id, round(text_rank, 6) AS text_rank FROM ranked")
+def fts_german(spark, sf):
+    return fts.rank_stored(stored_postings(spark, sf), "FÜR die").select("id", six("text_rank").alias("text_rank"))
+
+
+@query(f"WITH {_ranked('éque', 'ré')} SELECT id, round(text_rank, 6) AS text_rank FROM ranked")
+def fts_french(spark, sf):
+    return fts.rank_stored(stored_postings(spark, sf), "Ré éque").select("id", six("text_rank").alias("text_rank"))
+
+
+@query(f"WITH {_ranked('ción', 'los')} SELECT id, round(text_rank, 6) AS text_rank FROM ranked")
+def fts_spanish(spark, sf):
+    """From the texts themselves."""
+    return fts.rank(table(spark, sf, "documents"), "los ción", "doc_id", "text").select("id", six("text_rank").alias("text_rank"))
+
+
+@query(f"""WITH {_TOKENS} SELECT id, term, pos FROM tok WHERE contains(term, '.') OR contains(term, '-') OR contains(term, '/') OR contains(term, '@')""")
+def fts_compounds(spark, sf):
+    """Addresses of mail, hosts, paths, numbers with points and words with hyphens, with their places."""
+    found = fts.places(table(spark, sf, "documents"), "doc_id", "text", fts.Analyzer(stemmed=False, stop_words=False))
+    return found.filter(F.col("term").rlike("[./@-]")).select("id", "term", F.col("pos").cast("long").alias("pos"))
+
+
 @query(f"WITH {_ranked('licensed', 'version')} SELECT id, round(text_rank, 6) AS text_rank FROM ranked")
 def fts_stemmed(spark, sf):
     """Without stored postings: each text's tokens are stemmed and filtered in its row."""
@@ -369,7 +401,7 @@ def match_code_examples(spark, sf):
     return out.select("id", "summary", six("similarity").alias("similarity"))
 
 
-@query(_hybrid_sql("WHERE lang <> 'en'", "'Example ' || d.doc_id AS summary,", _ranked("example", "thon").replace("FROM documents)", "FROM (SELECT doc_id, text || ' Example ' || doc_id AS text FROM documents))")))
+@query(_hybrid_sql("WHERE lang <> 'en'", "'Example ' || d.doc_id AS summary,", _ranked("example", "thon").replace("FROM documents)", "FROM (SELECT doc_id, text || ' Example ' || doc_id AS text FROM documents))", 1)))
 def hybrid_code_examples(spark, sf):
     """Content and summary are searched together: only the summary holds the first word."""
     out = service(spark, sf).search_code_examples("an example of thon", language="sql", use_hybrid=True)

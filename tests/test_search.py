@@ -128,6 +128,28 @@ def test_stemmed_search(spark):
     assert {r.id for r in fts.match(df, "runs quarry", "content", fts.Analyzer(stemmed=True)).collect()} == {1, 2}
 
 
+def test_tokens_of_every_kind(spark):
+    texts = {
+        1: "Café CRÈME, naïve Привет мир 你好 世界! ½ १२ e\u0301te\u0301",
+        2: "Write to Some.One+tag@mail.example.com or see https://www.a-b.example.org/path/to.html?x=1#y. Then v1.2.3 and 3.14!",
+        3: "state-of-the-art well-known -- a-b- e.g. end.Next .hidden trailing. 10-20",
+        4: "a." * 5000 + "-b" * 5000 + " x@" + "y" * 20000,
+        5: "",
+    }
+    df = spark.createDataFrame(list(texts.items()), "id long, content string")
+    for stops in (True, False):
+        a = fts.Analyzer(stemmed=False, stop_words=stops)
+        got = {r.id: r.t for r in df.select("id", a.terms(F.col("content")).alias("t")).collect()}
+        assert got == {i: a.all_terms(t) for i, t in texts.items()}
+        stems = fts.Analyzer(stop_words=stops)
+        assert {r.id: r.t for r in df.select("id", stems.terms(F.col("content")).alias("t")).collect()} == {i: stems.all_terms(t) for i, t in texts.items()}
+    assert got[1] == ["café", "crème", "naïve", "привет", "мир", "你好", "世界", "½", "१२", "e\u0301te\u0301"]
+    assert got[2] == ["write", "to", "some.one+tag@mail.example.com", "or", "see", "www.a-b.example.org/path/to.html?x=1#y", "www.a-b.example.org", "/path/to.html?x=1#y", "then", "v1", "2.3", "and", "3.14"]
+    assert got[3][:6] == ["state-of-the-art", "state", "of", "the", "art", "well-known"] and "end.next" in got[3]
+    ids = lambda q: {r.id for r in fts.match(df, q, "content").collect()}
+    assert ids("crème café") == {1} and ids("ПРИВЕТ") == {1} and ids("你好") == {1} and ids("caf") == set() and ids("known") == {3} and ids("www.a-b.example.org") == {2}
+
+
 def test_hybrid(chunks):
     got = {r.id: r for r in search.hybrid(chunks, [1, 0, 0], "alpha beta", 5).collect()}
     assert got[1].hybrid_score == pytest.approx(1 / 61 + 1 / (60 + sorted([got[1].text_rank, got[2].text_rank, got[5].text_rank], reverse=True).index(got[1].text_rank) + 1), abs=1e-3)

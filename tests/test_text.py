@@ -216,6 +216,6 @@ def test_model_rewordings():
     assert Q.rephrasings("a b", Fixed(RuntimeError())) == ["a b"]
 
 
-@pytest.mark.parametrize(("word", "root"), [("caresses", "caress"), ("ponies", "poni"), ("agreed", "agre"), ("motoring", "motor"), ("hopping", "hop"), ("filing", "file"), ("happy", "happi"), ("relational", "relat"), ("formaliti", "formal"), ("triplicate", "triplic"), ("adoption", "adopt"), ("controll", "control"), ("sky", "sky"), ("sized", "size"), ("generalizations", "gener")])
+@pytest.mark.parametrize(("word", "root"), [("caresses", "caress"), ("ponies", "poni"), ("agreed", "agre"), ("motoring", "motor"), ("hopping", "hop"), ("filing", "file"), ("happy", "happi"), ("relational", "relat"), ("formaliti", "formal"), ("triplicate", "triplic"), ("adoption", "adopt"), ("controll", "control"), ("sky", "sky"), ("sized", "size"), ("generalizations", "general"), ("generously", "generous"), ("knackeries", "knackeri"), ("sensibiliti", "sensibl"), ("skies", "sky"), ("proceedings", "proceed"), ("hopefulness", "hope"), ("gaps", "gap"), ("gas", "gas"), ("kiwis", "kiwi"), ("replacement", "replac"), ("fluently", "fluentli"), ("geologist", "geologist"), ("cried", "cri"), ("tied", "tie"), ("naïves", "naïves")])
 def test_stems(word, root):
     assert stem(word) == root
