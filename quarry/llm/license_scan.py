@@ -3,7 +3,8 @@
 Texts stream through the automaton word by word: at each place it knows the longest run of words ending there
 that stands in any template (matching statistics), and every place of the templates where it does. Runs of ``SHORTEST``
 words or more are chained by dynamic programming, in the order of both the text and the template and at most ``GAP`` words
-apart in the text; the chain that covers most of a template is taken, then the best one outside its span, and so on. A
+apart in the text; the chain that covers most of a template is taken, then the best one outside its span, and so on, in time in
+proportion to the text. A
 template covered to ``COVERED`` or more gives its label, if one run of the chain holds its key words (a name with its
 version) and no longer chain of another template covers the same span of the text. The base phrases are templates too: one
 ends wherever its state is the current one or an ancestor over suffix links and the current run is long enough.
@@ -14,6 +15,8 @@ columns take no part.
 
 from __future__ import annotations
 
+import heapq
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -179,35 +182,98 @@ class Automaton:
         return out
 
 
-Chain = tuple[int, list[tuple[int, int, int]]]  # words covered, anchors
+Anchor = tuple[int, int, int]  # end in the text, end in the template, words
+Chain = tuple[int, list[Anchor]]  # words covered, anchors
 
 
-def best_chain(anchors: list[tuple[int, int, int]]) -> Chain:
-    """The chain that covers the most words of the template, of equal ones that which ends first.
+class Chains:
+    """The best chains of one template's anchors, one after another, each without the anchors in the spans of those before.
 
     Anchors are in the order of their ends in the text. Of one that overlaps the chain before it, in either sequence, the words
-    behind that one's end count.
+    behind that one's end count. A chain's anchors go forward in the template and leave at most GAP words between them, so a
+    chain has a bounded span: what is taken away changes only a bounded stretch behind it, and all chains of a text are found
+    in time in proportion to its anchors.
     """
-    total, back = [], []
-    best = -1
-    for j, (end, place, size) in enumerate(anchors):
+
+    def __init__(self, anchors: list[Anchor]):
+        self.anchors = anchors
+        self.longest = max((size for _, _, size in anchors), default=0)
+        self.alive = [True] * len(anchors)
+        self.total, self.back = [0] * len(anchors), [-1] * len(anchors)
+        for j in range(len(anchors)):
+            self._extend(j)
+
+    def _extend(self, j: int) -> bool:
+        """Find the best chain that ends with anchor ``j``; whether it is another than before."""
+        anchors, total, alive = self.anchors, self.total, self.alive
+        end, place, size = anchors[j]
         most, before = size, -1
         i = j - 1
         while i >= 0 and anchors[i][0] >= end - size - GAP:
-            e, p, _ = anchors[i]
-            more = min(size, end - e, place - p)
-            if more > 0 and total[i] + more > most:
-                most, before = total[i] + more, i
+            if alive[i]:
+                e, p, _ = anchors[i]
+                more = min(size, end - e, place - p)
+                if more > 0 and total[i] + more > most:
+                    most, before = total[i] + more, i
             i -= 1
-        total.append(most)
-        back.append(before)
-        if best < 0 or most > total[best]:
-            best = j
-    chain, j = [], best
-    while j >= 0:
-        chain.append(anchors[j])
-        j = back[j]
-    return (total[best], chain[::-1]) if anchors else (0, [])
+        if (most, before) == (total[j], self.back[j]):
+            return False
+        total[j], self.back[j] = most, before
+        return True
+
+    def best(self, least: float) -> Iterator[Chain]:
+        """Those that cover ``least`` words or more, the longest first, of equal ones that which ends first."""
+        heap = [(-t, j) for j, t in enumerate(self.total) if t >= least]
+        heapq.heapify(heap)
+        while heap:
+            t, j = heapq.heappop(heap)
+            if not self.alive[j] or -t != self.total[j]:
+                continue
+            chain, i = [], j
+            while i >= 0:
+                chain.append(self.anchors[i])
+                i = self.back[i]
+            yield -t, chain[::-1]
+            for k in self._take_away(min(e - n for e, _, n in chain), self.anchors[j][0]):
+                if self.total[k] >= least:
+                    heapq.heappush(heap, (-self.total[k], k))
+
+    def _take_away(self, start: int, end: int) -> Iterator[int]:
+        """Drop the anchors that overlap a span; those behind it whose chain changes."""
+        anchors, reach = self.anchors, self.longest + GAP
+        j = bisect_left(anchors, (start + 1,))
+        changed = end
+        while j < len(anchors) and anchors[j][0] <= changed + reach:
+            if self.alive[j]:
+                if anchors[j][0] - anchors[j][2] < end:
+                    self.alive[j] = False
+                    changed = max(changed, anchors[j][0])
+                elif self._extend(j):
+                    changed = max(changed, anchors[j][0])
+                    yield j
+            j += 1
+
+
+def best_chain(anchors: list[Anchor]) -> Chain:
+    """The chain that covers the most words of the template, of equal ones that which ends first."""
+    return next(Chains(anchors).best(0), (0, []))
+
+
+class Disjoint:
+    """Spans of which none overlaps another."""
+
+    def __init__(self):
+        self.starts: list[int] = []
+        self.ends: list[int] = []
+
+    def add(self, start: int, end: int) -> bool:
+        """Take a span in, unless it overlaps one that is there."""
+        at = bisect_left(self.ends, start + 1)  # the first that ends behind the start
+        if at < len(self.starts) and self.starts[at] < end:
+            return False
+        self.starts.insert(at, start)
+        self.ends.insert(at, end)
+        return True
 
 
 class Scanner:
@@ -229,20 +295,17 @@ class Scanner:
         runs, phrases = self.automaton.scan(words)
         top, found = 0.0, []
         for t, anchors in self.automaton.anchors(runs).items():
-            left = anchors
-            while left:
-                covered, chain = best_chain(left)
-                share = covered / self.automaton.sizes[t]
-                top = max(top, share)
-                if share < COVERED:
-                    break
+            size = self.automaton.sizes[t]
+            chains = Chains(anchors)
+            top = max(top, max(chains.total) / size)
+            for covered, chain in chains.best(COVERED * size):
                 start, end = min(e - n for e, _, n in chain), chain[-1][0]
                 if self._has_key(t, chain):
-                    found.append((covered, share, t, start, end))
-                left = [a for a in left if a[0] <= start or a[0] - a[2] >= end]
+                    found.append((covered, covered / size, t, start, end))
         spans: list[tuple[str, int, int, float]] = []
+        taken = Disjoint()
         for _, share, t, start, end in sorted(found, key=lambda x: (-x[0], -x[1], x[2], x[3])):
-            if all(end <= lo or hi <= start for _, lo, hi, _ in spans):
+            if taken.add(start, end):
                 spans.append((self.labels[t], start, end, share))
         return phrases, sorted(spans, key=lambda x: x[1]), top
 
