@@ -27,10 +27,17 @@ def _unit(x: np.ndarray) -> np.ndarray:
     return np.divide(x, n, out=np.zeros_like(x), where=n > 0)
 
 
-def sample(df: DataFrame, id_col: str = "id", vector_col: str = "embedding") -> np.ndarray:
-    """The vectors, of length 1, of the ``SAMPLE`` rows of the least id hashes."""
-    rows = df.filter(F.col(vector_col).isNotNull()).orderBy(F.xxhash64(id_col), id_col).limit(SAMPLE).select(vector_col).toArrow()
-    return _unit(np.stack(rows[vector_col].to_pylist()).astype(float)) if rows.num_rows else np.zeros((0, 0))
+def sample(df: DataFrame, id_col: str = "id", vector_col: str = "embedding", limit: int | None = None) -> np.ndarray:
+    """The vectors, of length 1, of about ``limit`` rows (all of fewer), chosen by the hashes of their ids: each task sends its share only."""
+    limit = limit or SAMPLE
+    rows = df.filter(F.col(vector_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(vector_col).alias("embedding"))
+    n = rows.count()
+    if not n:
+        return np.zeros((0, 0))
+    share = F.pmod(F.xxhash64("id"), F.lit(1 << 30)) / float(1 << 30)
+    some = rows.filter(share < 1.05 * limit / n) if n > limit else rows
+    found = some.orderBy(F.xxhash64("id"), "id").select("embedding").toArrow()
+    return _unit(np.stack(found["embedding"].to_pylist()).astype(float))
 
 
 def fit(x: np.ndarray, cells: int = 100, seed: int = 1) -> np.ndarray:

@@ -17,6 +17,7 @@ from quarry.config import SearchRequest, Settings
 from quarry.functions import query as q
 from quarry.functions import vector
 from quarry.operators import diversify, filters, fts, rerank
+from quarry.operators.vector_index import TAKEN
 from quarry.plans.models import LLM, Embedder, HashingEmbedder, NoLLM, Scorer, embed_all
 
 
@@ -24,6 +25,19 @@ from quarry.plans.models import LLM, Embedder, HashingEmbedder, NoLLM, Scorer, e
 Fetch = Callable[[list[tuple[int, int]]], DataFrame]
 
 
+#: From a vector and a number to as many (id, address) near it, by an index; None where that can't be told.
+Near = Callable[[Sequence[float], int], list[tuple[int, int]] | None]
+
+
+def _nearest(kept: DataFrame, query: Sequence[float], k: int, near: Near | None, fetch: Fetch | None) -> DataFrame:
+    """id (and address) with similarity of the k nearest rows: of all, or of the candidates that an index gives."""
+    found = near(query, TAKEN * k) if near and fetch else None
+    if found is None:
+        return vector.topk(kept.select("id", *_address(kept), "embedding"), query, k).drop("embedding")
+    few = kept.sparkSession.createDataFrame(found, "id long, address int")
+    return vector.topk(fetch(found).select("id", "embedding").join(F.broadcast(few), "id"), query, k).select("id", "address", "similarity")
+
+
 def _address(table: DataFrame) -> list[str]:
     return [c for c in table.columns if c == "address"]
 
@@ -37,10 +51,13 @@ def _whole(table: DataFrame, best: DataFrame, fetch: Fetch | None) -> DataFrame:
     return fetch([(r["id"], r["address"]) for r in rows]).drop("embedding").join(F.broadcast(few), "id")
 
 
-def match(table: DataFrame, query: Sequence[float], k: int = 10, wanted: dict[str, Any] | None = None, source: str | None = None, fetch: Fetch | None = None) -> DataFrame:
-    """The k rows nearest to ``query`` among those that pass the filters, with ``similarity`` (cosine)."""
+def match(table: DataFrame, query: Sequence[float], k: int = 10, wanted: dict[str, Any] | None = None, source: str | None = None, fetch: Fetch | None = None, near: Near | None = None) -> DataFrame:
+    """The k rows nearest to ``query`` among those that pass the filters, with ``similarity`` (cosine).
+
+    An index (``near``) is asked where there are no filters; with filters all rows that pass are compared.
+    """
     kept = filters.where_metadata(table, wanted, source)
-    best = vector.topk(kept.select("id", *_address(table), "embedding"), query, k).drop("embedding")
+    best = _nearest(kept, query, k, None if wanted or source is not None else near, fetch)
     return _whole(table, best, fetch).orderBy(F.desc_nulls_last("similarity"), "id")
 
 
@@ -49,7 +66,7 @@ def _numbered(df: DataFrame, *order, name: str) -> DataFrame:
     return df.withColumn(name, F.row_number().over(Window.orderBy(*order)))
 
 
-def hybrid(table: DataFrame, query: Sequence[float], text: str, k: int = 10, wanted: dict[str, Any] | None = None, source: str | None = None, rrf_k: int = 60, text_col: str | None = None, analyzer: fts.Analyzer | None = None, postings: DataFrame | None = None, fetch: Fetch | None = None) -> DataFrame:
+def hybrid(table: DataFrame, query: Sequence[float], text: str, k: int = 10, wanted: dict[str, Any] | None = None, source: str | None = None, rrf_k: int = 60, text_col: str | None = None, analyzer: fts.Analyzer | None = None, postings: DataFrame | None = None, fetch: Fetch | None = None, near: Near | None = None) -> DataFrame:
     """Reciprocal rank fusion of the 2k nearest and the 2k best full-text rows: similarity, text_rank, hybrid_score of the k best.
 
     A row of one arm only has 0 for the other's value. Code examples are searched as content and summary together. With stored
@@ -58,8 +75,8 @@ def hybrid(table: DataFrame, query: Sequence[float], text: str, k: int = 10, wan
     searched = table if text_col else table.withColumn("_text", F.concat_ws(" ", "content", "summary") if "summary" in table.columns else F.col("content"))
     kept = filters.where_metadata(searched, wanted, source)
     at = _address(table)
-    near = vector.topk(kept.select("id", *at, "embedding"), query, 2 * k).drop("embedding")
-    near = _numbered(near, F.desc_nulls_last("similarity"), "id", name="vector_rank")
+    nearest = _nearest(kept, query, 2 * k, None if wanted or source is not None else near, fetch)
+    nearest = _numbered(nearest, F.desc_nulls_last("similarity"), "id", name="vector_rank")
     if postings is None:
         found = fts.rank(kept, text, "id", text_col or "_text", analyzer)
         found = found.join(table.select("id", *at), "id") if at else found
@@ -69,8 +86,8 @@ def hybrid(table: DataFrame, query: Sequence[float], text: str, k: int = 10, wan
             found = found.join(kept.select("id"), "id", "left_semi")
     found = _numbered(found.orderBy(F.desc("text_rank"), "id").limit(2 * k), F.desc("text_rank"), "id", name="text_place")
     part = lambda rank: F.coalesce(F.lit(1.0) / (F.lit(float(rrf_k)) + F.col(rank)), F.lit(0.0))
-    fused = near.join(found, "id", "full_outer").select(
-        "id", *[F.coalesce(near[c], found[c]).alias(c) for c in at], F.when(F.col("vector_rank").isNull(), 0.0).otherwise(F.col("similarity")).alias("similarity"),
+    fused = nearest.join(found, "id", "full_outer").select(
+        "id", *[F.coalesce(nearest[c], found[c]).alias(c) for c in at], F.when(F.col("vector_rank").isNull(), 0.0).otherwise(F.col("similarity")).alias("similarity"),
         F.coalesce("text_rank", F.lit(0.0)).alias("text_rank"), (part("vector_rank") + part("text_place")).alias("hybrid_score"),
     )
     best = fused.orderBy(F.desc("hybrid_score"), "id").limit(k)
@@ -92,6 +109,8 @@ class SearchService:
     settings: Settings = field(default_factory=Settings)
     fetch_chunks: Fetch | None = None
     fetch_code: Fetch | None = None
+    near_chunks: Near | None = None
+    near_code: Near | None = None
 
     @classmethod
     def of(cls, store, **more) -> SearchService:
@@ -99,6 +118,7 @@ class SearchService:
         now = store.snapshot()
         read = lambda name: now.read(name, addressed=True)
         fetch = {"fetch_chunks": lambda found: now.fetch("chunks", found), "fetch_code": lambda found: now.fetch("code_examples", found)}
+        fetch |= {"near_chunks": lambda v, n: now.nearest("chunks", v, n), "near_code": lambda v, n: now.nearest("code_examples", v, n)}
         return cls(read("chunks"), read("code_examples"), read("chunk_postings"), read("code_postings"), store.analyzer, **(fetch | more))
 
     def _embed(self, text: str) -> list[float]:
@@ -110,8 +130,8 @@ class SearchService:
     def search_documents(self, query: str, k: int = 10, wanted: dict[str, Any] | None = None, source: str | None = None, use_hybrid: bool | None = None) -> DataFrame:
         vec = self._embed(query)
         if self._hybrid(use_hybrid):
-            return hybrid(self.chunks, vec, query, k, wanted, source, self.settings.rrf_k, analyzer=self.analyzer, postings=self.chunk_postings, fetch=self.fetch_chunks)
-        return match(self.chunks, vec, k, wanted, source, self.fetch_chunks)
+            return hybrid(self.chunks, vec, query, k, wanted, source, self.settings.rrf_k, analyzer=self.analyzer, postings=self.chunk_postings, fetch=self.fetch_chunks, near=self.near_chunks)
+        return match(self.chunks, vec, k, wanted, source, self.fetch_chunks, self.near_chunks)
 
     def search_code_examples(self, query: str, language: str | None = None, k: int = 10, wanted: dict[str, Any] | None = None, source: str | None = None, use_hybrid: bool | None = None) -> DataFrame:
         """The vector stands for a sentence about the query; the full-text arm reads the query itself."""
@@ -119,8 +139,8 @@ class SearchService:
         vec = self._embed(f"Code example for {query}{within}\n\nSummary: Example code showing {query}")
         wanted = filters.with_language(wanted, language)
         if self._hybrid(use_hybrid):
-            return hybrid(self.code_examples, vec, query, k, wanted, source, self.settings.rrf_k, analyzer=self.analyzer, postings=self.code_postings, fetch=self.fetch_code)
-        return match(self.code_examples, vec, k, wanted, source, self.fetch_code)
+            return hybrid(self.code_examples, vec, query, k, wanted, source, self.settings.rrf_k, analyzer=self.analyzer, postings=self.code_postings, fetch=self.fetch_code, near=self.near_code)
+        return match(self.code_examples, vec, k, wanted, source, self.fetch_code, self.near_code)
 
     def enhanced_search(self, query: str, k: int = 10, wanted: dict[str, Any] | None = None, source: str | None = None, use_hybrid: bool | None = None, context: str | None = None) -> DataFrame:
         """The query's own results and, after them, new ones of up to three variations; sorted by score, then diversified to k."""

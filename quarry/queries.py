@@ -187,6 +187,44 @@ def vector_ivf_recall(spark, sf):
     return exact.join(found, ["query_id", "id"], "left").agg(F.count_distinct("query_id").alias("queries"), (F.count("hit") >= 0.9 * F.count("*")).alias("nine_tenths"))
 
 
+def _indexed_store(spark, sf) -> S.Snapshot:
+    """The vectors as chunks in a store with an index; the last tenth are added after it was built."""
+
+    def make(path):
+        now = F.lit(NOW).cast("timestamp")
+        rows = table(spark, sf, "embeddings").select(
+            F.col("vec_id").alias("id"), F.concat(F.lit("v/"), "vec_id").alias("url"), F.lit(1).alias("chunk_number"), F.lit("").alias("content"),
+            filters.as_variant({"label": F.col("label")}).alias("metadata"), F.lit("v").alias("source_id"), "embedding", now.alias("created_at"),
+        )
+        store = S.Store(spark, path)
+        late = F.pmod(F.xxhash64("url"), F.lit(10)) == 0
+        store.add_chunks(rows.filter(~late), now)
+        store.build_index("chunks")
+        store.add_chunks(rows.filter(late), now)
+        return store
+
+    return index(spark, sf, "indexed-store", make).snapshot()
+
+
+@query("SELECT count(*) AS queries, true AS enough FROM embeddings WHERE vec_id % 50 = 0")
+def vector_index_recall(spark, sf):
+    """Whether the store's index finds 95 of 100 neighbours that exact search finds, while 100 vectors a query are compared."""
+    found, now = None, _indexed_store(spark, sf)
+    for block in stated_queries(spark, sf):
+        part = now.nearest_batched("chunks", block, 10).select("query_id", "id", F.lit(1).alias("hit"))
+        found = part if found is None else found.unionByName(part)
+    exact = vector_topk_batched(spark, sf)
+    return exact.join(found, ["query_id", "id"], "left").agg(F.count_distinct("query_id").alias("queries"), (F.count("hit") >= 0.95 * F.count("*")).alias("enough"))
+
+
+@query()
+def match_indexed(spark, sf):
+    """One search through the index: codes, then the vectors of 100 rows, then ten rows by address."""
+    now = _indexed_store(spark, sf)
+    out = search.match(now.read("chunks", addressed=True), query_vector(spark, sf), 10, fetch=lambda few: now.fetch("chunks", few), near=lambda v, n: now.nearest("chunks", v, n))
+    return out.select("id", "url", six("similarity").alias("similarity"))
+
+
 @query("""SELECT a.vec_id, round(coalesce(list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 0), 6) AS similarity
 FROM embeddings a LEFT JOIN embeddings b ON b.vec_id = a.vec_id + 1""")
 def cosine_neighbours(spark, sf):

@@ -22,8 +22,9 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quarry import schemas
+from quarry.functions import vector
 from quarry.functions.text import fence_language
-from quarry.operators import fts
+from quarry.operators import fts, vector_index
 from quarry.sources.files import Files
 
 
@@ -162,6 +163,8 @@ class Group:
     def schema(self, what: str) -> str:
         if what == "tombstones":
             return "key string, seq long"
+        if what == "codes":
+            return vector_index.CODES
         return f"{self.rows if what == 'rows' else schemas.POSTINGS}, address int, seq long"
 
 
@@ -175,7 +178,7 @@ class Snapshot:
         self.store, self.spark, self.number, self.groups = store, store.spark, number, groups
 
     def group(self, name: str) -> dict:
-        """n (buckets), parts (id, seq, bytes of tombstones, buckets: bytes of rows and of postings by bucket), stats (ids of parts)."""
+        """n (buckets), parts (id, seq, bytes of tombstones, buckets: bytes of rows, postings and codes by bucket), stats (ids of parts), index."""
         return self.groups.get(name) or {"n": self.store.buckets, "parts": [], "stats": []}
 
     def holders(self, name: str) -> dict[int, list[dict]]:
@@ -193,8 +196,8 @@ class Snapshot:
         return self.spark.read.schema(schema).parquet(*[f"{self.store.root}/{name}/{f}" for f in folders])
 
     def live(self, name: str, what: str = "rows", buckets: set[int] | None = None) -> DataFrame:
-        """The rows, or postings, that no later write has replaced, with address and seq; of some buckets only those are read."""
-        place = 0 if what == "rows" else 1
+        """The rows (or postings, or codes) that no later write has replaced, with address and seq; of some buckets only those are read."""
+        place = ("rows", "postings", "codes").index(what)
         clean, merged, dead, tombstones = [], [], [], {}
         for b, parts in sorted(self.holders(name).items()):
             if buckets is not None and b not in buckets:
@@ -230,6 +233,25 @@ class Snapshot:
         rows = self.live(name, what, {bucket_of(at, n) for _, at in found})
         return rows.filter(F.col("id").isin([i for i, _ in found])).drop("seq", "address")
 
+    def nearest(self, table: str, query: Sequence[float], n: int) -> list[tuple[int, int]] | None:
+        """(id, address) of some n rows near a vector, by the index; None where there is none, or not as many rows in it."""
+        name, _ = self.store.TABLES[table]
+        if not self.group(name).get("index"):
+            return None
+        found = self.store.index(name, self.group(name)["index"]).nearest(self.live(name, "codes"), query, n)
+        return found if len(found) == n else None
+
+    def nearest_batched(self, table: str, queries: Sequence[tuple[int, Sequence[float]]], k: int) -> DataFrame:
+        """query_id, id, similarity, rank: the k best of each query's candidates by the index, ranked exactly by their vectors."""
+        name, what = self.store.TABLES[table]
+        index = self.store.index(name, self.group(name)["index"])
+        found = index.candidates(self.live(name, "codes"), queries, vector_index.TAKEN * k).select("query_id", "id")
+        asked = self.spark.createDataFrame([(i, [float(x) for x in v]) for i, v in queries], "query_id long, query array<double>")  # a block
+        rows = self.live(name, what).select("id", "embedding")
+        near = found.join(rows, "id").join(F.broadcast(asked), "query_id").withColumn("similarity", vector.cosine(F.col("embedding"), F.col("query")))
+        by = Window.partitionBy("query_id").orderBy(F.desc_nulls_last("similarity"), "id")
+        return near.withColumn("rank", F.row_number().over(by)).filter(F.col("rank") <= k).select("query_id", "id", "similarity", "rank")
+
     def counts(self, name: str) -> DataFrame:
         """source_id, documents, rows of a group: what each write has added and taken away; no row of the group is read."""
         parts = self.group(name)["stats"]
@@ -263,6 +285,7 @@ class Store:
         self.bucket_bytes, self.compacts = bucket_bytes, compacts
         self.analyzer = analyzer or fts.Analyzer()
         self.files = Files(spark, self.root)
+        self._indexes: dict[str, vector_index.VectorIndex] = {}
 
     # --- states ---
 
@@ -295,7 +318,7 @@ class Store:
         out = set()
         for m in manifests:
             for name, g in m["groups"].items():
-                out |= {(name, p["id"], b) for p in g["parts"] for b in p["buckets"]} | {(name, p, "") for p in g["stats"]}
+                out |= {(name, p["id"], b) for p in g["parts"] for b in p["buckets"]} | {(name, p, "") for p in [*g["stats"], *([g["index"]] if g.get("index") else [])]}
         return out
 
     def _forget(self) -> None:
@@ -314,7 +337,7 @@ class Store:
             if (name, part) not in parts:
                 self.files.delete(f"{self.root}/{name}/{part}")
                 continue
-            for what in ("rows", "postings", "tombstones") if b else ("stats",):
+            for what in ("rows", "postings", "codes", "tombstones") if b else ("stats",):
                 self.files.delete(f"{self.root}/{name}/{part}/{what}" + (f"/bucket={b}" if b else ""))
         for name, _ in old:
             self.files.delete(f"{self.root}/manifests/{name}")
@@ -348,17 +371,18 @@ class Store:
         cut.write.partitionBy("bucket").parquet(path)
         return {k.removeprefix("bucket="): v for k, v in self.files.sizes(path).items() if k.startswith("bucket=")}
 
-    def _part(self, name: str, rows: DataFrame, n: int, seq: int, postings: DataFrame | None, replaces: DataFrame | None) -> dict:
-        """Write a part: rows with address and seq, their postings, and tombstones for the keys of ``replaces``."""
+    def _part(self, name: str, rows: DataFrame, n: int, seq: int, postings: DataFrame | None, codes: DataFrame | None, replaces: DataFrame | None) -> dict:
+        """Write a part: rows with address and seq, their postings and codes, and tombstones for the keys of ``replaces``."""
         part, g = uuid.uuid4().hex, self.GROUPS[name]
         path = f"{self.root}/{name}/{part}"
         sizes = self._cut(rows, f"{path}/rows", n, ["id"] if "id" in rows.columns else [g.key])
         indexed = self._cut(postings, f"{path}/postings", n, ["term", "id"]) if postings is not None else {}
+        coded = self._cut(codes, f"{path}/codes", n, ["cell", "id"]) if codes is not None else {}
         tombstones = 0
         if replaces is not None:
             keys = replaces.select(F.col(g.key).alias("key"), "address").distinct().withColumn("seq", F.lit(seq).cast("long"))
             tombstones = sum(self._cut(keys, f"{path}/tombstones", n, ["key"]).values())
-        return {"id": part, "seq": seq, "tombstones": tombstones, "buckets": {b: [size, indexed.get(b, 0)] for b, size in sizes.items()}}
+        return {"id": part, "seq": seq, "tombstones": tombstones, "buckets": {b: [size, indexed.get(b, 0), coded.get(b, 0)] for b, size in sizes.items()}}
 
     def _upserted(self, snap: Snapshot, name: str, rows: DataFrame) -> dict:
         """The group of ``snap`` with a part of ``rows`` in place of all rows of their keys."""
@@ -367,14 +391,15 @@ class Store:
         postings = None
         if g.indexed:
             postings = fts.postings(new.withColumn("_text", F.concat_ws(" ", *g.indexed)), "id", "_text", self.analyzer, keep=["url", "address", "seq"])
-        part = self._part(name, new, old["n"], seq, postings, new)
+        codes = self.index(name, old["index"]).codes(new) if old.get("index") else None
+        part = self._part(name, new, old["n"], seq, postings, codes, new)
         stats = old["stats"]
         if g.indexed:
             gone = snap.live(name, "rows", {int(b) for b in part["buckets"]}).select("url", "source_id").join(rows.select("url").distinct(), "url", "left_semi")
             lost = counts(gone).select("source_id", (-F.col("documents")).alias("documents"), (-F.col("rows")).alias("rows"))
             self._write_stats(counts(rows).unionByName(lost), f"{self.root}/{name}/{part['id']}/stats")
             stats = [*stats, part["id"]]
-        return {"n": old["n"], "parts": [*old["parts"], part], "stats": stats}
+        return old | {"parts": [*old["parts"], part], "stats": stats}
 
     @staticmethod
     def _write_stats(changes: DataFrame, path: str) -> None:
@@ -436,27 +461,45 @@ class Store:
                 out.add(b)
         return out
 
-    def compact(self, name: str, everything: bool = False) -> bool:
+    def index(self, name: str, part: str) -> vector_index.VectorIndex:
+        """A group's vector index, read once."""
+        if part not in self._indexes:
+            self._indexes[part] = vector_index.VectorIndex.load(bytes(self.spark.read.parquet(f"{self.root}/{name}/{part}").first()[0]))
+        return self._indexes[part]
+
+    def build_index(self, name: str) -> bool:
+        """Fit a vector index to a group's rows and code them all, as a compaction of everything. Later writes code what they add."""
+        fitted = vector_index.fit(self.snapshot().live(name).select("id", "embedding"))
+        if fitted is None:
+            return False
+        part = uuid.uuid4().hex
+        self.spark.createDataFrame([(bytearray(fitted.dump()),)], "model binary").coalesce(1).write.parquet(f"{self.root}/{name}/{part}")
+        self._again(lambda: self.compact(name, True, part))
+        return True
+
+    def compact(self, name: str, everything: bool = False, index: str | None = None) -> bool:
         """Rewrite worn buckets (or all of several parts) without dead rows, and split buckets where they hold too much on the average.
 
-        Whether that was needed and no other writer came first; else all stays as it is.
+        Whether that was needed and no other writer came first; else all stays as it is. A new ``index`` codes all rows anew.
         """
         snap = self.snapshot()
         g = snap.group(name)
         total = sum(sum(x) for p in g["parts"] for x in p["buckets"].values())
         n = max(g["n"], min(2 * g["n"], -(-total // self.bucket_bytes), ADDRESSES))
         touched = {b for b, parts in snap.holders(name).items() if len(parts) > 1} if everything else self._worn(snap, name)
-        touched |= {parent(b) for b in range(g["n"], n)}
+        touched |= {parent(b) for b in range(g["n"], n)} | (set(snap.holders(name)) if index else set())
         if not touched and len(g["stats"]) <= self.MOST_STATS:
             return False
         parts = [p | {"buckets": {b: x for b, x in p["buckets"].items() if int(b) not in touched}} for p in g["parts"]]
         parts = [p for p in parts if p["buckets"]]
         if touched:
             postings = snap.live(name, "postings", touched) if self.GROUPS[name].indexed else None
-            made = self._part(name, snap.live(name, "rows", touched), n, snap.number + 1, postings, None)
+            rows = snap.live(name, "rows", touched)
+            codes = self.index(name, index).codes(rows) if index else snap.live(name, "codes", touched) if g.get("index") else None
+            made = self._part(name, rows, n, snap.number + 1, postings, codes, None)
             parts = [made, *parts] if made["buckets"] else parts
         stats = g["stats"]
         if len(stats) > self.MOST_STATS:
             stats = [uuid.uuid4().hex]
             self._write_stats(snap.counts(name), f"{self.root}/{name}/{stats[0]}/stats")
-        return self._commit(snap.number + 1, snap.groups | {name: {"n": n, "parts": parts, "stats": stats}})
+        return self._commit(snap.number + 1, snap.groups | {name: g | {"n": n, "parts": parts, "stats": stats} | ({"index": index} if index else {})})

@@ -309,6 +309,53 @@ def test_winners_are_fetched_from_their_buckets(spark, tmp_path):
     assert snap.fetch("chunks", []).count() == 0 and search.match(table.limit(0), [1.0, 0.5], 3, fetch=fetch).count() == 0
 
 
+def vector_rows(spark, vectors):
+    """Chunks from {number of the URL: vector}."""
+    rows = spark.createDataFrame([(f"s/{i}", 1, f"text {i}", v) for i, v in vectors.items()], "url string, chunk_number int, content string, embedding array<float>")
+    return rows.select(S.row_id(F.col("url"), F.col("chunk_number")).alias("id"), "url", "chunk_number", "content", F.parse_json(F.lit("{}")).alias("metadata"), F.lit("s").alias("source_id"), "embedding", now().alias("created_at"))
+
+
+def test_search_through_the_vector_index(spark, tmp_path):
+    """Found through the index are nearly all that exact search finds: among rows there at first, added, replaced and compacted."""
+    import numpy as np
+
+    from quarry.operators import search
+
+    r = np.random.default_rng(5)
+    centres = r.normal(size=(12, 18))
+    make = lambda n, lo: {lo + i: (centres[i % 12] + 0.4 * r.normal(size=18)).tolist() for i in range(n)}
+    store = S.Store(spark, str(tmp_path / "kb"), buckets=4)
+    assert store.build_index("chunks") is False
+    there = make(1500, 0)
+    store.add_chunks(vector_rows(spark, there | {9999: None}), now())
+    assert store.snapshot().nearest("chunks", there[0], 5) is None  # no index yet
+    assert store.build_index("chunks") is True
+    new = make(100, 1500) | {i: (-np.array(there[i])).tolist() for i in range(0, 60, 3)}
+    store.add_chunks(vector_rows(spark, new), now())
+    for step in range(2):
+        snap = store.snapshot()
+        rows = {x.id: x.url for x in snap.read("chunks").collect()}
+        assert snap.live("chunks", "codes").count() == 1600 and len(rows) == 1601
+        index = store.index("chunks", snap.group("chunks")["index"])
+        assert index.lower.shape[0] * index.lower.shape[1] >= 38
+        hits = total = 0
+        for i in (0, 3, 7, 1501, 1555):
+            query = (there | new)[i]
+            exact = search.match(snap.read("chunks"), query, 10).collect()
+            got = search.match(snap.read("chunks", addressed=True), query, 10, fetch=lambda few, s=snap: s.fetch("chunks", few), near=lambda v, n, s=snap: s.nearest("chunks", v, n)).collect()
+            assert got[0].url == f"s/{i}" and [x.similarity for x in got] == sorted((x.similarity for x in got), reverse=True)
+            hits, total = hits + len({x.id for x in exact} & {x.id for x in got}), total + 10
+            batched = snap.nearest_batched("chunks", [(7, query)], 10).orderBy("rank").collect()
+            assert [x.id for x in batched] == [x.id for x in got]
+        assert hits >= 0.95 * total
+        store.compact("chunks", everything=True)
+    service = SearchService.of(store, embedder=HashingEmbedder(18))
+    assert service.search_documents("text 7", 3, use_hybrid=True).count() == 3 and service.search_documents("x", 2, source="s").count() == 2
+    copy = store.index("chunks", snap.group("chunks")["index"])
+    again = type(copy).load(copy.dump())
+    assert (again.centres == copy.centres).all() and again.probes == copy.probes
+
+
 def test_a_reader_keeps_its_state(spark, tmp_path):
     """Rows and postings change together: a snapshot taken before a write ranks and fetches what it saw."""
     store = S.Store(spark, str(tmp_path / "kb"), buckets=2)
