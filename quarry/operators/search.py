@@ -25,6 +25,8 @@ from quarry.plans.models import LLM, Embedder, HashingEmbedder, NoLLM, Scorer, e
 Fetch = Callable[[list[tuple[int, int]]], DataFrame]
 
 
+#: From a metadata filter and a source to the rows that pass, by an index.
+Where = Callable[[dict[str, Any] | None, str | None], DataFrame]
 #: From a vector and a number to as many (id, address) near it, by an index; None where that can't be told.
 Near = Callable[[Sequence[float], int], list[tuple[int, int]] | None]
 
@@ -51,12 +53,12 @@ def _whole(table: DataFrame, best: DataFrame, fetch: Fetch | None) -> DataFrame:
     return fetch([(r["id"], r["address"]) for r in rows]).drop("embedding").join(F.broadcast(few), "id")
 
 
-def match(table: DataFrame, query: Sequence[float], k: int = 10, wanted: dict[str, Any] | None = None, source: str | None = None, fetch: Fetch | None = None, near: Near | None = None) -> DataFrame:
+def match(table: DataFrame, query: Sequence[float], k: int = 10, wanted: dict[str, Any] | None = None, source: str | None = None, fetch: Fetch | None = None, near: Near | None = None, where: Where | None = None) -> DataFrame:
     """The k rows nearest to ``query`` among those that pass the filters, with ``similarity`` (cosine).
 
     An index (``near``) is asked where there are no filters; with filters all rows that pass are compared.
     """
-    kept = filters.where_metadata(table, wanted, source)
+    kept = where(wanted, source) if where and wanted else filters.where_metadata(table, wanted, source)
     best = _nearest(kept, query, k, None if wanted or source is not None else near, fetch)
     return _whole(table, best, fetch).orderBy(F.desc_nulls_last("similarity"), "id")
 
@@ -66,14 +68,14 @@ def _numbered(df: DataFrame, *order, name: str) -> DataFrame:
     return df.withColumn(name, F.row_number().over(Window.orderBy(*order)))
 
 
-def hybrid(table: DataFrame, query: Sequence[float], text: str, k: int = 10, wanted: dict[str, Any] | None = None, source: str | None = None, rrf_k: int = 60, text_col: str | None = None, analyzer: fts.Analyzer | None = None, postings: DataFrame | None = None, fetch: Fetch | None = None, near: Near | None = None) -> DataFrame:
+def hybrid(table: DataFrame, query: Sequence[float], text: str, k: int = 10, wanted: dict[str, Any] | None = None, source: str | None = None, rrf_k: int = 60, text_col: str | None = None, analyzer: fts.Analyzer | None = None, postings: DataFrame | None = None, fetch: Fetch | None = None, near: Near | None = None, where: Where | None = None) -> DataFrame:
     """Reciprocal rank fusion of the 2k nearest and the 2k best full-text rows: similarity, text_rank, hybrid_score of the k best.
 
     A row of one arm only has 0 for the other's value. Code examples are searched as content and summary together. With stored
     ``postings`` (term, id, positions) of the table the text arm reads no text, only the postings of the query's terms.
     """
     searched = table if text_col else table.withColumn("_text", F.concat_ws(" ", "content", "summary") if "summary" in table.columns else F.col("content"))
-    kept = filters.where_metadata(searched, wanted, source)
+    kept = where(wanted, source) if where and wanted and postings is not None else filters.where_metadata(searched, wanted, source)
     at = _address(table)
     nearest = _nearest(kept, query, 2 * k, None if wanted or source is not None else near, fetch)
     nearest = _numbered(nearest, F.desc_nulls_last("similarity"), "id", name="vector_rank")
@@ -111,6 +113,8 @@ class SearchService:
     fetch_code: Fetch | None = None
     near_chunks: Near | None = None
     near_code: Near | None = None
+    where_chunks: Where | None = None
+    where_code: Where | None = None
 
     @classmethod
     def of(cls, store, **more) -> SearchService:
@@ -119,6 +123,7 @@ class SearchService:
         read = lambda name: now.read(name, addressed=True)
         fetch = {"fetch_chunks": lambda found: now.fetch("chunks", found), "fetch_code": lambda found: now.fetch("code_examples", found)}
         fetch |= {"near_chunks": lambda v, n: now.nearest("chunks", v, n), "near_code": lambda v, n: now.nearest("code_examples", v, n)}
+        fetch |= {"where_chunks": lambda w, s: now.where("chunks", w, s), "where_code": lambda w, s: now.where("code_examples", w, s)}
         return cls(read("chunks"), read("code_examples"), read("chunk_postings"), read("code_postings"), store.analyzer, **(fetch | more))
 
     def _embed(self, text: str) -> list[float]:
@@ -130,8 +135,8 @@ class SearchService:
     def search_documents(self, query: str, k: int = 10, wanted: dict[str, Any] | None = None, source: str | None = None, use_hybrid: bool | None = None) -> DataFrame:
         vec = self._embed(query)
         if self._hybrid(use_hybrid):
-            return hybrid(self.chunks, vec, query, k, wanted, source, self.settings.rrf_k, analyzer=self.analyzer, postings=self.chunk_postings, fetch=self.fetch_chunks, near=self.near_chunks)
-        return match(self.chunks, vec, k, wanted, source, self.fetch_chunks, self.near_chunks)
+            return hybrid(self.chunks, vec, query, k, wanted, source, self.settings.rrf_k, analyzer=self.analyzer, postings=self.chunk_postings, fetch=self.fetch_chunks, near=self.near_chunks, where=self.where_chunks)
+        return match(self.chunks, vec, k, wanted, source, self.fetch_chunks, self.near_chunks, self.where_chunks)
 
     def search_code_examples(self, query: str, language: str | None = None, k: int = 10, wanted: dict[str, Any] | None = None, source: str | None = None, use_hybrid: bool | None = None) -> DataFrame:
         """The vector stands for a sentence about the query; the full-text arm reads the query itself."""
@@ -139,8 +144,8 @@ class SearchService:
         vec = self._embed(f"Code example for {query}{within}\n\nSummary: Example code showing {query}")
         wanted = filters.with_language(wanted, language)
         if self._hybrid(use_hybrid):
-            return hybrid(self.code_examples, vec, query, k, wanted, source, self.settings.rrf_k, analyzer=self.analyzer, postings=self.code_postings, fetch=self.fetch_code, near=self.near_code)
-        return match(self.code_examples, vec, k, wanted, source, self.fetch_code, self.near_code)
+            return hybrid(self.code_examples, vec, query, k, wanted, source, self.settings.rrf_k, analyzer=self.analyzer, postings=self.code_postings, fetch=self.fetch_code, near=self.near_code, where=self.where_code)
+        return match(self.code_examples, vec, k, wanted, source, self.fetch_code, self.near_code, self.where_code)
 
     def enhanced_search(self, query: str, k: int = 10, wanted: dict[str, Any] | None = None, source: str | None = None, use_hybrid: bool | None = None, context: str | None = None) -> DataFrame:
         """The query's own results and, after them, new ones of up to three variations; sorted by score, then diversified to k."""

@@ -116,7 +116,7 @@ class Tools:
 
     def _kept(self, df: DataFrame) -> DataFrame:
         """Fetched once, then read as often as needed."""
-        return df.checkpoint() if self.spark.sparkContext.getCheckpointDir() else df.persist()
+        return P.reliable(df)
 
     def crawl_single_page(self, url: str) -> str:
         def run() -> dict:

@@ -253,6 +253,24 @@ def metadata_containment(spark, sf):
     return filters.where_metadata(rows, {"k": 69}).select("event_id", "event_type")
 
 
+@query("SELECT event_id, event_type FROM events WHERE json_extract_string(props, '$.k') = '69' AND json_type(props, '$.k') IN ('UBIGINT', 'BIGINT') AND event_type = 'click'")
+def metadata_index(spark, sf):
+    """Events in a store, found by their metadata's leaves: of 64 buckets only those that have both are read."""
+
+    def make(path):
+        now = F.lit(NOW).cast("timestamp")
+        rows = table(spark, sf, "events").select(
+            F.col("event_id").cast("long").alias("id"), F.concat(F.lit("e/"), "event_id").alias("url"), F.lit(1).alias("chunk_number"), F.lit("").alias("content"),
+            filters.as_variant({"type": F.col("event_type"), "props": F.parse_json("props")}).alias("metadata"), F.lit("e").alias("source_id"), F.lit(None).cast("array<float>").alias("embedding"), now.alias("created_at"),
+        )
+        store = S.Store(spark, path, buckets=64)
+        store.add_chunks(rows, now)
+        return store
+
+    found = index(spark, sf, "event-store", make).snapshot().where("chunks", {"type": "click", "props": {"k": 69}})
+    return found.select(F.col("id").alias("event_id"), F.try_variant_get("metadata", "$.type", "string").alias("event_type"))
+
+
 @query(f"""SELECT id, similarity FROM (SELECT vec_id AS id, round({_SIMILARITY}, 6) AS similarity, {_SIMILARITY} AS s FROM embeddings ORDER BY s DESC, vec_id LIMIT 20) WHERE s >= 0.5""")
 def similarity_threshold(spark, sf):
     rows = table(spark, sf, "embeddings").withColumnRenamed("vec_id", "id")
@@ -405,7 +423,7 @@ _URL = "'https://' || source || '.example/' || doc_id"
 @query(_nearest(f"doc_id AS id, {_URL} AS url, round(sim, 6) AS similarity", "WHERE lang = 'fr' AND source = 'src3'"))
 def match_chunks(spark, sf):
     now = chunk_store(spark, sf)
-    out = search.match(now.read("chunks", addressed=True), query_vector(spark, sf), 10, {"lang": "fr"}, "src3", lambda few: now.fetch("chunks", few))
+    out = search.match(now.read("chunks", addressed=True), query_vector(spark, sf), 10, {"lang": "fr"}, "src3", lambda few: now.fetch("chunks", few), where=lambda w, s: now.where("chunks", w, s))
     return out.select("id", "url", six("similarity").alias("similarity"))
 
 
@@ -740,17 +758,6 @@ def bfs_reachable(spark, sf):
     return P.reachable(edges, spark.createDataFrame([("p0",)], "url string"), 5)
 
 
-@query("SELECT url, length(html) AS n FROM pages WHERE page_id % 5 <> 0 AND html <> ''")
-def batch_pages(spark, sf):
-    crawl = table(spark, sf, "pages").select((F.col("page_id") % 5 != 0).alias("success"), "url", F.col("html").alias("markdown"))
-    return P.batch(crawl).select("url", F.length("markdown").cast("long").alias("n"))
-
-
-@query("SELECT count(*) FILTER (ok) AS urls_processed, count(*) FILTER (NOT ok) AS urls_failed FROM (SELECT url, max(page_id % 5 <> 0 AND html <> '') AS ok FROM pages GROUP BY url)")
-def crawl_totals(spark, sf):
-    return P.outcome(table(spark, sf, "pages").select((F.col("page_id") % 5 != 0).alias("success"), "url", F.col("html").alias("markdown")))
-
-
 def _replaced(text: str, *rules: tuple[str, str]) -> str:
     """SQL that applies regular expressions one after the other."""
     for pattern, to in rules:
@@ -770,6 +777,47 @@ for _name, _char in {"&copy;": "\u00a9", "&middot;": "\u00b7", "&nbsp;": "\u00a0
 _MARKDOWN = "trim(" + _replaced(_MARKDOWN, ("[ \\t]+\\n", _LINE), ("\\n{3,}", f"{_LINE} || {_LINE}")) + ", ' ' || chr(10))"
 
 
+# A crawl over the pages' own links, from the pages that no other one links to and the first one.
+_LINKS = f"""h AS (SELECT DISTINCT url, unnest(regexp_extract_all(html, 'href="([^"]*)"', 1)) AS href FROM pages),
+r AS (SELECT url, {_AUTHORITY} AS host, regexp_extract(url, '^([a-z]+)://', 1) AS scheme, href FROM h),
+l AS (SELECT url, split_part(CASE WHEN href LIKE 'http%://%' THEN href WHEN href LIKE '/%' THEN scheme || '://' || host || href WHEN href LIKE '#%' OR href = '' THEN split_part(url, '#', 1) END, '#', 1) AS link, host FROM r),
+e AS (SELECT DISTINCT url, link FROM l WHERE link <> '' AND regexp_extract(link, '^[a-z]+://([^/?#]*)', 1) = host)"""
+
+
+@query(f"""WITH RECURSIVE {_LINKS},
+v AS (SELECT split_part(url, '#', 1) AS url, 1 AS depth FROM pages WHERE page_id % 50 = 0 UNION SELECT e.link, v.depth + 1 FROM v JOIN e ON e.url = v.url WHERE v.depth < 4)
+SELECT url, min(depth) AS depth FROM v GROUP BY url""")
+def crawl_reachable(spark, sf):
+    pages = table(spark, sf, "pages")
+    return P.reachable(P.links(pages), pages.filter("page_id % 50 = 0").select("url"), 4)
+
+
+@query(f"""WITH RECURSIVE {_LINKS},
+ok AS (SELECT url, any_value(md) AS md FROM (SELECT url, {_MARKDOWN} AS md FROM pages) WHERE md <> '' GROUP BY url),
+v AS (SELECT split_part(url, '#', 1) AS url, 1 AS depth FROM pages WHERE page_id % 50 = 0 UNION SELECT e.link, v.depth + 1 FROM v JOIN ok ON ok.url = v.url JOIN e ON e.url = v.url WHERE v.depth < 4)
+SELECT url, min(depth) AS depth, url IN (SELECT url FROM ok) AS success FROM v GROUP BY url""")
+def crawl_by_levels(spark, sf):
+    """Level by level from a fetcher that knows the pages' table; what isn't there is a failure, and counts as visited."""
+    pages = table(spark, sf, "pages")
+    known = P.fetched(pages).join(pages.select("url", "html").dropDuplicates(["url"]), "url").dropDuplicates(["url"]).withColumn("success", F.lit(True))
+
+    def fetch(urls: DataFrame) -> DataFrame:
+        return urls.join(known, "url", "left").select("url", F.coalesce("success", F.lit(False)).alias("success"), "html", "markdown")
+
+    return P.crawl_levels(fetch, pages.filter("page_id % 50 = 0").select("url"), 4).select("url", "depth", "success")
+
+
+@query("SELECT url, length(html) AS n FROM pages WHERE page_id % 5 <> 0 AND html <> ''")
+def batch_pages(spark, sf):
+    crawl = table(spark, sf, "pages").select((F.col("page_id") % 5 != 0).alias("success"), "url", F.col("html").alias("markdown"))
+    return P.batch(crawl).select("url", F.length("markdown").cast("long").alias("n"))
+
+
+@query("SELECT count(*) FILTER (ok) AS urls_processed, count(*) FILTER (NOT ok) AS urls_failed FROM (SELECT url, max(page_id % 5 <> 0 AND html <> '') AS ok FROM pages GROUP BY url)")
+def crawl_totals(spark, sf):
+    return P.outcome(table(spark, sf, "pages").select((F.col("page_id") % 5 != 0).alias("success"), "url", F.col("html").alias("markdown")))
+
+
 @query(f"SELECT url, {_MARKDOWN} AS markdown FROM pages WHERE {_MARKDOWN} <> ''")
 def html_markdown(spark, sf):
     return P.fetched(table(spark, sf, "pages"))
@@ -925,19 +973,19 @@ def truncate_embedding(spark, sf):
     return table(spark, sf, "documents").select("doc_id", F.md5(T.truncated(F.col("text"), 1500).cast("binary")).alias("text_md5"))
 
 
-@query("""SELECT doc_id, replace(replace('<think>' || left(text, 40) || '</think>', '<think>', ''), '</think>', '') AS plain,
-  '/no_think' || chr(10) || chr(10) || left(text, 20) AS prompt,
+@query("""SELECT doc_id, replace(replace('<think>' || text || '</think>', '<think>', ''), '</think>', '') AS plain,
+  '/no_think' || chr(10) || chr(10) || text AS prompt,
   CASE WHEN doc_id % 3 = 0 THEN 'Content from ' || source WHEN length(text) > 500 THEN left(text, 500) || '...' ELSE text END AS summary,
-  'Chunk ' || doc_id || ' of document: ' || left(text, 10) AS placeholder, '```sql' || chr(10) || left(text, 10) || chr(10) || '```' AS fenced,
+  'Chunk ' || doc_id || ' of document: ' || left(text, 10) AS placeholder, '```sql' || chr(10) || text || chr(10) || '```' AS fenced,
   left(text, 10) || chr(10) || '---' || chr(10) || left(text, 20) AS contextual, right(text, 500) AS before_window, left(text, 1500) AS code_window,
   md5(lang || chr(10) || chr(10) || '```sql' || chr(10) || text || chr(10) || '```') AS embedded_md5 FROM documents""")
 def prompt_texts(spark, sf):
     t = F.col("text")
     shown = T.prompt_windows(t, t, t, t)
     return table(spark, sf, "documents").select(
-        "doc_id", T.without_think_tags(F.concat(F.lit("<think>"), F.left(t, F.lit(40)), F.lit("</think>"))).alias("plain"), T.thinking_prompt(F.left(t, F.lit(20)), True).alias("prompt"),
+        "doc_id", T.without_think_tags(F.concat(F.lit("<think>"), t, F.lit("</think>"))).alias("plain"), T.thinking_prompt(t, True).alias("prompt"),
         T.clamped_summary(F.when(F.col("doc_id") % 3 == 0, "").otherwise(t), F.col("source")).alias("summary"), T.placeholder_context(F.col("doc_id"), F.left(t, F.lit(10))).alias("placeholder"),
-        T.fenced(F.left(t, F.lit(10)), F.lit("sql")).alias("fenced"), T.contextual_text(F.left(t, F.lit(10)), F.left(t, F.lit(20))).alias("contextual"), shown["before"].alias("before_window"), shown["code"].alias("code_window"),
+        T.fenced(t, F.lit("sql")).alias("fenced"), T.contextual_text(F.left(t, F.lit(10)), F.left(t, F.lit(20))).alias("contextual"), shown["before"].alias("before_window"), shown["code"].alias("code_window"),
         F.md5(T.code_embedding_text(F.col("lang"), t, F.lit("sql")).cast("binary")).alias("embedded_md5"),
     )
 

@@ -77,14 +77,23 @@ def links(pages: DataFrame, url: str = "url", html: str = "html") -> DataFrame:
     return out.filter(netloc(F.col("url")) == netloc(F.col("link"))).distinct()
 
 
+def reliable(df: DataFrame) -> DataFrame:
+    """The rows, stored where lost executors don't take them; held in memory only in local mode without a folder for checkpoints."""
+    spark = df.sparkSession.sparkContext
+    if spark.getCheckpointDir():
+        return df.checkpoint()
+    if not spark.master.startswith("local") or spark.master.startswith("local-cluster"):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+    return df.persist()
+
+
 def reachable(edges: DataFrame, start: DataFrame, max_depth: int = 3, cut: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """url, depth (from 1) of what is visited from ``start`` (url) over ``edges`` (url, link) in ``max_depth`` levels.
 
     Each level joins the frontier to its links and takes out what was visited; ``cut`` stores a level, so that a plan
     doesn't hold the ones before (by default a reliable checkpoint where a folder for it is set).
     """
-    spark = edges.sparkSession
-    store = cut or ((lambda df: df.checkpoint()) if spark.sparkContext.getCheckpointDir() else (lambda df: df.persist()))
+    store = cut or reliable
     frontier = store(start.select(defragmented(F.col("url")).alias("url")).distinct().withColumn("depth", F.lit(1)))
     visited = frontier
     for depth in range(2, max_depth + 1):
@@ -108,8 +117,7 @@ def crawl_levels(fetch: Callable[[DataFrame], DataFrame], start: DataFrame, max_
     Each level is fetched once and stored by ``cut`` (by default a reliable checkpoint where a folder for it is set); a failed
     URL counts as visited. ``stopped`` is asked before each level.
     """
-    spark = start.sparkSession
-    store = cut or ((lambda df: df.checkpoint()) if spark.sparkContext.getCheckpointDir() else (lambda df: df.persist()))
+    store = cut or reliable
     frontier = start.select(defragmented(F.col("url")).alias("url")).distinct()
     out = None
     for depth in range(1, max_depth + 1):

@@ -16,15 +16,18 @@ import json
 import time
 import uuid
 from collections.abc import Callable, Sequence
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
+from typing import Any
 
+from pyspark import inheritable_thread_target
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quarry import schemas
 from quarry.functions import vector
 from quarry.functions.text import fence_language
-from quarry.operators import fts, vector_index
+from quarry.operators import filters, fts, metadata_index, vector_index
 from quarry.sources.files import Files
 
 
@@ -165,6 +168,8 @@ class Group:
             return "key string, seq long"
         if what == "codes":
             return vector_index.CODES
+        if what == "leaves":
+            return metadata_index.LEAVES
         return f"{self.rows if what == 'rows' else schemas.POSTINGS}, address int, seq long"
 
 
@@ -178,7 +183,7 @@ class Snapshot:
         self.store, self.spark, self.number, self.groups = store, store.spark, number, groups
 
     def group(self, name: str) -> dict:
-        """n (buckets), parts (id, seq, bytes of tombstones, buckets: bytes of rows, postings and codes by bucket), stats (ids of parts), index."""
+        """n (buckets), parts (id, seq, bytes of tombstones, buckets: bytes of rows, postings, codes and leaves by bucket), stats (ids of parts), index."""
         return self.groups.get(name) or {"n": self.store.buckets, "parts": [], "stats": []}
 
     def holders(self, name: str) -> dict[int, list[dict]]:
@@ -196,8 +201,8 @@ class Snapshot:
         return self.spark.read.schema(schema).parquet(*[f"{self.store.root}/{name}/{f}" for f in folders])
 
     def live(self, name: str, what: str = "rows", buckets: set[int] | None = None) -> DataFrame:
-        """The rows (or postings, or codes) that no later write has replaced, with address and seq; of some buckets only those are read."""
-        place = ("rows", "postings", "codes").index(what)
+        """The rows (or postings, codes, leaves) that no later write has replaced, with address and seq; of some buckets only those are read."""
+        place = ("rows", "postings", "codes", "leaves").index(what)
         clean, merged, dead, tombstones = [], [], [], {}
         for b, parts in sorted(self.holders(name).items()):
             if buckets is not None and b not in buckets:
@@ -233,6 +238,16 @@ class Snapshot:
         rows = self.live(name, what, {bucket_of(at, n) for _, at in found})
         return rows.filter(F.col("id").isin([i for i, _ in found])).drop("seq", "address")
 
+    def where(self, table: str, wanted: dict[str, Any] | None, source: str | None = None) -> DataFrame:
+        """The rows, with addresses, of a source whose metadata holds ``wanted``: only buckets that have all its leaves are read."""
+        name, _ = self.store.TABLES[table]
+        held = metadata_index.holding(self.live(name, "leaves"), wanted) if wanted else None
+        buckets = None
+        if held is not None:
+            at = held.select(bucket(F.col("address"), self.group(name)["n"]).alias("b")).distinct()
+            buckets = {r.b for r in at.collect()}  # at most as many as there are buckets
+        return filters.where_metadata(self.read(table, buckets, addressed=True), wanted, source)
+
     def nearest(self, table: str, query: Sequence[float], n: int) -> list[tuple[int, int]] | None:
         """(id, address) of some n rows near a vector, by the index; None where there is none, or not as many rows in it."""
         name, _ = self.store.TABLES[table]
@@ -337,7 +352,7 @@ class Store:
             if (name, part) not in parts:
                 self.files.delete(f"{self.root}/{name}/{part}")
                 continue
-            for what in ("rows", "postings", "codes", "tombstones") if b else ("stats",):
+            for what in ("rows", "postings", "codes", "leaves", "tombstones") if b else ("stats",):
                 self.files.delete(f"{self.root}/{name}/{part}/{what}" + (f"/bucket={b}" if b else ""))
         for name, _ in old:
             self.files.delete(f"{self.root}/manifests/{name}")
@@ -371,18 +386,19 @@ class Store:
         cut.write.partitionBy("bucket").parquet(path)
         return {k.removeprefix("bucket="): v for k, v in self.files.sizes(path).items() if k.startswith("bucket=")}
 
-    def _part(self, name: str, rows: DataFrame, n: int, seq: int, postings: DataFrame | None, codes: DataFrame | None, replaces: DataFrame | None) -> dict:
-        """Write a part: rows with address and seq, their postings and codes, and tombstones for the keys of ``replaces``."""
+    def _part(self, name: str, rows: DataFrame, n: int, seq: int, postings: DataFrame | None, codes: DataFrame | None, leaves: DataFrame | None, replaces: DataFrame | None) -> dict:
+        """Write a part: rows with address and seq, their postings, codes and leaves, and tombstones for the keys of ``replaces``."""
         part, g = uuid.uuid4().hex, self.GROUPS[name]
         path = f"{self.root}/{name}/{part}"
-        sizes = self._cut(rows, f"{path}/rows", n, ["id"] if "id" in rows.columns else [g.key])
-        indexed = self._cut(postings, f"{path}/postings", n, ["term", "id"]) if postings is not None else {}
-        coded = self._cut(codes, f"{path}/codes", n, ["cell", "id"]) if codes is not None else {}
-        tombstones = 0
-        if replaces is not None:
-            keys = replaces.select(F.col(g.key).alias("key"), "address").distinct().withColumn("seq", F.lit(seq).cast("long"))
-            tombstones = sum(self._cut(keys, f"{path}/tombstones", n, ["key"]).values())
-        return {"id": part, "seq": seq, "tombstones": tombstones, "buckets": {b: [size, indexed.get(b, 0), coded.get(b, 0)] for b, size in sizes.items()}}
+        keys = replaces.select(F.col(g.key).alias("key"), "address").distinct().withColumn("seq", F.lit(seq).cast("long")) if replaces is not None else None
+        order = ["id"] if "id" in rows.columns else [g.key]
+        wanted = {"rows": (rows, order), "postings": (postings, ["term", "id"]), "codes": (codes, ["cell", "id"]), "leaves": (leaves, ["leaf", "id"]), "tombstones": (keys, ["key"])}
+        with ThreadPoolExecutor(len(wanted)) as pool:  # none reads what another writes
+            jobs = {what: pool.submit(inheritable_thread_target(self.spark)(self._cut), df, f"{path}/{what}", n, sort) for what, (df, sort) in wanted.items() if df is not None}
+            sizes = {what: job.result() for what, job in jobs.items()}
+        tombstones = sum(sizes.get("tombstones", {}).values())
+        of = lambda b: [sizes.get(what, {}).get(b, 0) for what in ("rows", "postings", "codes", "leaves")]
+        return {"id": part, "seq": seq, "tombstones": tombstones, "buckets": {b: of(b) for b in sizes["rows"]}}
 
     def _upserted(self, snap: Snapshot, name: str, rows: DataFrame) -> dict:
         """The group of ``snap`` with a part of ``rows`` in place of all rows of their keys."""
@@ -392,7 +408,7 @@ class Store:
         if g.indexed:
             postings = fts.postings(new.withColumn("_text", F.concat_ws(" ", *g.indexed)), "id", "_text", self.analyzer, keep=["url", "address", "seq"])
         codes = self.index(name, old["index"]).codes(new) if old.get("index") else None
-        part = self._part(name, new, old["n"], seq, postings, codes, new)
+        part = self._part(name, new, old["n"], seq, postings, codes, metadata_index.leaves(new) if g.indexed else None, new)
         stats = old["stats"]
         if g.indexed:
             gone = snap.live(name, "rows", {int(b) for b in part["buckets"]}).select("url", "source_id").join(rows.select("url").distinct(), "url", "left_semi")
@@ -496,7 +512,8 @@ class Store:
             postings = snap.live(name, "postings", touched) if self.GROUPS[name].indexed else None
             rows = snap.live(name, "rows", touched)
             codes = self.index(name, index).codes(rows) if index else snap.live(name, "codes", touched) if g.get("index") else None
-            made = self._part(name, rows, n, snap.number + 1, postings, codes, None)
+            leaves = snap.live(name, "leaves", touched) if self.GROUPS[name].indexed else None
+            made = self._part(name, rows, n, snap.number + 1, postings, codes, leaves, None)
             parts = [made, *parts] if made["buckets"] else parts
         stats = g["stats"]
         if len(stats) > self.MOST_STATS:

@@ -356,6 +356,27 @@ def test_search_through_the_vector_index(spark, tmp_path):
     assert (again.centres == copy.centres).all() and again.probes == copy.probes
 
 
+def test_metadata_is_found_in_its_buckets(spark, tmp_path):
+    from quarry.operators import metadata_index as M
+
+    values = ['{"k": %d, "tags": ["a", {"x": %d}], "n": null}' % (i % 40, i % 3) for i in range(120)]
+    values[7] = '{"k": 7, "tags": [{"x": 5, "y": 1}, {"x": 6, "y": 2}], "odd key": true, "f": 1.5}'
+    rows = spark.createDataFrame([(f"s/{i}", 1, f"text {i}", v) for i, v in enumerate(values)], "url string, chunk_number int, content string, m string")
+    rows = rows.select(S.row_id(F.col("url"), F.col("chunk_number")).alias("id"), "url", "chunk_number", "content", F.parse_json("m").alias("metadata"), F.when(F.col("url") == "s/7", "t").otherwise("s").alias("source_id"), F.lit(None).cast("array<float>").alias("embedding"), now().alias("created_at"))
+    store = S.Store(spark, str(tmp_path / "kb"), buckets=16, compacts=False)
+    store.add_chunks(rows, now())
+    store.add_chunks(rows.filter("url = 's/47'").withColumn("metadata", F.parse_json(F.lit('{"k": 99}'))), now())
+    for step in range(2):
+        snap = store.snapshot()
+        urls = lambda wanted, source=None, s=snap: sorted(r.url for r in s.where("chunks", wanted, source).collect())
+        assert urls({"k": 7}) == ["s/7", "s/87"] and urls({"k": 7.0}, "t") == ["s/7"] and urls({"k": 99}) == ["s/47"] and urls({"k": "7"}) == []
+        assert urls({"tags": [{"x": 5, "y": 1}]}) == ["s/7"] and urls({"tags": [{"x": 5, "y": 2}]}) == []  # all leaves are there, in two elements
+        assert urls({"odd key": True, "f": 1.5}) == ["s/7"] and len(urls({"n": None, "tags": ["a"]})) == 118 and len(urls({"tags": []})) == 119 and len(urls({})) == len(urls(None)) == 120
+        assert len(scanned_buckets(snap.where("chunks", {"k": 7}))) <= 2 < len(scanned_buckets(snap.where("chunks", None)))
+        store.compact("chunks", everything=True)
+    assert M.leaves_of({"a": [1, 1.0, True, "1", None]}) == M.leaves_of({"a": [None, "1", True, 1]}) and len(M.leaves_of({"a": [1, True, "1", None]})) == 4
+
+
 def test_a_reader_keeps_its_state(spark, tmp_path):
     """Rows and postings change together: a snapshot taken before a write ranks and fetches what it saw."""
     store = S.Store(spark, str(tmp_path / "kb"), buckets=2)
