@@ -190,26 +190,40 @@ def matching(stored: DataFrame, query: str, analyzer: Analyzer | None = None) ->
 
 
 def rank_stored(stored: DataFrame, query: str, analyzer: Analyzer | None = None) -> DataFrame:
-    """id, text_rank (and address, where the postings have one) of the texts that match the query, from stored postings alone.
+    """id, text_rank (and address, where the postings have one) of the texts that match the query, from stored postings alone."""
+    terms = (analyzer or Analyzer()).query_terms(query)
+    return _held(stored, terms).withColumn("text_rank", _covers(F.lit(max(1, len(terms))))).drop("_held")
+
 
-    Cover density (see there) inside the row: a text's places are merged in their order, and for each the latest place of every
-    term so far says where a stretch that ends there starts. The first end of each start is a cover.
+def rank_batched(stored: DataFrame, queries: DataFrame) -> DataFrame:
+    """query_id, id, text_rank of the texts that match each of ``queries`` (query_id, terms: distinct ones), from stored postings alone.
+
+    Queries meet the postings by term, and a text has a row for each term of a query.
+    """
+    asked = queries.select("query_id", F.size("terms").alias("_n"), F.posexplode("terms").alias("_place", "term"))
+    found = stored.select("term", "id", "positions").join(asked, "term")
+    held = F.collect_list(F.struct((F.col("_place") + 1).alias("place"), "term", "positions")).alias("_held")
+    whole = found.groupBy("query_id", "id").agg(F.first("_n").alias("_n"), held).filter(F.size("_held") == F.col("_n"))
+    return whole.select("query_id", "id", _covers(F.col("_n")).alias("text_rank"))
+
+
+def _covers(n: Column) -> Column:
+    """Cover density (see ``cover_density``) inside the row, from the places of ``n`` terms in ``_held``.
+
+    A text's places are merged in their order, and for each the latest place of every term so far says where a stretch that ends
+    there starts. The first end of each start is a cover.
     """
-    terms = (analyzer or Analyzer()).query_terms(query)
-    whole = _held(stored, terms)
-    n = max(1, len(terms))
     places = F.array_sort(F.flatten(F.transform("_held", lambda h: F.transform(h["positions"], lambda p: F.struct(p.alias("pos"), (h["place"] - 1).alias("place"))))))
 
     def step(state: Column, x: Column) -> Column:
         last = F.transform(state["last"], lambda old, i: F.when(i == x["place"], x["pos"]).otherwise(old))
         start = F.array_min(last)
-        noise = F.greatest(x["pos"] - start - F.lit(n - 1), F.lit(0))
+        noise = F.greatest(x["pos"] - start - (n - F.lit(1)), F.lit(0))
         is_new = (start > 0) & (start != state["start"])
         return F.struct(last.alias("last"), start.alias("start"), (state["rank"] + F.when(is_new, F.lit(WEIGHT) / (F.lit(1.0) + noise)).otherwise(0.0)).alias("rank"))
 
     begin = F.struct(F.array_repeat(F.lit(0), n).alias("last"), F.lit(0).alias("start"), F.lit(0.0).alias("rank"))
-    ranked = whole.withColumn("text_rank", F.aggregate(places, begin, step, lambda s: s["rank"]))
-    return ranked.drop("_held")
+    return F.aggregate(places, begin, step, lambda s: s["rank"])
 
 
 def cover_density(found: DataFrame, terms: list[str]) -> DataFrame:

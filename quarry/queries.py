@@ -413,6 +413,42 @@ def hybrid_rrf_filtered(spark, sf):
     return out.select("id", "source_id", *[six(c).alias(c) for c in _FUSED])
 
 
+# Of each stated query the vector, and of the text of the same id the first and the last term.
+@query(f"""WITH {_TOKENS},
+w AS (SELECT id, list_filter(terms, lambda x: x NOT IN ({_STOPS})) AS w FROM terms),
+q AS (SELECT vec_id AS query_id, embedding, w[1] AS t1, w[len(w)] AS t2, CASE WHEN w[1] = w[len(w)] THEN 1 ELSE 2 END AS n FROM embeddings JOIN w ON id = vec_id WHERE vec_id % 50 = 0 AND len(w) > 0),
+qt AS (SELECT query_id, n, 1 AS place, t1 AS term FROM q UNION ALL SELECT query_id, n, 2, t2 FROM q WHERE n = 2),
+hit AS (SELECT query_id, n, id, pos, place FROM qt JOIN tok USING (term)),
+all_ AS (SELECT query_id, id FROM hit GROUP BY ALL HAVING count(DISTINCT place) = any_value(n)),
+lasts AS (SELECT query_id, id, n, pos, max(CASE WHEN place = 1 THEN pos END) OVER v AS p1, max(CASE WHEN place = n THEN pos END) OVER v AS p2 FROM hit JOIN all_ USING (query_id, id) WINDOW v AS (PARTITION BY query_id, id ORDER BY pos)),
+cov AS (SELECT query_id, id, n, least(p1, p2) AS s, min(pos) AS e FROM lasts WHERE p1 IS NOT NULL AND p2 IS NOT NULL GROUP BY ALL),
+ranked AS (SELECT query_id, id, sum(0.1::DOUBLE / (1.0::DOUBLE + greatest(e - s - (n - 1), 0))) AS text_rank FROM cov GROUP BY ALL),
+ts AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(text_rank, 12) DESC, id) AS rt FROM ranked) WHERE rt <= 20),
+sims AS (SELECT q.query_id, e.vec_id AS id, list_cosine_similarity(e.embedding::DOUBLE[], q.embedding::DOUBLE[]) AS sim FROM embeddings e JOIN documents ON doc_id = vec_id, q),
+vs AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(sim, 9) DESC, id) AS rv FROM sims) WHERE rv <= 20),
+f AS (SELECT coalesce(vs.query_id, ts.query_id) AS query_id, coalesce(vs.id, ts.id) AS id, CASE WHEN rv IS NULL THEN 0 ELSE sim END AS similarity, coalesce(text_rank, 0) AS text_rank,
+  coalesce(1.0::DOUBLE / (60 + rv), 0) + coalesce(1.0::DOUBLE / (60 + rt), 0) AS hybrid_score FROM vs FULL JOIN ts ON vs.query_id = ts.query_id AND vs.id = ts.id)
+SELECT query_id, id, round(similarity, 6) AS similarity, round(text_rank, 6) AS text_rank, round(hybrid_score, 6) AS hybrid_score, rank
+FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY hybrid_score DESC, id) AS rank FROM f) WHERE rank <= 10""")
+def hybrid_batched(spark, sf):
+    plain = fts.Analyzer(stemmed=False)
+
+    def make(path):
+        fts.write_postings(fts.postings(table(spark, sf, "documents"), "doc_id", "text", plain), path)
+        return path
+
+    postings = spark.read.schema("term string, id long, positions array<int>").parquet(index(spark, sf, "plain-postings", make))
+    chunks, out = chunk_store(spark, sf).read("chunks"), None
+    for block in stated_queries(spark, sf):
+        asked = table(spark, sf, "documents").join(F.broadcast(spark.createDataFrame([(i,) for i, _ in block], "doc_id long")), "doc_id")
+        terms = F.filter(plain.terms(F.col("text")), lambda w: w != "")
+        ends = asked.select("doc_id", F.get(terms, F.lit(0)).alias("first"), F.element_at(F.when(F.size(terms) > 0, terms), -1).alias("last"))
+        texts = {r[0]: f"{r[1]} {r[2]}" for r in ends.filter("first IS NOT NULL").collect()}  # a block's
+        found = search.hybrid_batched(chunks, postings, [(i, v, texts[i]) for i, v in block if i in texts], 10, analyzer=plain)
+        out = found if out is None else out.unionByName(found)
+    return out.select("query_id", "id", *[six(c).alias(c) for c in _FUSED], F.col("rank").cast("long").alias("rank"))
+
+
 def _nearest(columns: str, where: str = "", limit: int = 10, more: str = "") -> str:
     return f"SELECT {columns} FROM (SELECT *, {_SIMILARITY} AS sim FROM documents LEFT JOIN embeddings ON vec_id = doc_id {where} ORDER BY sim DESC NULLS LAST, doc_id LIMIT {limit}) {more}"
 
