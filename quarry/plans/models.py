@@ -164,15 +164,21 @@ def load_scorer(where: str) -> Scorer:
     return RerankService(where) if where.startswith(("http://", "https://")) else CrossEncoder(where)
 
 
+def rate_limited(error: Exception) -> bool:
+    """Whether a service says that it was asked too often."""
+    said = str(error).lower()
+    return getattr(error, "code", None) == 429 or "rate limit" in said or "rate_limit" in said
+
+
 def embed_all(model: Embedder, texts: Sequence[str], tries: int = 3, wait: Callable[[float], None] = time.sleep) -> list[list[float]]:
-    """All texts in one call, tried again after growing waits; then one by one, zeros for a text that fails."""
+    """All texts in one call, tried again, after growing waits where the service limits its rate; then one by one, zeros for a text that fails."""
     if not texts:
         return []
     for i in range(tries):
         try:
             return model.embed(texts)
-        except Exception:
-            if i < tries - 1:
+        except Exception as e:
+            if i < tries - 1 and rate_limited(e):
                 wait(2.0**i)
     out = []
     for t in texts:

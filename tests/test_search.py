@@ -245,6 +245,23 @@ def test_embedding_fallbacks():
     assert m.calls == 6 and embed_all(m, []) == []
 
 
+def test_waits_only_where_the_rate_is_limited():
+    class Limited:
+        dimension = 1
+
+        def __init__(self, error):
+            self.error = error
+
+        def embed(self, texts):
+            raise self.error
+
+    limited = RuntimeError("too many")
+    limited.code = 429
+    for error, waits in ((RuntimeError("Error: rate_limit_exceeded"), [1.0, 2.0]), (limited, [1.0, 2.0]), (ValueError("bad text"), [])):
+        waited = []
+        assert embed_all(Limited(error), ["a"], wait=waited.append) == [[0.0]] and waited == waits
+
+
 def test_prefixes(spark):
     main = spark.createDataFrame([(1, "same"), (2, "same")], "seq int, content string")
     more = spark.createDataFrame([(3, "same"), (4, "new"), (5, "new"), (6, "x" * 100 + "1"), (7, "x" * 100 + "2")], "seq int, content string")

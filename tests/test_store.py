@@ -187,6 +187,55 @@ def test_ingest_with_a_model(spark, ingest, pages):
     assert vectors["https://c.d/1"] == pytest.approx(alone, abs=1e-6)  # no context where the model failed
 
 
+def test_answers_are_paid_once(spark, tmp_path, pages):
+    """A page again, and a passage that many pages share, make no second call; a failed answer is asked for again."""
+    from quarry.plans.answers import Answers
+
+    log = tmp_path / "calls"
+    log.mkdir()
+
+    class Counting:  # in here, so that workers get it with the function
+        dimension = 2
+
+        def __init__(self, where):
+            self.where = where
+
+        def _note(self, text):
+            import os
+            import uuid
+
+            with open(os.path.join(self.where, uuid.uuid4().hex), "w") as f:
+                f.write(text)
+
+        def embed(self, texts):
+            for t in texts:
+                self._note("e:" + t[:20])
+            return [[1.0, float(len(t))] for t in texts]
+
+        def complete(self, prompt):
+            self._note("c:" + prompt[-20:])
+            return None if "Slate" in prompt else "About stone."
+
+    calls = lambda: sorted(f.read_text() for f in log.iterdir())
+    model = Counting(str(log))
+    store = S.Store(spark, str(tmp_path / "kb"))
+    paid = Ingest(store, now(), model, model, Settings(use_agentic_rag=True), Answers(store))
+    shared = spark.createDataFrame([(f"https://e.f/{i}", "The same passage.") for i in range(30)], "url string, markdown string")
+    paid.run(pages.unionByName(shared))
+    first = calls()
+    assert first.count("e:The same passage.") == 1 and len(first) == len(set(first))
+    plain = S.Store(spark, str(tmp_path / "plain"))
+    Ingest(plain, now(), model, model, Settings(use_agentic_rag=True)).run(pages.unionByName(shared))
+    columns = ["url", "chunk_number", "content", "embedding"]
+    for name in ("chunks", "code_examples"):
+        assert sorted(map(tuple, store.read(name).select(*columns).collect())) == sorted(map(tuple, plain.read(name).select(*columns).collect()))
+    assert {r.source_id: r.summary for r in store.read("sources").collect()} == {r.source_id: r.summary for r in plain.read("sources").collect()}
+    before = len(calls())
+    paid.run(pages.unionByName(shared))
+    assert len(calls()) - before == sum("Slate" in c or "splits" in c for c in first if c.startswith("c:"))
+    assert not store.files.names(f"{store.root}/staged")
+
+
 def test_replaced_page(spark, ingest):
     one = lambda t: spark.createDataFrame([("https://a.b/1", t)], "url string, markdown string")
     ingest.run(one("A" * 12_000))
