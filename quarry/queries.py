@@ -325,13 +325,8 @@ _RANKED = _ranked("tion", "thon")
 
 
 def stored_postings(spark, sf) -> DataFrame:
-    """The postings of all documents, stemmed, in the order of their terms."""
-
-    def make(path):
-        fts.write_postings(fts.postings(table(spark, sf, "documents"), "doc_id", "text"), path)
-        return path
-
-    return spark.read.schema("term string, id long, positions array<int>").parquet(index(spark, sf, "postings", make))
+    """The postings of all documents, stemmed, as the store of chunks keeps them."""
+    return chunk_store(spark, sf).read("chunk_postings").select("term", "id", "positions")
 
 
 @query(f"WITH {_TOKENS} SELECT term, count(DISTINCT id) AS documents, count(*) AS places, max(pos) AS last FROM tok WHERE term NOT IN ({_STOPS}) GROUP BY term")
