@@ -327,9 +327,10 @@ def _repeats(docs: DataFrame) -> DataFrame:
     found, asked = _search(pieces)
     spans = _spans_of(places, found)
     # What the anchors' owners don't have, by the windows' own hashes.
-    rest = places.join(found.filter("windows = 0").select("owner", *KEY, "first", "h"), ["owner", *KEY])
+    # A window's hash may be that of a third of all places, so the places are stored before they meet the owners of hashes.
+    rest = stored(places.join(found.filter("windows = 0").select("owner", *KEY, "first", "h"), ["owner", *KEY]), "rest")
     owned = rest.groupBy("h").agg(F.min("doc").alias("_owner"), F.max("doc").alias("_last")).filter("_owner < _last").select("h", "_owner")
-    again = rest.join(owned, "h").groupBy("owner", *KEY, "doc", "row", "start").agg(F.collect_list(F.struct("first", F.col("_owner").alias("owner"))).alias("windows"))
+    again = split_join(rest, owned, "h").groupBy("owner", *KEY, "doc", "row", "start").agg(F.collect_list(F.struct("first", F.col("_owner").alias("owner"))).alias("windows"))
     again = again.join(asked, ["owner", *KEY]).select("doc", "row", "start", "words", "windows").mapInArrow(_split_pieces, PIECE)
     again = stored(_keyed(again), "pieces")
     free_shuffles(spark)
