@@ -15,6 +15,7 @@ from quarry.functions import query as Q
 from quarry.functions import text as T
 from quarry.functions import vector as V
 from quarry.functions.chunking import with_chunks
+from quarry.functions.markdown import markdown
 from quarry.config import SearchRequest, Settings
 from quarry.functions.stemming import stem
 from quarry.operators import diversify, filters, fts, ivf, rerank, search
@@ -854,6 +855,22 @@ def html_markdown(spark, sf):
     return P.fetched(table(spark, sf, "pages"))
 
 
+# Every page with its menu as text (lists of links), and a table, nested lists, a quote and code behind its heading; end tags are left out.
+_MARK_HTML = "'</h1><table><tr><th>Page<th>Url<tr><td>' || page_id || '<td>a|' || replace(url, '&', '&amp;') || '</table><ol start=3><li>one<li>two<ul><li>three ' || page_id || '</ul></ol><blockquote>said<p>again</blockquote><pre class=x><code class=\"language-python\">if x < ' || page_id || ':\n\n\n  y</code></pre><p>'"
+_MARK_TEXT = f"""'| Page | Url |' || {_LINE} || '| --- | --- |' || {_LINE} || '| ' || page_id || ' | a\\|' || url || ' |' || {_LINE} || {_LINE} || '3. one' || {_LINE} || {_LINE} || '4. two' || {_LINE} || {_LINE} || '   - three ' || page_id
+|| {_LINE} || {_LINE} || '> said' || {_LINE} || '>' || {_LINE} || '> again' || {_LINE} || {_LINE} || '```python' || {_LINE} || 'if x < ' || page_id || ':' || {_LINE} || {_LINE} || {_LINE} || '  y' || {_LINE} || '```'"""
+_MENU = _replaced("replace(replace(replace(html, '</h1>', '</h1><p>@@marks@@</p>'), '<nav>', '<div>'), '</nav>', '</div>')", ('<a href="([^"]*)">([^<]*)</a>', r"'[\2](\1)'"))
+
+
+@query(f"SELECT page_id, replace({_MARKDOWN.replace('(html,', f'({_MENU},', 1)}, '@@marks@@', {_MARK_TEXT}) AS markdown FROM pages")
+def html_marks(spark, sf):
+    """Lists, links, tables, quotes and code of rewritten pages."""
+    pages = table(spark, sf, "pages")
+    marked = F.expr(_MARK_HTML)
+    html = F.replace(F.replace(F.replace("html", F.lit("</h1>"), marked), F.lit("<nav>"), F.lit("<div>")), F.lit("</nav>"), F.lit("</div>"))
+    return pages.select("page_id", markdown(html).alias("markdown"))
+
+
 @query("SELECT page_id, unnest([url, url || '/2']) AS loc FROM pages WHERE page_id % 3 <> 0")
 def sitemap_urls(spark, sf):
     pages = table(spark, sf, "pages")

@@ -2,9 +2,7 @@
 
 from __future__ import annotations
 
-import re
 from collections.abc import Callable, Iterator
-from html.parser import HTMLParser
 from urllib.parse import urldefrag, urljoin, urlsplit
 from xml.etree import ElementTree
 
@@ -12,6 +10,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quarry.functions.markdown import markdown
 from quarry.functions.text import defragmented, netloc
 
 
@@ -135,64 +134,6 @@ def crawl_levels(fetch: Callable[[DataFrame], DataFrame], start: DataFrame, max_
     return out
 
 
-class _Markdown(HTMLParser):
-    SKIPPED = {"script", "style", "nav", "noscript", "template"}
-    BLOCKS = {"p", "div", "section", "article", "li", "ul", "ol", "table", "tr", "br", "main", "body", "title", "h1", "h2", "h3", "h4", "h5", "h6"}
-
-    def __init__(self):
-        super().__init__(convert_charrefs=True)
-        self.out: list[str] = []
-        self.skipped = self.pre = 0
-
-    def handle_starttag(self, tag, attrs):
-        if tag in self.SKIPPED:
-            self.skipped += 1
-        elif self.skipped:
-            return
-        elif tag == "pre":
-            self.pre += 1
-            self.out.append("\n\n```\n")
-        elif tag == "code" and not self.pre:
-            self.out.append("`")
-        elif tag in self.BLOCKS:
-            self.out.append("\n\n" + ("#" * int(tag[1]) + " " if len(tag) == 2 and tag[1].isdigit() else "- " if tag == "li" else ""))
-
-    def handle_endtag(self, tag):
-        if tag in self.SKIPPED:
-            self.skipped = max(0, self.skipped - 1)
-        elif self.skipped:
-            return
-        elif tag == "pre" and self.pre:
-            self.pre -= 1
-            self.out.append("\n```\n\n")
-        elif tag == "code" and not self.pre:
-            self.out.append("`")
-        elif tag in self.BLOCKS:
-            self.out.append("\n\n")
-
-    def handle_data(self, data):
-        if not self.skipped:
-            self.out.append(data if self.pre else re.sub(r"\s+", " ", data))
-
-
-def to_markdown(html: str | None) -> str:
-    """Headers, list items, paragraphs and fenced code of a page; scripts, styles and navigation left out."""
-    parser = _Markdown()
-    parser.feed(html or "")
-    parser.close()
-    text = "".join(parser.out)
-    return re.sub(r"\n{3,}", "\n\n", re.sub(r"[ \t]+\n", "\n", text)).strip()
-
-
-def markdown(html: Column) -> Column:
-    @F.pandas_udf("string")
-    def run(html: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for h in html:
-            yield h.map(to_markdown)
-
-    return run(html)
-
-
 def source_of(url: str) -> str:
     return urlsplit(url).netloc
 

@@ -15,7 +15,7 @@ SCHEMA = "success boolean, url string, html string, markdown string, error_messa
 def fetch_one(url: str, timeout: float) -> tuple:
     from urllib.request import Request, urlopen
 
-    from quarry.sources.pages import to_markdown
+    from quarry.functions.markdown import to_markdown
 
     try:
         with urlopen(Request(url, headers={"User-Agent": "quarry"}), timeout=timeout) as answer:

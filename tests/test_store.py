@@ -16,6 +16,7 @@ from quarry.plans.ingest import Ingest
 from quarry.plans.jobs import CRAWLS
 from quarry.plans.models import ChatService, HashingEmbedder, OverlapScorer, complete_all, embedding, load_scorer
 from quarry.plans.tools import Tools
+from quarry.functions.markdown import to_markdown
 from quarry.sources import pages as P
 from quarry.sources import store as S
 from quarry.sources.web import web_pages
@@ -105,9 +106,9 @@ def test_text_files(spark, tmp_path):
 
 def test_markdown():
     html = "<html><head><style>x{}</style><script>y()</script></head><body><nav><ul><li>menu</li></ul></nav><h2>Head</h2><p>a <b>b</b> c</p><ul><li>one</li></ul><pre><code>x = 1\n  y</code></pre><p>use <code>z</code></p></body></html>"
-    md = P.to_markdown(html)
+    md = to_markdown(html)
     assert "## Head" in md and "a b c" in md and "- one" in md and "```\nx = 1\n  y\n```" in md and "use `z`" in md
-    assert md.startswith("## Head") and "menu" not in md and "y()" not in md and P.to_markdown(None) == ""
+    assert md.startswith("## Head") and "menu" not in md and "y()" not in md and to_markdown(None) == ""
 
 
 def test_links_and_levels(spark):
