@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import json
 from collections.abc import Callable
 from dataclasses import replace
@@ -16,6 +17,7 @@ from quarry.operators.search import SearchService
 from quarry.plans.ingest import Ingest
 from quarry.plans.jobs import CRAWLS
 from quarry.sources import pages as P
+from quarry.sources.frontier import StoredCrawl
 from quarry.sources.web import fetched_urls
 
 
@@ -148,6 +150,11 @@ class Tools:
         stats = {"total_documents": r.total_documents, "total_chunks": r.total_chunks, "total_code_examples": r.total_code_examples, "word_count": r.word_count, "last_updated": str(r.last_updated), "summary": r.summary}
         return {"already_exists": True, "source_id": source, "existing_stats": stats, "message": f"Content for {source} already exists. Use force_recrawl=true to replace it."}
 
+    def _stored_crawl(self, url: str, max_depth: int, fetch: Callable[[DataFrame], DataFrame]) -> StoredCrawl:
+        """The crawl of a URL, kept in the store until its pages are ingested: one that failed or was cancelled goes on when asked for again."""
+        name = hashlib.sha256(json.dumps([url, max_depth]).encode()).hexdigest()
+        return StoredCrawl(self.spark, f"{self.ingest.store.root}/crawls/{name}", fetch, max_depth)
+
     def smart_crawl_url(self, url: str, max_depth: int = 3, max_concurrent: int = 10, chunk_size: int = 5000, force_recrawl: bool = False) -> str:
         def run() -> dict:
             request = CrawlRequest(url, max_depth, max_concurrent, chunk_size, min(self.settings.overlap, chunk_size - 1))
@@ -157,6 +164,7 @@ class Tools:
             kind = self.spark.range(1).select(T.url_kind(F.lit(url))).first()[0]
             crawl = CRAWLS.start(self.spark, [url], {"txt": "txt_file", "sitemap": "sitemap"}.get(kind, "recursive"))
             fetch = lambda urls: self.fetch(urls, request.max_concurrent)
+            followed = None
             try:
                 if kind == "txt":
                     found, name = self._kept(fetch(self._urls(url))), "txt file"
@@ -164,13 +172,20 @@ class Tools:
                     xml = self._kept(fetch(self._urls(url))).select(F.explode(P.sitemap_urls(F.coalesce("html", "markdown"))).alias("url")).distinct()
                     found, name = self._kept(fetch(xml)), "sitemap"
                 else:
-                    found, name = P.crawl_levels(fetch, self._urls(url), request.max_depth, self._kept, lambda: CRAWLS.is_cancelled(crawl.crawl_id)), "webpage"
+                    followed = self._stored_crawl(url, request.max_depth, fetch)
+                    if force_recrawl:
+                        followed.delete()
+                    found, name = followed.run(self._urls(url), lambda: CRAWLS.is_cancelled(crawl.crawl_id)), "webpage"
                 good = P.batch(found).dropDuplicates(["url"])
                 if good.isEmpty():
+                    if followed:
+                        followed.delete()
                     raise Refused(error=f"No content found at {url}", crawl_id=crawl.crawl_id)
                 failed = P.outcome(found).first().urls_failed
                 sized = replace(self.ingest, settings=replace(self.ingest.settings, chunk_size=chunk_size, overlap=request.overlap))
                 out = sized.run(good, name)
+                if followed:
+                    followed.delete()
                 message = f"Successfully crawled {out['urls_processed']} URLs using {name} strategy" + (f" ({failed} URLs failed)" if failed else "") + (" (forced re-crawl)" if force_recrawl else "")
                 return {"crawl_id": crawl.crawl_id, "crawl_type": name, "urls_processed": out["urls_processed"], "urls_failed": failed, "total_chunks_created": out["total_chunks"], "total_code_examples": out["code_examples"], "sources_updated": out["sources_updated"], "force_recrawl": force_recrawl, "message": message, "url": url}
             finally:

@@ -24,6 +24,7 @@ from quarry.plans.models import HashingEmbedder, OverlapScorer, embedding
 from quarry.plans.tools import Tools
 from quarry.sources import pages as P
 from quarry.sources import store as S
+from quarry.sources.frontier import Limits, StoredCrawl
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -839,6 +840,24 @@ def crawl_by_levels(spark, sf):
     return P.crawl_levels(fetch, pages.filter("page_id % 50 = 0").select("url"), 4).select("url", "depth", "success")
 
 
+@query(f"""WITH RECURSIVE {_LINKS},
+ok AS (SELECT url, any_value(md) AS md FROM (SELECT url, {_MARKDOWN} AS md FROM pages) WHERE md <> '' AND length(url) % 7 <> 3 GROUP BY url),
+v AS (SELECT split_part(url, '#', 1) AS url, 1 AS depth FROM pages WHERE page_id % 50 = 0 UNION SELECT e.link, v.depth + 1 FROM v JOIN ok ON ok.url = v.url JOIN e ON e.url = v.url WHERE v.depth < 4)
+SELECT url, min(depth) AS depth, url IN (SELECT url FROM ok) AS success, CASE WHEN length(url) % 7 = 3 THEN 2 ELSE 1 END AS attempt FROM v GROUP BY url""")
+def crawl_stored(spark, sf):
+    """A stored frontier in turns over the pages' links; of some URLs the service is never there, and they are tried twice."""
+    pages = table(spark, sf, "pages")
+    known = P.fetched(pages).join(pages.select("url", "html").dropDuplicates(["url"]), "url").dropDuplicates(["url"]).withColumn("success", F.lit(True))
+    down = F.length("url") % 7 == 3
+
+    def fetch(urls: DataFrame) -> DataFrame:
+        found = urls.join(known, "url", "left")
+        return found.select("url", F.coalesce("success", F.lit(False)) & ~down, "html", "markdown", F.when(down, "HTTP Error 503: Service Unavailable")).toDF("url", "success", "html", "markdown", "error_message")
+
+    crawl = StoredCrawl(spark, shared_folder(spark), fetch, 4, Limits(turn=1000, attempts=2, wait=0))
+    return crawl.run(pages.filter("page_id % 50 = 0").select("url")).select("url", "depth", "success", "attempt")
+
+
 @query("SELECT url, length(html) AS n FROM pages WHERE page_id % 5 <> 0 AND html <> ''")
 def batch_pages(spark, sf):
     crawl = table(spark, sf, "pages").select((F.col("page_id") % 5 != 0).alias("success"), "url", F.col("html").alias("markdown"))

@@ -3,12 +3,16 @@
 from __future__ import annotations
 
 import json
+import time
 from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
+from quarry.functions.text import netloc
+
 SCHEMA = "success boolean, url string, html string, markdown string, error_message string"
 
 
@@ -66,17 +70,23 @@ def web_pages(spark: SparkSession, urls: list[str], max_concurrent: int = 10, ti
     return spark.read.format("webpages").option("urls", json.dumps(list(urls))).option("slices", max_concurrent).option("timeout", timeout).load()
 
 
-def fetched_urls(urls: DataFrame, max_concurrent: int = 10, timeout: float = 30.0) -> DataFrame:
+def fetched_urls(urls: DataFrame, max_concurrent: int = 10, timeout: float = 30.0, per_host: int | None = None, delay: float = 0.0) -> DataFrame:
     """success, url, html, markdown, error_message of each row of ``urls`` (url); ``max_concurrent`` tasks fetch at a time at most.
 
+    A host's URLs are dealt to ``per_host`` lanes (by default ``max_concurrent``), each in one task, which waits ``delay`` seconds
+    between two requests of a lane: a host gets ``per_host / delay`` requests a second at most.
     Whoever reads the result more than once must store it first: each reading fetches.
     """
     names = [c.split()[0] for c in SCHEMA.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last: dict[tuple, float] = {}
         for b in batches:
-            for url in b.column(0).to_pylist():
+            for url, *lane in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                time.sleep(max(0.0, last.get(tuple(lane), -delay) + delay - time.monotonic()) if delay else 0.0)
                 found = fetch_one(url, timeout)
+                last[tuple(lane)] = time.monotonic()
                 yield pa.RecordBatch.from_arrays([pa.array([x], pa.bool_() if i == 0 else pa.string()) for i, x in enumerate(found)], names)
 
-    return urls.select("url").repartition(max_concurrent).mapInArrow(run, SCHEMA)
+    lane = F.pmod(F.xxhash64("url"), F.lit(per_host or max_concurrent))
+    return urls.select("url", netloc(F.col("url")).alias("host"), lane.alias("lane")).repartition(max_concurrent, "host", "lane").mapInArrow(run, SCHEMA)

@@ -19,7 +19,7 @@ from quarry.plans.tools import Tools
 from quarry.functions.markdown import to_markdown
 from quarry.sources import pages as P
 from quarry.sources import store as S
-from quarry.sources.web import web_pages
+from quarry.sources.web import fetched_urls, web_pages
 from quarry.streaming.ingest import arriving_pages, keep_ingesting
 
 def now():
@@ -635,6 +635,31 @@ def test_crawling_follows_links_over_the_web(spark, ingest):
     assert urls == {"", "a", "b", "c"}
 
 
+def test_requests_to_a_host_keep_their_distance(spark):
+    with Site({f"/{i}": page("Tuff") for i in range(4)}) as site:
+        urls = spark.createDataFrame([(f"{site.base}/{i}",) for i in range(4)], "url string")
+        began = time.time()
+        got = fetched_urls(urls, 3, per_host=1, delay=0.5).collect()
+        assert time.time() - began >= 1.5 and len(got) == 4 and all(r.success for r in got) and len(site.asked) == 4
+
+
+def test_a_failed_crawl_goes_on_when_asked_again(spark, ingest):
+    files = {"/": page("Granite", "/a"), "/a": page("Slate")}
+    with Site(files) as site:
+
+        def fetch(urls, n):
+            if site.asked and fetch.fails:
+                raise OSError("no executor left")
+            return fetched_urls(urls, n)
+
+        fetch.fails, tools = True, Tools(spark, ingest, fetch=fetch, settings=Settings())
+        assert json.loads(tools.smart_crawl_url(f"{site.base}/"))["success"] is False and site.asked == ["/"]
+        fetch.fails = False
+        out = json.loads(tools.smart_crawl_url(f"{site.base}/"))
+        assert out["urls_processed"] == 2 and site.asked == ["/", "/a"]
+        assert not ingest.store.files.names(f"{ingest.store.root}/crawls")
+
+
 def test_a_cancelled_crawl_stops_between_levels(spark):
     pages = spark.createDataFrame([(True, "https://a.b/1", '<a href="/2">x</a>', "one"), (True, "https://a.b/2", "", "two")], "success boolean, url string, html string, markdown string")
     fetched = []
