@@ -51,7 +51,7 @@ class StoredCrawl:
     def _once(self, name: str, schema: str, make: Callable[[], DataFrame], facts: Callable[[DataFrame], dict]) -> dict:
         """The marker of step ``name`` (its folder, and ``facts`` about its table); the step is done now where there is none."""
         marker = f"{self.root}/done/{name}.json"
-        if f"{name}.json" not in self.files.names(f"{self.root}/done"):
+        if not self.files.fs.exists(self.files.path(marker)):
             folder = f"{self.root}/{name}-{uuid.uuid4().hex}"
             make().write.parquet(folder)
             known = {"folder": folder} | facts(self._read(schema, folder))
