@@ -7,6 +7,7 @@ its terms inside the row; a corpus is never exploded for a query.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 from functools import lru_cache
@@ -126,7 +127,7 @@ def places(docs: DataFrame, id_col: str, text_col: str, analyzer: Analyzer | Non
 
 
 def postings(docs: DataFrame, id_col: str, text_col: str, analyzer: Analyzer | None = None, keep: Sequence[str] = ()) -> DataFrame:
-    """term, id, positions (from 1, ascending) of every term of every text, and the columns ``keep``.
+    """term, id, positions (from 1, ascending) of every term of every text, their number (``uses``), and the columns ``keep``.
 
     A text's terms are grouped inside its row: no shuffle is needed.
     """
@@ -138,12 +139,17 @@ def postings(docs: DataFrame, id_col: str, text_col: str, analyzer: Analyzer | N
     starts = F.filter(F.sequence(F.lit(0), F.size("_all") - 1), lambda i: (i == 0) | (F.get("_all", i)["term"] != F.get("_all", i - 1)["term"]))
     rows = rows.filter(F.size("_all") > 0).withColumn("_starts", starts)
     run = lambda s, k: F.struct(F.get("_all", s)["term"].alias("term"), F.transform(F.slice("_all", s + 1, F.coalesce(F.get("_starts", k + 1), F.size("_all")) - s), lambda x: x["pos"]).alias("positions"))
-    return rows.select("id", *keep, F.inline(F.transform("_starts", run))).select("term", "id", *keep, "positions")
+    return rows.select("id", *keep, F.inline(F.transform("_starts", run))).select("term", "id", *keep, F.size("positions").alias("uses"), "positions")
+
+
+def order() -> list[Column]:
+    """How postings lie: of each term the texts that use it most come first, so that a bound on ``uses`` skips row groups and pages."""
+    return [F.col("term"), F.col("uses").desc(), F.col("id")]
 
 
 def write_postings(rows: DataFrame, path: str) -> None:
     """Postings as files in the order of their terms: each file holds a range of them."""
-    rows.repartitionByRange("term", "id").sortWithinPartitions("term", "id").write.mode("overwrite").parquet(path)
+    rows.repartitionByRange(*order()).sortWithinPartitions(*order()).write.mode("overwrite").parquet(path)
 
 
 def match(docs: DataFrame, query: str, text_col: str, analyzer: Analyzer | None = None) -> DataFrame:
@@ -195,6 +201,51 @@ def rank_stored(stored: DataFrame, query: str, analyzer: Analyzer | None = None)
     return _held(stored, terms).withColumn("text_rank", _covers(F.lit(max(1, len(terms))))).drop("_held")
 
 
+def top_stored(stored: DataFrame, query: str, k: int, analyzer: Analyzer | None = None) -> DataFrame:
+    """The ``k`` best rows of ``rank_stored`` (ties by id), from the postings of texts that use every term often enough to be among them.
+
+    A cover starts at the last use of some term before the first use, in it, of a given one; so a text has at most as many covers as
+    the query has terms, for each use of the term it uses least, and each adds WEIGHT at most. The first pass reads the postings
+    with at least so many uses that each term has some ``SEEN * k`` of them, by counts that read no positions. If the k-th best rank
+    is over the bound of all texts with fewer uses, the pass decides; else another reads all postings whose bound reaches that
+    rank. That one is always enough where k were found. The result, k rows, is held by the driver.
+    """
+    terms = (analyzer or Analyzer()).query_terms(query)
+    ranked = lambda level: _best(rank_stored(stored.filter(F.col("uses").isNull() | (F.col("uses") >= level)), query, analyzer), k)
+    level = _enough(stored, terms, SEEN * k)
+    while True:
+        found = ranked(level)
+        best = found.collect()
+        least = best[-1]["text_rank"] if len(best) == k and k else 0.0
+        if level <= 1 or least > WEIGHT * len(terms) * (level - 1) + 1e-9:
+            return stored.sparkSession.createDataFrame(best, found.schema)
+        level = max(1, min(level - 1, math.ceil(least / (WEIGHT * len(terms)) - 1e-9) if least else level // 4))
+
+
+#: Postings of each term that a first pass reads for a result, and the most uses that are counted apart.
+SEEN, MOST_USES = 64, 1 << 10
+
+
+def _best(found: DataFrame, k: int) -> DataFrame:
+    return found.orderBy(F.round("text_rank", 12).desc(), "id").limit(k)
+
+
+def _enough(stored: DataFrame, terms: list[str], n: int) -> int:
+    """The most uses that each term has in ``n`` texts; 1 where a term has fewer texts. Reads no positions; at most MOST_USES counts a term return."""
+    of: dict[str, dict[int, int]] = {t: {} for t in terms}
+    for r in stored.filter(F.col("term").isin(terms or [""])).groupBy("term", F.least("uses", F.lit(MOST_USES)).alias("uses")).count().collect():
+        of[r["term"]][r["uses"] or 0] = r["count"]
+    return max(1, min((_reached(by, n) for by in of.values()), default=1))
+
+
+def _reached(by: dict[int, int], n: int) -> int:
+    for uses in sorted(by, reverse=True):
+        n -= by[uses]
+        if n <= 0:
+            return uses
+    return 1
+
+
 def rank_batched(stored: DataFrame, queries: DataFrame) -> DataFrame:
     """query_id, id, text_rank of the texts that match each of ``queries`` (query_id, terms: distinct ones), from stored postings alone.
 

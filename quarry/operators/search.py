@@ -72,7 +72,8 @@ def hybrid(table: DataFrame, query: Sequence[float], text: str, k: int = 10, wan
     """Reciprocal rank fusion of the 2k nearest and the 2k best full-text rows: similarity, text_rank, hybrid_score of the k best.
 
     A row of one arm only has 0 for the other's value. Code examples are searched as content and summary together. With stored
-    ``postings`` (term, id, positions) of the table the text arm reads no text, only the postings of the query's terms.
+    ``postings`` (term, id, positions) of the table the text arm reads no text, only the postings of the query's terms; where
+    those say how often a text uses the term (uses), and nothing is filtered, only of texts that may be among the best.
     """
     searched = table if text_col else table.withColumn("_text", F.concat_ws(" ", "content", "summary") if "summary" in table.columns else F.col("content"))
     kept = where(wanted, source) if where and wanted and postings is not None else filters.where_metadata(searched, wanted, source)
@@ -83,9 +84,10 @@ def hybrid(table: DataFrame, query: Sequence[float], text: str, k: int = 10, wan
         found = fts.rank(kept, text, "id", text_col or "_text", analyzer)
         found = found.join(table.select("id", *at), "id") if at else found
     else:
-        found = fts.rank_stored(postings, text, analyzer)
         if wanted or source is not None:
-            found = found.join(kept.select("id"), "id", "left_semi")
+            found = fts.rank_stored(postings, text, analyzer).join(kept.select("id"), "id", "left_semi")
+        else:
+            found = fts.top_stored(postings, text, 2 * k, analyzer) if "uses" in postings.columns else fts.rank_stored(postings, text, analyzer)
     found = _numbered(found.orderBy(F.desc("text_rank"), "id").limit(2 * k), F.desc("text_rank"), "id", name="text_place")
     part = lambda rank: F.coalesce(F.lit(1.0) / (F.lit(float(rrf_k)) + F.col(rank)), F.lit(0.0))
     fused = nearest.join(found, "id", "full_outer").select(

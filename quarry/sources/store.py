@@ -392,7 +392,7 @@ class Store:
         path = f"{self.root}/{name}/{part}"
         keys = replaces.select(F.col(g.key).alias("key"), "address").distinct().withColumn("seq", F.lit(seq).cast("long")) if replaces is not None else None
         order = ["id"] if "id" in rows.columns else [g.key]
-        wanted = {"rows": (rows, order), "postings": (postings, ["term", "id"]), "codes": (codes, ["cell", "id"]), "leaves": (leaves, ["leaf", "id"]), "tombstones": (keys, ["key"])}
+        wanted = {"rows": (rows, order), "postings": (postings, fts.order()), "codes": (codes, ["cell", "id"]), "leaves": (leaves, ["leaf", "id"]), "tombstones": (keys, ["key"])}
         with ThreadPoolExecutor(len(wanted)) as pool:  # none reads what another writes
             jobs = {what: pool.submit(inheritable_thread_target(self.spark)(self._cut), df, f"{path}/{what}", n, sort) for what, (df, sort) in wanted.items() if df is not None}
             sizes = {what: job.result() for what, job in jobs.items()}

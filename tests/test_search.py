@@ -117,6 +117,29 @@ def test_postings_hold_every_place(spark, tmp_path):
     assert {r.id for r in fts.matching(stored, "the stones").collect()} == {1, 5} and fts.rank_stored(stored, "the").count() == 0
 
 
+@pytest.mark.parametrize("k", [1, 5, 300])
+def test_the_best_need_few_postings(spark, tmp_path, monkeypatch, k):
+    """As ranking all and cutting, from a part of the postings where some texts use the terms often."""
+    r = np.random.default_rng(3)
+    texts = [" ".join(r.choice(["alpha", "beta", "gamma"] + [f"w{j}" for j in range(9)], int(r.choice([5, 20, 400], p=[0.6, 0.38, 0.02])))) for _ in range(1500)]
+    texts += ["alpha beta " * 3] * 4 + ["alpha " * 50 + "beta", "", "alpha beta gamma " * 40]
+    df = spark.createDataFrame(list(enumerate(texts)), "id long, content string")
+    fts.write_postings(fts.postings(df, "id", "content"), str(tmp_path / "p"))
+    stored = spark.read.parquet(str(tmp_path / "p"))
+    seen, rank = [], fts.rank_stored
+    monkeypatch.setattr(fts, "SEEN", 2)
+    monkeypatch.setattr(fts, "rank_stored", lambda rows, *a: seen.append(rows) or rank(rows, *a))
+    for query in ("alpha", "beta alpha", "gamma alpha beta", "absent alpha", "the"):
+        seen.clear()
+        got = [(x.id, round(x.text_rank, 9)) for x in fts.top_stored(stored, query, k).collect()]
+        want = sorted(((x.id, round(x.text_rank, 9)) for x in rank(stored, query).collect()), key=lambda x: (-x[1], x[0]))[:k]
+        assert got == want
+        if k == 1 and len(want):
+            assert max(rows.count() for rows in seen) < stored.count() / 4
+    plan = stored.filter(F.col("uses").isNull() | (F.col("uses") >= 3))._jdf.queryExecution().executedPlan().toString()
+    assert "Or(IsNull(uses),GreaterThanOrEqual(uses,3))" in plan
+
+
 def test_a_stem_like_a_stop_word_is_a_term(spark):
     df = spark.createDataFrame([(1, "a doe"), (2, "it does")], "id long, content string")
     assert [r.id for r in fts.match(df, "doe", "content").collect()] == [1]
