@@ -4,8 +4,9 @@ Texts and items are folded to lower-case words between spaces (ASCII punctuation
 of ``n`` bytes, taken with the space on each side, may differ from a passage in ``e = n * RATE`` edits, whatever its length;
 cut into ``e + 1`` pieces, at least one piece then stands in the passage unchanged. The pieces of a block of items are
 known by their first ``KEY`` bytes, in a sorted table behind a bit map; all places of a batch of texts are looked up there at
-once, and pieces that then stand in the text whole are hits. Around each hit, Myers' bit-parallel algorithm gives the least
-edit distance of the item to any passage.
+once, and pieces that then stand in the text whole are hits. Around each hit, only stretches with as many of the item's runs
+of ``GRAM`` bytes as the edits must leave are kept, in one vectorised pass; there Myers' bit-parallel algorithm gives the
+least edit distance of the item to any passage. So what is common to items and texts costs a look, not a distance.
 
 Items reach the tasks in blocks of at most ``BLOCK_BYTES`` (a worker needs some five times that), each block meeting all
 documents, so the benchmark may be of any size; one of more than a block costs a pass over the documents for each, and the
@@ -31,6 +32,8 @@ BLOCK_BYTES = 16 << 20
 KEY, MAP_BITS = 8, 16
 #: Bytes of texts that are searched at a time.
 SEARCHED = 1 << 20
+#: Bytes of the runs that are counted before a distance is taken.
+GRAM = 4
 
 #: A-Z to a-z; other ASCII but digits and a-z to a space; bytes over 0x7F stay.
 _FOLD = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
@@ -78,6 +81,33 @@ def _spread(keys: np.ndarray, shift: int) -> np.ndarray:
         return (keys * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(shift)
 
 
+def _grams(body: bytes) -> np.ndarray:
+    """The runs of GRAM bytes of ``body``, in their order, as numbers."""
+    return np.ndarray(max(0, len(body) - GRAM + 1), "<u4", body, strides=(1,)) if len(body) >= GRAM else np.zeros(0, np.uint32)
+
+
+def likely(item: bytes, text: bytes, most: int) -> list[tuple[int, int]]:
+    """The stretches (start, end) of ``text``, apart from each other, that hold all passages within ``most`` edits of ``item``.
+
+    An edit spoils GRAM of the item's runs at most, so all the others stand in the passage, at places of their own. A passage
+    has ``len(item) + most`` bytes at most; where a stretch of that length has fewer places with a run of the item, none lies in it.
+    """
+    need = len(item) - GRAM + 1 - GRAM * most
+    reach = len(item) + most
+    if need <= 0 or len(text) <= GRAM:
+        return [(0, len(text))]
+    known = np.isin(_grams(text), _grams(item))
+    upto = np.concatenate([[0], np.cumsum(known)])
+    first = np.arange(len(known))  # a passage may start at each place, and a stretch at the end is shorter
+    good = first[upto[np.minimum(first + reach - GRAM + 1, len(known))] - upto[first] >= need]
+    out: list[tuple[int, int]] = []
+    if len(good):
+        cut = np.flatnonzero(np.diff(good) > reach)
+        for a, b in zip(good[np.concatenate([[0], cut + 1])].tolist(), good[np.concatenate([cut, [len(good) - 1]])].tolist(), strict=True):
+            out.append((a, min(len(text), b + reach)))
+    return out
+
+
 class Finder:
     """The pieces of a block of items, in a table for each length of keys (shorter pieces than KEY are their own keys)."""
 
@@ -149,9 +179,11 @@ class Finder:
                 hi = s + len(item) + most
                 continue
             if hi is not None:
-                d, e = least_distance(item, body[max(0, lo) : hi], most)
-                if d < best:
-                    best, end = d, max(0, lo) + e
+                near = body[max(0, lo) : hi]
+                for a, b in likely(item, near, most):
+                    d, e = least_distance(item, near[a:b], most)
+                    if d < best:
+                        best, end = d, max(0, lo) + a + e
                 if not best:
                     break
             if s is not None:

@@ -862,6 +862,37 @@ def test_pieces_miss_no_item(items, texts, at_a_time):
         assert {i: d for i, _, d, _ in got} == want and len(got) == len(want)
 
 
+@settings(max_examples=120, deadline=None)
+@given(st.text(alphabet="abcd", min_size=30, max_size=160), st.lists(st.text(alphabet="abcd", max_size=30), max_size=6), st.integers(0, 12), st.randoms(use_true_random=False))
+def test_stretches_hold_all_passages(item, others, edits, r):
+    most = int(len(item) * decontaminate.RATE)
+    near = list(item)
+    for _ in range(min(edits, most)):
+        at = r.randrange(len(near) + 1)
+        r.choice([lambda at: near.insert(at, "c"), lambda at: near.__setitem__(slice(at, at + 1), "a"), lambda at: near.__setitem__(slice(at, at + 1), "")])(at)
+    parts = [*others, "".join(near) if edits < 9 else item[: len(item) // 2]]
+    r.shuffle(parts)
+    item, text = item.encode(), "".join(parts).encode()
+    stretches = decontaminate.likely(item, text, most)
+    assert all(b < c for (_, b), (c, _) in zip(stretches, stretches[1:], strict=False))
+    want = decontaminate.least_distance(item, text, most)
+    found = [(d, a + e) for a, b in stretches for d, e in [decontaminate.least_distance(item, text[a:b], most)] if d <= most]
+    assert (min(found, key=lambda x: x[0]) if found else (most + 1, -1)) == want
+
+
+def test_shared_phrases_take_no_distances(monkeypatch):
+    """Texts that share many pieces with long items, but no passage: runs are counted, and no distance is taken."""
+    r = random.Random(23)
+    items = [(k, words(r, 2500)) for k in range(3)]
+    text = " ".join(words(r, 20) + items[k % 3][1][at : at + 40] for k, at in enumerate(r.sample(range(9000), 120)))
+    taken, plain = [], decontaminate.least_distance
+    monkeypatch.setattr(decontaminate, "least_distance", lambda item, text, most: taken.append(len(text)) or plain(item, text, most))
+    finder = decontaminate.Finder(items)
+    assert sum(1 for _ in finder._hits(decontaminate.folded(text) + bytes(decontaminate.KEY))) > 100
+    assert finder.find_all([text]) == [[]] and not taken
+    assert [x[0] for x in finder.find_all([text + " " + items[1][1]])[0]] == [1] and sum(taken) < 2 * len(items[1][1])
+
+
 def test_contamination_odd_tables(spark, make):
     item = "granite columns of the northern quarry stand in long rows"
     df = spark.createDataFrame([(1, item, 0)], "item_id long, text string, doc_id long")
