@@ -262,6 +262,11 @@ class Flaky:
         return [[1.0, float(len(texts[0]))]]
 
 
+def test_only_blank_texts_have_no_length():
+    found = np.linalg.norm(HashingEmbedder().embed(["w0 w13", "w0 w13 w13 w0", "a", "\u00a0", "\x1c\x85", "", " \t\n\f\r"]), axis=1)
+    assert np.allclose(found, [1, 1, 1, 1, 1, 0, 0])
+
+
 def test_embedding_fallbacks():
     m = Flaky(bad=("bb",))
     assert embed_all(m, ["a", "bb", "ccc"], wait=lambda s: None) == [[1.0, 1.0], [0.0, 0.0], [1.0, 3.0]]
