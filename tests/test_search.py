@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tracemalloc
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -262,6 +264,39 @@ class Flaky:
         return [[1.0, float(len(texts[0]))]]
 
 
+def test_best_holds_a_tile_of_pairs_and_breaks_ties_by_id():
+    rng = np.random.default_rng(5)
+    q, x = V.unit(rng.normal(size=(3000, 4))), np.round(rng.normal(size=(6000, 4)))  # many rows alike
+    x[7] = 0
+    ids = rng.permutation(6000)
+    tracemalloc.start()
+    best = V.Best(np.arange(3000), q, 3)
+    for lo in range(0, 6000, 4000):
+        best.add(ids[lo : lo + 4000], x[lo : lo + 4000])
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 150 << 20  # all pairs of a batch take 96 MB, and their order as much again, twice
+    sims = np.round(q @ V.unit(x).T, 9)
+    sims[:, 7] = -np.inf
+    for i in range(0, 3000, 50):
+        assert best.rows[i].tolist() == ids[np.lexsort((ids, -sims[i]))[:3]].tolist()
+
+
+@pytest.mark.parametrize("stemmed", [True, False])
+def test_terms_stay_in_the_worker(spark, stemmed):
+    """Only what is found leaves it, not a list of all terms of each text; both give the same places."""
+    texts = ["Running (runs)! http://a.example/x-y the", None, "", "the of", "run a.example run-run runs RUNNING"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string")
+    a = fts.Analyzer(stemmed)
+    found = fts.positions(docs, "runs running", "doc_id", "text", a)
+    assert "MapInArrow" in found._jdf.queryExecution().toString() and "ArrowEvalPython" not in found._jdf.queryExecution().toString()
+    stored = fts.postings(docs, "doc_id", "text", a)
+    assert "ArrowEvalPython" not in stored._jdf.queryExecution().toString()
+    places = {(r.term, r.id): r.positions for r in stored.collect()}
+    assert places == {(t, i): [p for p, w in enumerate(a.all_terms(x or ""), 1) if w == t] for i, x in enumerate(texts) for t in set(a.all_terms(x or "")) - {""}}
+    assert {(r.id, r.term, r.pos) for r in found.collect()} == {(i, t, p) for (t, i), ps in places.items() for p in ps if t in a.query_terms("runs running")}
+
+
 def test_only_blank_texts_have_no_length():
     found = np.linalg.norm(HashingEmbedder().embed(["w0 w13", "w0 w13 w13 w0", "a", "\u00a0", "\x1c\x85", "", " \t\n\f\r"]), axis=1)
     assert np.allclose(found, [1, 1, 1, 1, 1, 0, 0])
