@@ -67,6 +67,7 @@ def test_chunks_cover_every_character(ends, size, overlap):
 def test_chunk_rows(spark):
     df = spark.createDataFrame([(1, "A" * 10_000), (2, ""), (3, None)], "id int, t string")
     assert sorted((r.id, r.chunk_number) for r in with_chunks(df, "t").collect()) == [(1, 1), (1, 2)]
+    assert int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) <= 1024  # whole texts are in a batch
 
 
 # --- scalar functions ---
