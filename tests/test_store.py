@@ -406,6 +406,24 @@ def test_search_through_the_vector_index(spark, tmp_path):
     assert (again.centres == copy.centres).all() and again.probes == copy.probes
 
 
+def test_vectors_without_clusters_are_found_through_the_index(spark, tmp_path):
+    """Candidates are as many as it takes: among vectors far from each other ten codes a result are too few."""
+    import numpy as np
+
+    r = np.random.default_rng(6)
+    x = r.normal(size=(3000, 256))
+    store = S.Store(spark, str(tmp_path / "kb"), buckets=2)
+    store.add_chunks(vector_rows(spark, dict(enumerate(x.tolist()))), now())
+    assert store.build_index("chunks") is True
+    snap = store.snapshot()
+    rows = snap.read("chunks").select("id", "url", "embedding")
+    ids = {y.url: y.id for y in rows.select("id", "url").collect()}
+    queries = [(i, x[i].tolist()) for i in range(0, 3000, 75)]
+    got = {(y.query_id, y.id) for y in snap.nearest_batched("chunks", queries, 10).collect()}
+    exact = np.argsort(-(x / np.linalg.norm(x, axis=1)[:, None]) @ (x[::75] / np.linalg.norm(x[::75], axis=1)[:, None]).T, axis=0)[:10]
+    assert sum((i, ids[f"s/{j}"]) in got for (i, _), of in zip(queries, exact.T, strict=True) for j in of) >= 0.95 * 400
+
+
 def test_metadata_is_found_in_its_buckets(spark, tmp_path):
     from quarry.operators import metadata_index as M
 
