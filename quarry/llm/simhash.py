@@ -9,17 +9,19 @@ away as well (threshold 2: both sides meet in the middle); candidates in a bucke
 
 Only distinct fingerprints are searched, buckets of one fingerprint are dropped before anything is sorted, and
 a bucket gives at most one edge for each member (its links' local forest), not its pairs. Buckets of more than
-``BUCKET`` members are split. For ``tau = 2`` each member is probed instead under itself and all 64
+``BUCKET`` members are split. For ``tau = 2`` over distinct fingerprints each member is probed instead under itself and all 64
 fingerprints one bit away: two are linked exactly if they share one, and no more than 65 can. Otherwise
 salted parts find their own links and send one leader of each local group on, which ties most members; all members of
 a bucket that aren't yet in the component of most of it are then compared with all its members, in pairs of parts.
 Components come from ``components``.
 
-``near_duplicates`` links at 2 bits, exactly. ``without_near_duplicates`` is about similarity: 64-bit fingerprints of
-five-word shingles differ in some 10 bits at a similarity of 0.8, too many for any exact search. Its candidates share one
-of ``bands`` keys, each of the least of ``ROWS`` orders of a text's shingles: two texts share a key with a probability that
-depends on their similarity alone, wherever their words differ and however many texts there are. 1024 SimHash bits over the
-sets of shingles verify: they are joined to the texts that share a key with another one, and to no others.
+``near_duplicates`` links at 2 bits, exactly. ``without_near_duplicates`` searches in the same way the first 64 of the 1024 SimHash
+bits over a text's set of five-word shingles, and finds all pairs with at most ``RADIUS`` of these apart. It is about similarity,
+though: fingerprints of 64 bits differ in some 10 at a similarity of 0.8, too many for any exact search. Pairs beyond the radius
+are candidates if they share one of ``bands`` keys, each of the least of ``ROWS`` orders of a text's shingles: two texts share a
+key with a probability that depends on their similarity alone, wherever their words differ and however many texts there are.
+Candidates of both kinds are verified by all 1024 bits, which are joined to the texts that share a probe or key with another one,
+and to no others.
 
 Null and empty texts have fingerprint zero and are linked like any other. Repeated rows each have a row of results; rows of
 a null id are linked too, but name no component while another member has an id. Extra columns take no part; very long texts
@@ -44,6 +46,8 @@ SEED = 42
 BUCKET = 256
 #: Least shingles in a key of ``without_near_duplicates``, and the share of pairs at its bound that may have no key in common.
 ROWS, MISSED = 3, 1e-4
+#: Bits of the first word within which ``without_near_duplicates`` finds every pair.
+RADIUS = 2
 _BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little").astype(np.int64)
 #: Columns of the bits that verify.
 V = [f"v{i}" for i in range(1, 17)]
@@ -394,7 +398,7 @@ def links(nodes: DataFrame, parts: list[Part] | None, tau: int, tau_v: int = 64
     free_shuffles(rows.sparkSession)
     edges = _grouped(rows.filter(F.col("n") <= BUCKET), ["sig"], tau, tau_v)
     hot = rows.filter(F.col("n") > BUCKET)
-    if tau == 2:
+    if tau == 2 and tau_v >= 64 * len(V):  # else many nodes may have one fingerprint
         return edges.unionByName(_all_around(hot, tau_v))
     if hot.isEmpty():
         return edges
@@ -477,12 +481,19 @@ def near_duplicates(docs: DataFrame, k: int = 3, tau: int = 2) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def _within_and_beyond(nodes: DataFrame, parts: list[Part], tau_v: int) -> DataFrame:
+    """Links of ``nodes`` (node, fps: band keys, V) that V verifies: all within ``RADIUS`` bits of the first word, and those that share a band key."""
+    near = links(nodes.withColumn("fps", F.array(V[0])), parts, RADIUS, tau_v)
+    return near.unionByName(links(nodes, None, 64, tau_v))
+
+
 def without_near_duplicates(docs: DataFrame, k: int = 5, similarity: float = 0.8, slack: int = 16) -> DataFrame:
     """The rows of ``docs`` without those whose group of near-duplicates holds a smaller ``doc_id``.
 
-    Two documents are linked if they share one of the keys of their sets of shingles and the 1024 bits over their sets of
-    ``k``-word shingles differ in at most as many as a Jaccard similarity of ``similarity`` leads to, plus ``slack`` (by
-    default 1.4 standard deviations of that number, so that few pairs at the bound are lost).
+    Two documents are linked if the 1024 SimHash bits over their sets of ``k``-word shingles differ in at most as many as a
+    Jaccard similarity of ``similarity`` leads to, plus ``slack`` (by default 1.4 standard deviations of that number, so that
+    few pairs at the bound are lost). Every such pair is found by pigeonhole search whose first 64 bits differ in ``RADIUS`` at
+    most, and of the others those that share one of the keys of their sets of shingles.
     Rows that repeat a kept id stay; rows of a null id stay only where their group has no id.
     """
     cosine = 2 * similarity / (1 + similarity)
@@ -490,7 +501,8 @@ def without_near_duplicates(docs: DataFrame, k: int = 5, similarity: float = 0.8
     with temporary(docs.sparkSession) as keep:
         wide = stored(wide_fingerprints(docs, k, similarity).withColumn("node", F.xxhash64("fps", *V)), "fingerprints")
         nodes = stored(wide.groupBy("node").agg(F.min("fps").alias("fps"), *[F.min(c).alias(c) for c in V], F.min("doc_id").alias("least_id")), "nodes")
-        known = _least(nodes, _roots(links, nodes, None, 64, tau_v))
+        words = stored(nodes.select(F.array(V[0]).alias("fps")).distinct(), "words")
+        known = _least(nodes, _roots(_within_and_beyond, nodes, plan(words, 1, RADIUS), tau_v))
         gone = split_join(wide.select("node", "doc_id"), known, "node").filter("least IS NOT NULL AND NOT (doc_id <=> least)")
         gone = stored(gone.select(F.col("doc_id").alias("_gone")).distinct(), "gone")
         keep(gone)

@@ -278,6 +278,26 @@ def test_pairs_over_the_bound_share_a_key(kind):
     assert shared >= 299
 
 
+@pytest.mark.parametrize("bucket", [8, 256])
+def test_pairs_within_the_radius_go_without_a_band_key(make, monkeypatch, bucket):
+    """The pigeonhole search over SimHash bits finds these by itself: no two texts share a band key here."""
+    monkeypatch.setattr(simhash, "BUCKET", bucket)
+    alone = iter(range(1 << 40))
+    monkeypatch.setattr(simhash, "band_keys", lambda hashes, n: [int(x) for x in np.random.default_rng(int(hashes.sum() % (1 << 62)) if len(hashes) else next(alone)).integers(-(1 << 62), 1 << 62, n)])
+    r = random.Random(15)
+    rows, pairs = {}, []
+    for i in range(60):
+        w = words(r, r.randint(900, 1100)).split()
+        rows[i] = " ".join(w)
+        w[r.randrange(len(w))] = words(r, 1)
+        rows[100 + i] = " ".join(w)
+        fps = [simhash.majority(np.unique(simhash.shingle_hashes(t.lower().encode().split(), 5))) for t in (rows[i], rows[100 + i])]
+        pairs += [i] if (fps[0] ^ fps[1]).bit_count() <= simhash.RADIUS else []
+    kept = {x.doc_id for x in simhash.without_near_duplicates(make(rows)).collect()}
+    assert len(pairs) > 30 and kept >= set(range(60)) and not kept & {100 + i for i in pairs}
+    assert kept == set(rows) - {100 + i for i in pairs}
+
+
 def test_copies_with_appended_text_go(make):
     r = random.Random(14)
     rows = {i: words(r, r.randint(150, 250)) for i in range(100)}
