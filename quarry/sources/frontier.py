@@ -40,10 +40,11 @@ class StoredCrawl:
     job. Each turn's pages are a table of their own. A table counts once its marker is there, which is made at once and names its
     folder; so a crawl that is started again in the same ``root`` fetches only what no finished turn has, and of two crawls at once
     both read what the first has marked. A URL of any queue was visited; new links are those in none, by an anti-join.
+    ``follow`` gives the links (url, link) of successes: by default those of the html that was fetched.
     """
 
-    def __init__(self, spark: SparkSession, root: str, fetch: Callable[[DataFrame], DataFrame], max_depth: int = 3, limits: Limits | None = None):
-        self.spark, self.root, self.fetch, self.max_depth, self.limits = spark, root.rstrip("/"), fetch, max_depth, limits or Limits()
+    def __init__(self, spark: SparkSession, root: str, fetch: Callable[[DataFrame], DataFrame], max_depth: int = 3, limits: Limits | None = None, follow: Callable[[DataFrame], DataFrame] = links):
+        self.spark, self.root, self.fetch, self.max_depth, self.limits, self.follow = spark, root.rstrip("/"), fetch, max_depth, limits or Limits(), follow
         self.files = Files(spark, root)
 
     # --- steps that are done once ---
@@ -125,7 +126,7 @@ class StoredCrawl:
             if depth < self.max_depth:
                 good = self._read(GOT, *level).filter(F.col("success") & (F.coalesce(F.col("markdown"), F.lit("")) != ""))
                 visited = self._read(QUEUE, *queues).select("url")
-                new = lambda good=good, visited=visited: links(good).select(defragmented(F.col("link")).alias("url")).distinct().join(visited, "url", "left_anti")
+                new = lambda good=good, visited=visited: self.follow(good).select(defragmented(F.col("link")).alias("url")).distinct().join(visited, "url", "left_anti")
         got = self._read(GOT, *folders) if folders else self.spark.createDataFrame([], GOT)
         return got.filter(~self._fails_for_now() | (F.col("attempt") == self.limits.attempts))
 
