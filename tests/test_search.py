@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import random
 import tracemalloc
 
 import numpy as np
@@ -358,3 +359,56 @@ def test_search_bounds(bad):
 def test_crawl_bounds(bad):
     with pytest.raises(ValueError):
         CrawlRequest("https://a.b", **bad)
+
+
+def batch_texts(n=400):
+    r = random.Random(3)
+    return [(i, None if i % 97 == 5 else " ".join(r.choice("abcdef" if i % 5 else "fghijk") + r.choice(["", "", "-q", ".", ", the"]) for _ in range(r.randint(0, 40)))) for i in range(n)]
+
+
+BATCH = [(1, ["b"]), (2, ["b", "c"]), (3, ["c", "b"]), (4, ["f", "b", "d"]), (5, ["nowhere", "b"]), (6, []), (7, ["b-q", "q", "e", "f"]), (8, ["g", "h"])]
+
+
+@pytest.mark.parametrize("stored", [False, True])
+def test_best_texts_of_a_block_of_queries(spark, stored):
+    """As each query's own ranking, of any number of terms, with ties; texts without all terms, and queries without terms, give none."""
+    plain = fts.Analyzer(stemmed=False)
+    docs = spark.createDataFrame(batch_texts(), "id long, content string").repartition(3)
+    postings = fts.postings(docs, "id", "content", plain).drop("uses")
+    got = sorted((r.query_id, r.text_place, r.id, round(r.text_rank, 9)) for r in fts.top_batched(postings if stored else docs, BATCH, 6, plain).collect())
+    want = []
+    for i, terms in BATCH:
+        ranks = fts.cover_density(fts.places(docs, "id", "content", plain).filter(F.col("term").isin(terms)), terms) if terms else docs.limit(0).withColumn("text_rank", F.lit(0.0))
+        best = sorted((-round(r.text_rank, 12), r.id) for r in ranks.collect())[:6]
+        want += [(i, n, id_, round(-rank, 9)) for n, (rank, id_) in enumerate(best, 1)]
+    assert got == sorted(want) and {r[0] for r in got} == {1, 2, 3, 4, 7, 8}
+
+
+def test_best_texts_in_parts(monkeypatch):
+    """Tables of any size give the same: by texts one at a time, and in tiles of a few texts, queries and places."""
+    number, plain = {t: i for i, t in enumerate("abcdef")}, fts.Analyzer(stemmed=False)
+    texts = [(i, t) for i, t in batch_texts() if t is not None]
+    sets = [[1], [1, 2], [3, 1, 5], [2, 4]] * 5
+
+    def best(step):
+        out = fts.BestTexts(sets, len(number), 4)
+        for lo in range(0, len(texts), step):
+            ids, of = zip(*texts[lo : lo + step], strict=True)
+            out.add(np.array(ids), *fts._uses_of(of, number, plain))
+        return out.batch().to_pylist()
+
+    whole = best(len(texts))
+    assert len(whole) == 4 * len(sets) and best(1) == whole
+    monkeypatch.setattr(fts, "CELLS", 30)
+    monkeypatch.setattr(fts, "PLACES", 7)
+    assert best(50) == whole
+
+
+@pytest.mark.parametrize("stemmed", [False, True])
+def test_uses_of_terms_are_those_of_all_terms(stemmed):
+    a = fts.Analyzer(stemmed=stemmed)
+    texts = ["", "  ", "http://foo.bar/baz/qux the ends", "a-b-c Foo-Bar\x1cone two\u2003three", "the and of", "HTTP:// (words) ..word!! x.y 3.14 me@a.bc", "É ñ — “quoted” \x0b tab\tend", "x" * 200 + " yes x-" + "y" * 90, " end\n"]
+    number = {w: i for i, w in enumerate(sorted({w for t in texts for w in a.all_terms(t) if w}))}
+    want = sorted((i, pos, number[w]) for i, t in enumerate(texts) for pos, w in enumerate(a.all_terms(t), 1) if w)
+    row, term, pos = fts._uses_of(texts, number | {"the": len(number)}, a)
+    assert sorted(zip(row.tolist(), pos.tolist(), term.tolist(), strict=True)) == want
